@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import op2_chat
+from . import op2_chat, op7_quality, op8_secrets
 
 QUERIES = {
     "op2_chat_formatting": op2_chat.op2_chat_formatting,
+    "op7_quality_rules": op7_quality.op7_quality_rules,
+    "op8_secret_scans": op8_secrets.op8_secret_scans,
 }
 
 SQL = {
     "op2_chat_formatting": op2_chat.SQL,
+    "op7_quality_rules": op7_quality.SQL,
+    "op8_secret_scans": op8_secrets.SQL,
 }
