@@ -45,20 +45,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 SCAN_BLOCK = 512
 
 
-def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<start,end,match>> of the leftmost non-overlapping matches, in code points, end exclusive.
+def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, around: int = 0) -> Column:
+    """array<struct<start,end,match,before,after>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
-    The pattern must not match the empty string. `keep` drops matches after the scan, without a second try.
+    The pattern must not match the empty string. `keep` drops matches after the scan, without a second try;
+    before and after hold up to `around` characters and one character of what stands between matches.
     Rows without a match pay for one search only; null text has no spans.
     """
-    kind = "array<struct<start:int,end:int,match:string>>"
+    kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
     state = f"struct<pos:int,done:array<{kind}>,now:{kind}>"
+
+    def push(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["skip"]
+        end = start + F.length(x["match"])
+        new = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), x["before"].alias("before"), x["after"].alias("after")))
+        full = F.size(acc["now"]) >= SCAN_BLOCK
+        return F.struct(
+            end.alias("pos"),
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(full, new).otherwise(F.concat(acc["now"], new)).alias("now"),
+        ).cast(state)
+
     found = let(
         F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")),
         lambda p: F.aggregate(
-            F.zip_with(F.slice(p["gap"], 1, F.size(p["hit"])), p["hit"], lambda g, h: F.struct(F.length(g).alias("skip"), h.alias("match"))),
+            F.transform(
+                p["hit"],
+                lambda h, i: F.struct(
+                    F.length(F.get(p["gap"], i)).alias("skip"),
+                    h.alias("match"),
+                    F.right(F.get(p["gap"], i), F.lit(around)).alias("before"),
+                    (F.left(F.get(p["gap"], i + 1), F.lit(1)) if around else F.lit("")).alias("after"),
+                ),
+            ),
             F.expr(f"cast(named_struct('pos', 0, 'done', array(), 'now', array()) as {state})"),
-            lambda acc, x: _push(acc, x, state),
+            push,
             lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]),
         ),
     )
@@ -67,18 +88,6 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None =
     return F.when(text.rlike(pattern), found).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
-def _push(acc: Column, x: Column, state: str) -> Column:
-    start = acc["pos"] + x["skip"]
-    end = start + F.length(x["match"])
-    new = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
-    full = F.size(acc["now"]) >= SCAN_BLOCK
-    return F.struct(
-        end.alias("pos"),
-        F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
-        F.when(full, new).otherwise(F.concat(acc["now"], new)).alias("now"),
-    ).cast(state)
-
-
 def span_list(found: Column) -> Column:
     """kind:start:end, comma-joined, of an array of structs with these fields."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

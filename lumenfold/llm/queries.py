@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op2_chat, op7_quality, op8_secrets
+from . import op10_pii, op2_chat, op7_quality, op8_secrets
 
 QUERIES = {
     "op2_chat_formatting": op2_chat.op2_chat_formatting,
     "op7_quality_rules": op7_quality.op7_quality_rules,
     "op8_secret_scans": op8_secrets.op8_secret_scans,
+    "op10_pii": op10_pii.op10_pii,
 }
 
 SQL = {
