@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op10_pii, op2_chat, op7_quality, op8_secrets
+from . import op10_pii, op2_chat, op3_mixing, op6_urls, op7_quality, op8_secrets
 
 QUERIES = {
     "op2_chat_formatting": op2_chat.op2_chat_formatting,
+    "op3_mixing": op3_mixing.op3_mixing,
+    "op6_url_filters": op6_urls.op6_url_filters,
     "op7_quality_rules": op7_quality.op7_quality_rules,
     "op8_secret_scans": op8_secrets.op8_secret_scans,
     "op10_pii": op10_pii.op10_pii,
