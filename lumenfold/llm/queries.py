@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op10_pii, op2_chat, op3_mixing, op6_urls, op7_quality, op8_secrets
+from . import op1_packing, op2_chat, op3_mixing, op6_urls, op7_quality, op8_secrets, op10_pii
 
 QUERIES = {
+    "op1_packing": op1_packing.op1_packing,
     "op2_chat_formatting": op2_chat.op2_chat_formatting,
     "op3_mixing": op3_mixing.op3_mixing,
     "op6_url_filters": op6_urls.op6_url_filters,
