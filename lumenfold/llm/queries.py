@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_packing, op2_chat, op3_mixing, op6_urls, op7_quality, op8_secrets, op10_pii
+from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op6_urls, op7_quality, op8_secrets, op10_pii
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
     "op2_chat_formatting": op2_chat.op2_chat_formatting,
     "op3_mixing": op3_mixing.op3_mixing,
+    "op4_toxicity": op4_toxicity.op4_toxicity,
     "op6_url_filters": op6_urls.op6_url_filters,
     "op7_quality_rules": op7_quality.op7_quality_rules,
     "op8_secret_scans": op8_secrets.op8_secret_scans,
