@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts write it: \x20 and \x09-\x0D.
@@ -93,6 +93,16 @@ def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def indexed(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows with `index`, from 0 in this order; sorted by ranges, so no task sees them all."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "indexed")
+    counts = dealt.groupBy("part").count()  # a row per partition
+    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("at", at).join(F.broadcast(before.drop("count")), "part").withColumn("index", F.col("at") + F.col("before")).drop("part", "at", "before")
+
+
 def as_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows made on the driver, as SQL literals: no Python runs on an executor to read them."""
     from pyspark.sql.types import StructType

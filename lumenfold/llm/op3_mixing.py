@@ -15,10 +15,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, table
+from .common import WORD, cut, indexed, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
@@ -30,18 +30,6 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def indexed(df: DataFrame, order: Column) -> DataFrame:
-    """The rows with `index`, from 0 in this order; sorted by ranges, so no task sees them all."""
-    from pyspark.sql import Window
-
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut(df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "indexed")
-    counts = dealt.groupBy("part").count()  # a row per partition
-    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return dealt.withColumn("at", at).join(F.broadcast(before.drop("count")), "part").withColumn("index", F.col("at") + F.col("before")).drop("part", "at", "before")
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """sources: source, source_size, items -> also index and target, by raising the water level round by round.
 
@@ -100,15 +88,13 @@ def _rounding(seed: int, level: int, last: bool) -> Callable[[tuple, pd.DataFram
     return rounded
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """docs: doc_id, source, size -> one row per row: doc_id, source, size, source_size, target, copies, taken.
+def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """docs: doc_id, source, size -> these, rows (how many are alike), source_size, target and total copies of all rows.
 
-    Null source is a source, the last; null or empty texts have size 0 and are taken for 0 words; repeated
-    rows are rounded as one and dealt out evenly; an empty table gives none. Draws depend on the rows alone,
-    not on how they are partitioned, so reruns agree.
+    Null source is a source, the last; null or empty texts have size 0 and are not copied; an empty table gives
+    none. Draws depend on the rows alone, not on how they are partitioned, so reruns agree.
     """
-    items = docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
-    items = cut(items, "items")
+    items = cut(docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "items")
     sources = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("items"))
     by = cut(targets(sources, weights, most).withColumnRenamed("source", "of"), "targets")
     largest = by.agg(F.max("items")).first()[0] or 0
@@ -124,7 +110,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     blocks, level = math.ceil(largest / BLOCK), 0
     while True:
         last = blocks <= 1
-
         now = cut(todo.groupBy("index", "block").applyInPandas(_rounding(seed, level, last), todo.schema), "rounded")
         whole = now.where(F.col("part").isin(0.0, 1.0))
         done = whole if done is None else done.unionByName(whole)
@@ -132,11 +117,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
             break
         todo = now.where(~F.col("part").isin(0.0, 1.0)).withColumn("block", F.floor(F.col("block") / BLOCK).cast("long"))
         blocks, level = math.ceil(blocks / BLOCK), level + 1
-    total = F.col("base") + F.col("part").cast("long")
-    each = F.floor(total / F.col("rows")) + F.when(F.col("i") <= total % F.col("rows"), 1).otherwise(0)
-    return done.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).select(
-        "doc_id", "source", "size", "source_size", "target", each.cast("long").alias("copies"), (each * F.col("size")).cast("long").alias("taken")
-    )
+    return done.withColumn("total", F.col("base") + F.col("part").cast("long")).drop("base", "part", "index", "block")
+
+
+def _share(i: Column) -> Column:
+    """The copies of the i-th of `rows` rows alike, from 1: as even as whole numbers can be."""
+    return (F.floor(F.col("total") / F.col("rows")) + F.when(i <= F.col("total") % F.col("rows"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """docs: doc_id, source, size -> one row per row, repeats included: and source_size, target, copies, taken."""
+    rows = allot(docs, weights, most, seed).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return rows.withColumn("copies", _share(F.col("i"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """The documents, all columns, each as often as the mix copies it; 0 times leaves it out."""
+    sized = docs.withColumn("size_", words_in(F.col("text")))
+    plan = allot(sized.select("doc_id", "source", F.col("size_").alias("size")), weights, most, seed)
+    plan = plan.where("total > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), "rows", "total")
+    same = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("z_"))
+    met = sized.join(plan, same)
+    alike = F.lit(1)
+    if plan.where("rows > 1").limit(1).count():
+        alike = F.row_number().over(Window.partitionBy("doc_id", "source", "size_").orderBy("text"))
+    copied = met.withColumn("copies_", _share(alike)).where("copies_ > 0")
+    return copied.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op6_urls, op7_quality, op8_secrets, op10_pii
+from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op5_neardup, op6_urls, op7_quality, op8_secrets, op9_embeddings, op10_pii
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
     "op2_chat_formatting": op2_chat.op2_chat_formatting,
     "op3_mixing": op3_mixing.op3_mixing,
     "op4_toxicity": op4_toxicity.op4_toxicity,
+    "op5_near_duplicates": op5_neardup.op5_near_duplicates,
     "op6_url_filters": op6_urls.op6_url_filters,
     "op7_quality_rules": op7_quality.op7_quality_rules,
     "op8_secret_scans": op8_secrets.op8_secret_scans,
+    "op9_embedding_near_duplicates": op9_embeddings.op9_embedding_near_duplicates,
     "op10_pii": op10_pii.op10_pii,
 }
 
