@@ -7,6 +7,7 @@ A vector is a struct of x, y, z; a matrix an array of nine doubles by rows; a qu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 from ..config import Lens
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a lambda variable that holds the value, so that it is worked out once however often it is named."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def vec(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
@@ -36,13 +42,13 @@ def scale(a: Column, s: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Of length 1; a zero vector refuses."""
-    n = norm(a)
-    return F.when(n > 0, scale(a, F.lit(1.0) / n)).otherwise(F.raise_error(F.lit("a zero vector has no direction")))
+    unit = lambda v, n: F.when(n > 0, scale(v, F.lit(1.0) / n)).otherwise(F.raise_error(F.lit("a zero vector has no direction")))
+    return bind(a, lambda v: bind(norm(v), lambda n: unit(v, n)))
 
 
 def angle(a: Column, b: Column) -> Column:
     """Radians between two vectors, exact near 0 and pi."""
-    return F.atan2(norm(cross(a, b)), dot(a, b))
+    return F.atan2(bind(cross(a, b), norm), dot(a, b))
 
 
 def from_angles(yaw_deg: Column, pitch_deg: Column) -> Column:
@@ -85,20 +91,22 @@ def wrapped(du: Column, width: int) -> Column:
 
 def project(d: Column, k: Lens = Lens()) -> Column:
     """struct<u, v>, or null behind the camera or past the fold of the distortion."""
-    x, y = F.try_divide(d["x"], d["z"]), F.try_divide(d["y"], d["z"])
-    r2 = x * x + y * y
-    f = r2 * (r2 * (r2 * k.k3 + k.k2) + k.k1) + 1.0
-    slope = r2 * (r2 * (r2 * (7 * k.k3) + 5 * k.k2) + 3 * k.k1) + 1.0
-    seen = d["z"] > 1e-12
-    if (k.k1, k.k2, k.k3) != (0.0, 0.0, 0.0):
-        seen = seen & (slope > 0)
-    return F.when(seen, F.struct((x * f * k.fx + k.cx).alias("u"), (y * f * k.fy + k.cy).alias("v")))
+
+    def at(p: Column, r2: Column) -> Column:
+        f = r2 * (r2 * (r2 * k.k3 + k.k2) + k.k1) + 1.0
+        slope = r2 * (r2 * (r2 * (7 * k.k3) + 5 * k.k2) + 3 * k.k1) + 1.0
+        seen = p["z"] > 1e-12
+        if (k.k1, k.k2, k.k3) != (0.0, 0.0, 0.0):
+            seen = seen & (slope > 0)
+        return F.when(seen, F.struct((p["x"] * f * k.fx + k.cx).alias("u"), (p["y"] * f * k.fy + k.cy).alias("v")))
+
+    plane = bind(d, lambda v: vec(F.try_divide(v["x"], v["z"]), F.try_divide(v["y"], v["z"]), v["z"]))
+    return bind(plane, lambda p: bind(p["x"] * p["x"] + p["y"] * p["y"], lambda r2: at(p, r2)))
 
 
 def visible(d: Column, k: Lens = Lens()) -> Column:
-    p = project(d, k)
-    inside = p["u"].between(-0.5 - 1e-9, k.width - 0.5 + 1e-9) & p["v"].between(-0.5 - 1e-9, k.height - 0.5 + 1e-9)
-    return F.coalesce(inside, F.lit(False))
+    inside = lambda p: p["u"].between(-0.5 - 1e-9, k.width - 0.5 + 1e-9) & p["v"].between(-0.5 - 1e-9, k.height - 0.5 + 1e-9)
+    return F.coalesce(bind(project(d, k), inside), F.lit(False))
 
 
 def unproject(u: Column, v: Column, k: Lens = Lens(), steps: int = 20) -> Column:
@@ -135,8 +143,8 @@ def scaled(k: Lens, s: float) -> Lens:
 def rotate(m: Column, a: Column, transposed: bool = False) -> Column:
     """Matrix (or its transpose) times vector."""
     e = lambda i, j: m[3 * j + i] if transposed else m[3 * i + j]
-    row = lambda i: e(i, 0) * a["x"] + e(i, 1) * a["y"] + e(i, 2) * a["z"]
-    return vec(row(0), row(1), row(2))
+    row = lambda v, i: e(i, 0) * v["x"] + e(i, 1) * v["y"] + e(i, 2) * v["z"]
+    return bind(a, lambda v: vec(row(v, 0), row(v, 1), row(v, 2)))
 
 
 def multiply(a: Column, b: Column) -> Column:
@@ -157,30 +165,34 @@ def determinant(m: Column) -> Column:
 
 def rotation_angle(m: Column) -> Column:
     """Radians that a rotation matrix turns by, from both its trace and its skew part."""
-    skew = vec(m[7] - m[5], m[2] - m[6], m[3] - m[1])
-    return F.atan2(norm(skew), trace(m) - 1.0)
+    return bind(m, lambda k: F.atan2(norm(vec(k[7] - k[5], k[2] - k[6], k[3] - k[1])), trace(k) - 1.0))
 
 
 def exp_so3(w: Column) -> Column:
     """The rotation matrix of a rotation vector."""
-    t = norm(w)
-    small = t < 1e-8
-    a = F.when(small, F.lit(1.0) - t * t / 6).otherwise(F.try_divide(F.sin(t), t))
-    b = F.when(small, F.lit(0.5) - t * t / 24).otherwise(F.try_divide(F.lit(1.0) - F.cos(t), t * t))
-    x, y, z = w["x"], w["y"], w["z"]
-    one = F.lit(1.0)
-    return F.array(
-        one - b * (y * y + z * z), b * x * y - a * z, b * x * z + a * y,
-        b * x * y + a * z, one - b * (x * x + z * z), b * y * z - a * x,
-        b * x * z - a * y, b * y * z + a * x, one - b * (x * x + y * y),
-    )
+
+    def of(v: Column, t: Column) -> Column:
+        small = t < 1e-8
+        a = F.when(small, F.lit(1.0) - t * t / 6).otherwise(F.try_divide(F.sin(t), t))
+        b = F.when(small, F.lit(0.5) - t * t / 24).otherwise(F.try_divide(F.lit(1.0) - F.cos(t), t * t))
+        return bind(F.struct(a.alias("a"), b.alias("b")), lambda k: filled(v["x"], v["y"], v["z"], k["a"], k["b"]))
+
+    def filled(x: Column, y: Column, z: Column, a: Column, b: Column) -> Column:
+        one = F.lit(1.0)
+        return F.array(
+            one - b * (y * y + z * z), b * x * y - a * z, b * x * z + a * y,
+            b * x * y + a * z, one - b * (x * x + z * z), b * y * z - a * x,
+            b * x * z - a * y, b * y * z + a * x, one - b * (x * x + y * y),
+        )
+
+    return bind(w, lambda v: bind(norm(v), lambda t: of(v, t)))
 
 
 def log_so3(m: Column) -> Column:
     """The rotation vector of a matrix that turns by less than pi."""
-    t = rotation_angle(m)
-    s = F.when(F.abs(t) < 1e-8, 0.5).otherwise(F.try_divide(t, F.sin(t) * 2))
-    return scale(vec(m[7] - m[5], m[2] - m[6], m[3] - m[1]), s)
+    factor = lambda t: F.when(F.abs(t) < 1e-8, 0.5).otherwise(F.try_divide(t, F.sin(t) * 2))
+    skew = lambda k: vec(k[7] - k[5], k[2] - k[6], k[3] - k[1])
+    return bind(m, lambda k: bind(bind(rotation_angle(k), factor), lambda s: scale(skew(k), s)))
 
 
 def quaternion(x: Column, y: Column, z: Column, w: Column | None = None) -> Column:
@@ -224,19 +236,21 @@ def matrix_of(q: Column) -> Column:
 
 def guidance(camera: Column) -> Column:
     """struct<yaw, pitch> in degrees towards a target given in camera coordinates."""
-    yaw = F.degrees(F.atan2(camera["x"], camera["z"]))
-    pitch = -F.degrees(F.atan2(camera["y"], F.hypot(camera["x"], camera["z"])))
-    return F.struct(yaw.alias("yaw"), pitch.alias("pitch"))
+    yaw = lambda c: F.degrees(F.atan2(c["x"], c["z"]))
+    pitch = lambda c: -F.degrees(F.atan2(c["y"], F.hypot(c["x"], c["z"])))
+    return bind(camera, lambda c: F.struct(yaw(c).alias("yaw"), pitch(c).alias("pitch")))
 
 
 def looking_at(yaw_deg: Column, pitch_deg: Column) -> Column:
     """Camera-to-world matrix: columns right, down, forward; near the poles, +z stands for up."""
-    f = from_angles(yaw_deg, pitch_deg)
-    up = F.when(F.abs(f["y"]) > 0.999, vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))).otherwise(vec(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
-    k = dot(up, f)
-    down = normalised(vec(f["x"] * k - up["x"], f["y"] * k - up["y"], f["z"] * k - up["z"]))
-    right = cross(down, f)
-    return F.array(*[v[a] for a in "xyz" for v in (right, down, f)])
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def of(f: Column) -> Column:
+        up = F.when(F.abs(f["y"]) > 0.999, vec(zero, zero, one)).otherwise(vec(zero, one, zero))
+        down = bind(up, lambda u: bind(dot(u, f), lambda k: normalised(vec(f["x"] * k - u["x"], f["y"] * k - u["y"], f["z"] * k - u["z"]))))
+        return bind(down, lambda d: bind(cross(d, f), lambda r: F.array(*[v[a] for a in "xyz" for v in (r, d, f)])))
+
+    return bind(from_angles(yaw_deg, pitch_deg), of)
 
 
 def still(x: Column, y: Column, z: Column, threshold: float) -> Column:
