@@ -15,7 +15,8 @@ import math
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,20 +33,22 @@ DOCS_PER_BLOCK = 512
 CACHE_ENTRIES = 600_000
 STRETCH = 1 << 20  #: characters that are split at once
 
-#: What the tokenizer's splitting takes for white space.
+#: What the tokenizer's splitting takes for white space, and Latin letters.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_L = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Parts of a text that begin and end where the tokenizer's splitting always breaks: Latin letters, ASCII marks or
+#: digits with the blank before them, if what follows can't belong to them (an apostrophe can); all but the last
+#: of several white spaces; else all up to the next white space.
+_PART = re.compile(
+    rf" ?[{_L}]++(?=[\x00-&(-\x7f]|\Z)| ?[!-&(-/:-@\[-`{{-~]++(?=[\x00-&(-\x7f{_L}]|\Z)| ?[0-9]++(?=[\x00-\x7f]|\Z)"
+    rf"|[{_WS}]++\Z|[{_WS}]+(?=[{_WS}])| ?[^{_WS}]+|[{_WS}]"
+)
 _BREAK = re.compile(f" (?=[^{_WS}])")
-_RUN = re.compile(f"([{_WS}]+)")
-#: Letters, then ASCII punctuation other than an apostrophe: always two parts to the tokenizer.
-_WORD_MARK = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]+)")
+_HAS_WS = re.compile(f"[{_WS}]")
 
 
 class Encoder:
-    """Ids of a byte-level BPE, from a cache of what stands between blanks.
-
-    The tokenizer's own splitting always breaks before a blank that precedes a visible character, and around
-    white space and marks within such a stretch as `_atoms` says, so encoding stretch by stretch gives the same ids.
-    """
+    """Ids of a byte-level BPE, part by part, from a cache of parts; the same ids as of the whole text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -53,68 +56,60 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.plain: dict[str, bytes] = {}
-        self.blank: dict[str, bytes] = {}  # by the text after a leading blank
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str], blank: bool) -> Iterator[tuple[str, bytes]]:
-        """Words without white space go by the thousand in one text, a line each; a line break is one id of its own."""
-        odd = [w for w in words if _RUN.search(w)]
-        yield from zip(odd, self._encode([" " + w for w in odd] if blank else odd), strict=True)
-        plain = [w for w in words if w and not _RUN.search(w)]
-        lead = " " if blank else ""
+    def _learn(self, parts: Iterable[str]) -> None:
+        """New parts go by the thousand in one text, a line each: a line break between them is one id of its own."""
+        known = self.known
+        if len(known) > CACHE_ENTRIES:
+            known = self.known = {}
+        new = [w for w in set(parts) if w not in known]
+        odd = [w for w in new if w == " " or _HAS_WS.search(w, w[0] == " ")]
+        known.update(zip(odd, self._encode(odd), strict=True))
+        plain = [w for w in new if w not in known]
         for k in range(0, len(plain), 1000):
             some = plain[k : k + 1000]
-            ids = self._encode([lead + ("\n" + lead).join(some)])[0]
-            ends = np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.line_break) * 4
-            for w, a, b in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True):
-                yield w, ids[a:b]
-
-    @staticmethod
-    def _atoms(word: str) -> list[tuple[bool, str]]:
-        """What a word after a blank is made of: (whether the blank precedes it, text) of each part."""
-        bits = _RUN.split(word)
-        if len(bits) > 1 and not bits[0]:  # the blank belongs to a run
-            return [(True, word)]
-        out = []
-        for k, x in enumerate(bits):
-            if k % 2 and bits[k + 1] and len(x) > 1:
-                out += [(False, x[:-1]), (False, x[-1])]
-            elif m := None if k % 2 else _WORD_MARK.fullmatch(x):
-                out += [(k == 0, m[1]), (False, m[2])]
-            elif x:
-                out.append((k == 0, x))
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.blank) + len(self.plain) > CACHE_ENTRIES:
-            self.plain.clear()
-            self.blank.clear()
-        new = [(w, self._atoms(w)) for w in {w for w in words if w not in self.blank}]
-        for known, blank in ((self.blank, True), (self.plain, False)):
-            need = list({x for _, atoms in new for b, x in atoms if b == blank and x not in known})
-            known.update(self._encode_words(need, blank))
-        for w, atoms in new:
-            if len(atoms) > 1:
-                self.blank[w] = b"".join([(self.blank if b else self.plain)[x] for b, x in atoms])
+            ids = self._encode(["\n".join(some)])[0]
+            ends = (np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.line_break) * 4).tolist()
+            known.update((w, ids[a:b]) for w, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(ids)], strict=True))
+
+    def each(self, texts: Iterable[str]) -> Iterator[Iterable[bytes]]:
+        """The ids of each text in turn, in runs; what texts of about a stretch in all have new is learnt at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= STRETCH:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> Iterator[Iterable[bytes]]:
+        split = [None if len(t) > STRETCH or any(x in t for x in self.added) else _PART.findall(t) for t in texts]
+        self._learn(set().union(*(s for s in split if s is not None)))
+        known = self.known  # stays whole while a long text among them is learnt
+        for text, parts in zip(texts, split, strict=True):
+            yield self.stretches(text) if parts is None else (b"".join(map(known.__getitem__, parts)),)
 
     def stretches(self, text: str) -> Iterator[bytes]:
         """The ids, little-endian unsigned 32-bit, in runs."""
+        if any(t in text for t in self.added):
+            yield self._encode([text])[0]
+            return
         at = 0
         while at < len(text):
             cut = _BREAK.search(text, at + STRETCH) if len(text) - at > STRETCH else None
             until = cut.start() if cut else len(text)
-            words = _BREAK.split(text[at:until])
-            first, words = words[0], words[1:]
-            if first:
-                yield self._encode([first])[0]
+            parts = _PART.findall(text[at:until] if cut or at else text)
             try:
-                yield b"".join(map(self.blank.__getitem__, words))
+                yield b"".join(map(self.known.__getitem__, parts))
             except KeyError:
-                self._learn(words)
-                yield b"".join(map(self.blank.__getitem__, words))
+                self._learn(parts)
+                yield b"".join(map(self.known.__getitem__, parts))
             at = until
 
 
@@ -190,8 +185,8 @@ def _tokenize(path: str, end_id: int, window: int, piece: int) -> Callable[[Iter
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                got, total = pieces_of(_then(encoder.stretches(text), end), window, piece)
+            for doc_id, runs in zip(batch["doc_id"], encoder.each(batch["text"]), strict=True):
+                got, total = pieces_of(chain(runs, (end,)), window, piece)
                 out += [(doc_id, s, n, crc, total, part, row) for s, n, crc in got]
                 row += 1
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "row"]).astype({"doc_id": "Int64"})
@@ -199,11 +194,6 @@ def _tokenize(path: str, end_id: int, window: int, piece: int) -> Callable[[Iter
     return run
 
 
-def _then(runs: Iterator[bytes], end: bytes) -> Iterator[bytes]:
-    yield from runs
-    yield end
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
