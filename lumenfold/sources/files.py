@@ -64,7 +64,7 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
 
     A journal is one folder's, some thousands of lines. A torn last line is left out; a pose needs nine numbers.
     """
-    text = spark.read.option("wholetext", True).text(f"{folder}/journal.jsonl")
+    text = spark.read.text(f"{folder}/journal.jsonl", wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"), F.size(F.split("value", "\n", -1)).alias("n")).where("pos < n - 1 and line <> ''")
     records = lines.select("pos", F.from_json("line", JOURNAL + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("pos", "r.*").where("_bad is null and file is not null").drop("_bad")
     records = records.withColumn("pose", F.when(F.size("pose") == 9, F.col("pose")))
