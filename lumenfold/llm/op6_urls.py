@@ -85,8 +85,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     """pages: page_id, url; labels: page_number, bad (0/1), where a url's last number names the labelled page.
 
     One row per row, repeats included: page_id, host, path, rule, verdict, template. A null url or one without
-    "://" has empty host and path, which no rule fits; urls without labels count as the overall share, and so
-    does an empty labels table; an empty pages table gives none. A host with a third of all pages is
+    "://" has empty host and path, which no rule fits; templates without any label are allowed, and so are
+    all with an empty labels table; an empty pages table gives none. A host with a third of all pages is
     pre-aggregated to its shapes; only the final join meets pages, on (host, shape), large side split by Spark.
     """
     at = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -106,14 +106,14 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     tree = templates(counted)
     overall = tree.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = (overall[1] or 0) / overall[0] if overall[0] else 0.0
-    purity = tree.groupBy("template").agg(((F.sum("bad") + PRIOR * prior) / (F.sum("labelled") + PRIOR)).alias("bad_share"))
+    purity = tree.groupBy("template").agg(((F.sum("bad") + PRIOR * prior) / (F.sum("labelled") + PRIOR)).alias("bad_share"), (F.sum("labelled") > 0).alias("known"))
     verdicts = tree.select("host", "shape", "template").join(purity, "template").withColumnRenamed("host", "h").withColumnRenamed("shape", "s")
     return at.join(verdicts, (F.col("host") == F.col("h")) & (F.col("shape") == F.col("s")), "left").select(
         "page_id",
         "host",
         "path",
         F.col("r.rule").alias("rule"),
-        F.coalesce("r.verdict", F.when(F.col("bad_share") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce("r.verdict", F.when(F.col("known") & (F.col("bad_share") >= REJECT), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "template",
         F.round("bad_share", 9).alias("bad_share"),
     )
