@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exposure, scene
+from . import devices, exposure, scene
 
-MODULES = (exposure, scene)
+MODULES = (exposure, scene, devices)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

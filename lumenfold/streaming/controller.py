@@ -82,7 +82,7 @@ def advance(c: Capture, e: dict) -> Capture:
             c.bursts += 1
             c.burst, c.target, c.began, c.got = c.bursts, e["target"], now, []
     elif kind == "frame":
-        if e.get("burst_id") != c.burst:
+        if not c.burst or e.get("burst_id") != c.burst:
             return c  # a straggler of a burst that is over
         c.any_frame = True
         if not e.get("stored", True):
@@ -94,7 +94,7 @@ def advance(c: Capture, e: dict) -> Capture:
         if e["bracket"] not in c.got:
             c.got.append(e["bracket"])
             c.stored += 1
-    elif kind == "burst_finished" and e.get("burst_id") == c.burst:
+    elif kind == "burst_finished" and c.burst and e.get("burst_id") == c.burst:
         _settle(c, len(c.got) >= c.targets[c.target])
         c.free_at = now + LOCKOUT_NS
     elif kind == "busy" and c.burst:
