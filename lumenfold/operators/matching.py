@@ -114,10 +114,12 @@ def latest(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return records.withColumn("n_", F.row_number().over(last)).where("n_ = 1").drop("n_")
 
 
-def dedupe_lenses(lenses: DataFrame) -> DataFrame:
-    """Without physical lenses whose logical twin has the same side and sensor and a focal length within 0.05 mm."""
-    logical = lenses.where("not physical").select(F.col("front").alias("f_"), F.col("sensor").alias("s_"), F.col("focal").alias("m_"))
+def dedupe_lenses(lenses: DataFrame, by: list[str]) -> DataFrame:
+    """Without physical lenses whose logical twin has the same device, side and sensor and a focal length within 0.05 mm."""
+    logical = lenses.where("not physical").select(*[F.col(k).alias(f"k_{k}") for k in by], F.col("front").alias("f_"), F.col("sensor").alias("s_"), F.col("focal").alias("m_"))
     twin = F.col("physical") & (F.col("front") == F.col("f_")) & (F.col("sensor") == F.col("s_")) & (F.abs(F.col("focal") - F.col("m_")) <= 0.05)
+    for k in by:
+        twin = twin & (F.col(k) == F.col(f"k_{k}"))
     return lenses.join(logical, twin, "left_anti")
 
 

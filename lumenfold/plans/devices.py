@@ -44,11 +44,11 @@ def default_lens(spark, sf):
     return lenses(spark, sf).groupBy("device").agg(F.min_by("id", rank).alias("id"))
 
 
-SIZES = "s AS (SELECT l_suppkey AS device, CAST(l_quantity AS INT) * 80 AS w, CAST(l_quantity AS INT) * 80 * (CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 2 END) // 4 AS h FROM lineitem WHERE l_quantity <= 40)"
+SIZES = "s AS (SELECT l_suppkey AS device, CAST(l_quantity AS INT) * 80 AS w, CAST(l_quantity AS INT) * 80 * (CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 2 END) // 4 AS h FROM lineitem)"
 
 
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem", "l_suppkey", "l_quantity", "l_linenumber").where("l_quantity <= 40")
+    li = read(spark, sf, "lineitem", "l_suppkey", "l_quantity", "l_linenumber")
     w = F.col("l_quantity").cast("int") * 80
     return li.select(F.col("l_suppkey").alias("device"), w.alias("w"), F.floor(w * F.when(F.col("l_linenumber") % 2 == 0, 3).otherwise(2) / 4).cast("int").alias("h"))
 

@@ -79,19 +79,18 @@ def unproject_round_trip(spark, sf):
     return p.withColumn("p", g.project(F.col("d"), LENS)).select("i", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
 
 
-PLACES = """(SELECT s_suppkey AS id, (s_suppkey * 37) % 360 - 180.0 AS yaw, (s_suppkey * 23) % 160 - 80.0 AS pitch FROM supplier)"""
+PLACES = """(SELECT n_nationkey AS id, (n_nationkey * 37) % 360 - 180.0 AS yaw, (n_nationkey * 23) % 160 - 80.0 AS pitch FROM nation)"""
 POSES = """(SELECT c_custkey AS id, (c_custkey * 41) % 360 - 180.0 AS yaw, (c_custkey * 29) % 170 - 85.0 AS pitch FROM customer)"""
 DIR = "-sin(radians(yaw)) * cos(radians(pitch)) AS x, sin(radians(pitch)) AS y, cos(radians(yaw)) * cos(radians(pitch)) AS z"
-TARGETS = f"t AS (SELECT id AS target, {DIR} FROM {PLACES} WHERE id <= 40), p AS (SELECT id AS pose, {DIR} FROM {POSES})"
+TARGETS = f"t AS (SELECT id AS target, {DIR} FROM {PLACES}), p AS (SELECT id AS pose, {DIR} FROM {POSES})"
 ANGLE = "atan2(sqrt(power({a}.y * {b}.z - {a}.z * {b}.y, 2) + power({a}.z * {b}.x - {a}.x * {b}.z, 2) + power({a}.x * {b}.y - {a}.y * {b}.x, 2)), {a}.x * {b}.x + {a}.y * {b}.y + {a}.z * {b}.z)"
 PT = ANGLE.format(a="p", b="t")
 
 
 def targets(spark: SparkSession, sf: str) -> DataFrame:
-    """A capture plan of the first forty suppliers, a fixed list of directions."""
-    s = read(spark, sf, "supplier", "s_suppkey").where("s_suppkey <= 40")
-    k = F.col("s_suppkey")
-    return s.select(k.alias("target"), g.from_angles((k * 37) % 360 - 180.0, (k * 23) % 160 - 80.0).alias("direction"))
+    """A capture plan, a direction for each of the 25 nations."""
+    k = F.col("n_nationkey")
+    return read(spark, sf, "nation", "n_nationkey").select(k.alias("target"), g.from_angles((k * 37) % 360 - 180.0, (k * 23) % 160 - 80.0).alias("direction"))
 
 
 def poses(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,11 +118,13 @@ def neighbour_count(spark, sf):
     return matching.neighbours(targets(spark, sf), 0.5)
 
 
-@query(f"""WITH {TARGETS}, f AS (SELECT target - 1 AS frame, target % 7 = 0 AS unknown, x, y, z FROM t)
-SELECT a.frame AS a, b.frame AS b, CAST(a.frame * (79 - a.frame) // 2 + b.frame - a.frame - 1 AS BIGINT) AS pair FROM f a JOIN f b ON a.frame < b.frame AND (a.unknown OR b.unknown OR {ANGLE.format(a='a', b='b')} <= 0.9)""")
+@query(f"""WITH f AS (SELECT id AS frame, id % 7 = 0 AS unknown, {DIR} FROM (SELECT s_suppkey - 1 AS id, (s_suppkey * 37) % 360 - 180.0 AS yaw, (s_suppkey * 23) % 160 - 80.0 AS pitch FROM supplier)), n AS (SELECT count(*) AS n FROM f)
+SELECT a.frame AS a, b.frame AS b, CAST(a.frame * (2 * n - 1 - a.frame) // 2 + b.frame - a.frame - 1 AS BIGINT) AS pair FROM n, f a JOIN f b ON a.frame < b.frame AND (a.unknown OR b.unknown OR {ANGLE.format(a='a', b='b')} <= 0.9)""")
 def pair_overlap_join(spark, sf):
-    f = targets(spark, sf).select((F.col("target") - 1).alias("frame"), F.when(F.col("target") % 7 != 0, F.col("direction")).alias("direction"))
-    return matching.overlap_pairs(f, 40, 0.8, 0.1)
+    k = F.col("s_suppkey")
+    s = read(spark, sf, "supplier", "s_suppkey")
+    f = s.select((k - 1).alias("frame"), F.when((k - 1) % 7 != 0, g.from_angles((k * 37) % 360 - 180.0, (k * 23) % 160 - 80.0)).alias("direction"))
+    return matching.overlap_pairs(f, s.count(), 0.8, 0.1)
 
 
 @query(f"""WITH {TARGETS}, r AS (SELECT *, cos(0.5) AS c, sin(0.5) AS s FROM t)
@@ -211,18 +212,18 @@ def hamming_cross_check(spark, sf):
     return matched(spark, sf, True)
 
 
-POINTS = "SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS side, min((l_partkey * 37) % 4000 / 4.0) AS x, min((l_extendedprice * 100)::BIGINT % 4000 / 4.0) AS y FROM lineitem GROUP BY 1, 2"
+POINTS = "SELECT l_orderkey * 8 + l_linenumber AS id, l_returnflag = 'N' AS side, min((l_partkey * 3779 + l_orderkey) % 40000 / 4.0) AS x, min((l_suppkey * 7919 + l_orderkey * 31) % 40000 / 4.0) AS y FROM lineitem GROUP BY 1, 2"
 
 
-@query(f"""WITH p AS ({POINTS}), m AS (SELECT a.id AS a, b.id AS b, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS d2 FROM p a, p b
-  WHERE a.side = 1 AND b.side = 2 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 64 * 64),
+@query(f"""WITH p AS ({POINTS}), m AS (SELECT a.id AS a, b.id AS b, power(a.x - b.x, 2) + power(a.y - b.y, 2) AS d2 FROM p a JOIN p b ON a.x BETWEEN b.x - 16 AND b.x + 16 AND a.y BETWEEN b.y - 16 AND b.y + 16
+  WHERE NOT a.side AND b.side AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 16 * 16),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d2, a) AS rb FROM m)
 SELECT a, b, d2 FROM k WHERE ra = 1 AND rb = 1""")
 def grid_range_knn(spark, sf):
-    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").where("l_suppkey in (1, 2)")
-    x, y = (F.col("l_partkey") * 37) % 4000 / 4.0, F.round(F.col("l_extendedprice") * 100).cast("long") % 4000 / 4.0
-    p = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("side")).agg(F.min(x).alias("x"), F.min(y).alias("y"))
-    return matching.one_to_one(matching.near_pairs(p.where("side = 1"), p.where("side = 2"), 64.0))
+    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
+    x, y = (F.col("l_partkey") * 3779 + F.col("l_orderkey")) % 40000 / 4.0, (F.col("l_suppkey") * 7919 + F.col("l_orderkey") * 31) % 40000 / 4.0
+    p = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "N").alias("side")).agg(F.min(x).alias("x"), F.min(y).alias("y"))
+    return matching.one_to_one(matching.near_pairs(p.where("not side"), p.where("side"), 16.0))
 
 
 @query("""WITH plan AS (SELECT o_orderkey, unnest(range(1, CAST(2 + o_orderkey % 2 AS INT) + 1)) AS rung FROM orders),
@@ -252,28 +253,29 @@ def pair_by_timestamp(spark, sf):
     return pair(images.select("stamp", F.col("event_id").alias("image")), metas.select("stamp", F.col("event_id").alias("meta")))
 
 
-LENSES = "SELECT p_partkey AS id, p_size % 2 = 0 AS front, p_size // 10 AS sensor, (p_partkey * 7) % 400 / 100.0 AS focal, p_partkey % 3 = 0 AS physical FROM part WHERE p_partkey <= 400"
+LENSES = "SELECT p_partkey // 40 AS device, p_partkey AS id, p_size % 2 = 0 AS front, p_size // 10 AS sensor, (p_partkey * 7) % 40 / 100.0 AS focal, p_partkey % 3 = 0 AS physical FROM part"
 
 
-@query(f"WITH l AS ({LENSES}) SELECT id FROM l a WHERE NOT (physical AND EXISTS (SELECT 1 FROM l b WHERE NOT b.physical AND a.front = b.front AND a.sensor = b.sensor AND abs(a.focal - b.focal) <= 0.05))")
+@query(f"WITH l AS ({LENSES}) SELECT id FROM l a WHERE NOT (physical AND EXISTS (SELECT 1 FROM l b WHERE NOT b.physical AND a.device = b.device AND a.front = b.front AND a.sensor = b.sensor AND abs(a.focal - b.focal) <= 0.05))")
 def lens_dedup(spark, sf):
-    """A device's catalogue, the first 400 parts standing for its lenses."""
-    p = read(spark, sf, "part", "p_partkey", "p_size").where("p_partkey <= 400")
+    """Devices of forty parts, which stand for lenses."""
+    p = read(spark, sf, "part", "p_partkey", "p_size")
     k = F.col("p_partkey")
-    lenses = p.select(k.alias("id"), (F.col("p_size") % 2 == 0).alias("front"), F.floor(F.col("p_size") / 10).alias("sensor"), ((k * 7) % 400 / 100.0).alias("focal"), (k % 3 == 0).alias("physical"))
-    return matching.dedupe_lenses(lenses).select("id")
+    lenses = p.select(F.floor(k / 40).alias("device"), k.alias("id"), (F.col("p_size") % 2 == 0).alias("front"), F.floor(F.col("p_size") / 10).alias("sensor"), ((k * 7) % 40 / 100.0).alias("focal"), (k % 3 == 0).alias("physical"))
+    return matching.dedupe_lenses(lenses, ["device"]).select("id")
 
 
 # --- graphs and solves ----------------------------------------------------------------------------------
 
-EDGES = "SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1"
+EDGES = "SELECT o_orderkey AS a, o_orderkey - CASE WHEN (o_orderkey * 7) % 10 < 8 THEN 1 ELSE 0 END AS b FROM orders"
 CC = f"""WITH RECURSIVE e AS ({EDGES}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS id FROM u),
 reach AS (SELECT id, id AS c FROM n UNION SELECT u.b, reach.c FROM reach JOIN u ON u.a = reach.id), l AS (SELECT id, min(c) AS component FROM reach GROUP BY id) """
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber").where("l_quantity >= 49 and l_linenumber = 1")
-    e = li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    """Every order is a node, most are tied to the one before."""
+    k = F.col("o_orderkey")
+    e = read(spark, sf, "orders", "o_orderkey").select(k.alias("a"), (k - F.when((k * 7) % 10 < 8, 1).otherwise(0)).alias("b"))
     nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return graph.components(nodes, e)
 
