@@ -3,8 +3,9 @@
 A text is the sequence of its 5-word shingles, each labelled with its occurrence number, so that all differ.
 Each of BANDS hash functions samples the SAMPLE least of them and keeps these in text order: texts share such
 a sample with the probability that all of it lies in both and in the same order. Texts that share one are
-compared with one of their bucket; where that leaves a bucket in several groups, all its pairs from
-different groups are compared. Similarity: shingles on the best common alignment over all shingles of both.
+compared with one of their bucket; where that leaves a bucket in several groups, all texts outside the largest
+meet all others, block by block: exact shingle counts in common rule most pairs out, joined groups the rest,
+and a task returns only the links that join groups. Similarity: shingles on the best common alignment over all shingles of both.
 An alignment of the least similarity cannot leave a diagonal band, and only the band is searched.
 """
 
@@ -19,6 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut, table
 from .graph import components
@@ -29,6 +31,8 @@ BANDS, SAMPLE = 32, 8  #: at 0.8, (1 - 0.8**8)**32 = 0.3 % of pairs share no sam
 BROADCAST_ROWS = 1_000_000  #: ids of 24 bytes that are broadcast at most; more are joined by shuffle
 CACHE_ENTRIES = 400_000
 CHUNK = 8192
+BLOCK = 512  #: texts of a side of a block
+COLUMNS = 4096  #: shingles that a block counts at once
 
 _rng = np.random.default_rng(5)
 _FACTOR = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
@@ -151,6 +155,39 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[hit, ["a", "b"]]
 
 
+def common(seqs: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of these texts share; those of one text alone are left out first."""
+    owner = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
+    every, column, count = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    use = count[column] > 1
+    owner, column = owner[use], shared[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(seqs), len(seqs)), dtype=np.float32)
+    for at in range(0, int(shared[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        has = np.zeros((len(seqs), COLUMNS), dtype=np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def _join_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between texts of different groups that join these; groups that were joined before need no more."""
+    pdf = pdf.sort_values("fp", ignore_index=True)
+    seqs = pdf["seq"].tolist()
+    group = np.unique(pdf["root"], return_inverse=True)[1]
+    n = np.array([len(x) for x in seqs])
+    i, j = np.nonzero(np.triu(common(seqs), 1) * (1 + SIMILARITY) >= SIMILARITY * (n[:, None] + n[None, :]) - 1e-3)
+    out = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if group[a] != group[b] and similarity(seqs[a], seqs[b]) >= SIMILARITY:
+            out.append((pdf["fp"][a], pdf["fp"][b]))
+            group[group == group[b]] = group[a]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -171,6 +208,24 @@ def _sequences_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
     return cut(texts.join(_few(chosen), "doc_id").mapInPandas(_sequences, "fp binary, seq array<int>").dropDuplicates(["fp"]), "sequences")
 
 
+def _crossing(at: DataFrame, seqs: DataFrame) -> DataFrame:
+    """at: key, fp, root, main, all, most: texts of buckets in several groups -> links that join groups.
+
+    Texts outside a bucket's main group form blocks, and so do those in it; a task holds two blocks, of which
+    one is outside, so the main group never meets itself.
+    """
+    outside = F.col("root") != F.col("main")
+    blocks = at.withColumns({"no": F.ceil((F.col("all") - F.col("most")) / BLOCK), "nm": F.ceil(F.col("most") / BLOCK)})
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(outside, F.col("no")).otherwise(F.col("nm"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    with_main = F.transform(upto("nm"), lambda k: pair(F.col("own"), -1 - k))
+    with_others = F.transform(F.filter(upto("no"), lambda k: k != F.col("own")), lambda k: pair(F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    tasks = F.when(outside, F.concat(with_main, with_others)).otherwise(F.transform(upto("no"), lambda k: pair(k, -1 - F.col("own"))))
+    dealt = blocks.select("key", "fp", "root", F.explode(tasks).alias("t"))
+    return dealt.join(seqs, "fp").groupBy("key", "t.i", "t.j").applyInPandas(_join_groups, "a binary, b binary")
+
+
 def mark(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text -> doc_id, row, fp, class_id, group_id, kept, one row per row.
 
@@ -191,12 +246,10 @@ def mark(docs: DataFrame) -> DataFrame:
     roots = components(links)
 
     at = entries.select("key", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    at = cut(at.join(mixed, "key", "left_semi"), "mixed")
-    other = at.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    crossing = at.join(other, "key").where((F.col("fp") < F.col("b")) & (F.col("root") != F.col("rb")) & (F.least("n", "nb") >= SIMILARITY * F.greatest("n", "nb")))
-    crossing = cut(crossing.select(F.col("fp").alias("a"), "b").distinct(), "crossing")
-    more = cut(_links(crossing, _sequences_of(texts, classes, crossing)), "links")
+    groups = at.groupBy("key", "root").count()
+    mixed = groups.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("most < all")
+    at = cut(at.join(mixed, "key"), "mixed")
+    more = cut(_crossing(at, _sequences_of(texts, classes, at.select(F.col("fp").alias("a"), F.col("fp").alias("b")))), "links")
     roots = components(links.unionByName(more))
 
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -225,7 +278,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
     plain = docs.join(repeated, "doc_id", "left_anti").join(_few(gone), "doc_id", "left_anti")
     keep = marks.where("kept").select(F.col("doc_id").alias("k"), F.col("fp").alias("f")).distinct()
-    kind = docs.schema.add("fp_", "binary")
+    kind = StructType([*docs.schema.fields, StructField("fp_", BinaryType())])
     again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).mapInPandas(_fingerprints(docs.columns), kind)
     again = again.join(keep, (F.col("doc_id") == F.col("k")) & (F.col("fp_") == F.col("f")), "left_semi").dropDuplicates(["doc_id", "fp_"])
     return plain.select(docs.columns).unionByName(again.select(docs.columns))
