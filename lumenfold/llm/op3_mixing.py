@@ -120,9 +120,9 @@ def allot(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     return done.withColumn("total", F.col("base") + F.col("part").cast("long")).drop("base", "part", "index", "block")
 
 
-def _share(i: Column) -> Column:
+def _share(i: Column, rows: str = "rows", total: str = "total") -> Column:
     """The copies of the i-th of `rows` rows alike, from 1: as even as whole numbers can be."""
-    return (F.floor(F.col("total") / F.col("rows")) + F.when(i <= F.col("total") % F.col("rows"), 1).otherwise(0)).cast("long")
+    return (F.floor(F.col(total) / F.col(rows)) + F.when(i <= F.col(total) % F.col(rows), 1).otherwise(0)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
@@ -132,17 +132,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
 
 
 def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """The documents, all columns, each as often as the mix copies it; 0 times leaves it out."""
-    sized = docs.withColumn("size_", words_in(F.col("text")))
-    plan = allot(sized.select("doc_id", "source", F.col("size_").alias("size")), weights, most, seed)
-    plan = plan.where("total > 0").select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), "rows", "total")
-    same = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("z_"))
+    """The documents, all columns, each as often as the mix copies it; 0 times leaves it out.
+
+    Columns may have any names but those that begin with "mix_".
+    """
+    sized = docs.withColumn("mix_size", words_in(F.col("text")))
+    plan = allot(sized.select("doc_id", "source", F.col("mix_size").alias("size")), weights, most, seed).where("total > 0")
+    plan = plan.select(*[F.col(a).alias(f"mix_{b}") for a, b in (("doc_id", "id"), ("source", "source"), ("size", "words"), ("rows", "rows"), ("total", "total"))])
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_size") == F.col("mix_words"))
     met = sized.join(plan, same)
     alike = F.lit(1)
-    if plan.where("rows > 1").limit(1).count():
-        alike = F.row_number().over(Window.partitionBy("doc_id", "source", "size_").orderBy("text"))
-    copied = met.withColumn("copies_", _share(alike)).where("copies_ > 0")
-    return copied.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(docs.columns)
+    if plan.where("mix_rows > 1").limit(1).count():
+        alike = F.row_number().over(Window.partitionBy("doc_id", "source", "mix_size").orderBy("text"))
+    copied = met.withColumn("mix_copies", _share(alike, "mix_rows", "mix_total")).where("mix_copies > 0")
+    return copied.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

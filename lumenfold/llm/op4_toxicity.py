@@ -133,8 +133,9 @@ def sample(labels: DataFrame) -> tuple[DataFrame, float]:
     return picked, math.log(pos / neg) - math.log(min(pos, MOST_POSITIVE) / min(neg, MOST_NEGATIVE))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs: doc_id, text; labels: doc_id, toxic, only those that may be learnt from -> docs with a score.
+def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """docs: doc_id, text; labels: doc_id, toxic, only those that may be learnt from -> docs with a score,
+    as a column of this name; one that was there is replaced.
 
     One row per row; null text counts as empty, and empty texts get the bias. Without labels all scores are
     one half; an empty table gives none. The sample is joined by broadcast: its size is bounded above.
@@ -144,7 +145,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = train(texts.join(F.broadcast(picked), "doc_id"))
     bias = weights.pop(1 << BITS, 0.0) + shift
     shared = docs.sparkSession.sparkContext.broadcast((np.array(list(weights), dtype=np.int64), np.array(list(weights.values()), dtype=float)))
-    return docs.withColumn("score", F.pandas_udf(_scorer(shared, bias), "double")(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, F.pandas_udf(_scorer(shared, bias), "double")(F.coalesce("text", F.lit(""))))
 
 
 def held_out() -> Column:

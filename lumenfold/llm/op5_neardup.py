@@ -264,23 +264,26 @@ def mark(docs: DataFrame) -> DataFrame:
 def _fingerprints(columns: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(fp_=[_fingerprint((t or "").lower().split()) for t in batch["text"]])[[*columns, "fp_"]]
+            yield batch.assign(dedup_fp=[_fingerprint((t or "").lower().split()) for t in batch["text"]])[[*columns, "dedup_fp"]]
 
     return run
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one of each group stays; those with a null doc_id stay."""
+    """The documents, all columns, of which one of each group stays; those with a null doc_id stay.
+
+    Columns may have any names but those that begin with "dedup_".
+    """
     marks = cut(mark(docs), "marks")
     repeated = marks.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     gone = marks.where("not kept").select("doc_id").where("doc_id is not null").distinct()
     if not repeated.limit(1).count():
         return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
     plain = docs.join(repeated, "doc_id", "left_anti").join(_few(gone), "doc_id", "left_anti")
-    keep = marks.where("kept").select(F.col("doc_id").alias("k"), F.col("fp").alias("f")).distinct()
-    kind = StructType([*docs.schema.fields, StructField("fp_", BinaryType())])
+    keep = marks.where("kept").select(F.col("doc_id").alias("dedup_id"), F.col("fp").alias("dedup_kept")).distinct()
+    kind = StructType([*docs.schema.fields, StructField("dedup_fp", BinaryType())])
     again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).mapInPandas(_fingerprints(docs.columns), kind)
-    again = again.join(keep, (F.col("doc_id") == F.col("k")) & (F.col("fp_") == F.col("f")), "left_semi").dropDuplicates(["doc_id", "fp_"])
+    again = again.join(keep, (F.col("doc_id") == F.col("dedup_id")) & (F.col("dedup_fp") == F.col("dedup_kept")), "left_semi").dropDuplicates(["doc_id", "dedup_fp"])
     return plain.select(docs.columns).unionByName(again.select(docs.columns))
 
 

@@ -67,7 +67,8 @@ def _at_least(rule: Rule) -> str:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(paths, entries): findings of every version, and the new ledger entries to append.
 
-    versions: path, text and whatever else; one row out per row in, with blob and findings added. ledger:
+    versions: path, text and whatever else; one row out per row in, with blob and findings added, or replaced
+    where columns of these names were there. ledger:
     blob, rule_version, findings. Null text counts as empty; repeated rows and copies share a blob and stay.
     An empty table gives none. The text of each unseen blob moves once, for the path elected to stand for
     it; a blob with a third of all paths meets one ledger row, a join whose large side Spark splits.

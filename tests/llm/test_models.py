@@ -219,3 +219,16 @@ def test_pipeline_stages(spark, sf):
     assert b.groupBy("doc_id").count().where("count > 3").count() == 0
     a, b = seen["packing"]
     assert b.selectExpr("sum(length)").first()[0] >= a.count() and b.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+
+
+def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = "blob findings hit others score rows total k f size fp copies row kept"
+    rows = [(i, t, "en", s, None if t is None else len(t), *["own"] * 14) for i, t, s in [*ODD, (8, "password=hunter22 " + BASE[2], "a")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names.split()))
+    spark.createDataFrame([(5, 0), (6, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in p.STAGES[:-1]:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path))
+            assert out.columns == docs.columns and {r[n] for r in out.collect() for n in names.split()} <= {"own"}, name
