@@ -15,7 +15,7 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the cut go; the model never learns from held-out labels."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~op4_toxicity.held_out())
-    return op4_toxicity.score(docs, labels).where(F.col("score") < op4_toxicity.CUT).select(docs.columns)
+    return op4_toxicity.score(docs, labels, "toxicity_score").where(F.col("toxicity_score") < op4_toxicity.CUT).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, its secrets replaced; n_chars is counted anew where that changed the text."""
-    paths, _ = op8_secrets.scan(docs)
-    found = F.size("findings") > 0
-    clean = paths.withColumns({"text": op8_secrets.redact(F.col("text"), F.col("findings")), "hit_": found})
-    return clean.withColumn("n_chars", F.when(F.col("hit_"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("others")  # whatever they are called
+    paths, _ = op8_secrets.scan(docs.select("text", others))
+    clean = paths.select("others", (F.size("findings") > 0).alias("hit"), op8_secrets.redact(F.col("text"), F.col("findings")).alias("text"))
+    counted = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
+    own = {"text": F.col("text"), "n_chars": counted}
+    return clean.select(*[own.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
