@@ -23,7 +23,7 @@ BITS = 20  #: log2 of the number of coordinates, so at most 2**20 weights of 12
 MOST_POSITIVE, MOST_NEGATIVE = 6000, 9000  #: labelled rows to learn from, those of smallest hash
 ALPHA, BETA, L1, L2, EPOCHS = 5.0, 1.0, 6.0, 0.01, 10
 CUT = 0.7  #: least score that predicts 1
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CHUNK = 1 << 18  #: words that are hashed at once
 
 _WORD = re.compile(r"\w+")

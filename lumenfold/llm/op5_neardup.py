@@ -29,7 +29,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, SAMPLE = 32, 8  #: at 0.8, (1 - 0.8**8)**32 = 0.3 % of pairs share no sample
 BROADCAST_ROWS = 1_000_000  #: ids of 24 bytes that are broadcast at most; more are joined by shuffle
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CHUNK = 8192
 BLOCK = 512  #: texts of a side of a block
 COLUMNS = 4096  #: shingles that a block counts at once
