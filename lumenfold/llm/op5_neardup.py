@@ -2,7 +2,9 @@
 
 A text is the sequence of its 5-word shingles, each labelled with its occurrence number, so that all differ.
 Each of BANDS hash functions samples the SAMPLE least of them and keeps these in text order: texts share such
-a sample with the probability that all of it lies in both and in the same order. Texts that share one are
+a sample with the probability that all of it lies in both and in the same order. Texts of at most SHORT shingles,
+of which a sample would be nearly all, are found for certain: two sets of the least similarity must share one of
+their rarest, as many as one may lack of the other and one more. Texts that share a sample or such a shingle are
 compared with one of their bucket; where that leaves a bucket in several groups, all texts outside the largest
 meet all others, block by block: exact shingle counts in common rule most pairs out, joined groups the rest,
 and a task returns only the links that join groups. Similarity: shingles on the best common alignment over all shingles of both.
@@ -27,7 +29,9 @@ from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, SAMPLE = 32, 8  #: at 0.8, (1 - 0.8**8)**32 = 0.3 % of pairs share no sample
+BANDS, SAMPLE = 32, 8  #: at 0.8, (1 - 0.8**8)**32 = 0.3 % of pairs of long texts share no sample, 0.5 % of 64 and 80 shingles
+SHORT = 64  #: pairs of which one has at most so many shingles are found for certain
+LONGEST = int(SHORT / SIMILARITY + 1e-6)  #: what a short text can link with has no more
 BROADCAST_ROWS = 1_000_000  #: ids of 24 bytes that are broadcast at most; more are joined by shuffle
 CACHE_ENTRIES = 200_000
 CHUNK = 8192
@@ -134,9 +138,11 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             words = text.lower().split()
             s = shingles(words)
-            out.append((doc_id, part << 40 | row, _fingerprint(words), len(s), sketch(s)))
+            bands = sketch(s) if len(s) > SHORT else []
+            every = s.astype(np.int64).tolist() if len(s) <= LONGEST else []
+            out.append((doc_id, part << 40 | row, _fingerprint(words), len(s), bands, every))
             row += 1
-        yield pd.DataFrame(out, columns=["doc_id", "row", "fp", "n", "bands"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "row", "fp", "n", "bands", "every"]).astype({"doc_id": "Int64"})
 
 
 def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,6 +208,21 @@ def _links(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     return with_a.join(seqs.select(F.col("fp").alias("b"), F.col("seq").alias("sb")), "b").select("a", "b", "sa", "sb").mapInPandas(_verify, "a binary, b binary")
 
 
+def _rarest(classes: DataFrame) -> DataFrame:
+    """fp, n, key of short texts: a bucket for each of a text's rarest shingles.
+
+    A text of n shingles lacks at most n / 5 of those of another at 0.8, so of any n / 5 + 1 one is in both; in
+    one order for all texts the first so many of both share one. Shingles of one text alone come first and make
+    no bucket, so that only their number counts.
+    """
+    each = classes.where(F.size("every") > 0).select("fp", "n", F.explode("every").alias("s"))
+    shared = each.groupBy("s").count().where("count > 1")
+    rare = each.join(shared, "s").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("rare"))
+    first = F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6).cast("int") + 1
+    room = F.greatest(first - F.col("n") + F.size("rare"), F.lit(0))
+    return rare.select("fp", "n", F.explode(F.slice("rare", F.lit(1), room)).alias("r")).select("fp", "n", F.xxhash64(F.lit(-1), "r.s").alias("key"))
+
+
 def _sequences_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     chosen = cut(classes.join(ids, "fp").select("fp", F.col("first.doc_id").alias("doc_id")), "chosen")
@@ -235,10 +256,11 @@ def mark(docs: DataFrame) -> DataFrame:
     a null doc_id take part, after all others of their group. An empty table gives none.
     """
     texts = _texts(docs)
-    rows = cut(texts.mapInPandas(_sketches, "doc_id long, row long, fp binary, n int, bands array<long>"), "sketches")
+    rows = cut(texts.mapInPandas(_sketches, "doc_id long, row long, fp binary, n int, bands array<long>, every array<long>"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = cut(rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = cut(rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("every").alias("every")), "classes")
     entries = classes.select("fp", "n", F.posexplode("bands").alias("band", "key")).select("fp", "n", F.xxhash64("band", "key").alias("key"))
+    entries = entries.unionByName(_rarest(classes))
     full = entries.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).where("hub <> other").select("key", "hub")
     entries = cut(entries.join(full, "key"), "entries")  # of buckets that hold several texts
     pairs = cut(entries.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")

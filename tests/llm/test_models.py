@@ -141,6 +141,20 @@ def test_near_duplicates(spark):
     assert kept.columns == docs_of(spark, rows).columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
 
 
+def test_near_duplicates_of_short_texts(spark):
+    texts, lead = {}, " ".join(word() for _ in range(12))
+    for n in range(3, 31):  # more words at either end, from well above the least similarity to below it
+        base = " ".join(word() for _ in range(n))
+        for k, add in enumerate((0, 1, (n - 4) // 8, (n - 4) // 4, (n - 4) // 4 + 1)):
+            texts[10 * n + k] = " ".join([base, *[word() for _ in range(add)]] if k % 2 else [*[word() for _ in range(add)], base])
+    texts |= {1000 + k: f"{lead} {word()} {word()}" for k in range(6)} | {1100 + k: f"{lead} {word()} {word()} {word()}" for k in range(6)}
+    long = " ".join(word() for _ in range(84))
+    texts |= {1200: long, 1201: " ".join(long.split()[:68])}
+    got = {r["doc_id"]: r["group_id"] for r in op5_neardup.mark(docs_of(spark, [(i, t, "a") for i, t in texts.items()])).collect()}
+    want = brute_groups(texts)
+    assert got == want and want[121] == want[120] and want[1201] == 1200 and want[1105] == 1105
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert op5_neardup.mark(docs_of(spark, ODD)).where("kept").count() == len(ODD) - 1
     kept = op5_neardup.deduplicate(docs_of(spark, [*ODD, (5, BASE[1] + " more", "a")]))
