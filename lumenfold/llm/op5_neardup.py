@@ -226,7 +226,10 @@ def _rarest(classes: DataFrame) -> DataFrame:
 def _sequences_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     chosen = cut(classes.join(ids, "fp").select("fp", F.col("first.doc_id").alias("doc_id")), "chosen")
-    return cut(texts.join(_few(chosen), "doc_id").mapInPandas(_sequences, "fp binary, seq array<int>").dropDuplicates(["fp"]), "sequences")
+    named = texts.join(_few(chosen.where("doc_id is not null")), "doc_id").select("text", "fp")
+    keyed = texts.where("doc_id is null").select("text").mapInPandas(_fingerprints(["text"]), "text string, dedup_fp binary")  # found by their words
+    unnamed = keyed.join(_few(chosen.where("doc_id is null").select("fp")), F.col("dedup_fp") == F.col("fp")).select("text", "fp")
+    return cut(named.unionByName(unnamed).mapInPandas(_sequences, "fp binary, seq array<int>").dropDuplicates(["fp"]), "sequences")
 
 
 def _crossing(at: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -248,12 +251,13 @@ def _crossing(at: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text -> doc_id, row, fp, class_id, group_id, kept, one row per row.
+    """docs: doc_id, text -> doc_id, row, fp, root, class_id, group_id, kept, one row per row.
 
     class_id: least doc_id with the same words in lower case; group_id: least doc_id reachable over links of
     similarity 0.8 or more; kept marks one row of each group. Null or empty texts, and those of white space,
     are one class, link with nothing and are all kept. Of repeated rows the first counts as least. Rows with
-    a null doc_id take part, after all others of their group. An empty table gives none.
+    a null doc_id take part, after all others of their group. root is one fp of the group, null without words. An
+    empty table gives none.
     """
     texts = _texts(docs)
     rows = cut(texts.mapInPandas(_sketches, "doc_id long, row long, fp binary, n int, bands array<long>, every array<long>"), "sketches")
@@ -276,10 +280,10 @@ def mark(docs: DataFrame) -> DataFrame:
 
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
-    grouped = grouped.join(best, "root").select("fp", F.col("first.doc_id").alias("class_id"), "best")
+    grouped = grouped.join(best, "root").select("fp", "root", F.col("first.doc_id").alias("class_id"), "best")
     least = rows.where("n = 0").agg(F.min("doc_id")).first()[0]
-    worded = rows.where("n > 0").join(grouped, "fp").select("doc_id", "row", "fp", "class_id", F.col("best.doc_id").alias("group_id"), (F.col("row") == F.col("best.row")).alias("kept"))
-    blank = rows.where("n = 0").select("doc_id", "row", "fp", F.lit(least).cast("long").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept"))
+    worded = rows.where("n > 0").join(grouped, "fp").select("doc_id", "row", "fp", "root", "class_id", F.col("best.doc_id").alias("group_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+    blank = rows.where("n = 0").select("doc_id", "row", "fp", F.lit(None).cast("binary").alias("root"), F.lit(least).cast("long").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(True).alias("kept"))
     return worded.unionByName(blank)
 
 
@@ -292,21 +296,30 @@ def _fingerprints(columns: list[str]):
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one of each group stays; those with a null doc_id stay.
+    """The documents, all columns, of which one of each group stays; those without words all stay.
 
-    Columns may have any names but those that begin with "dedup_".
+    It is the one that `mark` keeps, but in a group with null ids it is one of these, as such rows have always stayed.
+    Rows whose doc_id is null or repeated are told apart by their words. Columns may have any names but those
+    that begin with "dedup_".
     """
     marks = cut(mark(docs), "marks")
-    repeated = marks.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    unnamed = marks.where("doc_id is null and root is not null").groupBy("root").agg(F.min("row").alias("one"))
+    if unnamed.limit(1).count():
+        marks = marks.join(_few(unnamed), "root", "left").withColumn("kept", F.when(F.col("one").isNull(), F.col("kept")).otherwise(F.col("row") == F.col("one")))
+    several = marks.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id")
     gone = marks.where("not kept").select("doc_id").where("doc_id is not null").distinct()
-    if not repeated.limit(1).count():
+    if not several.limit(1).count():
         return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
-    plain = docs.join(repeated, "doc_id", "left_anti").join(_few(gone), "doc_id", "left_anti")
+    repeated = several.where("doc_id is not null")
+    plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").join(_few(gone), "doc_id", "left_anti")
     keep = marks.where("kept").select(F.col("doc_id").alias("dedup_id"), F.col("fp").alias("dedup_kept")).distinct()
     kind = StructType([*docs.schema.fields, StructField("dedup_fp", BinaryType())])
-    again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).mapInPandas(_fingerprints(docs.columns), kind)
-    again = again.join(keep, (F.col("doc_id") == F.col("dedup_id")) & (F.col("dedup_fp") == F.col("dedup_kept")), "left_semi").dropDuplicates(["doc_id", "dedup_fp"])
-    return plain.select(docs.columns).unionByName(again.select(docs.columns))
+    again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    again = again.mapInPandas(_fingerprints(docs.columns), kind)
+    wordless = F.col("dedup_fp") == F.lit(_fingerprint([]))
+    first = again.where(~wordless).dropDuplicates(["doc_id", "dedup_fp"])
+    first = first.join(keep, F.col("doc_id").eqNullSafe(F.col("dedup_id")) & (F.col("dedup_fp") == F.col("dedup_kept")), "left_semi")
+    return plain.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(again.where(wordless).select(docs.columns))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

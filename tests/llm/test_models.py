@@ -162,6 +162,20 @@ def test_near_duplicates_of_odd_rows(spark):
     assert op5_neardup.mark(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    near = edited(BASE[0], 1)
+    nulls = [BASE[0], BASE[0], near, BASE[1], BASE[1].upper(), BASE[2], "", None, " "]
+    docs = docs_of(spark, [*[(None, t, "a") for t in nulls], (1, edited(BASE[2], 1), "a"), (2, "", "a"), (3, BASE[5], "a")])
+    marks = op5_neardup.mark(docs)
+    assert marks.where("kept and doc_id is null").count() == 2 + 3
+    kept = op5_neardup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
+    assert sorted(i for i, _ in got if i is not None) == [2, 3]  # 1 is nearly a row without id, which stays
+    words = [t.lower() for i, t in got if i is None and t and t.strip()]
+    assert len(got) == 2 + 3 + 3 and len(words) == 3 and {BASE[1], BASE[2]} < set(words) and (BASE[0] in words or near in words)
+
+
 def test_shared_counts():
     seqs = [np.unique(R.integers(0, 9000, 700)).astype(np.int32) for _ in range(20)] + [np.array([-5], np.int32)]
     got = op5_neardup.common(seqs)
