@@ -56,15 +56,37 @@ def knn_ratio(left: DataFrame, right: DataFrame, by: list[str], cfg: Matching =
     return best.select(*by, "ka", "kb", F.col("d").alias("distance"))
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Points (id, x, y) of both sides within a radius: an equi-join on grid cells, each left point in nine."""
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points (id, x, y) of both sides within a radius: an equi-join on grid cells, each left point in nine.
+
+    Points meet only where they share `by`. A point whose position is null or NaN meets none.
+    """
     cell = lambda v: F.floor(v / radius)
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    a = left.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(offsets).alias("o"))
-    a = a.select("a", "ax", "ay", (cell(F.col("ax")) + F.col("o.dx")).alias("cx"), (cell(F.col("ay")) + F.col("o.dy")).alias("cy"))
-    b = right.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
+    a = left.select(*by, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(offsets).alias("o"))
+    a = a.select(*by, "a", "ax", "ay", (cell(F.col("ax")) + F.col("o.dx")).alias("cx"), (cell(F.col("ay")) + F.col("o.dy")).alias("cy"))
+    b = right.select(*by, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell(F.col("x")).alias("cx"), cell(F.col("y")).alias("cy"))
     d2 = F.pow(F.col("ax") - F.col("bx"), F.lit(2.0)) + F.pow(F.col("ay") - F.col("by"), F.lit(2.0))
-    return a.join(b, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("a", "b", "d2")
+    return a.join(b, [*by, "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select(*by, "a", "b", "d2")
+
+
+def match_near(left: DataFrame, right: DataFrame, by: tuple[str, ...], radius: float, cfg: Matching = Matching()) -> DataFrame:
+    """Descriptor matches among the points near a prediction: by, kp, desc, x, y each; left positions are where
+    each point is expected on the right, null or NaN where there is no prediction.
+
+    Of the candidates within the radius the one of least Hamming distance, the lower id among equals, is kept within
+    the most distance and up to ratio times the runner-up; a right point goes to its closest left one.
+    """
+    packed = left.schema["desc"].dataType.typeName() == "array"
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, hamming), F.lit(0), lambda n, d: n + d) if packed else hamming(p, q)
+    point = F.struct("kp", "desc").alias("id")
+    met = near_pairs(left.select(*by, point, "x", "y"), right.select(*by, point, "x", "y"), radius, by)
+    met = met.select(*by, F.col("a.kp").alias("ka"), F.col("b.kp").alias("kb"), apart(F.col("a.desc"), F.col("b.desc")).alias("d"))
+    first = Window.partitionBy(*by, "ka").orderBy("d", "kb")
+    best = met.withColumns({"rank": F.row_number().over(first), "second": F.lead("d").over(first)}).where("rank = 1")
+    best = best.where((F.col("d") <= cfg.max_distance) & (F.col("second").isNull() | (F.col("d") <= F.col("second") * cfg.ratio)))
+    back = F.row_number().over(Window.partitionBy(*by, "kb").orderBy("d", "ka"))
+    return best.withColumn("back", back).where("back = 1").select(*by, "ka", "kb", F.col("d").alias("distance"))
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:

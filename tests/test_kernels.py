@@ -79,3 +79,23 @@ def test_horizon_and_consensus():
     assert abs(abs(up @ (lean @ np.array([0, 1, 0]))) - 1) < 1e-9 and confidence > 0.5 and tilt < 1e-4
     assert np.allclose(features.consensus(level, [lean @ r for r in level], [True] * 9), lean)
     assert features.consensus(level, level, [False] * 9) is None
+
+
+def test_guided_matches_compare_descriptors(spark):
+    from lumenfold.operators import matching
+
+    def points(rows):
+        return spark.createDataFrame(rows, "pair int, kp int, desc long, x double, y double")
+
+    left = points([(1, 0, 0b0, 10.0, 10.0), (1, 1, 0b111, 50.0, 50.0), (1, 2, 0b1, 10.0, 11.0), (1, 3, 0, None, 1.0), (1, 4, 0, float("nan"), 1.0), (2, 0, 0, 50.0, 50.0), (1, 5, 0, 90.0, 90.0), (1, 6, -1, 200.0, 200.0)])
+    right = points([
+        (1, 0, 0xFFFF, 10.0, 10.5), (1, 1, 0b0, 14.0, 10.0), (1, 2, 0b0, 16.0, 50.0),  # 1 resembles, 0 is nearest
+        (1, 3, 0b11, 50.0, 51.0), (1, 4, 0b110, 51.0, 50.0),  # too much alike
+        (1, 5, 0xFF, 90.0, 91.0), (1, 6, 0, 200.0, 200.0), (2, 0, 0, 50.0, 58.1),
+    ])
+    cfg = matching.Matching(max_distance=8)
+    got = sorted(tuple(r) for r in matching.match_near(left, right, ("pair",), 8.0, cfg).collect())
+    assert got == [(1, 0, 1, 0), (1, 5, 5, 8)]
+    words = "transform(array(0, 1, 2, 3), k -> if(k = 3, desc, 0L)) as desc"
+    left, right = (side.selectExpr("pair", "kp", words, "x", "y") for side in (left, right))
+    assert sorted(tuple(r) for r in matching.match_near(left, right, ("pair",), 8.0, cfg).collect()) == got
