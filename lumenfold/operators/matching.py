@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Matching
-from ..functions.geometry import angle
+from ..config import Lens, Matching
+from ..functions.geometry import angle, rotate, unproject, visible
 
 
 def overlap_pairs(frames: DataFrame, n: int, reach: float, margin: float) -> DataFrame:
@@ -115,6 +115,26 @@ def coverage(directions: DataFrame, targets: DataFrame, cone: float) -> DataFram
     return directions.join(F.broadcast(plan)).select("id", n.alias("n"))
 
 
+def frame_count(directions: DataFrame, targets: DataFrame, lens: Lens) -> DataFrame:
+    """How many targets (target, rotation) of a broadcast plan have each direction (id, direction) in their frame."""
+    plan = targets.agg(F.collect_list("rotation").alias("plan"))
+    n = F.size(F.filter("plan", lambda r: visible(rotate(r, F.col("direction"), transposed=True), lens)))
+    return directions.join(F.broadcast(plan)).select("id", n.alias("n"))
+
+
+def frame_neighbours(targets: DataFrame, lens: Lens, least: float = 0.05, grid: int = 12) -> DataFrame:
+    """Other targets (target, rotation) whose frame holds at least a share of a grid of samples of each one's frame."""
+    k = lambda size, i: (i + 0.5) * size / grid - 0.5
+    steps = F.sequence(F.lit(0), F.lit(grid - 1))
+    at = F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda i: F.struct(k(lens.width, i).alias("u"), k(lens.height, j).alias("v")))))
+    samples = targets.select("target", F.col("rotation").alias("ra"), F.explode(at).alias("s"))
+    samples = samples.select("target", rotate(F.col("ra"), unproject(F.col("s.u"), F.col("s.v"), lens)).alias("d"))
+    other = F.broadcast(targets.select(F.col("target").alias("other"), F.col("rotation").alias("rb")))
+    seen = samples.join(other, F.col("target") != F.col("other")).where(visible(rotate(F.col("rb"), F.col("d"), transposed=True), lens))
+    near = seen.groupBy("target", "other").count().where(F.col("count") >= least * grid * grid)
+    return targets.select("target").join(near, "target", "left").groupBy("target").agg(F.count("other").alias("n"))
+
+
 def neighbours(targets: DataFrame, cone: float) -> DataFrame:
     """Other targets within a cone of each: a self-join of a plan, tens of rows."""
     a = targets.select("target", F.col("direction").alias("da"))

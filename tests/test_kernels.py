@@ -99,3 +99,33 @@ def test_guided_matches_compare_descriptors(spark):
     words = "transform(array(0, 1, 2, 3), k -> if(k = 3, desc, 0L)) as desc"
     left, right = (side.selectExpr("pair", "kp", words, "x", "y") for side in (left, right))
     assert sorted(tuple(r) for r in matching.match_near(left, right, ("pair",), 8.0, cfg).collect()) == got
+
+
+def test_coverage_is_of_the_frame(spark):
+    from lumenfold.config import Lens
+    from lumenfold.operators import matching
+
+    lens = Lens()
+
+    def turned(deg, roll=0.0):
+        return solve.exp_so3(np.array([0, math.radians(deg), 0])) @ solve.exp_so3(np.array([0, 0, math.radians(roll)]))
+
+    frames = {0: turned(0), 1: turned(60), 2: turned(66), 3: turned(200), 4: turned(60, 90)}
+
+    def sees(r, d):
+        x, y, z = r.T @ d
+        return z > 0 and -0.5 <= x / z * lens.fx + lens.cx <= lens.width - 0.5 and -0.5 <= y / z * lens.fy + lens.cy <= lens.height - 0.5
+
+    targets = spark.createDataFrame([(t, r.ravel().tolist()) for t, r in frames.items()], "target int, rotation array<double>")
+    dirs = [v / np.linalg.norm(v) for v in np.random.default_rng(2).normal(size=(200, 3))]
+    dirs += [np.array([0.6, 0.0, 1.0]), np.array([0.0, 0.6, 1.0])]  # as far from the axis, in and out of the frame
+    rows = spark.createDataFrame([(i, tuple(map(float, d))) for i, d in enumerate(dirs)], "id int, direction struct<x: double, y: double, z: double>")
+    got = {r["id"]: r["n"] for r in matching.frame_count(rows, targets, lens).collect()}
+    assert got == {i: sum(sees(r, d) for r in frames.values()) for i, d in enumerate(dirs)} and got[200] > 0 == got[201]
+    want = {}
+    for t, r in frames.items():
+        at = [((i + 0.5) * lens.width / 12 - 0.5, (j + 0.5) * lens.height / 12 - 0.5) for i in range(12) for j in range(12)]
+        d = [r @ np.array([(u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy, 1.0]) for u, v in at]
+        want[t] = sum(sum(sees(q, x) for x in d) >= 0.05 * 144 for o, q in frames.items() if o != t)
+    assert {r["target"]: r["n"] for r in matching.frame_neighbours(targets, lens).collect()} == want and want[3] == 0
+    assert want[0] == 1  # 1 shares more than 5 %, 2 and the rolled 4 less
