@@ -159,6 +159,31 @@ def spanning_rotations(pairs: list[tuple[int, int, int, np.ndarray]], n: int) ->
     return placed
 
 
+def initial_rotations(pairs: list[tuple[int, int, int, np.ndarray]], priors: list[np.ndarray | None]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+    """Pairs as above and a prior of each frame or null -> (rotations, placed, prior only).
+
+    What grows from the strongest pair is turned as one onto the consensus of its priors, then the frames that it
+    doesn't reach are put where their priors have them; those without one are not placed. Without pairs the first
+    frame is the root.
+    """
+    from .features import consensus
+
+    n = len(priors)
+    grown = spanning_rotations(pairs, n)
+    alone = not grown
+    if alone and n:
+        grown = {0: np.eye(3) if priors[0] is None else priors[0]}
+    placed, prior_only = [i in grown for i in range(n)], [alone and i == 0 and priors[0] is not None for i in range(n)]
+    out = [grown.get(i, np.eye(3)) for i in range(n)]
+    level = consensus(out, [np.eye(3) if p is None else p for p in priors], [i in grown and priors[i] is not None for i in range(n)])
+    if level is not None:
+        out = [level @ r if i in grown else r for i, r in enumerate(out)]
+    for i, prior in enumerate(priors):
+        if not placed[i] and prior is not None:
+            out[i], placed[i], prior_only[i] = prior, True, True
+    return out, placed, prior_only
+
+
 def bundle_equations(matches: DataFrame, rotations: list[np.ndarray], huber: float) -> tuple[np.ndarray, np.ndarray, float]:
     """J^T J, J^T r and the robust cost of matches (a, b, px..qz, w), summed over the cluster.
 

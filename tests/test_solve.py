@@ -70,3 +70,18 @@ def test_response_and_vignette(spark):
     f = lambda r: 1 - 0.42 * r**2 + 0.09 * r**4
     obs = [(float(a), float(b), float(f(a) / f(b))) for a, b in R.uniform(0, 1, (300, 2))]
     assert solve.vignette(spark.createDataFrame(obs, "r1 double, r2 double, ratio double")) == pytest.approx((-0.42, 0.09), abs=1e-3)
+
+
+def test_initial_rotations_are_levelled_and_filled():
+    r = np.random.default_rng(8)
+    true = [solve.exp_so3(v) for v in r.normal(size=(6, 3))]
+    tilt = [solve.exp_so3(np.array(v)) for v in ((0.1, 0, 0), (-0.1, 0, 0), (0, 0, 0))]
+    pairs = [(0, 1, 20, true[0].T @ true[1]), (2, 1, 30, true[2].T @ true[1]), (4, 5, 10, true[4].T @ true[5])]
+    priors = [tilt[0] @ true[0], tilt[1] @ true[1], true[2], true[3], true[4], None]
+    got, placed, alone = solve.initial_rotations(pairs, priors)
+    assert all(np.allclose(got[i], true[i]) for i in range(5)) and np.allclose(got[5], np.eye(3))
+    assert placed == [True] * 5 + [False] and alone == [False, False, False, True, True, False]
+    got, placed, alone = solve.initial_rotations([], [true[0], None, true[2]])
+    assert np.allclose(got[0], true[0]) and np.allclose(got[2], true[2]) and placed == alone == [True, False, True]
+    got, placed, alone = solve.initial_rotations(pairs[:1], [None] * 3)
+    assert placed == [True, True, False] and np.allclose(got[0].T @ got[1], true[0].T @ true[1]) and not any(alone)
