@@ -317,7 +317,7 @@ def gain_normal_equations(spark, sf):
 @query("")
 def gain_solve(spark, sf):
     """Robust gains of twelve frames; solved on the driver from sums."""
-    gains = solve.gains(photometric(spark, sf), 12, rounds=2)
+    gains = solve.gains(photometric(spark, sf), 12, rounds=4)
     table = F.array(*[F.lit(v) for v in gains])
     return spark.range(12).select(F.col("id").cast("int").alias("frame"), F.element_at(table, F.col("id").cast("int") + 1).alias("gain"))
 
@@ -342,7 +342,7 @@ T = math.sqrt(0.02**2 + 0.3**2 + 0.1**2)
 def pair_rotation(spark, sf):
     """The rotation of each nation's bearings by consensus."""
     m = bearings(spark, sf).select("c_nationkey", *[F.col(f"{v}.{a}").alias(v + a) for v in "pq" for a in "xyz"])
-    out = solve.pair_rotations(m, ["c_nationkey"], rounds=60)
+    out = solve.pair_rotations(m, ["c_nationkey"])
     angle = g.rotation_angle(F.col("rotation"))
     return out.select("c_nationkey", "matches", "inliers", F.round(angle, 9).alias("angle"))
 

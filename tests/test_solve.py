@@ -85,3 +85,15 @@ def test_initial_rotations_are_levelled_and_filled():
     assert np.allclose(got[0], true[0]) and np.allclose(got[2], true[2]) and placed == alone == [True, False, True]
     got, placed, alone = solve.initial_rotations(pairs[:1], [None] * 3)
     assert placed == [True, True, False] and np.allclose(got[0].T @ got[1], true[0].T @ true[1]) and not any(alone)
+
+
+def test_queries_use_the_production_rounds(spark, sf, monkeypatch):
+    from lumenfold.plans import scene
+
+    seen = []
+    gains = solve.gains
+    monkeypatch.setattr(solve, "gains", lambda *a, **k: seen.append(k) or gains(*a, **k))
+    monkeypatch.setattr(solve, "_pair_solver", lambda keys, limit, rounds, seed: seen.append(rounds) or (lambda pdf: pdf))
+    assert scene.gain_solve(spark, sf).count() == 12
+    scene.pair_rotation(spark, sf)
+    assert seen == [{"rounds": 4}, 1000]
