@@ -21,7 +21,6 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-MAX_DEPTH = 6  #: deeper segments count as one last segment
 MIN_SUPPORT = 20  #: pages that a literal segment needs among many
 MAX_CHILDREN = 20  #: literal segments that a node keeps without that support
 Z = 1.96  #: |z| below which a branch counts as like its node
@@ -48,10 +47,9 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def shape_of(path: Column, depth: int = MAX_DEPTH) -> Column:
-    """The path's segments, digits as {n}; empty segments and what lies beyond the depth are folded."""
-    all_of = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/", -1), lambda s: s != "")
-    return F.when(F.size(all_of) > depth, F.concat(F.slice(all_of, 1, depth), F.array(F.lit("**")))).otherwise(all_of)
+def shape_of(path: Column) -> Column:
+    """The path's segments, digits as {n}; empty segments are folded."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/", -1), lambda s: s != "")
 
 
 def templates(shapes: DataFrame) -> DataFrame:

@@ -169,3 +169,9 @@ def test_a_bad_template_is_rejected(spark):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400)], "page_number long, bad int")
     got = op6_urls.judge(pages, labels)
     assert got.where("(path like '/ads/%') <> (verdict = 'block')").count() == 0
+
+
+def test_a_deep_bad_template_is_rejected(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/a/b/c/d/e/f/g/{'ads' if i % 4 == 0 else 'news'}/{i}") for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400)], "page_number long, bad int")
+    assert op6_urls.judge(pages, labels).where("(path like '%/ads/%') <> (verdict = 'block')").count() == 0
