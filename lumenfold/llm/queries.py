@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op2_chat_formatting": op2_chat.SQL,
+    "op6_url_filters": op6_urls.SQL,
     "op7_quality_rules": op7_quality.SQL,
     "op8_secret_scans": op8_secrets.SQL,
 }
