@@ -2,7 +2,8 @@
 
 Grammar: conversation = turn*; turn = "<|im_start|>" role "\\n" text "<|im_end|>\\n".
 A body may not hold "<|". `render` writes a turn plainly, `parse` reads it again; where the recovered turn
-differs from the source, or the grammar is broken, the content is escaped and compared anew.
+differs from the source, or the grammar is broken, the content is escaped and compared anew; a turn that still differed
+would stop the run.
 Escape: "<", k backslashes, "|" gets one backslash more; reading takes one away, so the step is exactly
 reversible, and after it no "<|" is left. A line break within a role is written "<|nl|>", which escaped
 content cannot hold.
@@ -54,23 +55,24 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     rows: conv_id, turn, role, text. Null role or text counts as empty; turns go by (turn, role, text as
     rendered), nulls first, so ties and repeated rows keep a defined order and all stay; null conv_id is a
-    conversation of its own. An empty table gives none. loss_runs tiles the formatted text: for each turn the
+    conversation of its own. Other columns, whatever they are called, aren't read. An empty table gives none. loss_runs tiles the formatted text: for each turn the
     lengths of header, text and end with whether the loss counts there. Escaping is settled per turn before
     the shuffle; a conversation is one output value and must fit a string.
     """
     src = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = parse(render(F.col("role"), F.col("text")))
-    same = let(plain, lambda p: (F.size(p) == 1) & p[0]["valid"] & (p[0]["role"] == F.col("role")) & (p[0]["text"] == F.col("text")))
-    turns = src.withColumn("same", F.coalesce(same, F.lit(False))).select(
-        "conv_id",
-        F.struct(
-            "turn",
-            F.when(F.col("same"), F.col("role")).otherwise(F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK))).alias("role"),
-            F.when(F.col("same"), F.col("text")).otherwise(escape(F.col("text"))).alias("text"),
-            (F.col("role") == loss_role).alias("loss"),
-            F.xxhash64("role", "text").alias("source"),
-        ).alias("t"),
+
+    def reads_back(role: Column, text: Column) -> Column:
+        got = let(parse(render(role, text)), lambda p: (F.size(p) == 1) & p[0]["valid"] & (p[0]["role"] == F.col("role")) & (p[0]["text"] == F.col("text")))
+        return F.coalesce(got, F.lit(False))
+
+    safe = let(
+        F.struct(F.replace(escape(F.col("role")), F.lit("\n"), F.lit(BREAK)).alias("role"), escape(F.col("text")).alias("text")),
+        lambda e: F.when(reads_back(e["role"], e["text"]), e).otherwise(F.raise_error(F.lit("a turn's escaped form doesn't read back"))),
     )
+    chosen = F.when(reads_back(F.col("role"), F.col("text")), F.struct("role", "text", F.lit(None).cast("struct<role:string,text:string>").alias("source")))
+    chosen = chosen.otherwise(let(safe, lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text"), F.struct("role", "text").alias("source"))))
+    turns = src.select("conv_id", "turn", (F.col("role") == loss_role).alias("loss"), chosen.alias("c"))
+    turns = turns.select("conv_id", F.struct("turn", "c.role", "c.text", "loss", "c.source").alias("t"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     out = whole.select(
         "conv_id",
@@ -86,18 +88,30 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
                 ),
             )
         ).alias("loss_runs"),
-        F.transform("t", lambda t: t["source"]).alias("source"),
+        F.transform("t", lambda t: F.coalesce(t["source"], F.struct(t["role"].alias("role"), t["text"].alias("text")))).alias("source"),
     )
-    recovered = F.transform(parse(F.col("formatted")), lambda p: F.when(p["valid"], F.xxhash64(p["role"], p["text"])))
+    recovered = F.transform(parse(F.col("formatted")), lambda p: F.when(p["valid"], F.struct(p["role"].alias("role"), p["text"].alias("text"))))
     return out.withColumn("round_trip", F.coalesce(recovered == F.col("source"), F.lit(False))).drop("source")
 
 
+def masked(formatted: Column, runs: Column) -> Column:
+    """The stretches of a formatted text under the loss mask, in order, as they stand there."""
+    state = "struct<at:int,out:array<string>>"
+    return F.aggregate(
+        runs,
+        F.expr(f"cast(named_struct('at', 0, 'out', array()) as {state})"),
+        lambda acc, r: F.struct(
+            (acc["at"] + r["length"]).alias("at"),
+            F.when(r["loss"], F.concat(acc["out"], F.array(F.substr(formatted, acc["at"] + 1, r["length"])))).otherwise(acc["out"]).alias("out"),
+        ).cast(state),
+        lambda acc: acc["out"],
+    )
+
+
 def digest(chats: DataFrame) -> DataFrame:
     """The contract's columns, read back from the formatted text and its loss runs alone."""
     read = chats.select("conv_id", "formatted", "loss_runs", "round_trip", parse(F.col("formatted")).alias("turns"))
-    loss = F.array_join(
-        F.transform(F.filter(F.transform("turns", lambda t, i: F.struct(t["text"].alias("text"), F.col("loss_runs")[i * 3 + 1]["loss"].alias("loss"))), lambda t: t["loss"]), lambda t: t["text"]), ""
-    )
+    loss = F.array_join(F.transform(masked(F.col("formatted"), F.col("loss_runs")), unescape), "")
     read = read.withColumn("loss_text", loss)
     return read.select(
         "conv_id",
