@@ -31,18 +31,15 @@ THRESHOLDS = (
 def repeat_words(words: Column) -> Column:
     """Words within 3-word windows that a text holds twice or more, the first occurrence included.
 
-    Windows are told apart by 64-bit hashes. Texts whose windows are all different, the most, are settled by
-    one distinct; the rest sort (hash, position) and sum up what the repeated windows cover.
+    Texts whose windows all have different 64-bit hashes, the most, are settled by one distinct; the rest sort
+    (hash, window, position), so that windows of one hash are still told apart, and sum up what the repeated ones cover.
     """
 
     def covered(keys: Column) -> Column:
-        at = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-        repeated = let(
-            at,
-            lambda s: F.sort_array(
-                F.transform(F.filter(s, lambda x, i: (F.get(s, i - 1)["k"] == x["k"]) | (F.get(s, i + 1)["k"] == x["k"])), lambda x: x["i"])
-            ),
-        )
+        window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+        at = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), window(i).alias("w"), i.alias("i"))))
+        alike = lambda s, x, i: (F.get(s, i)["k"] == x["k"]) & (F.get(s, i)["w"] == x["w"])
+        repeated = let(at, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: alike(s, x, i - 1) | alike(s, x, i + 1)), lambda x: x["i"])))
         return F.aggregate(
             repeated,
             F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
@@ -97,12 +94,13 @@ def compiled(thresholds: tuple = THRESHOLDS) -> Column:
 def judge(docs: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
     """docs: doc_id, text. One row per row, repeats included: counts, base_failed, kept.
 
-    Null text counts as empty: no words, base_failed. An empty table gives none. Rows never meet, so very
+    Null text counts as empty: no words, base_failed. An empty table gives none. Other columns aren't read. Rows never meet, so very
     frequent texts or lines shift no load; work is n log n in a text's words at most.
     """
     m = docs.select("doc_id", measures(F.coalesce("text", F.lit(""))).alias("m"))
     failed = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
-    return m.select("doc_id", "m.*", failed.alias("base_failed"), (~failed & compiled(thresholds)).alias("kept"))
+    base = [f"m.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return m.select("doc_id", *base, failed.alias("base_failed"), (~failed & compiled(thresholds)).alias("kept"), "m.n_lines", "m.n_stop_words")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
