@@ -2,18 +2,18 @@
 
 A text is the sequence of its 5-word shingles, each labelled with its occurrence number, so that all differ.
 Each of BANDS hash functions samples the SAMPLE least of them and keeps these in text order: texts share such
-a sample with the probability that all of it lies in both and in the same order. Texts of at most SHORT shingles,
-of which a sample would be nearly all, are found for certain: two sets of the least similarity must share one of
-their rarest, as many as one may lack of the other and one more. Texts that share a sample or such a shingle are
-compared with one of their bucket; where that leaves a bucket in several groups, all texts outside the largest
-meet all others, block by block: exact shingle counts in common rule most pairs out, joined groups the rest,
-and a task returns only the links that join groups. Similarity: shingles on the best common alignment over all shingles of both.
-An alignment of the least similarity cannot leave a diagonal band, and only the band is searched.
+a sample with the probability that all of it lies in both and in the same order. Texts of at most SHORT shingles
+are also found by their rarest shingles: two sets of the least similarity must share one of these, as many as one may
+lack of the other and one more. Texts that share a sample or such a shingle are compared with one of their bucket; where
+that leaves a bucket in several groups, all texts outside the largest meet all others, block by block: exact shingle
+counts in common rule most pairs out, joined groups the rest, and a task returns only the links that join groups.
+Similarity: words on the best common alignment over all words of both. It's never below that of aligned shingles,
+and stays at 0.8 where scattered edits break many shingles; pairs must still share a FLOOR of these, below which
+samples meet too seldom. An alignment of the least similarity cannot leave a diagonal band, and only the band is searched.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, table
+from .common import cut, free_name, table
 from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, SAMPLE = 32, 8  #: at 0.8, (1 - 0.8**8)**32 = 0.3 % of pairs of long texts share no sample, 0.5 % of 64 and 80 shingles
-SHORT = 64  #: pairs of which one has at most so many shingles are found for certain
+FLOOR = 0.4  #: least share of shingles in common of texts that link
+BANDS, SAMPLE = 40, 3  #: (1 - x**3)**40 of pairs with x of their shingles in common share no sample: 7 % at 0.4, 2 % at 0.45, 0.01 % at 0.6
+SHORT = 64  #: pairs of which one has at most so many shingles are found for certain if these are 0.8 alike
+TINY = 20  #: so are pairs of which one has at most so many, whatever it shares above the floor
 LONGEST = int(SHORT / SIMILARITY + 1e-6)  #: what a short text can link with has no more
 BROADCAST_ROWS = 1_000_000  #: ids of 24 bytes that are broadcast at most; more are joined by shuffle
 CACHE_ENTRIES = 200_000
@@ -64,11 +66,10 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return np.array(got, dtype=np.uint64)
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """64-bit hashes of the occurrence-labelled shingles, in text order; fewer than WORDS words are one shingle."""
-    if not words:
+def shingles(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the occurrence-labelled shingles of hashed words, in text order; fewer than WORDS words are one."""
+    if not len(h):
         return np.empty(0, dtype=np.uint64)
-    h = _word_hashes(words)
     n = max(1, len(h) - WORDS + 1)
     s = np.zeros(n, dtype=np.uint64)
     for k in range(min(WORDS, len(h))):
@@ -105,26 +106,48 @@ def sketch(s: np.ndarray) -> list[int]:
     return key.astype(np.int64).tolist()
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned shingles over all of both, as far as it is `least` or more; else a lower figure."""
+def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Words on the longest common subsequence whose positions differ by at most `band`.
+
+    What both begin and end with is taken off; the rest goes bit by bit, a whole row of the table in a few operations
+    on long integers.
+    """
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    lead = int(differ[0]) if len(differ) else n
+    a, b, n = a[lead:], b[lead:], n - lead
+    differ = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
+    tail = n - 1 - int(differ[-1]) if len(differ) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a) or not len(b):
+        return lead + tail
+    at: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    whole, reach = (1 << len(a)) - 1, (1 << 2 * band + 1) - 1
+    row = whole
+    for j, w in enumerate(b.tolist()):
+        met = at.get(w, 0) & (reach << j - band if j >= band else reach >> band - j)
+        if met:
+            met &= row
+            row = (row + met | row - met) & whole
+    return lead + tail + len(a) - row.bit_count()
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, shared: int | None = None) -> float:
+    """Aligned words over all words of both, as far as it is `least` or more; else a lower figure.
+
+    a, b: hashed words. shared: shingles in common, if counted before. 0 for texts that share less than FLOOR of these.
+    """
     na, nb = len(a), len(b)
     if not na or not nb or min(na, nb) < least * max(na, nb):
         return 0.0
-    _, i, j = np.intersect1d(a, b, return_indices=True)
-    band = int((na + nb) * (1 - least) / (1 + least)) + 1
-    inside = np.abs(i - j) <= band
-    i, j = i[inside], j[inside]
-    if len(i) < least * (na + nb - len(i)):
+    if shared is None:
+        shared = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
+    if shared * (1 + FLOOR) < FLOOR * (max(1, na - WORDS + 1) + max(1, nb - WORDS + 1)) - 1e-9:
         return 0.0
-    j = j[np.argsort(i)]
-    aligned = len(j)
-    if aligned > 1 and not (np.diff(j) > 0).all():  # longest increasing run of positions
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        aligned = len(tails)
-    return aligned / (na + nb - aligned)
+    m = aligned(a, b, int((na + nb) * (1 - least) / (1 + least)) + 1)
+    return m / (na + nb - m)
 
 
 def _fingerprint(words: list[str]) -> bytes:
@@ -137,8 +160,8 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             words = text.lower().split()
-            s = shingles(words)
-            bands = sketch(s) if len(s) > SHORT else []
+            s = shingles(_word_hashes(words))
+            bands = sketch(s)
             every = s.astype(np.int64).tolist() if len(s) <= LONGEST else []
             out.append((doc_id, part << 40 | row, _fingerprint(words), len(s), bands, every))
             row += 1
@@ -151,13 +174,17 @@ def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, fp in zip(batch["text"], batch["fp"], strict=True):
             words = text.lower().split()
             if _fingerprint(words) == bytes(fp):  # else a row that only shares its id
-                out.append((fp, (shingles(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                out.append((fp, (_word_hashes(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         yield pd.DataFrame(out, columns=["fp", "seq"])
 
 
+def _words(seq: np.ndarray) -> np.ndarray:
+    return seq.view(np.uint32).astype(np.uint64)
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        hit = [similarity(x, y) >= SIMILARITY for x, y in zip(batch["sa"], batch["sb"], strict=True)]
+        hit = [similarity(_words(x), _words(y)) >= SIMILARITY for x, y in zip(batch["sa"], batch["sb"], strict=True)]
         yield batch.loc[hit, ["a", "b"]]
 
 
@@ -182,13 +209,16 @@ def common(seqs: list[np.ndarray]) -> np.ndarray:
 def _join_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between texts of different groups that join these; groups that were joined before need no more."""
     pdf = pdf.sort_values("fp", ignore_index=True)
-    seqs = pdf["seq"].tolist()
+    seqs = [_words(x) for x in pdf["seq"]]
+    parts = [shingles(x) for x in seqs]
     group = np.unique(pdf["root"], return_inverse=True)[1]
-    n = np.array([len(x) for x in seqs])
-    i, j = np.nonzero(np.triu(common(seqs), 1) * (1 + SIMILARITY) >= SIMILARITY * (n[:, None] + n[None, :]) - 1e-3)
+    n = np.array([len(x) for x in parts])
+    both = common(parts)
+    i, j = np.nonzero(np.triu(both, 1) * (1 + FLOOR) >= FLOOR * (n[:, None] + n[None, :]) - 1e-3)
+    nearest = np.argsort(-both[i, j] / (n[i] + n[j]), kind="stable")  # likely links first: they join groups
     out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        if group[a] != group[b] and similarity(seqs[a], seqs[b]) >= SIMILARITY:
+    for a, b in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
+        if group[a] != group[b] and similarity(seqs[a], seqs[b], shared=int(both[a, b])) >= SIMILARITY:
             out.append((pdf["fp"][a], pdf["fp"][b]))
             group[group == group[b]] = group[a]
     return pd.DataFrame(out, columns=["a", "b"])
@@ -212,13 +242,14 @@ def _rarest(classes: DataFrame) -> DataFrame:
     """fp, n, key of short texts: a bucket for each of a text's rarest shingles.
 
     A text of n shingles lacks at most n / 5 of those of another at 0.8, so of any n / 5 + 1 one is in both; in
-    one order for all texts the first so many of both share one. Shingles of one text alone come first and make
+    one order for all texts the first so many of both share one. What a tiny text can link with is met at the floor. Shingles of one text alone come first and make
     no bucket, so that only their number counts.
     """
     each = classes.where(F.size("every") > 0).select("fp", "n", F.explode("every").alias("s"))
     shared = each.groupBy("s").count().where("count > 1")
     rare = each.join(shared, "s").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("rare"))
-    first = F.floor(F.col("n") * (1 - SIMILARITY) + 1e-6).cast("int") + 1
+    lacks = F.when(F.col("n") <= int(TINY / FLOOR), F.col("n") * (1 - FLOOR)).otherwise(F.col("n") * (1 - SIMILARITY))
+    first = F.floor(lacks + 1e-6).cast("int") + 1
     room = F.greatest(first - F.col("n") + F.size("rare"), F.lit(0))
     return rare.select("fp", "n", F.explode(F.slice("rare", F.lit(1), room)).alias("r")).select("fp", "n", F.xxhash64(F.lit(-1), "r.s").alias("key"))
 
@@ -254,7 +285,8 @@ def mark(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text -> doc_id, row, fp, root, class_id, group_id, kept, one row per row.
 
     class_id: least doc_id with the same words in lower case; group_id: least doc_id reachable over links of
-    similarity 0.8 or more; kept marks one row of each group. Null or empty texts, and those of white space,
+    similarity 0.8 or more; texts of any length are compared whole, in time that grows with the square of theirs only
+    between the first and the last word in which two differ; kept marks one row of each group. Null or empty texts, and those of white space,
     are one class, link with nothing and are all kept. Of repeated rows the first counts as least. Rows with
     a null doc_id take part, after all others of their group. root is one fp of the group, null without words. An
     empty table gives none.
@@ -287,10 +319,11 @@ def mark(docs: DataFrame) -> DataFrame:
     return worded.unionByName(blank)
 
 
-def _fingerprints(columns: list[str]):
+def _fingerprints(columns: list[str], name: str = "dedup_fp"):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(dedup_fp=[_fingerprint((t or "").lower().split()) for t in batch["text"]])[[*columns, "dedup_fp"]]
+            prints = [_fingerprint((t or "").lower().split()) for t in batch["text"]]
+            yield batch.assign(**{name: prints})[[*columns, name]]
 
     return run
 
@@ -299,8 +332,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents, all columns, of which one of each group stays; those without words all stay.
 
     It is the one that `mark` keeps, but in a group with null ids it is one of these, as such rows have always stayed.
-    Rows whose doc_id is null or repeated are told apart by their words. Columns may have any names but those
-    that begin with "dedup_".
+    Rows whose doc_id is null or repeated are told apart by their words. Columns may have any names.
     """
     marks = cut(mark(docs), "marks")
     unnamed = marks.where("doc_id is null and root is not null").groupBy("root").agg(F.min("row").alias("one"))
@@ -310,15 +342,16 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     gone = marks.where("not kept").select("doc_id").where("doc_id is not null").distinct()
     if not several.limit(1).count():
         return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
+    name, kept_id, kept_fp = (free_name(docs, f"dedup_{k}") for k in ("fp", "id", "kept"))
     repeated = several.where("doc_id is not null")
     plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").join(_few(gone), "doc_id", "left_anti")
-    keep = marks.where("kept").select(F.col("doc_id").alias("dedup_id"), F.col("fp").alias("dedup_kept")).distinct()
-    kind = StructType([*docs.schema.fields, StructField("dedup_fp", BinaryType())])
+    keep = marks.where("kept").select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp)).distinct()
+    kind = StructType([*docs.schema.fields, StructField(name, BinaryType())])
     again = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-    again = again.mapInPandas(_fingerprints(docs.columns), kind)
-    wordless = F.col("dedup_fp") == F.lit(_fingerprint([]))
-    first = again.where(~wordless).dropDuplicates(["doc_id", "dedup_fp"])
-    first = first.join(keep, F.col("doc_id").eqNullSafe(F.col("dedup_id")) & (F.col("dedup_fp") == F.col("dedup_kept")), "left_semi")
+    again = again.mapInPandas(_fingerprints(docs.columns, name), kind)
+    wordless = F.col(name) == F.lit(_fingerprint([]))
+    first = again.where(~wordless).dropDuplicates(["doc_id", name])
+    first = first.join(keep, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(name) == F.col(kept_fp)), "left_semi")
     return plain.select(docs.columns).unionByName(first.select(docs.columns)).unionByName(again.where(wordless).select(docs.columns))
 
 
