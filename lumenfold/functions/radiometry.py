@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -188,3 +188,37 @@ def level(encoded: Column, n: int) -> Column:
 def hat_weight(k: Column, n: int) -> Column:
     mid = (n - 1) / 2.0
     return F.when(k <= mid, k.cast("double")).otherwise(F.lit(n - 1.0) - k) / mid
+
+
+def srgb_linear(byte: Column) -> Column:
+    """The linear value of an 8-bit one, from the table of the sRGB curve."""
+    curve = [(k / 255 / 12.92 if k / 255 <= 0.04045 else ((k / 255 + 0.055) / 1.055) ** 2.4) for k in range(256)]
+    return F.element_at(F.array(*[F.lit(v) for v in curve]), (byte + 1).cast("int"))
+
+
+def bisected(wanted: Column, encode: Callable[[Column], Column], steps: int = 60) -> Column:
+    """Where a rising encoding of 0..1 reaches a value, by halving the interval."""
+    ends = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def halve(e: Column, _: Column) -> Column:
+        mid = (e["low"] + e["high"]) / 2
+        below = encode(mid) < wanted
+        return F.struct(F.when(below, mid).otherwise(e["low"]).alias("low"), F.when(below, e["high"]).otherwise(mid).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda e: (e["low"] + e["high"]) / 2)
+
+
+def balance(matrix: Column, red: Column, green: Column, blue: Column) -> Column:
+    """A matrix of nine values after white balance: gains relative to green scale its first and last column."""
+    scale = F.array(F.try_divide(red, green), F.lit(1.0), F.try_divide(blue, green))
+    return F.transform(matrix, lambda m, i: m * F.get(scale, i % 3))
+
+
+def relative_exposure(seconds: Column, iso: Column, base_iso: Column) -> Column:
+    return seconds * iso / base_iso
+
+
+def exposure_text(seconds: Column, iso: Column, aperture: Column) -> Column:
+    """Like "1/125 s ISO 100 f/1.8"; from half a second on, seconds as they are."""
+    time = F.when(seconds >= 0.5, F.format_string("%.1f s", seconds)).otherwise(F.format_string("1/%.0f s", F.try_divide(F.lit(1.0), seconds)))
+    return F.concat(time, F.format_string(" ISO %d f/%.1f", iso.cast("int"), aperture))

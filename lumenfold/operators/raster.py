@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import clamp
+from .statistics import exact_percentiles
 
 CFA = {"RGGB": "rggb", "GRBG": "grbg", "GBRG": "gbrg", "BGGR": "bggr"}
 
@@ -35,6 +36,89 @@ def shading_gain(x: Column, y: Column, width: int, height: int, grid: list[list[
     return (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
 
 
+def normalise_by(raw: Column, black: Column, white: float) -> Column:
+    return clamp((raw - black) / F.greatest(F.lit(1.0), F.lit(white) - black), 0.0, 1.0)
+
+
+def black_level(own: Column, static: list[float], x: Column, y: Column) -> Column:
+    """The level of a mosaic position: the four that came with the frame, else the camera's."""
+    levels = F.when(F.size(own) >= 4, own).otherwise(F.array(*[F.lit(float(v)) for v in static]))
+    return F.get(levels, ((y % 2) * 2 + x % 2).cast("int"))
+
+
+def luma_plane(planes: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """Every step-th luma sample of both directions, 0 to 1."""
+    use = planes.where((F.col("y") % step == 0) & (F.col("x") % step == 0))
+    return use.select(*keys, F.floor(F.col("y") / step).alias("y"), F.floor(F.col("x") / step).alias("x"), (F.col("luma") / 255.0).alias("v"))
+
+
+def yuv_to_rgb(luma: DataFrame, chroma: DataFrame, keys: list[str]) -> DataFrame:
+    """luma: keys, y, x, luma; chroma of half the size: keys, y, x, u, v -> r, g, b by full-range BT.601, 0 to 1."""
+    c = chroma.select(*keys, F.col("y").alias("cy"), F.col("x").alias("cx"), (F.col("u") - 128).alias("cb"), (F.col("v") - 128).alias("cr"))
+    met = luma.withColumns({"cy": F.floor(F.col("y") / 2), "cx": F.floor(F.col("x") / 2)}).join(c, [*keys, "cy", "cx"])
+    unit = lambda v: clamp(v, 0.0, 255.0) / 255.0
+    l, cb, cr = F.col("luma"), F.col("cb"), F.col("cr")
+    return met.select(*keys, "y", "x", unit(l + cr * 1.402).alias("r"), unit(l - cb * 0.344136 - cr * 0.714136).alias("g"), unit(l + cb * 1.772).alias("b"))
+
+
+def shading_tables(spark: SparkSession, size: int, cells: int, name: str) -> DataFrame:
+    """For each place along one side: the two grid lines around it and how far it is between; a row per place."""
+    at = F.col("id") / max(1, size - 1) * (cells - 1)
+    low = F.least(F.floor(at), F.lit(max(0, cells - 2))).cast("int")
+    return spark.range(size).select(F.col("id").cast("int").alias(name), low.alias(f"{name}_low"), (at - low).alias(f"{name}_part"))
+
+
+def shading_sampler(pixels: DataFrame, width: int, height: int, planes: list[list[list[float]]], cfa: str = "RGGB") -> DataFrame:
+    """y, x and others -> also gain: the plane of each mosaic position, from tables worked out once for each row and column.
+
+    The tables have a row for each column and each row of one frame and are broadcast. planes: red, green beside red,
+    green beside blue, blue.
+    """
+    spark = pixels.sparkSession
+    rows, cols = len(planes[0]), len(planes[0][0])
+    flat = F.array(*[F.array(*[F.lit(float(v)) for row in p for v in row]) for p in planes])
+    met = pixels.join(F.broadcast(shading_tables(spark, width, cols, "x")), "x").join(F.broadcast(shading_tables(spark, height, rows, "y")), "y")
+    c = cfa_colour(F.col("x"), F.col("y"), cfa)
+    beside_red = cfa_colour(F.col("x") + 1, F.col("y"), cfa) == "r"
+    plane = F.when(c == "r", 0).when(c == "b", 3).when(beside_red, 1).otherwise(2)
+    own = F.get(flat, plane)
+    at = lambda dj, di: F.get(own, F.least(F.col("y_low") + dj, F.lit(rows - 1)) * cols + F.least(F.col("x_low") + di, F.lit(cols - 1)))
+    fx, fy = F.col("x_part"), F.col("y_part")
+    gain = (at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy
+    return met.withColumn("gain", gain).drop("x_low", "x_part", "y_low", "y_part")
+
+
+def shaded_rgb(x: Column, y: Column, width: int, height: int, planes: list[list[list[float]]]) -> list[Column]:
+    """Gains of a merged pixel's red, green and blue: planes 0, the mean of 1 and 2, and 3."""
+    one = [shading_gain(x, y, width, height, p) for p in planes]
+    return [one[0], (one[1] + one[2]) / 2, one[3]]
+
+
+def bilinear_samples(points: DataFrame, pixels: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """points: keys, u, v and others; pixels: keys, y, x, v -> points with value, between four pixels, edges repeated.
+
+    Each point is dealt to the four pixels it lies between and summed again: an equi-join, no search.
+    """
+    u, v = clamp(F.col("u"), 0.0, width - 1.0), clamp(F.col("v"), 0.0, height - 1.0)
+    x, y = F.least(F.floor(u), F.lit(max(0, width - 2))), F.least(F.floor(v), F.lit(max(0, height - 2)))
+    tap = lambda dy, dx: F.struct(
+        F.least(y + dy, F.lit(height - 1)).cast("long").alias("y"), F.least(x + dx, F.lit(width - 1)).cast("long").alias("x"),
+        ((u - x if dx else x + 1 - u) * (v - y if dy else y + 1 - v)).alias("w"),
+    )
+    named = points.select("*", F.explode(F.array(*[tap(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("t_"))
+    value = pixels.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("y").alias("y_"), F.col("x").alias("x_"), F.col("v").alias("p_"))
+    met = named.join(value, [*[F.col(k) == F.col(f"k_{k}") for k in keys], F.col("t_.y") == F.col("y_"), F.col("t_.x") == F.col("x_")])
+    return met.groupBy(*points.columns).agg(F.sum(F.col("t_.w") * F.col("p_")).alias("value"))
+
+
+def detection_values(values: DataFrame, keys: list[str], value: str, least: float = 1e-8, span: float = 1e-3) -> DataFrame:
+    """Log luminance stretched between its 2nd and 98th percentile to 0..1, as `seen`; frame by frame."""
+    logs = values.withColumn("log_", F.ln(F.greatest(F.col(value), F.lit(least))))
+    ends = exact_percentiles(logs, keys, "log_", [0.02, 0.98])
+    met = logs.join(ends, keys)
+    return met.withColumn("seen", clamp((F.col("log_") - F.col("p")[0]) / F.greatest(F.col("p")[1] - F.col("p")[0], F.lit(span)), 0.0, 1.0)).drop("log_", "p")
+
+
 def half_resolution(mosaic: DataFrame, keys: list[str], pattern: str = "RGGB") -> DataFrame:
     """One RGB pixel of every 2x2 cell, greens averaged; an odd last row or column is dropped."""
     cell = mosaic.withColumn("c_", cfa_colour(F.col("x"), F.col("y"), pattern)).groupBy(*keys, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x"))

@@ -26,6 +26,13 @@ DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {
     "dng": lambda b: codecs.read_dng(b)[..., None].astype(np.float32),
 }
 
+ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
+    "plane": codecs.write_plane,
+    "exr": codecs.write_exr,
+    "rgbe": codecs.write_rgbe,
+    "dng": lambda x: codecs.write_dng(x[..., 0]),
+}
+
 
 def _decode(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     read = DECODERS[kind]
@@ -51,41 +58,98 @@ def exploded(blocked: DataFrame) -> DataFrame:
     return long.select("path", F.floor(i / (F.col("width") * F.col("channels"))).cast("int").alias("y"), (F.floor(i / F.col("channels")) % F.col("width")).cast("int").alias("x"), (i % F.col("channels")).cast("int").alias("c"), "v")
 
 
-def session(spark: SparkSession, path: str, format_tag: str) -> DataFrame:
-    """Session headers; another format tag refuses, malformed shading is null."""
-    s = spark.read.schema(SESSION).option("multiLine", True).json(path)
+def encoded(frames: DataFrame, kind: str) -> DataFrame:
+    """frames: path, width, height, channels, data -> path, content: each raster as the bytes of one format."""
+    return frames.select("path", "width", "height", "channels", "data").mapInPandas(_encode(kind), "path string, content binary")
+
+
+def _encode(kind: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    write = ENCODERS[kind]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():  # a raster at a time
+                yield pd.DataFrame({"path": [r.path], "content": [write(np.asarray(r.data, np.float32).reshape(r.height, r.width, r.channels))]})
+
+    return run
+
+
+def decoded(files: DataFrame, kind: str) -> DataFrame:
+    """files: path, content -> blocked rasters, decoded where the rows are."""
+    return files.select("path", "content").mapInPandas(_decode(kind), RASTER)
+
+
+def session_text(sessions: DataFrame) -> DataFrame:
+    """path and header columns -> path, value: each header as one JSON document."""
+    return sessions.select("path", F.to_json(F.struct(*[c for c in sessions.columns if c != "path"])).alias("value"))
+
+
+def parse_sessions(docs: DataFrame, format_tag: str) -> DataFrame:
+    """docs: path, value -> session headers; another format tag refuses, malformed shading is null."""
+    s = docs.select("path", F.from_json("value", SESSION).alias("s")).select("path", "s.*")
     whole = F.size("shadingGains") == F.col("shadingCols") * F.col("shadingRows") * 4
     checked = s.where(F.when(F.col("format") == format_tag, True).otherwise(F.raise_error(F.lit("another session format")).cast("boolean")))
     return checked.withColumn("shadingGains", F.when(whole, F.col("shadingGains")))
 
 
-def journal(spark: SparkSession, folder: str) -> DataFrame:
-    """The records that count: whole lines that parse, whose file has its exact length; the last of a key wins.
+def session(spark: SparkSession, path: str, format_tag: str) -> DataFrame:
+    """Session headers of files that hold one document each."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parse_sessions(docs, format_tag).drop("path")
+
 
-    A journal is one folder's, some thousands of lines. A torn last line is left out; a pose needs nine numbers.
+def parse_journal(lines: DataFrame, listing: DataFrame, keys: list[str]) -> DataFrame:
+    """The records that count, per journal: lines that parse, whose file has its exact length; the last of a key wins.
+
+    lines: keys, pos, line, each a whole line; listing: keys, file, length. A pose needs nine numbers.
     """
+    records = lines.select(*keys, "pos", F.from_json("line", JOURNAL + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    records = records.select(*keys, "pos", "r.*").where("_bad is null and file is not null").drop("_bad")
+    records = records.withColumn("pose", F.when(F.size("pose") == 9, F.col("pose")))
+    here = listing.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("file").alias("file_"), "length")
+    same = [F.col(k) == F.col(f"{k}_") for k in keys]
+    sound = records.join(here, [*same, F.col("file") == F.col("file_"), F.col("length") == F.col("w") * F.col("h") * F.col("c") * 2 + 20], "left_semi")
+    last = Window.partitionBy(*keys, "target", "bracket").orderBy(F.col("pos").desc())
+    return sound.withColumn("n_", F.row_number().over(last)).where("n_ = 1").drop("n_", "pos")
+
+
+def journal(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of one folder. A journal is some thousands of lines; a torn last line is left out."""
     text = spark.read.text(f"{folder}/journal.jsonl", wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"), F.size(F.split("value", "\n", -1)).alias("n")).where("pos < n - 1 and line <> ''")
-    records = lines.select("pos", F.from_json("line", JOURNAL + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("pos", "r.*").where("_bad is null and file is not null").drop("_bad")
-    records = records.withColumn("pose", F.when(F.size("pose") == 9, F.col("pose")))
     here = spark.read.format("binaryFile").load(f"{folder}/*.hrf").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
-    sound = records.join(here, (records["file"] == here["file"]) & (here["length"] == F.col("w") * F.col("h") * F.col("c") * 2 + 20), "left_semi")
-    last = Window.partitionBy("target", "bracket").orderBy(F.col("pos").desc())
-    return sound.withColumn("n_", F.row_number().over(last)).where("n_ = 1").drop("n_", "pos")
+    return parse_journal(lines, here, [])
+
+
+def parse_manifests(docs: DataFrame) -> DataFrame:
+    """docs: set, value -> set, entries of each JSON array, and the sensor's width in mm by the crop to a 36 mm frame."""
+    e = docs.select("set", F.inline(F.from_json("value", f"array<struct<{MANIFEST.replace(' string', ':string').replace(' double', ':double').replace(' int', ':int')}>>")))
+    return e.withColumn("sensor_mm", F.when(F.col("focal35") > 0, F.col("focal") / F.col("focal35") * 36.0))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
 
 
-def catalogue(spark: SparkSession, pattern: str) -> DataFrame:
-    """Report documents of capture folders, missing keys defaulted, newest first."""
+def summaries(docs: DataFrame) -> DataFrame:
+    """docs: folder, value, modified -> folder, captured, name, directions, coverage, stops; missing keys defaulted."""
     from ..functions.text import captured_at
 
-    r = spark.read.schema("name string, directions int, coverage double, dynamicRangeStops double").option("multiLine", True).json(pattern).select("*", "_metadata.file_path", "_metadata.file_modification_time")
-    folder = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
-    out = r.select(folder.alias("folder"), captured_at(folder, F.col("file_modification_time")).alias("captured"), F.coalesce("name", folder).alias("name"), F.coalesce("directions", F.lit(0)).alias("directions"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("dynamicRangeStops", F.lit(0.0)).alias("stops"))
-    return out.orderBy(F.col("captured").desc(), "folder")
+    r = docs.withColumn("r", F.from_json("value", "name string, directions int, coverage double, dynamicRangeStops double"))
+    return r.select(
+        *[c for c in docs.columns if c not in ("value", "modified")],
+        captured_at(F.col("folder"), F.col("modified")).alias("captured"),
+        F.coalesce("r.name", "folder").alias("name"),
+        F.coalesce("r.directions", F.lit(0)).alias("directions"),
+        F.coalesce("r.coverage", F.lit(0.0)).alias("coverage"),
+        F.coalesce("r.dynamicRangeStops", F.lit(0.0)).alias("stops"),
+    )
+
+
+def catalogue(spark: SparkSession, pattern: str) -> DataFrame:
+    """Report documents of capture folders, newest first, then by folder."""
+    docs = spark.read.text(pattern, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("folder"), "value", F.col("_metadata.file_modification_time").alias("modified"))
+    return summaries(docs).orderBy(F.col("captured").desc(), "folder")
 
 
 def dropped_by_plan(records: DataFrame, plan: DataFrame) -> DataFrame:

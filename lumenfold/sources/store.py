@@ -6,9 +6,10 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.radiometry import display, to_byte
 from ..operators.matching import latest
 
 
@@ -21,14 +22,22 @@ def store_batch(path: str):
     """A foreachBatch sink: frames (target, bracket, ...) of a batch, under its number, so a repeat replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("offset", F.lit(number)).write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
+        """Rows keep their place in the batch, so that of two records of one key the later counts."""
+        placed = batch if "pos" in batch.columns else batch.withColumn("pos", F.monotonically_increasing_id())
+        placed.write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
 
     return write
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """What the store holds: the last record of each target and bracket."""
-    return latest(spark.read.parquet(f"{path}/frames"), ["target", "bracket"], ["batch"])
+    """What the store holds: the last record of each target and bracket, by batch and place in its batch."""
+    frames = spark.read.parquet(f"{path}/frames")
+    return last_stored(frames, ["target", "bracket"], ["batch", "pos"])
+
+
+def last_stored(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last record of each key."""
+    return latest(frames, keys, order)
 
 
 def has_room(free_bytes: Column, wanted_bytes: Column) -> Column:
@@ -51,6 +60,34 @@ def subsample(pixels: Column, limit: Column) -> Column:
     return F.pow(F.lit(2.0), step).cast("int")
 
 
+def reports(statistics: DataFrame, poses: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and report: one JSON document of each sphere, its statistics and its poses by frame, tens of frames each."""
+    of = [c for c in poses.columns if c not in ("frame", *keys)]
+    placed = poses.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", *of))).alias("poses"))
+    own = [c for c in statistics.columns if c not in keys]
+    document = F.to_json(F.struct(F.lit(2).alias("version"), *own, F.coalesce("poses", F.array()).alias("poses")))
+    return statistics.join(placed, keys, "left").select(*keys, document.alias("report"))
+
+
+def bytes_of(listing: DataFrame, folder: Column) -> DataFrame:
+    """listing: path, length -> folder, files, bytes."""
+    return listing.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def running_statistics(values: DataFrame, keys: list[str], strip: str, value: str) -> DataFrame:
+    """keys, strip, top, mean, pixels after each strip; strips are summed up first."""
+    sums = values.groupBy(*keys, strip).agg(F.max(value).alias("top_"), F.sum(value).alias("sum_"), F.count(value).alias("n_"))
+    w = Window.partitionBy(*keys).orderBy(strip)
+    return sums.select(*keys, strip, F.max("top_").over(w).alias("top"), (F.sum("sum_").over(w) / F.sum("n_").over(w)).alias("mean"), F.sum("n_").over(w).alias("pixels"))
+
+
+def preview_bytes(cells: DataFrame, keys: list[str], key: Column) -> DataFrame:
+    """cells: keys, y, x, v, coverage -> shown and covered, bytes of the preview and of the coverage map."""
+    most = cells.groupBy(*keys).agg(F.max("coverage").alias("most_"))
+    met = cells.join(most, keys)
+    return met.select(*keys, "y", "x", to_byte(display(F.col("v"), key)).alias("shown"), to_byte(F.try_divide(F.col("coverage"), F.col("most_"))).alias("covered"))
+
+
 def report(statistics: DataFrame, poses: DataFrame) -> DataFrame:
     """One JSON document of a sphere: its statistics, one row, and its poses by frame; tens of frames."""
     placed = poses.agg(F.array_sort(F.collect_list(F.struct("frame", *[c for c in poses.columns if c != "frame"]))).alias("poses"))
