@@ -255,3 +255,54 @@ def looking_at(yaw_deg: Column, pitch_deg: Column) -> Column:
 
 def still(x: Column, y: Column, z: Column, threshold: float) -> Column:
     return F.coalesce(F.sqrt(x * x + y * y + z * z) < threshold, F.lit(False))
+
+
+def aim_error(pose: Column, target: Column) -> Column:
+    """Radians between the forward axes of two poses."""
+    forward = lambda m: vec(m[2], m[5], m[8])
+    return angle(forward(pose), forward(target))
+
+
+def roll_error(pose: Column, target: Column) -> Column:
+    """How far a pose is rolled about the target's forward axis: the z of the rotation between them, radians."""
+    return log_so3(multiply(transpose(target), pose))["z"]
+
+
+def max_angle(k: Lens) -> float:
+    """Radians from the axis to the farthest corner of a frame, by Newton steps where there is distortion."""
+    most = 0.0
+    for u in (-0.5, k.width - 0.5):
+        for v in (-0.5, k.height - 0.5):
+            seen = r = math.hypot((u - k.cx) / k.fx, (v - k.cy) / k.fy)
+            for _ in range(20):
+                slope = 1 + 3 * k.k1 * r**2 + 5 * k.k2 * r**4 + 7 * k.k3 * r**6
+                if abs(slope) > 1e-12:
+                    r -= (r * (1 + k.k1 * r**2 + k.k2 * r**4 + k.k3 * r**6) - seen) / slope
+            most = max(most, math.atan(r))
+    return most
+
+
+def scaled_columns(k: Lens, s: Column) -> Column:
+    """struct<width, height, fx, fy, cx, cy> of a camera at another size; centres of pixels stay centres."""
+    size = lambda n: F.greatest(F.lit(1), F.floor(s * n + 0.5)).cast("int")
+    centre = lambda x: s * (x + 0.5) - 0.5
+    return F.struct(size(k.width).alias("width"), size(k.height).alias("height"), (s * k.fx).alias("fx"), (s * k.fy).alias("fy"), centre(k.cx).alias("cx"), centre(k.cy).alias("cy"))
+
+
+def sensor_intrinsics(active_width: Column, active_height: Column, sensor_width_mm: float, sensor_height_mm: float, focal_mm: float, width: Column, height: Column) -> Column:
+    """struct<width, height, fx, fy, cx, cy> of an output that is a trimmed view of the active array, not a stretched one."""
+    own, active = width / height, active_width / active_height
+    used_width = F.when(own < active, active_height * own).otherwise(active_width)
+    used_height = F.when(own > active, active_width / own).otherwise(active_height)
+    focal = lambda pixels, mm, used, whole: pixels * focal_mm / (used / whole * mm)
+    return F.struct(
+        width.alias("width"), height.alias("height"),
+        focal(width, sensor_width_mm, used_width, active_width).alias("fx"), focal(height, sensor_height_mm, used_height, active_height).alias("fy"),
+        ((width - 1) / 2).alias("cx"), ((height - 1) / 2).alias("cy"),
+    )
+
+
+def subsampled(k: Column, factor: Column) -> Column:
+    """The same camera where one pixel stands for factor x factor: the centre moves before it is scaled."""
+    centre = lambda x: (x - (factor - 1) / 2) / factor
+    return F.struct(F.floor(k["width"] / factor).alias("width"), F.floor(k["height"] / factor).alias("height"), (k["fx"] / factor).alias("fx"), (k["fy"] / factor).alias("fy"), centre(k["cx"]).alias("cx"), centre(k["cy"]).alias("cy"))

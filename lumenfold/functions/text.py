@@ -35,3 +35,11 @@ def finish_message(stored: Column, abandoned: Column, total: Column) -> Column:
         .when(abandoned > 0, F.format_string("%d of %d directions captured, %d given up", stored, total, abandoned))
         .otherwise(F.format_string("%d of %d directions captured", stored, total))
     )
+
+
+def lens_line(front: Column, hfov: Column, directions: Column, tier: Column, physical: Column) -> Column:
+    """One line to choose a lens by: how wide, how many stops, and what its numbers are worth."""
+    width = F.when(front, "Front").when(hfov >= 95, "Ultrawide").when(hfov >= 60, "Wide").otherwise("Tele")
+    worth = F.when(tier == "LINEAR_RAW", "RAW").when(tier == "MANUAL_YUV", "no RAW, relative values").otherwise("camera picks the exposure")
+    caveat = F.when(physical, ", untested on this phone").otherwise("")
+    return F.concat(F.format_string("%s, %.0f degrees, %d directions, %s", width, hfov, directions, worth), caveat)

@@ -36,11 +36,12 @@ def grow(
     return ladder, grown
 
 
-def keep_placed(frames: DataFrame, key: str = "frame") -> DataFrame:
-    """Placed frames, or all if none is, numbered anew; tens of rows."""
-    any_placed = F.max(F.col("placed").cast("int")).over(Window.partitionBy()) == 1
+def keep_placed(frames: DataFrame, key: str = "frame", keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Placed frames of each capture, or all if none is, numbered anew. A capture has tens of frames; without keys
+    the table is one capture."""
+    any_placed = F.max(F.col("placed").cast("int")).over(Window.partitionBy(*keys)) == 1
     kept = frames.withColumn("any_", any_placed).where(F.col("placed") | ~F.col("any_")).drop("any_")
-    return kept.withColumn("index", F.row_number().over(Window.orderBy(key)) - 1)
+    return kept.withColumn("index", F.row_number().over(Window.partitionBy(*keys).orderBy(key)) - 1)
 
 
 def believable(matches: DataFrame, tolerance: float, predicted: str = "predicted", seen: str = "seen") -> DataFrame:
@@ -48,16 +49,16 @@ def believable(matches: DataFrame, tolerance: float, predicted: str = "predicted
     return matches.where(F.col(predicted).isNull() | (angle(F.col(predicted), F.col(seen)) <= tolerance))
 
 
-def distortion_leverage(matches: DataFrame) -> DataFrame:
+def distortion_leverage(matches: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """How much the radii of matched pixels differ where distortion acts: the mean of |ra^3 - rb^3|."""
-    return matches.agg(F.avg(F.abs(F.pow("ra", F.lit(3.0)) - F.pow("rb", F.lit(3.0)))).alias("leverage"))
+    return matches.groupBy(*keys).agg(F.avg(F.abs(F.pow("ra", F.lit(3.0)) - F.pow("rb", F.lit(3.0)))).alias("leverage"))
 
 
-def scan_ready(directions: DataFrame, share: float = 0.85) -> DataFrame:
-    """One row: how much of the sphere is metered, whether that will do, and whether only highlights are waited for."""
+def scan_ready(directions: DataFrame, share: float = 0.85, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """For each capture: how much of the sphere is metered, whether that will do, and whether only highlights are waited for."""
     metered = F.avg(F.when(F.col("metered"), 1.0).otherwise(0.0))
     clipped = F.coalesce(F.bool_or(F.col("metered") & F.col("highlights_clipped")), F.lit(False))
-    return directions.agg(metered.alias("coverage"), ((metered >= share) & ~clipped).alias("ready"), ((metered >= share) & clipped).alias("waits_for_highlights"))
+    return directions.groupBy(*keys).agg(metered.alias("coverage"), ((metered >= share) & ~clipped).alias("ready"), ((metered >= share) & clipped).alias("waits_for_highlights"))
 
 
 def resolution_options(spark: SparkSession, widths: tuple[int, ...] = (8192, 4096, 2048)) -> DataFrame:
@@ -68,3 +69,31 @@ def resolution_options(spark: SparkSession, widths: tuple[int, ...] = (8192, 409
 
 def frame_duration(exposure_ns: Column, least_ns: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), exposure_ns, least_ns)
+
+
+def shot_totals(shots: DataFrame, keys: list[str]) -> DataFrame:
+    """shots: keys, seconds, stored, black_level -> shots, exposure seconds, stored frames and the mean black level."""
+    return shots.groupBy(*keys).agg(F.count("*").alias("shots"), F.sum("seconds").alias("seconds"), F.count_if("stored").alias("stored"), F.avg("black_level").alias("black_level"))
+
+
+def degrees(pairs: DataFrame) -> DataFrame:
+    """pairs: a, b -> frame, degree."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("frame"))
+    return ends.groupBy("frame").agg(F.count("*").alias("degree"))
+
+
+def merge_peak_bytes(pixels: Column, rungs: Column, factor: int) -> Column:
+    """What merging one bracket takes: its mosaic, its colour image, the rungs held and the result, shrunk by a factor."""
+    small = F.floor(pixels / (factor * factor))
+    colour = F.floor(pixels / 4) * 12 if factor >= 2 else pixels * 12
+    return pixels * 4 + colour + rungs * small * 12 + small * 16
+
+
+def merge_subsample(pixels: Column, rungs: Column, budget: Column, most: int = 8) -> Column:
+    """The least power of two, up to `most`, by which frames must shrink to merge within a budget; 1 if nothing is known."""
+    fits, factor = F.lit(False), 1
+    out = F.when((pixels <= 0) | (rungs <= 0) | (budget <= 0), 1)
+    while factor < most:
+        fits = merge_peak_bytes(pixels, rungs, factor) <= budget
+        out, factor = out.when(fits, factor), factor * 2
+    return out.otherwise(most)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +14,40 @@ from ..functions import geometry as g
 from ..functions.radiometry import feather
 
 
+BAND = 16  #: rows of the canvas that are pruned together
+
+
+BROADCAST_FRAMES = 10_000  #: frames of about 200 bytes that are broadcast at most
+
+
+def cones(frames: DataFrame, lens: Lens) -> DataFrame:
+    """frames: frame, rotation and others -> also axis, cos_limit, lat_min and lat_max of each frame's view cone."""
+    reach = g.max_angle(lens) + 1e-3
+    axis = g.vec(F.col("rotation")[2], F.col("rotation")[5], F.col("rotation")[8])
+    lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("axis.y"))))
+    out = frames.withColumn("axis", axis)
+    return out.withColumns({"cos_limit": F.lit(math.cos(min(math.pi, reach))), "lat_min": lat - reach, "lat_max": lat + reach})
+
+
+def touched_bands(coned: DataFrame, height: int, rows: int = BAND) -> DataFrame:
+    """A row for each band of canvas rows that a frame's cone touches: band from 0, others kept."""
+    band = F.col("band")
+    top, bottom = g.latitude(band * rows, height), g.latitude(F.least(band * rows + rows, F.lit(height)) - 1, height)
+    spread = coned.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(-(-height // rows) - 1))))
+    return spread.where((F.col("lat_max") - F.col("lat_min") >= math.pi) | ((F.col("lat_max") >= bottom) & (F.col("lat_min") <= top)))
+
+
 def contributions(pixels: DataFrame, frames: DataFrame, width: int, height: int, lens: Lens, feather_pixels: float) -> DataFrame:
-    """pixels: y, x; frames: frame, rotation (camera to world), gain; tens of rows, broadcast.
+    """pixels: y, x; frames: frame, rotation (camera to world), gain.
 
-    Every frame that sees a pixel's centre, with where it falls there and its feather weight.
+    Every frame that sees a pixel's centre, with where it falls there and its feather weight. Pixels meet only the
+    frames whose cone touches their band of rows, then those whose cone holds them. The frames of one sphere are tens;
+    beyond BROADCAST_FRAMES they are joined by shuffle.
     """
+    near = touched_bands(cones(frames, lens), height).select("band", "frame", "rotation", "gain", "axis", "cos_limit")
+    near = F.broadcast(near) if frames.limit(BROADCAST_FRAMES + 1).count() <= BROADCAST_FRAMES else near
     d = g.direction(F.col("x"), F.col("y"), width, height)
-    met = pixels.withColumn("d_", d).join(F.broadcast(frames))
+    met = pixels.withColumns({"d_": d, "band": F.floor(F.col("y") / BAND).cast("int")}).join(near, "band").where(g.dot(F.col("d_"), F.col("axis")) >= F.col("cos_limit"))
     seen = met.withColumn("p_", g.project(g.rotate(F.col("rotation"), F.col("d_"), transposed=True), lens))
     inside = F.col("p_.u").between(-0.5, lens.width - 0.5) & F.col("p_.v").between(-0.5, lens.height - 0.5)
     w = feather(F.col("p_.u"), F.col("p_.v"), lens.width, lens.height, feather_pixels)
@@ -36,6 +66,52 @@ def covered_fraction(pixels: DataFrame, composed: DataFrame, keys: list[str]) ->
     return pixels.join(composed, keys, "left").agg(F.avg(F.when(F.coalesce(F.col("coverage"), F.lit(0.0)) > 0, 1.0).otherwise(0.0)).alias("covered"))
 
 
+def share_at(points: DataFrame, shares: DataFrame, width: int, height: int) -> DataFrame:
+    """points: id, u, v (0 to 1 over the canvas), label; shares: pixel, label, share of a seam grid -> id, share.
+
+    Between four pixels; rows close around the canvas, its upper and lower edge repeat; a label that a pixel doesn't
+    have has no share there.
+    """
+    fx, fy = F.col("u") * width - 0.5, F.col("v") * height - 0.5
+    x, y = F.floor(fx), F.floor(fy)
+    tap = lambda dy, dx: F.struct(
+        (F.greatest(F.lit(0), F.least(F.lit(height - 1), y + dy)) * width + F.pmod(x + dx, F.lit(width))).cast("long").alias("pixel"),
+        ((fx - x if dx else x + 1 - fx) * (fy - y if dy else y + 1 - fy)).alias("w"),
+    )
+    taps = points.select("id", "label", F.explode(F.array(*[tap(dy, dx) for dy in (0, 1) for dx in (0, 1)])).alias("t"))
+    met = taps.select("id", "label", "t.pixel", "t.w").join(shares.select(F.col("pixel").cast("long").alias("pixel"), "label", "share"), ["pixel", "label"], "left")
+    return met.groupBy("id").agg(F.sum(F.col("w") * F.coalesce("share", F.lit(0.0))).alias("share"))
+
+
+SEAMS = "labels array<int>, energy double"
+
+
+def solved_seams(samples: DataFrame, key: str, width: int, height: int, wrap: bool = True, cfg: Seam = Seam()) -> DataFrame:
+    """samples: key, pixel, label, log_value, weight -> key, labels by pixel, energy: seams of each sphere.
+
+    A seam problem is one sphere at preview size, so it is one task's; spheres are solved side by side.
+    """
+    kind = samples.schema[key].dataType.simpleString()
+    return samples.groupBy(key).applyInPandas(_seams(key, width, height, wrap, cfg), f"{key} {kind}, {SEAMS}")
+
+
+def _seams(key: str, width: int, height: int, wrap: bool, cfg: Seam):
+    at = np.arange(width * height).reshape(height, width)
+    across = [(at[:, :-1], at[:, 1:])] + ([(at[:, -1:], at[:, :1])] if wrap and width > 2 else [])
+    edges = np.concatenate([np.column_stack([a.ravel(), b.ravel()]) for a, b in [*across, (at[:-1], at[1:])]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from .cut import energy, label_seams
+
+        n = int(pdf["label"].max()) + 1
+        value, weight = np.full((width * height, n), np.nan), np.full((width * height, n), np.nan)
+        value[pdf["pixel"], pdf["label"]], weight[pdf["pixel"], pdf["label"]] = pdf["log_value"], pdf["weight"]
+        labels = label_seams(value, weight, edges, cfg)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "labels": [labels.tolist()], "energy": [energy(labels, value, weight, edges, cfg)]})
+
+    return run
+
+
 def candidates(samples: DataFrame, pixel: str = "pixel", cfg: Seam = Seam()) -> DataFrame:
     """The first candidates of each pixel by frame, as many as a seam problem holds; slot from 0."""
     order = Window.partitionBy(pixel).orderBy("label")

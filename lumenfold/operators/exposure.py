@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import radiometry as r
+from . import matching, raster
+from .statistics import exact_percentiles
 
 
 def merge(samples: DataFrame, keys: list[str], value: str = "v", exposure: str = "rel", gain: str = "gain", cfg: c.Merge = c.Merge()) -> DataFrame:
@@ -49,8 +51,8 @@ def meter(values: DataFrame, keys: list[str], value: str, exposure: Column, m: c
     s = values.groupBy(*keys).agg(
         F.avg(F.when(v >= m.saturation, 1.0).otherwise(0.0)).alias("clipped_fraction"),
         F.avg(F.when(v <= m.noise_floor, 1.0).otherwise(0.0)).alias("black_fraction"),
-        F.percentile(v, [m.low_percentile, 0.5, m.high_percentile]).alias("p"),
     )
+    s = s.join(exact_percentiles(values, keys, value, [m.low_percentile, 0.5, m.high_percentile]), keys)
     high, low, med = F.col("p")[2], F.col("p")[0], F.col("p")[1]
     clipped = (F.col("clipped_fraction") > m.clip_tolerance) & (high >= m.saturation)
     crushed = F.col("black_fraction") > m.black_tolerance
@@ -143,3 +145,42 @@ def nearest_rung(wanted: DataFrame, rungs: DataFrame, key: str, rel: str) -> Dat
     steps = rungs.agg(F.collect_list(F.struct("rung", "rel")).alias("steps_"))
     best = F.array_min(F.transform("steps_", lambda s: F.struct(F.round(F.abs(F.ln(s["rel"] / F.col(rel))), 12).alias("d"), s["rung"].alias("rung"))))
     return wanted.join(F.broadcast(steps)).select(key, rel, best["rung"].alias("rung"))
+
+
+def read_brackets(pixels: DataFrame, plan: DataFrame, width: int, height: int, reductions: int = 0) -> DataFrame:
+    """pixels: target, rung, y, x, v, mosaics; plan: target, rung -> place, y, x, r, g, b of complete brackets.
+
+    A direction without one of its rungs is left out; places number a bracket's rungs from 0. Mosaics are taken at
+    half resolution, then halved `reductions` times. Only the plan's rungs are read.
+    """
+    frames = pixels.select("target", "rung").distinct()
+    whole = matching.complete(frames, plan, "target", "rung").select("target")
+    wanted = plan.join(whole, "target", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("rung")) - 1)
+    rgb = raster.half_resolution(pixels.join(wanted, ["target", "rung"]), ["target", "rung", "place"])
+    for _ in range(reductions):
+        width, height = width // 2, height // 2
+        cell = rgb.where((F.col("x") < width // 2 * 2) & (F.col("y") < height // 2 * 2))
+        rgb = cell.groupBy("target", "rung", "place", F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(*[F.avg(c).alias(c) for c in "rgb"])
+    return rgb
+
+
+def extended(scenes: DataFrame, ladder: Column, darkest: float, ev_step: float, most: int) -> DataFrame:
+    """scenes: wanted, first, last and others; ladder: exposures, rising -> also added, new_first and new_last.
+
+    A run that must reach a darker exposure takes darker rungs of the ladder first, then new ones `ev_step` below it
+    as far as the device goes, and gives up bright ones beyond `most`; numbers follow the longer ladder.
+    """
+    start = F.struct(F.col("first").alias("first"), F.lit(0).alias("added"), F.get(ladder, F.col("first")).alias("at"), F.get(ladder, F.lit(0)).alias("bottom"))
+
+    def step(s: Column, _: Column) -> Column:
+        reach = s["at"] > F.col("wanted") * (1 + 1e-9)
+        darker = F.greatest(F.lit(darkest), s["bottom"] / 2**ev_step)
+        inside, grows = s["first"] > 0, darker < s["bottom"] * (1 - 1e-9)
+        down = F.struct((s["first"] - 1).alias("first"), s["added"].alias("added"), F.get(ladder, s["first"] - 1).alias("at"), s["bottom"].alias("bottom"))
+        new = F.struct(s["first"].alias("first"), (s["added"] + 1).alias("added"), darker.alias("at"), darker.alias("bottom"))
+        return F.when(reach & inside, down).when(reach & grows, new).otherwise(s)
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(c.Bracket().max_rungs * 2)), start, step)
+    out = scenes.withColumn("e_", end)
+    last = F.least(F.col("last") + F.col("e_.added"), F.col("e_.first") + most - 1)
+    return out.select(*scenes.columns, F.col("e_.added").alias("added"), F.col("e_.first").alias("new_first"), last.alias("new_last"))

@@ -110,6 +110,21 @@ def detection_image(radiance: np.ndarray, width: int = 640) -> np.ndarray:
     return np.clip((log - low) / max(high - low, 1e-3), 0, 1)
 
 
+CORNERS = "frame_id long, y int, x int, score double"
+
+
+def frame_corners(frames: DataFrame, threshold: float, border: int = 24, most: int = 800) -> DataFrame:
+    """frames: frame_id, width, height, data, one channel -> the corners of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                at = corners(np.asarray(r.data, float).reshape(r.height, r.width), threshold, border, most)
+                yield pd.DataFrame({"frame_id": r.frame_id, "y": at[:, 1].astype(int), "x": at[:, 0].astype(int), "score": at[:, 2]})
+
+    return frames.select("frame_id", "width", "height", "data").mapInPandas(run, CORNERS)
+
+
 FEATURES = "frame_id long, kp_id int, x float, y float, score float, angle float, desc array<bigint>"
 
 

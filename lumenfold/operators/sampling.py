@@ -44,6 +44,21 @@ def shared_positions(pairs: DataFrame, positions: DataFrame, rotations: DataFram
     return seen.where(g.visible(F.col("d_"), lens)).withColumn("p_", g.project(F.col("d_"), lens)).select("a", "b", "sample", "x", "y", F.col("p_.u").alias("u"), F.col("p_.v").alias("v"))
 
 
+def valued_pairs(positions: DataFrame, pixels: DataFrame, least: float = 1e-6) -> DataFrame:
+    """positions: a, x, y, b, xb, yb and others; pixels: frame, y, x, v -> also va and vb, where both are above `least`."""
+    value = lambda side, x, y, n: pixels.select(F.col("frame").alias(side), F.col("x").alias(x), F.col("y").alias(y), F.col("v").alias(n))
+    both = positions.join(value("a", "x", "y", "va"), ["a", "x", "y"]).join(value("b", "xb", "yb", "vb"), ["b", "xb", "yb"])
+    return both.where((F.col("va") > least) & (F.col("vb") > least))
+
+
+def with_previous(frames: DataFrame, keys: list[str], order: str, direction: str, gate_deg: float) -> DataFrame:
+    """keys, order, before, turned, parallax: each frame with the one before it, and whether the camera turned enough."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    seen = frames.withColumns({"before": F.lag(order).over(w), "was_": F.lag(direction).over(w)}).where("before is not null")
+    turned = g.angle(F.col(direction), F.col("was_"))
+    return seen.select(*keys, order, "before", turned.alias("turned"), (F.degrees(turned) >= gate_deg).alias("parallax"))
+
+
 def photometric_samples(shared: DataFrame, pixels: DataFrame, least: float = 1e-6) -> DataFrame:
     """shared: as above; pixels: frame, y, x, v -> a, b, va, vb, w of positions where both are above `least`."""
     value = lambda side, x, y, n: pixels.select(F.col("frame").alias(side), F.col("x").alias(x), F.col("y").alias(y), F.col("v").alias(n))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import hat_weight, level
@@ -184,6 +184,107 @@ def initial_rotations(pairs: list[tuple[int, int, int, np.ndarray]], priors: lis
     return out, placed, prior_only
 
 
+def grown(pairs: DataFrame) -> DataFrame:
+    """pairs: a, b, inliers, rotation from b to a -> frame, rotation of what grows from the strongest pair.
+
+    Pairs of one sphere, tens to thousands; their growth is sequential and happens on the driver.
+    """
+    order = strongest_first(pairs.withColumn("pair", F.struct("a", "b")), []).orderBy("place").select("a", "b", "inliers", "rotation").collect()
+    placed = spanning_rotations([(r["a"], r["b"], r["inliers"], np.array(r["rotation"]).reshape(3, 3)) for r in order], 0)
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("frame"), F.array(*[F.lit(float(v)) for v in m.ravel()]).alias("rotation")) for k, m in placed.items()])
+    return pairs.sparkSession.range(1).select(F.inline(rows))
+
+
+def strongest_first(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs: keys, pair, inliers and others -> also place: most inliers first, pair order among equals."""
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("inliers").desc(), "pair")))
+
+
+def _nearest_rotation(m: np.ndarray) -> np.ndarray:
+    u, _, vt = np.linalg.svd(m)
+    return u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))]) @ vt
+
+
+def orthonormal(matrices: DataFrame, name: str) -> DataFrame:
+    """The rotation nearest to each matrix of nine values, in place of it."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{name: [_nearest_rotation(np.array(m, float).reshape(3, 3)).ravel().tolist() for m in batch[name]]})
+
+    return matrices.mapInPandas(nearest, matrices.schema)
+
+
+def _matrix_sums(products: list[Column], keys: list[str], rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.array(*[F.sum(p) for p in products]).alias("sums_"))
+
+
+def pose_consensus(poses: DataFrame, keys: list[str]) -> DataFrame:
+    """poses: keys, solved, reference -> keys, rotation: the one that best takes solved poses to their references.
+
+    Nine sums for each key, combined before the shuffle; no poses are gathered.
+    """
+    solved, reference = F.col("solved"), F.col("reference")
+    product = [reference[3 * i] * solved[3 * j] + reference[3 * i + 1] * solved[3 * j + 1] + reference[3 * i + 2] * solved[3 * j + 2] for i in range(3) for j in range(3)]
+    return orthonormal(_matrix_sums(product, keys, poses), "sums_").withColumnRenamed("sums_", "rotation")
+
+
+def pose_horizon(poses: DataFrame, keys: list[str], floor: float = 0.05) -> DataFrame:
+    """poses: keys, rotation -> keys, up, confidence, tilt_deg: up is what horizontal axes have least in common with.
+
+    Sums for each key are combined before the shuffle; the tilt is a second pass against them.
+    """
+    m = F.col("rotation")
+    axis = [m[0], m[3], m[6]]
+    sums = _matrix_sums([axis[i] * axis[j] for i in range(3) for j in range(3)] + [-m[1], -m[4], -m[7]], keys, poses)
+
+    def up_of(batch: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in batch:
+            x = np.array(row, float)
+            moments, own = x[:9].reshape(3, 3), x[9:]
+            _, s, vt = np.linalg.svd(moments)
+            sure = max(0.0, float((s[1] - s[2]) / s[0])) if s[0] > 0 else 0.0
+            if sure >= floor:
+                up = vt[2] if vt[2] @ own >= 0 else -vt[2]
+            else:
+                up = own / np.linalg.norm(own) if own @ own > 1e-12 else np.array([0.0, 1.0, 0.0])
+            out.append((*up, sure))
+        return pd.DataFrame(out, columns=["x", "y", "z", "confidence"])
+
+    found = sums.select(*keys, F.pandas_udf(up_of, "x double, y double, z double, confidence double")("sums_").alias("up"))
+    lean = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), axis[0] * F.col("up.x") + axis[1] * F.col("up.y") + axis[2] * F.col("up.z"))))
+    tilt = poses.join(found, keys).groupBy(*keys).agg(F.degrees(F.sqrt(F.avg(lean * lean))).alias("tilt_deg"))
+    return found.join(tilt, keys).select(*keys, "up", F.col("up.confidence").alias("confidence"), "tilt_deg")
+
+
+def rising(levels: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
+    """keys, level and linear: each response table made to rise, 1 at its top."""
+    w = Window.partitionBy(*keys)
+    return levels.withColumn("linear", F.max(value).over(w.orderBy(level)) / F.max(value).over(w))
+
+
+def min_cuts(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """nodes: key, node, source, sink; edges: key, a, b, capacity both ways -> key, flow, sides of each network.
+
+    A network fits a task; networks are solved side by side.
+    """
+
+    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        from .cut import Network
+
+        net = Network(int(n["node"].max()) + 1)
+        for r in n.itertuples():
+            net.terminal(int(r.node), r.source, r.sink)
+        for r in e.itertuples():
+            net.edge(int(r.a), int(r.b), r.capacity, r.capacity)
+        return pd.DataFrame({key: [n[key].iloc[0]], "flow": [net.flow()]})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    edges = edges.select(F.col(key).alias("of_"), "a", "b", "capacity")
+    return nodes.groupBy(key).cogroup(edges.groupBy("of_")).applyInPandas(run, f"{key} {kind}, flow double")
+
+
 def bundle_equations(matches: DataFrame, rotations: list[np.ndarray], huber: float) -> tuple[np.ndarray, np.ndarray, float]:
     """J^T J, J^T r and the robust cost of matches (a, b, px..qz, w), summed over the cluster.
 
@@ -298,3 +399,30 @@ def vignette(observations: DataFrame, rounds: int = 25) -> tuple[float, float]:
     return a2, a4
 
 
+
+
+def vignettes(observations: DataFrame, keys: list[str], rounds: int = 25) -> DataFrame:
+    """observations: keys, r1, r2, ratio -> keys, a2, a4 of each scene; all scenes take their damped steps together.
+
+    A round is one aggregate of six sums a scene; scenes' states are joined to their observations, the larger side,
+    of which none is gathered.
+    """
+    from .graph import settle
+
+    col = F.col
+    state = settle(observations.select(*keys).distinct().withColumns({"a2": F.lit(0.0), "a4": F.lit(0.0)}), "vignette")
+    for _ in range(rounds):
+        f = lambda r: F.greatest(F.lit(1e-3), F.pow(r, F.lit(2.0)) * col("a2") + F.pow(r, F.lit(4.0)) * col("a4") + 1.0)
+        seen = observations.join(state, keys).withColumns({"f1": f(col("r1")), "f2": f(col("r2"))})
+        miss = F.ln("f1") - F.ln("f2") - F.ln("ratio")
+        j2, j4 = (F.pow("r1", F.lit(p)) / col("f1") - F.pow("r2", F.lit(p)) / col("f2") for p in (2.0, 4.0))
+        s = seen.groupBy(*keys, "a2", "a4").agg(*[F.sum(x).alias(n) for n, x in (("h22", j2 * j2), ("h24", j2 * j4), ("h44", j4 * j4), ("g2", j2 * miss), ("g4", j4 * miss))])
+        h22, h44 = col("h22") + 1e-9, col("h44") + 1e-9
+        det = h22 * h44 - col("h24") * col("h24")
+        d2, d4 = (col("h24") * col("g4") - h44 * col("g2")) / det, (col("h24") * col("g2") - h22 * col("g4")) / det
+        bound = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
+        state = settle(s.select(*keys, bound(col("a2") + d2).alias("a2"), bound(col("a4") + d4).alias("a4"), F.greatest(F.abs(d2), F.abs(d4)).alias("step")), "vignette")
+        if (state.agg(F.max("step")).first()[0] or 0.0) < 1e-9:
+            break
+        state = state.drop("step")
+    return state.select(*keys, "a2", "a4")

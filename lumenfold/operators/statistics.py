@@ -2,22 +2,99 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import log2, positive
 
 
-def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The element n div 2 of each key's sorted values, from 0, without interpolation.
+SLICES = 256  #: slices of the value range that a pass tells apart
+
+
+def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """keys, at: for each key the values at these ranks, from 0, of its sorted values; ranks follow from their count.
 
-    As a percentile of frequencies: sorted distinct values meet their counts, so repeats cost nothing.
+    Two passes and no sort of a key's values: counts by slice of the key's range say in which slices the ranks lie
+    (partial sums, at most SLICES a key), then only the values of these slices are gathered, by distinct value with its
+    count. A key with a third of all rows is as many slices as any other. Null and NaN don't count.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*keys, value).count()
-    order = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    at = counts.withColumns({"upto": F.sum("count").over(order), "all": F.sum("count").over(whole)})
-    return at.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))
+    v = F.col(value).cast("double")
+    if not keys:
+        return _whole_statistics(values.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("o_v")), ranks)
+    named = by = [f"o_{k}" for k in range(len(keys))]
+    use = values.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], v.alias("o_v"))
+    ends = use.groupBy(*by).agg(F.min("o_v").alias("o_low"), F.max("o_v").alias("o_high"), F.count("*").alias("o_n"))
+    met = _same(use, ends, by)
+    width = (F.col("o_high") - F.col("o_low")) / SLICES
+    cell = F.when(width > 0, F.least(F.lit(SLICES - 1), F.floor((F.col("o_v") - F.col("o_low")) / width))).otherwise(F.lit(0)).cast("int")
+    counts = met.groupBy(*by, "o_n", cell.alias("o_cell")).agg(F.count("*").alias("o_c"))
+    upto = F.sum("o_c").over(Window.partitionBy(*by).orderBy("o_cell"))
+    wanted = counts.withColumn("o_upto", upto).withColumn("o_rank", F.explode(F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("o_n"))]))))
+    wanted = wanted.where((F.col("o_rank") >= F.col("o_upto") - F.col("o_c")) & (F.col("o_rank") < F.col("o_upto")))
+    wanted = wanted.select(*by, "o_n", "o_cell", "o_rank", (F.col("o_upto") - F.col("o_c")).alias("o_before"))
+    inside = _same(met.withColumn("o_cell", cell), wanted.select(*by, "o_cell").distinct(), [*by, "o_cell"])
+    exact = inside.groupBy(*by, "o_cell", "o_v").agg(F.count("*").alias("o_c"))
+    exact = exact.withColumn("o_upto", F.sum("o_c").over(Window.partitionBy(*by, "o_cell").orderBy("o_v")))
+    at = _same(exact, wanted, [*by, "o_cell"]).withColumn("o_local", F.col("o_rank") - F.col("o_before"))
+    at = at.where((F.col("o_local") >= F.col("o_upto") - F.col("o_c")) & (F.col("o_local") < F.col("o_upto")))
+    out = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("o_rank", "o_v"))).alias("at"), F.first("o_n").alias("n"))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], "n", "at")
+
+
+def _whole_statistics(values: DataFrame, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """n, at of a whole table: the range of each rank narrows SLICES times a pass, until it holds one value.
+
+    A pass sums the counts of SLICES slices, which reach the driver; no task sees more than its share.
+    """
+    spark = values.sparkSession
+    low, high, n = values.agg(F.min("o_v"), F.max("o_v"), F.count("*")).first()
+    if not n:
+        return values.select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("map<bigint,double>").alias("at")).limit(0)
+    found = {}
+    wanted = spark.range(1).select(*[r.cast("long").alias(f"r{k}") for k, r in enumerate(ranks(F.lit(n)))]).first()
+    for rank in sorted(set(wanted)):
+        a, b, before = low, high, 0
+        while a < b:
+            width = (b - a) / SLICES
+            inside = values.where((F.col("o_v") >= a) & (F.col("o_v") <= b))
+            cell = F.least(F.lit(SLICES - 1), F.floor((F.col("o_v") - a) / width)).cast("int") if width > 0 and a + width > a else (F.col("o_v") > a).cast("int")
+            sums = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("o_v").alias("a"), F.max("o_v").alias("b")).orderBy("c").collect()
+            for s in sums:
+                if rank < before + s["n"]:
+                    a, b = s["a"], s["b"]
+                    break
+                before += s["n"]
+        found[rank] = a
+    at = F.create_map(*[F.lit(x) for k, x in found.items() for x in (int(k), float(x))])
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), at.cast("map<bigint,double>").alias("at"))
+
+
+def _same(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """An inner join on keys that may be null; the columns of both, keys once."""
+    other = right.select(*[F.col(k).alias(f"{k}_r") if k in by else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in by]
+    return left.join(other, on).drop(*[f"{k}_r" for k in by])
+
+
+def exact_percentiles(values: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, p: exact percentiles, interpolated linearly at share * (n - 1)."""
+    ends = lambda n: [f(F.lit(s) * (n - 1)) for s in shares for f in (F.floor, F.ceil)]
+    got = order_statistics(values, keys, value, ends)
+
+    def between(s: float) -> Column:
+        at = F.lit(s) * (F.col("n") - 1)
+        low, high = (F.element_at("at", f(at).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (at - F.floor(at))
+
+    return got.select(*keys, F.array(*[between(s) for s in shares]).alias("p"))
+
+
+def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The element n div 2 of each key's sorted values, from 0, without interpolation."""
+    got = order_statistics(values, keys, value, lambda n: [F.floor(n / 2)])
+    return got.select(*keys, F.element_at("at", F.floor(F.col("n") / 2).cast("long")).alias("median"))
 
 
 def log_key(values: DataFrame, keys: list[str], value: str, grey: float = 0.18) -> DataFrame:

@@ -98,7 +98,34 @@ def frame_features(spark, sf):
     return features.features(frames)
 
 
-@query("")
+REPLAY = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type AS k, epoch_us(ts) * 1000 AS tm, CAST(event_id % 3 AS INT) AS t, CAST(event_id % 4 AS INT) AS b, CAST(event_id % 2 AS INT) AS br FROM events),
+r AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, 'CAPTURING' AS state, CAST(NULL AS BIGINT) AS steady, CAST(0 AS BIGINT) AS free_at, 0 AS burst, 0 AS target, CAST(0 AS BIGINT) AS began, 0 AS got, 0 AS shot, 0 AS gone, [0, 0, 0] AS att, false AS any_frame, 0 AS bursts, 0 AS stored
+  FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, n, state3, steady2, free2, CASE WHEN fire THEN bursts + 1 ELSE burst2 END, CASE WHEN fire THEN t ELSE target END, CASE WHEN fire THEN tm ELSE began END,
+    CASE WHEN fire OR ended THEN 0 WHEN fresh THEN got | (1 << br) ELSE got END, shot2, gone2, att2, any_frame OR arrived, CASE WHEN fire THEN bursts + 1 ELSE bursts END, CASE WHEN fresh THEN stored + 1 ELSE stored END
+  FROM (
+    SELECT *, live AND k = 'view' AND state3 = 'CAPTURING' AND burst2 = 0 AND ((shot2 | gone2) >> t) & 1 = 0 AND tm - steady2 >= 150000000 AND tm >= free2 AS fire, arrived AND (got >> br) & 1 = 0 AS fresh
+    FROM (
+      SELECT *, CASE WHEN ended AND state2 = 'CAPTURING' AND (shot2 | gone2) = 7 THEN 'FINISHED' ELSE state2 END AS state3, CASE WHEN fin THEN tm + 250000000 ELSE free_at END AS free2,
+        CASE WHEN live AND k = 'view' THEN coalesce(steady, tm) ELSE steady END AS steady2, CASE WHEN ended THEN 0 ELSE burst END AS burst2, live AND k = 'click' AND burst > 0 AND b = burst AS arrived
+      FROM (
+        SELECT *, CASE WHEN gave AND NOT any_frame THEN 'FAILED' ELSE state END AS state2, CASE WHEN ok THEN shot | (1 << target) ELSE shot END AS shot2, CASE WHEN gave AND any_frame THEN gone | (1 << target) ELSE gone END AS gone2,
+          list_transform(range(1, 4), lambda i: CASE WHEN ended AND NOT ok AND i = target + 1 THEN att[i] + 1 ELSE att[i] END) AS att2
+        FROM (
+          SELECT *, ended AND NOT ok AND att[target + 1] + 1 >= 3 AS gave
+          FROM (
+            SELECT *, expired OR fin OR failed AS ended, fin AND bit_count(got) >= [1, 1, 2][target + 1] AS ok
+            FROM (
+              SELECT *, live AND k = 'view' AND burst > 0 AND tm - began > CASE WHEN any_frame THEN 12000000000 ELSE 4000000000 END AS expired, live AND k IN ('purchase', 'signup') AND burst > 0 AND b = burst AS fin, live AND k = 'error' AND burst > 0 AS failed
+              FROM (SELECT r.* REPLACE (e.n AS n), e.k, e.tm, e.t, e.b, e.br, r.state = 'CAPTURING' AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))))))
+)
+SELECT CAST(user_id AS VARCHAR) AS capture, state, CAST(bit_count(shot) AS INT) AS shot, CAST(bit_count(gone) AS INT) AS abandoned, stored, bursts, bit_count(shot) / 3.0 AS progress
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS last FROM r) WHERE last = 1"""
+
+
+@query(REPLAY)
 def capture_replay(spark, sf):
     """Each user's events as one capture, folded by the state machine."""
     from ..streaming.controller import fold

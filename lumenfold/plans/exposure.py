@@ -151,7 +151,7 @@ def suggest_exposure(spark, sf):
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.02), 6) AS p02, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.98), 6) AS p98 FROM orders GROUP BY 1")
 def exact_percentile(spark, sf):
-    p = read(spark, sf, "orders", "o_orderpriority", "o_totalprice").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", [0.02, 0.5, 0.98]).alias("p"))
+    p = statistics.exact_percentiles(read(spark, sf, "orders", "o_orderpriority", "o_totalprice"), ["o_orderpriority"], "o_totalprice", [0.02, 0.5, 0.98])
     return p.select("o_orderpriority", *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p02", "p50", "p98"))])
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import devices, exposure, scene
+from . import capture, devices, exposure, formats, scene
 
-MODULES = (exposure, scene, devices)
+MODULES = (exposure, scene, devices, formats, capture)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -314,12 +314,15 @@ def gain_normal_equations(spark, sf):
     return rounded(solve.gain_equations(photometric(spark, sf)), w=4, wr=4)
 
 
-@query("")
+@query("SELECT CAST(range AS INT) AS frame, round(exp((range * 5 % 12 - 5.5) / 20), 6) AS gain FROM range(12)")
 def gain_solve(spark, sf):
-    """Robust gains of twelve frames; solved on the driver from sums."""
-    gains = solve.gains(photometric(spark, sf), 12, rounds=4)
+    """Robust gains of twelve frames, solved on the driver from sums; the samples follow known gains."""
+    log = lambda k: (k * 5 % 12 - 5.5) / 20
+    p = photometric(spark, sf)
+    seen = p.withColumn("vb", F.col("va") * F.exp(log(F.col("a")) - log(F.col("b"))))
+    gains = solve.gains(seen, 12, ridge=1e-9, rounds=4)
     table = F.array(*[F.lit(v) for v in gains])
-    return spark.range(12).select(F.col("id").cast("int").alias("frame"), F.element_at(table, F.col("id").cast("int") + 1).alias("gain"))
+    return spark.range(12).select(F.col("id").cast("int").alias("frame"), F.round(F.element_at(table, F.col("id").cast("int") + 1), 6).alias("gain"))
 
 
 def bearings(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,13 +341,13 @@ def kabsch_sums(spark, sf):
 T = math.sqrt(0.02**2 + 0.3**2 + 0.1**2)
 
 
-@query("")
+@query(f"SELECT c_nationkey, CAST(count(*) AS INT) AS matches, CAST(count(*) AS INT) AS inliers, round({T!r}, 6) AS angle FROM customer GROUP BY 1 HAVING count(*) > 1")
 def pair_rotation(spark, sf):
     """The rotation of each nation's bearings by consensus."""
     m = bearings(spark, sf).select("c_nationkey", *[F.col(f"{v}.{a}").alias(v + a) for v in "pq" for a in "xyz"])
     out = solve.pair_rotations(m, ["c_nationkey"])
     angle = g.rotation_angle(F.col("rotation"))
-    return out.select("c_nationkey", "matches", "inliers", F.round(angle, 9).alias("angle"))
+    return out.where("matches > 1").select("c_nationkey", "matches", "inliers", F.round(angle, 6).alias("angle"))
 
 
 @query("SELECT c_nationkey, round(degrees(sqrt(0.0)), 6) + 0.0 AS rms_deg FROM customer GROUP BY 1")
@@ -377,7 +380,21 @@ def feather_weight(spark, sf):
     return grid(spark, 48, 32).select("y", "x", F.round(r.feather(F.col("x"), F.col("y"), 48, 32, 10.0), 9).alias("w"))
 
 
-@query("")
+SPHERE = f"""WITH plan AS ({SQL["capture_plan_rings"]}),
+f AS (SELECT target, -sin(radians(yaw)) * cos(radians(pitch)) AS fx, sin(radians(pitch)) AS fy, cos(radians(yaw)) * cos(radians(pitch)) AS fz FROM plan),
+u AS (SELECT *, CASE WHEN abs(fy) > 0.999 THEN fx * fz ELSE fx * fy END AS ax, CASE WHEN abs(fy) > 0.999 THEN fy * fz ELSE fy * fy - 1 END AS ay, CASE WHEN abs(fy) > 0.999 THEN fz * fz - 1 ELSE fz * fy END AS az FROM f),
+n AS (SELECT target, fx, fy, fz, ax / m AS dx, ay / m AS dy, az / m AS dz FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS m FROM u)),
+t AS (SELECT *, dy * fz - dz * fy AS rx, dz * fx - dx * fz AS ry, dx * fy - dy * fx AS rz FROM n),
+p AS (SELECT CAST(range // {WIDTH} AS INT) AS y, CAST(range % {WIDTH} AS INT) AS x, (range % {WIDTH} + 0.5) / {WIDTH} * 2 * pi() - pi() AS lon, pi() / 2 - (range // {WIDTH} + 0.5) / {HEIGHT} * pi() AS lat FROM range({WIDTH * HEIGHT})),
+d AS (SELECT y, x, -sin(lon) * cos(lat) AS a, sin(lat) AS b, cos(lon) * cos(lat) AS c FROM p),
+s AS (SELECT y, x, a * rx + b * ry + c * rz AS cx, a * dx + b * dy + c * dz AS cy, a * fx + b * fy + c * fz AS cz FROM d, t),
+i AS (SELECT y, x, {c.Lens().fx} * cx / cz + {c.Lens().cx} AS u, {c.Lens().fy} * cy / cz + {c.Lens().cy} AS v FROM s WHERE cz > 1e-12),
+w AS (SELECT *, greatest(0.0, least(1.0, least(u + 0.5, 799.5 - u, v + 0.5, 599.5 - v) / 60)) AS k FROM i WHERE u BETWEEN -0.5 AND 799.5 AND v BETWEEN -0.5 AND 599.5),
+q AS (SELECT *, k * k * (3 - 2 * k) AS g FROM w)
+SELECT y, x, round(sum(g * (u + v) / 1400) / sum(g), 6) AS value, round(sum(g), 6) AS coverage, count(*) AS contributors FROM q WHERE g > 0 GROUP BY 1, 2"""
+
+
+@query(SPHERE)
 def composite_sphere(spark, sf):
     """Frames of a whole capture plan blended onto the sphere by inverse mapping."""
     from ..operators.planning import capture_plan
