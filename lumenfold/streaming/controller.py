@@ -7,6 +7,7 @@ is a key, and captures run side by side.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -14,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..config import Meter
+
 #: Fixed values.
 DWELL_NS, LOCKOUT_NS = 150_000_000, 250_000_000
 BURST_NS, FIRST_FRAME_NS = 12_000_000_000, 4_000_000_000
 ATTEMPTS, STORE_FAILURES = 3, 3
+DARKER_RUNGS = 4
 
 
 @dataclass
@@ -40,6 +44,12 @@ class Capture:
     failures: int = 0
     stored: int = 0
     message: str = ""
+    metered: dict[str, list[float]] = field(default_factory=dict)  #: low, high, log median, 1 if clipped, of each direction swept
+    exposure: float = 0.0  #: what the metering preview is asked for, 0 if nothing yet
+    commands: int = 0  #: how often that changed
+    clipped: dict[str, float] = field(default_factory=dict)  #: share clipped in the darkest rung of each direction
+    darker: dict[str, int] = field(default_factory=dict)  #: rungs added to each direction
+    lower_bound: bool = False  #: whether a direction stayed burnt out at the shortest exposure
 
     def pending(self) -> list[str]:
         return [t for t in self.targets if t not in self.shot and t not in self.abandoned]
@@ -61,12 +71,54 @@ def _settle(c: Capture, ok: bool) -> None:
         c.state = "FINISHED"
 
 
+def _meter(c: Capture, e: dict) -> None:
+    """A preview frame of the sweep: low, high, median, clipped, clipped_fraction, high_value, exposure; target if it
+    points at one. Statistics unite per direction; an exposure is asked for only where it changes."""
+    if e.get("target") is not None:
+        low, high, log, burnt = c.metered.get(e["target"], [math.inf, 0.0, math.log(max(e["median"], 1e-12)), 0.0])
+        c.metered[e["target"]] = [min(low, e["low"]), max(high, e["high"]), (log + math.log(max(e["median"], 1e-12))) / 2, max(burnt, float(e["clipped"]))]
+    m = Meter()
+    if e["clipped"] or not m.target_low <= e["high_value"] <= m.target_high:
+        if e["clipped"]:
+            wanted = e["exposure"] / (8 if e["clipped_fraction"] > 0.2 else 4 if e["clipped_fraction"] > 0.05 else 2)
+        else:
+            wanted = e["exposure"] * min(m.max_step, max(1 / m.max_step, m.target / max(e["high_value"], 1e-9)))
+        if abs(wanted - c.exposure) > 1e-12 * wanted:
+            c.exposure, c.commands = wanted, c.commands + 1
+
+
+def _shoot_again(c: Capture, e: dict) -> bool:
+    """Whether a direction that came back burnt out gets a darker rung and is shot again; `darkest` says that it can't."""
+    m = Meter()
+    share = c.clipped.get(c.target, 0.0)
+    if share <= m.clip_tolerance or share < 1 - m.high_percentile:
+        return False
+    if c.darker.get(c.target, 0) >= DARKER_RUNGS or e.get("darkest"):
+        c.lower_bound, c.message = True, "brighter than this camera can read; the top is a lower bound"
+        return False
+    c.darker[c.target] = c.darker.get(c.target, 0) + 1
+    c.targets[c.target] += 1
+    c.burst, c.target, c.got = 0, "", []
+    return True
+
+
 def advance(c: Capture, e: dict) -> Capture:
-    """One event: kind, now_ns, and by kind burst_id, target, bracket, stable, stored, fatal."""
+    """One event: kind, now_ns, and by kind burst_id, target, bracket, stable, stored, clipped, fatal."""
     kind, now = e["kind"], e["now_ns"]
+    if kind == "scan" and c.state == "IDLE":
+        c.state = "SCANNING"
+        return c
     if kind == "plan":
         c.targets, c.state = dict(e["targets"]), "CAPTURING"
         return c
+    if kind == "resume":
+        c.targets, c.shot = dict(e["targets"]), list(e["shot"])
+        c.stored = sum(c.targets[t] for t in c.shot)
+        c.state = "CAPTURING" if c.pending() else "FINISHED"
+        return c
+    if kind == "preview" and c.state == "SCANNING":
+        _meter(c, e)
+        return c
     if c.state != "CAPTURING":
         return c
     if kind == "orientation":
@@ -91,11 +143,15 @@ def advance(c: Capture, e: dict) -> Capture:
                 c.state, c.message = "FAILED", "frames can't be stored"
             return c
         c.failures = 0
+        if e["bracket"] == 0 and "clipped" in e:
+            c.clipped[c.target] = e["clipped"]
         if e["bracket"] not in c.got:
             c.got.append(e["bracket"])
             c.stored += 1
     elif kind == "burst_finished" and c.burst and e.get("burst_id") == c.burst:
-        _settle(c, len(c.got) >= c.targets[c.target])
+        whole = len(c.got) >= c.targets[c.target]
+        if not (whole and _shoot_again(c, e)):
+            _settle(c, whole)
         c.free_at = now + LOCKOUT_NS
     elif kind == "busy" and c.burst:
         c.burst, c.target, c.got, c.free_at = 0, "", [], now + LOCKOUT_NS

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def pair(images: DataFrame, metas: DataFrame, key: str = "stamp") -> DataFrame:
-    """One pair for each timestamp on both sides; of several images or metadata, the last by id counts."""
-    last = lambda df: df.groupBy(key).agg(*[F.max(c).alias(c) for c in df.columns if c != key])
+    """One pair for each timestamp on both sides; of several images or metadata, the last row, by its columns in order, counts."""
+
+    def last(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c != key]
+        return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("last_")).select(key, "last_.*")
+
     return last(images).join(last(metas), key)
 
 
