@@ -2,9 +2,11 @@
 
 Patterns propose candidate spans. Four labelers - validity, gazetteer, context, edges - vote 1, 0 (abstain)
 or -1 on each. Votes are counted over all candidates; expectation-maximisation on these counts estimates how
-reliable each labeler is and how likely each vote pattern marks personal data; those likelihoods train a
-logistic span classifier, compiled into one column expression that decides on the added spans. Base spans
-stay whatever it says. What reaches the driver are counts per (kind, votes): 8 kinds x 3^4 patterns at most.
+reliable each labeler is and how likely each vote pattern marks personal data; those likelihoods are the targets
+of a logistic span classifier over what the labelers don't see - a span's length, its share of digits and what
+stands before and after it, each by kind - and over the cue words around it. It is compiled into one column
+expression that decides on the added spans. Base spans stay whatever it says. What reaches the driver are
+counts per kind, votes and shape: 8 x 3^4 x 4^4 patterns at most, whatever the number of texts.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, span_list, spans, table
+from .common import SCAN_BLOCK, cut, let, span_list, spans, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("spelled_email", "ssn", "iban", "local_phone")
@@ -49,7 +51,8 @@ DOMAINS = r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|ch|at|it|nl)$"
 CALLING_CODES = r"^\+(?:1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"
 LABELERS = ("valid", "gazetteer", "context", "edges")
-CANDIDATE = "array<struct<rank:int,start:int,end:int,kind:string,valid:int,gazetteer:int,context:int,edges:int>>"
+SHAPES = ("length", "digits", "lead", "tail")
+CANDIDATE = "array<struct<rank:int,start:int,end:int,kind:string,valid:int,gazetteer:int,context:int,edges:int,length:int,digits:int,lead:int,tail:int>>"
 AROUND = 32
 
 
@@ -97,8 +100,13 @@ def _gazetteer(kind: str, m: Column) -> Column:
     return F.lit(0)
 
 
+def _neighbour(ch: Column) -> Column:
+    """0 nothing, 1 white space, 2 a letter or digit, 3 any other mark."""
+    return F.when(F.length(ch) == 0, 0).when(ch.rlike(r"\s"), 1).when(ch.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3)
+
+
 def candidates(text: Column) -> Column:
-    """Every match of every pattern with the labelers' votes, by kind, then start."""
+    """Every match of every pattern with the labelers' votes and its shape, by kind, then start."""
 
     def of(rank: int, kind: str) -> Column:
         return F.transform(
@@ -112,6 +120,10 @@ def candidates(text: Column) -> Column:
                 _gazetteer(kind, s["match"]).alias("gazetteer"),
                 let(F.lower(s["before"]), lambda b: F.when(b.rlike(CUES[kind]), 1).when(b.rlike(AGAINST), -1).otherwise(0)).alias("context"),
                 F.when(s["before"].rlike(r"[\p{L}\p{N}_]$") | s["after"].rlike(r"^[\p{L}\p{N}_@]"), -1).otherwise(1).alias("edges"),
+                F.least(F.lit(3), F.floor(F.length(s["match"]) / 8)).cast("int").alias("length"),
+                F.floor(F.length(_digits(s["match"])) * 3 / F.length(s["match"])).cast("int").alias("digits"),
+                _neighbour(F.right(s["before"], F.lit(1))).alias("lead"),
+                _neighbour(s["after"]).alias("tail"),
             ),
         )
 
@@ -120,7 +132,7 @@ def candidates(text: Column) -> Column:
 
 @dataclass
 class SpanModel:
-    """What is learnt: a labeler's chance of each vote given the truth, and the classifier's weights."""
+    """What is learnt: a labeler's chance of each vote given the truth, and the classifier's weights by feature name."""
 
     prior: float = 0.5
     vote: dict[str, dict[int, tuple[float, float]]] = field(default_factory=dict)
@@ -130,63 +142,111 @@ class SpanModel:
         z = F.lit(self.weights.get("bias", 0.0))
         for name, w in sorted(self.weights.items()):
             column, _, value = name.partition("=")
-            if value:
-                z = z + F.when(s[column] == (F.lit(value) if column == "kind" else F.lit(int(value))), F.lit(w)).otherwise(F.lit(0.0))
+            kind, _, level = value.rpartition(":")
+            if column == "kind":
+                z = z + F.when(s["kind"] == value, F.lit(w)).otherwise(F.lit(0.0))
+            elif value:
+                z = z + F.when((s["kind"] == kind) & (s[column] == int(level)), F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
 
-def fit(counts: list[tuple[str, dict[str, int], int]], rounds: int = 50, steps: int = 400) -> SpanModel:
-    """counts: (kind, votes, n). EM over the votes, then logistic regression on EM's likelihoods."""
+def span_features(kind: str, votes: dict[str, int], shape: dict[str, int]) -> list[str]:
+    return ["bias", f"kind={kind}", f"context={kind}:{votes['context']}", *[f"{k}={kind}:{v}" for k, v in shape.items()]]
+
+
+def reliabilities(counts: list[tuple[dict[str, int], int]], rounds: int = 50) -> tuple[SpanModel, list[float]]:
+    """counts: (votes, n). Expectation-maximisation: the model of the labelers, and how likely each pattern is personal data."""
     model = SpanModel(vote={k: {1: (0.7, 0.2), 0: (0.2, 0.3), -1: (0.1, 0.5)} for k in LABELERS})
-    total = sum(n for *_, n in counts)
-    if not total:
-        return model
+    total = sum(n for _, n in counts)
     likely = [0.0] * len(counts)
-    for _ in range(rounds):
-        for i, (_, votes, _) in enumerate(counts):
+    for _ in range(rounds if total else 0):
+        for i, (votes, _) in enumerate(counts):
             yes, no = model.prior, 1 - model.prior
             for k, v in votes.items():
                 yes, no = yes * model.vote[k][v][0], no * model.vote[k][v][1]
             likely[i] = yes / (yes + no)
-        positive = sum(q * n for q, (*_, n) in zip(likely, counts, strict=True))
+        positive = sum(q * n for q, (_, n) in zip(likely, counts, strict=True))
         model.prior = min(0.99, max(0.01, positive / total))
         for k in LABELERS:
             for v in (-1, 0, 1):
-                a = sum(q * n for q, (_, votes, n) in zip(likely, counts, strict=True) if votes[k] == v)
-                b = sum((1 - q) * n for q, (_, votes, n) in zip(likely, counts, strict=True) if votes[k] == v)
+                a = sum(q * n for q, (votes, n) in zip(likely, counts, strict=True) if votes[k] == v)
+                b = sum((1 - q) * n for q, (votes, n) in zip(likely, counts, strict=True) if votes[k] == v)
                 model.vote[k][v] = ((a + 1) / (positive + 3), (b + 1) / (total - positive + 3))
-    names = [["bias", f"kind={kind}", *[f"{k}={v}" for k, v in votes.items()]] for kind, votes, _ in counts]
-    w = dict.fromkeys((x for row in names for x in row), 0.0)
+    return model, likely
+
+
+def fit(counts: list[tuple[str, dict[str, int], dict[str, int], int]], steps: int = 400) -> SpanModel:
+    """counts: (kind, votes, shape, n). EM over the votes, then logistic regression on EM's likelihoods."""
+    patterns: dict[tuple, int] = {}
+    for _, votes, _, n in counts:
+        key = tuple(votes[k] for k in LABELERS)
+        patterns[key] = patterns.get(key, 0) + n
+    model, likely = reliabilities([(dict(zip(LABELERS, key, strict=True)), n) for key, n in patterns.items()])
+    target = dict(zip(patterns, likely, strict=True))
+    rows: dict[tuple, list[float]] = {}
+    for kind, votes, shape, n in counts:
+        got = rows.setdefault(tuple(span_features(kind, votes, shape)), [0.0, 0.0])
+        got[0] += n
+        got[1] += n * target[tuple(votes[k] for k in LABELERS)]
+    total = sum(n for n, _ in rows.values())
+    w = dict.fromkeys((x for row in rows for x in row), 0.0)
     for _ in range(steps):
         grad = {k: 1e-4 * v for k, v in w.items()}
-        for row, q, (*_, n) in zip(names, likely, counts, strict=True):
+        for row, (n, positive) in rows.items():
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[x] for x in row)))))
             for x in row:
-                grad[x] += (p - q) * n / total
+                grad[x] += (p * n - positive) / total
         for x, g in grad.items():
-            w[x] -= 1.0 * g
+            w[x] -= g
     model.weights = w
     return model
 
 
+def clear_of(added: Column, base: Column) -> Column:
+    """The added spans that no base span overlaps, in their order.
+
+    One sweep over both, by where base spans begin and added ones end: an added span is overlapped if the
+    furthest end of the base spans that begin before its own end lies beyond its start.
+    """
+    event = "struct<at:int,base:int,other:int,id:int>"
+    state = "struct<furthest:int,done:array<array<int>>,now:array<int>>"
+    of_base = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("other"), F.lit(-1).alias("id")))
+    of_added = F.transform(added, lambda a, i: F.struct(a["end"].alias("at"), F.lit(0).alias("base"), a["start"].alias("other"), i.alias("id")))
+    events = F.sort_array(F.concat(of_base, of_added)).cast(f"array<{event}>")
+
+    def step(acc: Column, e: Column) -> Column:
+        clear = (e["base"] == 0) & (acc["furthest"] <= e["other"])
+        full = F.size(acc["now"]) >= SCAN_BLOCK
+        own = F.array(e["id"])
+        return F.struct(
+            F.when(e["base"] == 1, F.greatest(acc["furthest"], e["other"])).otherwise(acc["furthest"]).alias("furthest"),
+            F.when(clear & full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(clear & full, own).when(clear, F.concat(acc["now"], own)).otherwise(acc["now"]).alias("now"),
+        ).cast(state)
+
+    zero = F.expr(f"cast(named_struct('furthest', 0, 'done', array(), 'now', array()) as {state})")
+    kept = F.aggregate(events, zero, step, lambda acc: F.sort_array(F.concat(F.flatten(acc["done"]), acc["now"])))
+    return F.when(F.size(added) > 0, F.transform(kept, lambda i: F.get(added, i))).otherwise(added)
+
+
 def find(docs: DataFrame, least: float = 0.5) -> tuple[DataFrame, SpanModel]:
     """docs: doc_id, text -> (doc_id, spans), one row per row, and the model.
 
     spans: rank, start, end, kind by kind, then start. Base kinds hold exactly the matches that pass the
-    contract's tests; an added span is kept where the classifier gives it `least` and no base span overlaps
-    it. Null or empty text has none; repeated rows count and stay; without candidates nothing is learnt.
-    Texts are read once; candidates are written to the shared folder, and learning reads those.
+    contract's tests; an added span is kept where it passes its kind's own tests, the classifier gives it `least` and no
+    base span overlaps it. Null or empty text has none; texts of any length are read whole; repeated rows count and
+    stay; other columns, whatever they are called, aren't read; an empty table gives none, and without candidates nothing
+    is learnt. Texts are read once; candidates are written to the shared folder, and learning reads those.
     """
     found = cut(docs.select("doc_id", candidates(F.coalesce("text", F.lit(""))).alias("c")), "pii")
-    grouped = found.select(F.inline("c")).groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()
-    model = fit([(r["kind"], {k: r[k] for k in LABELERS}, r["count"]) for r in grouped])
+    by = ("kind", *LABELERS, *SHAPES)
+    grouped = found.select(F.inline("c")).groupBy(*by).count().orderBy(*by).collect()
+    model = fit([(r["kind"], {k: r[k] for k in LABELERS}, {k: r[k] for k in SHAPES}, r["count"]) for r in grouped])
     is_base = lambda s: s["kind"].isin(*BASE)
     base = F.filter("c", lambda s: is_base(s) & (s["valid"] == 1))
-    more = F.filter(
-        "c",
-        lambda s: ~is_base(s) & (s["valid"] == 1) & (model.probability(s) >= least) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return found.withColumn("base", base).select("doc_id", F.concat("base", more).alias("spans")), model
+    likely = F.filter("c", lambda s: ~is_base(s) & (s["valid"] == 1) & (model.probability(s) >= least))
+    parts = found.select("doc_id", base.alias("base"), likely.alias("likely"))
+    return parts.select("doc_id", F.concat("base", clear_of(F.col("likely"), F.col("base"))).alias("spans")), model
 
 
 def digest(found: DataFrame) -> DataFrame:
