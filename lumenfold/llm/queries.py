@@ -22,4 +22,5 @@ SQL = {
     "op6_url_filters": op6_urls.SQL,
     "op7_quality_rules": op7_quality.SQL,
     "op8_secret_scans": op8_secrets.SQL,
+    "op9_embedding_near_duplicates": op9_embeddings.SQL,
 }
