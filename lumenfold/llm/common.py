@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,6 +40,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return Arrow memory that is free: a Python worker outlives its task, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores added one that no column of the table has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value to a lambda variable, so that Catalyst evaluates it once however often the body names it."""
     return F.transform(F.array(value), body).getItem(0)

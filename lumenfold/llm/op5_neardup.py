@@ -14,6 +14,7 @@ samples meet too seldom. An alignment of the least similarity cannot leave a dia
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +25,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut, free_name, table
+from .common import cut, free_name, give_back, table
 from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
 FLOOR = 0.4  #: least share of shingles in common of texts that link
-BANDS, SAMPLE = 40, 3  #: (1 - x**3)**40 of pairs with x of their shingles in common share no sample: 7 % at 0.4, 2 % at 0.45, 0.01 % at 0.6
+BANDS, SAMPLE = 40, 4  #: (1 - x**4)**40 of pairs with x of their shingles in common share no sample: 19 % at 0.45, 8 % at 0.5, 0.4 % at 0.6
 SHORT = 64  #: pairs of which one has at most so many shingles are found for certain if these are 0.8 alike
 TINY = 20  #: so are pairs of which one has at most so many, whatever it shares above the floor
 LONGEST = int(SHORT / SIMILARITY + 1e-6)  #: what a short text can link with has no more
 BROADCAST_ROWS = 1_000_000  #: ids of 24 bytes that are broadcast at most; more are joined by shuffle
 CACHE_ENTRIES = 200_000
+ROWS_OUT = 2000  #: rows that a task hands on at once
 CHUNK = 8192
 BLOCK = 512  #: texts of a side of a block
-COLUMNS = 4096  #: shingles that a block counts at once
+SMALL = 128  #: texts of a bucket that is compared as a whole, side by side with others
+LUMP = 4096  #: texts of small buckets that a task takes at once, about
+COLUMNS = 1024  #: values that a block counts at once
+FEW_OWNERS = 24  #: texts up to which a value is counted pair by pair
 
 _rng = np.random.default_rng(5)
 _FACTOR = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64) | np.uint64(1)
@@ -74,7 +79,12 @@ def shingles(h: np.ndarray) -> np.ndarray:
     s = np.zeros(n, dtype=np.uint64)
     for k in range(min(WORDS, len(h))):
         s = s * _P + h[k : k + n]
-    s = _mixed(s)
+    return labelled(_mixed(s))
+
+
+def labelled(s: np.ndarray) -> np.ndarray:
+    """Hashes that repeat are told apart by their occurrence number."""
+    n = len(s)
     if len(np.unique(s)) < n:
         order = np.argsort(s, kind="stable")
         new = np.concatenate([[True], s[order][1:] != s[order][:-1]])
@@ -146,6 +156,9 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, shared:
         shared = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
     if shared * (1 + FLOOR) < FLOOR * (max(1, na - WORDS + 1) + max(1, nb - WORDS + 1)) - 1e-9:
         return 0.0
+    words = len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))  # which aligned ones can't exceed
+    if words * (1 + least) < least * (na + nb) - 1e-9:
+        return 0.0
     m = aligned(a, b, int((na + nb) * (1 - least) / (1 + least)) + 1)
     return m / (na + nb - m)
 
@@ -165,7 +178,10 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             every = s.astype(np.int64).tolist() if len(s) <= LONGEST else []
             out.append((doc_id, part << 40 | row, _fingerprint(words), len(s), bands, every))
             row += 1
-        yield pd.DataFrame(out, columns=["doc_id", "row", "fp", "n", "bands", "every"]).astype({"doc_id": "Int64"})
+        for k in range(0, len(out), ROWS_OUT):
+            yield pd.DataFrame(out[k : k + ROWS_OUT], columns=["doc_id", "row", "fp", "n", "bands", "every"]).astype({"doc_id": "Int64"})
+    _KNOWN.clear()
+    give_back()
 
 
 def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,6 +192,8 @@ def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if _fingerprint(words) == bytes(fp):  # else a row that only shares its id
                 out.append((fp, (_word_hashes(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
         yield pd.DataFrame(out, columns=["fp", "seq"])
+    _KNOWN.clear()
+    give_back()
 
 
 def _words(seq: np.ndarray) -> np.ndarray:
@@ -189,38 +207,75 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def common(seqs: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two of these texts share; those of one text alone are left out first."""
-    owner = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
-    every, column, count = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    use = count[column] > 1
-    owner, column = owner[use], shared[column[use]]
+    """How many values each two of these share; a sequence holds no value twice.
+
+    Values of a few sequences count pair by pair, those of many as columns of a product.
+    """
+    n = len(seqs)
+    owner = np.repeat(np.arange(n), [len(x) for x in seqs])
+    _, column, count = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
     order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(seqs), len(seqs)), dtype=np.float32)
-    for at in range(0, int(shared[-1]) + 1, COLUMNS):
-        a, b = np.searchsorted(column, (at, at + COLUMNS))
-        has = np.zeros((len(seqs), COLUMNS), dtype=np.float32)
-        has[owner[a:b], column[a:b] - at] = 1
-        out += has @ has.T
-    return out
+    owner, of = owner[order], count[column[order]]  # values one after the other, each with its owners, rising
+    out = np.zeros(n * n, dtype=np.float32)
+    for k in np.unique(of[(of > 1) & (of <= FEW_OWNERS)]).tolist():
+        rows = owner[of == k].reshape(-1, k)
+        i, j = np.triu_indices(k, 1)
+        out += np.bincount((rows[:, i] * n + rows[:, j]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    many = of > FEW_OWNERS
+    owner, at = owner[many], np.cumsum(np.diff(column[order][many], prepend=-1) != 0) - 1
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, (first, first + COLUMNS))
+        has = np.zeros((n, COLUMNS), dtype=np.float32)
+        has[owner[a:b], at[a:b] - first] = 1
+        out += np.triu(has @ has.T, 1)
+    return out + out.T
+
+
+def _linked(seqs: list[np.ndarray], parts: list[np.ndarray], group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between texts of different groups that join these; groups that were joined before need no more."""
+    n = np.array([len(x) for x in parts])
+    both = common(parts)
+    apart = group[:, None] != group[None, :]
+    i, j = np.nonzero(np.triu(apart, 1) & (both * (1 + FLOOR) >= FLOOR * (n[:, None] + n[None, :]) - 1e-3))
+    if len(i) > len(seqs):  # then all words in common, which aligned ones can't exceed, are counted at once
+        own, m = common([labelled(x) for x in seqs]), np.array([len(x) for x in seqs])
+        enough = own[i, j] * (1 + SIMILARITY) >= SIMILARITY * (m[i] + m[j]) - 1e-3
+        i, j = i[enough], j[enough]
+    nearest = np.argsort(-both[i, j] / (n[i] + n[j]), kind="stable")  # likely links first: they join groups
+    for a, b in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
+        if group[a] != group[b] and similarity(seqs[a], seqs[b], shared=int(both[a, b])) >= SIMILARITY:
+            group[group == group[b]] = group[a]
+            yield a, b
 
 
 def _join_groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between texts of different groups that join these; groups that were joined before need no more."""
+    pdf = pdf.sort_values("fp", ignore_index=True)
+    seqs = [_words(x) for x in pdf["seq"]]
+    group = np.unique(pdf["root"], return_inverse=True)[1]
+    out = [(pdf["fp"][a], pdf["fp"][b]) for a, b in _linked(seqs, [shingles(x) for x in seqs], group)]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def _join_small(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Many small buckets; a text comes once, with the keys of all that hold it."""
     pdf = pdf.sort_values("fp", ignore_index=True)
     seqs = [_words(x) for x in pdf["seq"]]
     parts = [shingles(x) for x in seqs]
     group = np.unique(pdf["root"], return_inverse=True)[1]
-    n = np.array([len(x) for x in parts])
-    both = common(parts)
-    i, j = np.nonzero(np.triu(both, 1) * (1 + FLOOR) >= FLOOR * (n[:, None] + n[None, :]) - 1e-3)
-    nearest = np.argsort(-both[i, j] / (n[i] + n[j]), kind="stable")  # likely links first: they join groups
+    sizes = [len(k) for k in pdf["keys"]]
+    key, row = np.concatenate(list(pdf["keys"])), np.repeat(np.arange(len(pdf)), sizes)
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    cuts = np.flatnonzero(np.diff(key)) + 1
     out = []
-    for a, b in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
-        if group[a] != group[b] and similarity(seqs[a], seqs[b], shared=int(both[a, b])) >= SIMILARITY:
-            out.append((pdf["fp"][a], pdf["fp"][b]))
-            group[group == group[b]] = group[a]
+    for members in np.split(row, cuts):
+        own = group[members]
+        if len(members) > 1 and (own != own[0]).any():
+            for a, b in _linked([seqs[k] for k in members], [parts[k] for k in members], own):
+                x, y = members[a], members[b]
+                out.append((pdf["fp"][x], pdf["fp"][y]))
+                group[group == group[y]] = group[x]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -254,8 +309,8 @@ def _rarest(classes: DataFrame) -> DataFrame:
     return rare.select("fp", "n", F.explode(F.slice("rare", F.lit(1), room)).alias("r")).select("fp", "n", F.xxhash64(F.lit(-1), "r.s").alias("key"))
 
 
-def _sequences_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def _sequences_of(texts: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids: fp, each once -> fp, seq: the hashed words of these texts."""
     chosen = cut(classes.join(ids, "fp").select("fp", F.col("first.doc_id").alias("doc_id")), "chosen")
     named = texts.join(_few(chosen.where("doc_id is not null")), "doc_id").select("text", "fp")
     keyed = texts.where("doc_id is null").select("text").mapInPandas(_fingerprints(["text"]), "text string, dedup_fp binary")  # found by their words
@@ -264,13 +319,17 @@ def _sequences_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> Dat
 
 
 def _crossing(at: DataFrame, seqs: DataFrame) -> DataFrame:
-    """at: key, fp, root, main, all, most: texts of buckets in several groups -> links that join groups.
+    """at: key, hub, fp, root, main, all, most: texts of buckets in several groups -> links that join groups.
 
-    Texts outside a bucket's main group form blocks, and so do those in it; a task holds two blocks, of which
+    Small buckets are compared whole, those of one hub in one task, where a text comes once. In others, texts outside a bucket's main group form blocks, and so do those in it; a task holds two blocks, of which
     one is outside, so the main group never meets itself.
     """
+    few = at.where(F.col("all") <= SMALL)
+    lumps = max(1, math.ceil(few.count() / LUMP))
+    small = few.groupBy(F.pmod(F.xxhash64("hub"), F.lit(lumps)).alias("lump"), "fp", "root").agg(F.collect_list("key").alias("keys"))
+    joined = small.join(seqs, "fp").groupBy("lump").applyInPandas(_join_small, "a binary, b binary")
     outside = F.col("root") != F.col("main")
-    blocks = at.withColumns({"no": F.ceil((F.col("all") - F.col("most")) / BLOCK), "nm": F.ceil(F.col("most") / BLOCK)})
+    blocks = at.where(F.col("all") > SMALL).withColumns({"no": F.ceil((F.col("all") - F.col("most")) / BLOCK), "nm": F.ceil(F.col("most") / BLOCK)})
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("fp"), F.when(outside, F.col("no")).otherwise(F.col("nm"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -278,7 +337,7 @@ def _crossing(at: DataFrame, seqs: DataFrame) -> DataFrame:
     with_others = F.transform(F.filter(upto("no"), lambda k: k != F.col("own")), lambda k: pair(F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
     tasks = F.when(outside, F.concat(with_main, with_others)).otherwise(F.transform(upto("no"), lambda k: pair(k, -1 - F.col("own"))))
     dealt = blocks.select("key", "fp", "root", F.explode(tasks).alias("t"))
-    return dealt.join(seqs, "fp").groupBy("key", "t.i", "t.j").applyInPandas(_join_groups, "a binary, b binary")
+    return joined.unionByName(dealt.join(seqs, "fp").groupBy("key", "t.i", "t.j").applyInPandas(_join_groups, "a binary, b binary"))
 
 
 def mark(docs: DataFrame) -> DataFrame:
@@ -297,17 +356,21 @@ def mark(docs: DataFrame) -> DataFrame:
     classes = cut(rows.where("n > 0").groupBy("fp").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("every").alias("every")), "classes")
     entries = classes.select("fp", "n", F.posexplode("bands").alias("band", "key")).select("fp", "n", F.xxhash64("band", "key").alias("key"))
     entries = entries.unionByName(_rarest(classes))
-    full = entries.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("other")).where("hub <> other").select("key", "hub")
+    least = F.min(F.struct("fp", "n"))
+    full = entries.groupBy("key").agg(least["fp"].alias("hub"), least["n"].alias("hub_n"), F.max("fp").alias("other")).where("hub <> other").drop("other")
     entries = cut(entries.join(full, "key"), "entries")  # of buckets that hold several texts
-    pairs = cut(entries.where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = cut(_links(pairs, _sequences_of(texts, classes, pairs)), "links")
+    words = lambda n: F.col(n) + (WORDS - 1)
+    comparable = F.least(words("n"), words("hub_n")) >= SIMILARITY * F.greatest(words("n"), words("hub_n"))
+    pairs = cut(entries.where((F.col("fp") != F.col("hub")) & comparable).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    met = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    links = cut(_links(pairs, _sequences_of(texts, classes, met)), "links")
     roots = components(links)
 
-    at = entries.select("key", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    at = entries.select("key", "hub", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = at.groupBy("key", "root").count()
     mixed = groups.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("most < all")
     at = cut(at.join(mixed, "key"), "mixed")
-    more = cut(_crossing(at, _sequences_of(texts, classes, at.select(F.col("fp").alias("a"), F.col("fp").alias("b")))), "links")
+    more = cut(_crossing(at, _sequences_of(texts, classes, at.select("fp").distinct())), "links")
     roots = components(links.unionByName(more))
 
     grouped = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
