@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, let, span_list, spans, table
+from .common import SCAN_BLOCK, as_table, cut, let, span_list, spans, table
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,7 @@ RULES = (
 )
 RULE_VERSION = "1"
 BASE = ("assign", "access", "hex")
+BROADCAST_SPANS = 500_000  #: spans, and blobs that hold them, of about 50 bytes that are broadcast at most
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -64,51 +65,98 @@ def _at_least(rule: Rule) -> str:
     return rule.pattern
 
 
+def _counted(findings: DataFrame) -> DataFrame:
+    """Marked for broadcast if its counted spans are few; else left to a shuffle on the blob."""
+    spans_of, blobs = findings.agg(F.sum(F.size("findings")), F.count("*")).first()
+    return F.broadcast(findings) if (spans_of or 0) + blobs <= BROADCAST_SPANS else findings
+
+
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(paths, entries): findings of every version, and the new ledger entries to append.
 
     versions: path, text and whatever else; one row out per row in, with blob and findings added, or replaced
-    where columns of these names were there. ledger:
-    blob, rule_version, findings. Null text counts as empty; repeated rows and copies share a blob and stay.
-    An empty table gives none. The text of each unseen blob moves once, for the path elected to stand for
-    it; a blob with a third of all paths meets one ledger row, a join whose large side Spark splits.
+    where columns of these names were there. ledger: blob, rule_version, findings, as `read_ledger` has it.
+    Null text counts as empty; repeated rows and copies share a blob and stay; texts of any length are scanned
+    whole. An empty table gives none. The text of each unseen blob moves once, for the path elected to stand for
+    it. Only blobs with findings are joined back: by broadcast up to BROADCAST_SPANS counted spans, so that no text
+    moves again; beyond that by a shuffle on the blob, of which one with a third of all paths meets one row, a join
+    whose large side Spark splits.
     """
-    spark = versions.sparkSession
     addressed = versions.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     unseen = addressed.groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    seen = None if ledger is None else ledger.where(F.col("rule_version") == rule_version)
+    if seen is not None:
+        unseen = addressed.join(seen.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
     entries = cut(unseen.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text"), rules).alias("findings")), "ledger")
-    known = entries if ledger is None else entries.unionByName(ledger.where(F.col("rule_version") == rule_version))
+    known = entries if seen is None else entries.unionByName(seen)
     some = known.where(F.size("findings") > 0).select("blob", "findings")
-    paths = addressed.join(some, "blob", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as {FINDING})")))
+    none = F.expr(f"cast(array() as {FINDING})")
+    paths = addressed.drop("findings").join(_counted(some), "blob", "left").withColumn("findings", F.coalesce("findings", none))
     return paths, entries
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All entries that runs have appended at this path, in a folder that driver and executors share."""
+    return spark.read.schema(f"blob binary, rule_version string, findings {FINDING}").parquet(path)
+
+
+def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """The paths of `scan`, against the ledger at this path, which then holds what this run has scanned as well.
+
+    The first run makes the ledger. Spark commits an append as a whole, so a run that fails adds nothing and is
+    repeated as it was.
+    """
+    spark = versions.sparkSession
+    as_table(spark, [], f"blob binary, rule_version string, findings {FINDING}").write.mode("append").parquet(path)
+    paths, entries = scan(versions, read_ledger(spark, path), rules, rule_version)
+    entries.write.mode("append").parquet(path)
+    return paths
+
+
+def unions(found: Column) -> Column:
+    """Maximal unions of overlapping or touching findings, which come by start; gathered in blocks, so in near-linear time."""
+    span = "struct<start:int,end:int>"
+    state = f"struct<done:array<array<{span}>>,now:array<{span}>,last:{span}>"
+
+    def push(acc: Column, s: Column) -> Column:
+        meets = acc["last"]["end"] >= s["start"]
+        full = F.size(acc["now"]) >= SCAN_BLOCK
+        closed = F.when(acc["last"].isNull(), acc["now"]).when(full, F.array(acc["last"])).otherwise(F.concat(acc["now"], F.array(acc["last"])))
+        grown = F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], s["end"]).alias("end"))
+        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        return F.struct(
+            F.when(~F.coalesce(meets, F.lit(False)) & full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(meets, acc["now"]).otherwise(closed).alias("now"),
+            F.when(meets, grown).otherwise(own).alias("last"),
+        ).cast(state)
+
+    zero = F.expr(f"cast(named_struct('done', array(), 'now', array(), 'last', null) as {state})")
+    return F.aggregate(found, zero, push, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"], F.filter(F.array(acc["last"]), lambda x: x.isNotNull())))
+
+
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """The text with every maximal union of overlapping findings replaced by the mark."""
-    kind = "array<struct<start:int,end:int>>"
-    merged = F.aggregate(
-        found,
-        F.expr(f"cast(array() as {kind})"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], s["end"]).alias("end")))),
-        )
-        .otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-        .cast(kind),
-    )
-    pieces = let(
-        merged,
-        lambda m: F.array_join(
-            F.concat(
-                F.transform(m, lambda s, i: F.substr(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0)))),
-                F.array(F.substr(text, F.get(m, F.size(m) - 1)["end"] + 1)),
-            ),
-            mark,
-        ),
-    )
-    return F.when(F.size(found) > 0, pieces).otherwise(text)
+    """The text with every maximal union of overlapping findings replaced by the mark.
+
+    A block of unions is cut out of the text first and then cut itself, since finding a place in a string takes
+    time up to there.
+    """
+
+    def block(m: Column, k: Column) -> Column:
+        own = F.slice(m, k * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
+        base = F.coalesce(F.get(m, k * SCAN_BLOCK - 1)["end"], F.lit(0))
+        part = F.struct(own.alias("own"), base.alias("base"), F.substr(text, base + 1, F.element_at(own, -1)["end"] - base).alias("part"))
+
+        def piece(b: Column, s: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(b["own"], i - 1)["end"], b["base"])
+            return F.concat(F.substr(b["part"], before - b["base"] + 1, s["start"] - before), F.lit(mark))
+
+        return let(part, lambda b: F.array_join(F.transform(b["own"], lambda s, i: piece(b, s, i)), ""))
+
+    def whole(m: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / SCAN_BLOCK).cast("int")), lambda k: block(m, k))
+        return F.concat(F.array_join(blocks, ""), F.substr(text, F.element_at(m, -1)["end"] + 1))
+
+    return F.when(F.size(found) > 0, let(unions(found), whole)).otherwise(text)
 
 
 def digest(paths: DataFrame, key: str) -> DataFrame:
