@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, indexed, table
+from .common import WORD, cut, free_name, indexed, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 BLOCK = 1024  #: fractions that one task rounds together
 SEED = 20240607
+ALIKE = 10_000  #: rows alike in doc_id, source and size that one task makes from their count in a run
 
 
 def words_in(text: Column) -> Column:
@@ -126,26 +127,39 @@ def _share(i: Column, rows: str = "rows", total: str = "total") -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """docs: doc_id, source, size -> one row per row, repeats included: and source_size, target, copies, taken."""
-    rows = allot(docs, weights, most, seed).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return rows.withColumn("copies", _share(F.col("i"))).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    """docs: doc_id, source, size -> one row per row, repeats included: and source_size, target, taken, copies.
+
+    Rows that are alike come back from their count, in runs of ALIKE that are dealt out anew where one has more.
+    """
+    sums = cut(allot(docs, weights, most, seed), "sums")
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(ALIKE).cast("long")))
+    runs = sums.withColumn("first", first)
+    if sums.where(F.col("rows") > ALIKE).limit(1).count():
+        runs = runs.repartition("doc_id", "source", "size", "first")
+    rows = runs.withColumn("i", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + (ALIKE - 1), F.col("rows")))))
+    copied = rows.withColumn("copies", _share(F.col("i")))
+    return copied.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """The documents, all columns, each as often as the mix copies it; 0 times leaves it out.
 
-    Columns may have any names but those that begin with "mix_".
+    Columns may have any names. Rows, nulls and empty texts as in `allot`; rows that are alike in doc_id, source
+    and size share their copies as evenly as whole numbers can be. The plan has a row per document, so it's never
+    broadcast: texts move once, to where a table of the plan's rows is held, at every size. An empty table gives none.
     """
-    sized = docs.withColumn("mix_size", words_in(F.col("text")))
-    plan = allot(sized.select("doc_id", "source", F.col("mix_size").alias("size")), weights, most, seed).where("total > 0")
-    plan = plan.select(*[F.col(a).alias(f"mix_{b}") for a, b in (("doc_id", "id"), ("source", "source"), ("size", "words"), ("rows", "rows"), ("total", "total"))])
-    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_size") == F.col("mix_words"))
-    met = sized.join(plan, same)
+    of = {name: free_name(docs, f"mix_{name}") for name in ("id", "source", "words", "rows", "total", "size", "copies", "copy")}
+    sized = docs.withColumn(of["size"], words_in(F.col("text")))
+    plan = allot(sized.select("doc_id", "source", F.col(of["size"]).alias("size")), weights, most, seed).where("total > 0")
+    plan = plan.select(*[F.col(a).alias(of[b]) for a, b in (("doc_id", "id"), ("source", "source"), ("size", "words"), ("rows", "rows"), ("total", "total"))])
+    plan = cut(plan, "plan")
+    same = F.col("doc_id").eqNullSafe(F.col(of["id"])) & F.col("source").eqNullSafe(F.col(of["source"])) & (F.col(of["size"]) == F.col(of["words"]))
+    met = sized.join(plan.hint("shuffle_hash"), same)
     alike = F.lit(1)
-    if plan.where("mix_rows > 1").limit(1).count():
-        alike = F.row_number().over(Window.partitionBy("doc_id", "source", "mix_size").orderBy("text"))
-    copied = met.withColumn("mix_copies", _share(alike, "mix_rows", "mix_total")).where("mix_copies > 0")
-    return copied.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(docs.columns)
+    if plan.where(F.col(of["rows"]) > 1).limit(1).count():
+        alike = F.row_number().over(Window.partitionBy("doc_id", "source", of["size"]).orderBy("text"))
+    copied = met.withColumn(of["copies"], _share(alike, of["rows"], of["total"])).where(F.col(of["copies"]) > 0)
+    return copied.withColumn(of["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(of["copies"])))).select(docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
