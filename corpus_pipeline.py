@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import op1_packing, op3_mixing, op4_toxicity, op5_neardup, op8_secrets
-from lumenfold.llm.common import cut, table
+from lumenfold.llm.common import cut, free_name, table
 
 #: Training, hashing and draws have no twin in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the cut go; the model never learns from held-out labels."""
+    """Documents whose score reaches the cut go; the model never learns from held-out labels.
+
+    Rows, nulls and texts as in op4_toxicity.score; columns may have any names; repeated rows share their score.
+    """
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~op4_toxicity.held_out())
-    return op4_toxicity.score(docs, labels, "toxicity_score").where(F.col("toxicity_score") < op4_toxicity.CUT).select(docs.columns)
+    name = free_name(docs, "toxicity_score")
+    return op4_toxicity.score(docs, labels, name).where(F.col(name) < op4_toxicity.CUT).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

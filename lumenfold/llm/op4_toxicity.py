@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 
 BITS = 20  #: log2 of the number of coordinates, so at most 2**20 weights of 12 bytes are broadcast
 MOST_POSITIVE, MOST_NEGATIVE = 6000, 9000  #: labelled rows to learn from, those of smallest hash
@@ -114,6 +114,7 @@ def _scorer(weights: Broadcast, bias: float) -> Callable[[Iterator[pd.Series]],
         for texts in batches:
             z = np.array([dense[features.of(t)].sum() for t in texts]) + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        give_back()
 
     return score
 
@@ -137,12 +138,16 @@ def score(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic, only those that may be learnt from -> docs with a score,
     as a column of this name; one that was there is replaced.
 
-    One row per row; null text counts as empty, and empty texts get the bias. Without labels all scores are
-    one half; an empty table gives none. The sample is joined by broadcast: its size is bounded above.
+    One row per row, ties and repeats included; null text counts as empty, and empty texts get the bias; texts of
+    any length are read whole, in chunks. Without labels all scores are one half; an empty table gives none.
+    Columns may have any names. The sample is joined by broadcast: its size is bounded above. One text per
+    doc_id is learnt from, so the training task reads MOST_POSITIVE + MOST_NEGATIVE texts at most.
     """
     picked, shift = sample(labels)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    weights = train(texts.join(F.broadcast(picked), "doc_id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))  # of rows that share a doc_id, chosen where they lie
+    met = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), one.alias("one"))
+    weights = train(met.select(F.col("one.text").alias("text"), "label"))
     bias = weights.pop(1 << BITS, 0.0) + shift
     shared = docs.sparkSession.sparkContext.broadcast((np.array(list(weights), dtype=np.int64), np.array(list(weights.values()), dtype=float)))
     return docs.withColumn(name, F.pandas_udf(_scorer(shared, bias), "double")(F.coalesce("text", F.lit(""))))
