@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 WINDOW = 2048
 PIECE = 512  #: most ids of a piece of a rest
 END_ID = 1
 DOCS_PER_BLOCK = 512
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000  #: parts of about 200 bytes that a worker keeps
 STRETCH = 1 << 20  #: characters that are split at once
 
 #: What the tokenizer's splitting takes for white space, and Latin letters.
@@ -190,6 +190,7 @@ def _tokenize(path: str, end_id: int, window: int, piece: int) -> Callable[[Iter
                 out += [(doc_id, s, n, crc, total, part, row) for s, n, crc in got]
                 row += 1
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "row"]).astype({"doc_id": "Int64"})
+        give_back()
 
     return run
 
@@ -221,7 +222,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = PIE
     """docs: doc_id, text -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null or empty text is the end id alone; repeated rows are packed once each; doc_id may be null; an empty
-    table gives none. Texts are read in stretches and ids drained window by window. Rows are dealt to blocks
+    table gives none; other columns, whatever they are called, are left out. A window that its pieces don't fill is
+    padded by whoever lays it out: to `window`, but a window whose ids end exactly at a power of two needs no padding.
+    Padding takes no rows here: a window ends after its last piece, at offset + length, and `padded` says how long it gets. Texts are read in stretches and ids drained window by window. Rows are dealt to blocks
     by their place in the input, so copies and long documents spread; a block holds about DOCS_PER_BLOCK rests.
     """
     blocks = max(1, math.ceil(docs.count() / DOCS_PER_BLOCK))
@@ -232,6 +235,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = PIE
     return dealt.groupBy("block").applyInPandas(_packing(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+def padded(length: int, window: int = WINDOW) -> int:
+    """How long a window of so many ids is laid out: as it is if that is a power of two, else the whole window."""
+    return length if length & (length - 1) == 0 else window
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
