@@ -113,17 +113,56 @@ def edited(text: str, n: int) -> str:
     return " ".join(w)
 
 
+def plain_similarity(a: list[str], b: list[str]) -> float:
+    """Words of the longest common subsequence over all words of both; 0 below 0.4 of the 5-word shingles in common."""
+    def parts(w):
+        seen, out = {}, set()
+        for k in range(max(1, len(w) - 4)):
+            x = tuple(w[k : k + 5])
+            seen[x] = seen.get(x, 0) + 1
+            out.add((x, seen[x]))
+        return out
+
+    if not a or not b or len(parts(a) & parts(b)) < 0.4 * len(parts(a) | parts(b)):
+        return 0.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
 def brute_groups(texts: dict[int, str | None]) -> dict[int, int]:
-    s = {i: op5_neardup.shingles((t or "").lower().split()) for i, t in texts.items()}
+    words = {i: (t or "").lower().split() for i, t in texts.items()}
     at = {i: i for i in texts}
     for i in texts:
         for j in texts:
-            if i < j and op5_neardup.similarity(s[i], s[j]) >= 0.8:
+            if i < j and at[i] != at[j] and plain_similarity(words[i], words[j]) >= 0.8:
                 a, b = at[i], at[j]
                 at = {k: min(a, b) if v in (a, b) else v for k, v in at.items()}
     return at
 
 
+def test_near_copies_are_recalled(spark):
+    """Pairs with scattered edits of words, replaced, left out or put in: at least 0.9 of those that a plain alignment links."""
+    texts, linked, pair = {}, 0, {}
+    for k in range(300):
+        base = [word() for _ in range(int(R.integers(40, 300)))]
+        other = []
+        for w in base:
+            kind = R.random() / (0.02 + 0.1 * (k % 5) / 4)
+            other += [word()] if kind < 0.6 else [] if kind < 0.8 else [w, word()] if kind < 1 else [w]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(other)
+        pair[k] = plain_similarity(base, other) >= 0.8
+        linked += pair[k]
+    got = {r["doc_id"]: r["group_id"] for r in op5_neardup.mark(docs_of(spark, [(i, t, "a") for i, t in texts.items()])).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(300)]
+    assert linked > 150 and not any(f and not pair[k] for k, f in enumerate(found))
+    assert sum(found) >= 0.9 * linked
+
+
 def test_near_duplicates(spark):
     texts = {i: t for i, t, _ in ODD if i is not None and i != 5}
     texts |= {100 + k: edited(BASE[k % 6], int(R.integers(0, 4))) for k in range(60)} | {300: BASE[2].upper(), 301: BASE[2] + " " + BASE[3]}
@@ -182,8 +221,25 @@ def test_shared_counts():
     assert all(got[i, j] == len(np.intersect1d(seqs[i], seqs[j])) for i in range(21) for j in range(21) if i != j)
 
 
+def test_alignment():
+    def plain(a, b, band):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y and abs(i - j) <= band else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a = R.integers(0, 12, int(R.integers(1, 90))).astype(np.uint64)
+        b = np.concatenate([a[: len(a) // 2], R.integers(0, 12, int(R.integers(0, 9))).astype(np.uint64), a[len(a) // 2 + int(R.integers(0, 9)) :]])
+        band = int(R.integers(1, 20))
+        assert plain(a.tolist(), b.tolist(), band) <= op5_neardup.aligned(a, b, band) <= op5_neardup.aligned(a, b, 200) == plain(a.tolist(), b.tolist(), 200)
+
+
 def test_alignment_stays_in_band():
-    a = np.arange(100)
+    a = np.arange(100, dtype=np.uint64)
     assert op5_neardup.similarity(a, a) == 1 and op5_neardup.similarity(a, np.concatenate([a[50:], a[:50]])) < 0.8
     assert op5_neardup.similarity(a, a[:80]) == 0.8 and op5_neardup.similarity(a, a[:79]) < 0.8
 
@@ -225,6 +281,36 @@ def test_embeddings(spark, dim, monkeypatch):
     assert op9_embeddings.near(df.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_are_decided_on_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(op9_embeddings, "TILE", 8)
+    v = {}
+    for k in range(40):  # pairs whose cosine is 0.9 to the last bits, in planes that share nothing
+        a = np.zeros(84)
+        a[2 * k] = 1.0
+        b = np.zeros(84)
+        b[2 * k], b[2 * k + 1] = 0.9, float(np.sqrt(1 - 0.81)) * (1 + (k - 20) * 4e-16)
+        v |= {2 * k: a.tolist(), 2 * k + 1: b.tolist()}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in op9_embeddings.near(df).collect()}
+
+    def unit(x):
+        x = np.array(x) / np.abs(x).max()
+        return x / np.sqrt(float(x @ x))
+
+    want = {}
+    for k in range(40):
+        dot = float(sum(p * q for p, q in zip(unit(v[2 * k]), unit(v[2 * k + 1]), strict=True)))
+        want |= {2 * k: int(dot >= 0.9), 2 * k + 1: int(dot >= 0.9)}
+    assert got == want and 0 < sum(want.values()) < 80
+
+
+def test_cells_split_a_cloud_evenly():
+    x = R.normal(size=(5000, 8))
+    tree = op9_embeddings.walls(x[:2000], 16)
+    sizes = np.bincount(op9_embeddings.cells_of(x, *tree), minlength=16)
+    assert len(sizes) == 16 and sizes.min() > 150 and op9_embeddings.cells_of(x, *op9_embeddings.walls(x[:5], 1)).max() == 0
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
@@ -252,11 +338,15 @@ def test_pipeline_stages(spark, sf):
 def test_stages_keep_columns_of_clashing_names(spark, tmp_path):
     import corpus_pipeline as p
 
-    names = "blob findings hit others score rows total k f size fp copies row kept"
-    rows = [(i, t, "en", s, None if t is None else len(t), *["own"] * 14) for i, t, s in [*ODD, (8, "password=hunter22 " + BASE[2], "a")]]
+    names = "blob findings hit others score rows total k f size fp copies row kept toxicity_score mix_size mix_id mix_copy dedup_fp dedup_id"
+    rows = [(i, t, "en", s, None if t is None else len(t), *["own"] * 20) for i, t, s in [*ODD, (8, "password=hunter22 " + BASE[2], "a")]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names.split()))
     spark.createDataFrame([(5, 0), (6, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in p.STAGES[:-1]:
         for given in (docs, docs.limit(0)):
             out = stage(spark, given, str(tmp_path))
             assert out.columns == docs.columns and {r[n] for r in out.collect() for n in names.split()} <= {"own"}, name
+    for given in (docs, docs.limit(0)):
+        packed = p.packing(spark, given, str(tmp_path))
+        assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        assert packed.where("start = 0").count() == given.count()
