@@ -56,3 +56,36 @@ def test_stream_equals_fold(spark, tmp_path):
     q = k.run(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: got.update({r["capture"]: r.asDict() for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert got == want and want["one"]["state"] == "FINISHED"
+
+
+def test_a_burnt_out_direction_is_shot_again_darker():
+    def shot(ns, burst_id, rungs, clipped, **more):
+        return [
+            {"kind": "orientation", "now_ns": ns, "stable": True, "target": "a"},
+            {"kind": "orientation", "now_ns": ns + 200 * MS, "stable": True, "target": "a"},
+            *[{"kind": "frame", "now_ns": ns + 210 * MS, "burst_id": burst_id, "bracket": b, "clipped": clipped} for b in range(rungs)],
+            {"kind": "burst_finished", "now_ns": ns + 300 * MS, "burst_id": burst_id, **more},
+        ]
+
+    plan = {"kind": "plan", "now_ns": 0, "targets": {"a": 2}}
+    grown = k.replay([plan, *shot(1000 * MS, 1, 2, 0.3)])
+    assert grown.state == "CAPTURING" and grown.targets == {"a": 3} and grown.attempts == {} and grown.shot == []
+    done = k.replay([plan, *shot(1000 * MS, 1, 2, 0.3), *shot(3000 * MS, 2, 3, 0.0)])
+    assert done.state == "FINISHED" and done.shot == ["a"] and not done.lower_bound
+    stuck = k.replay([plan, *shot(1000 * MS, 1, 2, 0.3, darkest=True)])
+    assert stuck.state == "FINISHED" and stuck.shot == ["a"] and stuck.lower_bound
+    many = [plan, *[e for n in range(6) for e in shot((1000 + 2000 * n) * MS, n + 1, 2 + n, 0.3)]]
+    assert k.replay(many).darker == {"a": k.DARKER_RUNGS} and k.replay(many).lower_bound
+
+
+def test_sweep_and_resume():
+    seen = {"kind": "preview", "now_ns": 1, "target": "a", "low": 0.1, "high": 2.0, "median": 0.5, "clipped": True, "clipped_fraction": 0.1, "high_value": 1.0, "exposure": 0.04}
+    scan = [{"kind": "scan", "now_ns": 0}, seen, {**seen, "clipped": False, "high_value": 0.5, "high": 9.0}, {**seen, "target": None}]
+    c = k.replay(scan)
+    assert c.state == "SCANNING" and c.metered["a"][:2] == [0.1, 9.0] and c.metered["a"][3] == 1.0
+    assert c.exposure == 0.01 and c.commands == 1  # asked for once, though two frames want it
+    assert k.replay([{**seen}]).metered == {}
+    assert k.replay([*scan, PLAN]).state == "CAPTURING"
+    r = k.replay([{"kind": "resume", "now_ns": 0, "targets": {"a": 3, "b": 2}, "shot": ["a"]}])
+    assert r.state == "CAPTURING" and r.stored == 3 and r.pending() == ["b"]
+    assert k.replay([{"kind": "resume", "now_ns": 0, "targets": {"a": 3}, "shot": ["a"]}]).state == "FINISHED"

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 
 from lumenfold.config import Seam
 from lumenfold.operators import cut, features, solve
@@ -129,3 +130,20 @@ def test_coverage_is_of_the_frame(spark):
         want[t] = sum(sum(sees(q, x) for x in d) >= 0.05 * 144 for o, q in frames.items() if o != t)
     assert {r["target"]: r["n"] for r in matching.frame_neighbours(targets, lens).collect()} == want and want[3] == 0
     assert want[0] == 1  # 1 shares more than 5 %, 2 and the rolled 4 less
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_order_statistics_equal_a_sort(spark, keys):
+    from lumenfold.operators import statistics
+
+    r = np.random.default_rng(3)
+    values = np.concatenate([r.normal(size=400), np.full(300, 0.25), [np.nan, 1e300, -1e300], r.integers(0, 3, 200)])
+    rows = [(None if i % 3 == 0 else int(i % 2), None if i % 17 == 0 else float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    shares = [0.0, 0.02, 0.5, 0.98, 1.0]
+    got = {r["k"] if keys else 0: r["p"] for r in statistics.exact_percentiles(df, keys, "v", shares).collect()}
+    half = {r["k"] if keys else 0: r["median"] for r in statistics.upper_median(df, keys, "v").collect()}
+    for key in {k for k, _ in rows} if keys else {0}:
+        mine = np.sort([v for k, v in rows if v is not None and v == v and (not keys or k == key)])
+        assert np.allclose(got[key], np.quantile(mine, shares)) and half[key] == mine[len(mine) // 2]
+    assert statistics.exact_percentiles(df.limit(0), keys, "v", shares).count() == 0
