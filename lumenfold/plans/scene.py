@@ -380,21 +380,22 @@ def feather_weight(spark, sf):
     return grid(spark, 48, 32).select("y", "x", F.round(r.feather(F.col("x"), F.col("y"), 48, 32, 10.0), 9).alias("w"))
 
 
-SPHERE = f"""WITH plan AS ({SQL["capture_plan_rings"]}),
+def sphere_sql(k: c.Lens, width: int, height: int, feather: float, select: str) -> str:
+    """SQL of a whole capture plan seen from every sphere pixel; w has y, x, u, v and the smooth weight g."""
+    return f"""WITH plan AS ({SQL["capture_plan_rings"]}),
 f AS (SELECT target, -sin(radians(yaw)) * cos(radians(pitch)) AS fx, sin(radians(pitch)) AS fy, cos(radians(yaw)) * cos(radians(pitch)) AS fz FROM plan),
 u AS (SELECT *, CASE WHEN abs(fy) > 0.999 THEN fx * fz ELSE fx * fy END AS ax, CASE WHEN abs(fy) > 0.999 THEN fy * fz ELSE fy * fy - 1 END AS ay, CASE WHEN abs(fy) > 0.999 THEN fz * fz - 1 ELSE fz * fy END AS az FROM f),
 n AS (SELECT target, fx, fy, fz, ax / m AS dx, ay / m AS dy, az / m AS dz FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS m FROM u)),
 t AS (SELECT *, dy * fz - dz * fy AS rx, dz * fx - dx * fz AS ry, dx * fy - dy * fx AS rz FROM n),
-p AS (SELECT CAST(range // {WIDTH} AS INT) AS y, CAST(range % {WIDTH} AS INT) AS x, (range % {WIDTH} + 0.5) / {WIDTH} * 2 * pi() - pi() AS lon, pi() / 2 - (range // {WIDTH} + 0.5) / {HEIGHT} * pi() AS lat FROM range({WIDTH * HEIGHT})),
+p AS (SELECT CAST(range // {width} AS INT) AS y, CAST(range % {width} AS INT) AS x, (range % {width} + 0.5) / {width} * 2 * pi() - pi() AS lon, pi() / 2 - (range // {width} + 0.5) / {height} * pi() AS lat FROM range({width * height})),
 d AS (SELECT y, x, -sin(lon) * cos(lat) AS a, sin(lat) AS b, cos(lon) * cos(lat) AS c FROM p),
 s AS (SELECT y, x, a * rx + b * ry + c * rz AS cx, a * dx + b * dy + c * dz AS cy, a * fx + b * fy + c * fz AS cz FROM d, t),
-i AS (SELECT y, x, {c.Lens().fx} * cx / cz + {c.Lens().cx} AS u, {c.Lens().fy} * cy / cz + {c.Lens().cy} AS v FROM s WHERE cz > 1e-12),
-w AS (SELECT *, greatest(0.0, least(1.0, least(u + 0.5, 799.5 - u, v + 0.5, 599.5 - v) / 60)) AS k FROM i WHERE u BETWEEN -0.5 AND 799.5 AND v BETWEEN -0.5 AND 599.5),
-q AS (SELECT *, k * k * (3 - 2 * k) AS g FROM w)
-SELECT y, x, round(sum(g * (u + v) / 1400) / sum(g), 6) AS value, round(sum(g), 6) AS coverage, count(*) AS contributors FROM q WHERE g > 0 GROUP BY 1, 2"""
+i AS (SELECT y, x, {k.fx} * cx / cz + {k.cx} AS u, {k.fy} * cy / cz + {k.cy} AS v FROM s WHERE cz > 1e-12),
+e AS (SELECT *, greatest(0.0, least(1.0, least(u + 0.5, {k.width} - 0.5 - u, v + 0.5, {k.height} - 0.5 - v) / {feather})) AS k FROM i WHERE u BETWEEN -0.5 AND {k.width} - 0.5 AND v BETWEEN -0.5 AND {k.height} - 0.5),
+w AS (SELECT *, k * k * (3 - 2 * k) AS g FROM e) {select}"""
 
 
-@query(SPHERE)
+@query(sphere_sql(c.Lens(), WIDTH, HEIGHT, 60, "SELECT y, x, round(sum(g * (u + v) / 1400) / sum(g), 6) AS value, round(sum(g), 6) AS coverage, count(*) AS contributors FROM w WHERE g > 0 GROUP BY 1, 2"))
 def composite_sphere(spark, sf):
     """Frames of a whole capture plan blended onto the sphere by inverse mapping."""
     from ..operators.planning import capture_plan
@@ -405,6 +406,38 @@ def composite_sphere(spark, sf):
     return rounded(composite.composite(s, ["y", "x"], "v", "w", "gain"), value=6, coverage=6)
 
 
+SMALL = c.Lens(40, 30, 30.0, 30.0, 19.5, 14.5)
+
+
+@query(sphere_sql(SMALL, 64, 32, 4, "SELECT y, x, 0.4 AS value FROM w WHERE g > 0 GROUP BY 1, 2"))
+def sphere_pipeline(spark, sf):
+    """A whole capture in one call: brackets of a plan's frames, each frame dimmer or brighter than it should be and its
+    prior turned a little off, to an even sphere."""
+    import numpy as np
+
+    from ..operators import sphere
+    from ..operators.planning import capture_plan
+
+    plan = capture_plan(spark, SMALL).select("target", g.looking_at(F.col("yaw"), F.col("pitch")).alias("r")).orderBy("target").collect()  # tens of frames
+    truth = [np.array(p["r"]).reshape(3, 3) for p in plan]
+    n, i = len(truth), F.col("id")
+    frame = F.floor(i / 1200).cast("int")
+    log_gain = (frame * 5 % n - (n - 1) / 2.0) / 100.0
+    px = spark.range(n * 1200).select(frame.alias("frame"), (F.floor(i / 40) % 30).cast("int").alias("y"), (i % 40).cast("int").alias("x"), (F.exp(-log_gain) * 0.4).alias("radiance"))
+    rungs = F.explode(F.array(*[F.lit(v) for v in (0.25, 1.0, 4.0)])).alias("rel")
+    samples = px.select("frame", "y", "x", "radiance", rungs).select("frame", "y", "x", F.least(F.lit(1.0), F.col("radiance") * F.col("rel")).alias("v"), "rel", F.lit(1.0).alias("gain"))
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in r.ravel()]) for r in truth])
+    world = spark.range(600).select(g.from_angles((i * 41) % 360 - 180.0, F.degrees(F.asin((i * 29 % 599) / 299.5 - 1.0))).alias("d"))
+    seen = world.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("p", g.rotate(F.element_at(table, F.col("frame") + 1), F.col("d"), transposed=True)).where(g.visible(F.col("p"), SMALL))
+    both = seen.select("d", F.col("frame").alias("a"), "p").join(seen.select("d", F.col("frame").alias("b"), F.col("p").alias("q")), "d").where("a < b")
+    matches = both.select("a", "b", *[F.col(f"{v}.{x}").alias(v + x) for v in "pq" for x in "xyz"])
+    priors = [solve.exp_so3(np.array([0.01 * (k % 3 - 1), 0.01 * (k % 5 - 2), 0.0])) @ r for k, r in enumerate(truth)]
+    rotations, _, _ = sphere.aligned(matches, priors)
+    level = truth[0] @ rotations[0].T  # the priors' consensus is off by what they are; the sphere is put level again
+    out = sphere.process(samples, [level @ r for r in rotations], SMALL, 64, 32, 4.0)
+    return out.select("y", "x", F.round("value", 4).alias("value"))
+
+
 SEAM_SQL = "s AS (SELECT l_partkey % 1536 AS pixel, l_suppkey % 4 AS label, round(avg(l_extendedprice) / 10000, 6) AS log_value, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2)"
 INIT_SQL = "i AS (SELECT pixel, arg_max(label, [weight, -label]) AS label FROM s GROUP BY pixel)"
 
