@@ -212,26 +212,36 @@ def quaternion_product(p: Column, q: Column) -> Column:
 
 def slerp(p: Column, q: Column, t: Column) -> Column:
     """Along the shorter arc; almost equal ends go straight. The result has length 1."""
-    d = p["w"] * q["w"] + p["x"] * q["x"] + p["y"] * q["y"] + p["z"] * q["z"]
-    sign = F.when(d < 0, -1.0).otherwise(1.0)
-    c = F.least(F.lit(1.0), F.abs(d))
-    th = F.acos(c)
-    near = c > 0.9995
-    a = F.when(near, F.lit(1.0) - t).otherwise(F.try_divide(F.sin((F.lit(1.0) - t) * th), F.sin(th)))
-    b = F.when(near, t).otherwise(F.try_divide(F.sin(t * th), F.sin(th))) * sign
-    parts = {k: a * p[k] + b * q[k] for k in "wxyz"}
-    n = F.sqrt(sum((v * v for v in parts.values()), F.lit(0.0)))
-    return F.struct(*[(v / n).alias(k) for k, v in parts.items()])
+
+    def shares(d: Column) -> Column:
+        near, th = F.abs(d) > 0.9995, F.acos(F.least(F.lit(1.0), F.abs(d)))
+        a = F.when(near, F.lit(1.0) - t).otherwise(F.try_divide(F.sin((F.lit(1.0) - t) * th), F.sin(th)))
+        b = F.when(near, t).otherwise(F.try_divide(F.sin(t * th), F.sin(th)))
+        return F.struct(a.alias("a"), F.when(d < 0, -b).otherwise(b).alias("b"))
+
+    def unit(v: Column) -> Column:
+        n = F.sqrt(v["w"] * v["w"] + v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"])
+        return bind(n, lambda m: F.struct(*[(v[k] / m).alias(k) for k in "wxyz"]))
+
+    def between(e: Column) -> Column:
+        u, v = e["p"], e["q"]
+        d = u["w"] * v["w"] + u["x"] * v["x"] + u["y"] * v["y"] + u["z"] * v["z"]
+        return bind(bind(d, shares), lambda s: bind(F.struct(*[(s["a"] * u[k] + s["b"] * v[k]).alias(k) for k in "wxyz"]), unit))
+
+    return bind(F.struct(p.alias("p"), q.alias("q")), between)
 
 
 def matrix_of(q: Column) -> Column:
-    w, x, y, z = q["w"], q["x"], q["y"], q["z"]
     one = F.lit(1.0)
-    return F.array(
-        one - (y * y + z * z) * 2, (x * y - w * z) * 2, (x * z + w * y) * 2,
-        (x * y + w * z) * 2, one - (x * x + z * z) * 2, (y * z - w * x) * 2,
-        (x * z - w * y) * 2, (y * z + w * x) * 2, one - (x * x + y * y) * 2,
-    )
+
+    def of(w: Column, x: Column, y: Column, z: Column) -> Column:
+        return F.array(
+            one - (y * y + z * z) * 2, (x * y - w * z) * 2, (x * z + w * y) * 2,
+            (x * y + w * z) * 2, one - (x * x + z * z) * 2, (y * z - w * x) * 2,
+            (x * z - w * y) * 2, (y * z + w * x) * 2, one - (x * x + y * y) * 2,
+        )
+
+    return bind(q, lambda k: of(k["w"], k["x"], k["y"], k["z"]))
 
 
 def guidance(camera: Column) -> Column:

@@ -209,12 +209,12 @@ def look_at(spark, sf):
     return m.select("id", *[(F.round(F.col("m")[i], 9) + 0.0).alias(n) for i, n in ((0, "rx"), (3, "ry"), (4, "dy"), (7, "dz"), (2, "fx"), (5, "fy"))])
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, (c_custkey % 90) / 40.0 AS a, (c_custkey % 11) / 10.0 AS t FROM customer)
+@query("""WITH a AS (SELECT c_custkey AS id, (c_custkey % 90) / 40.0 + 0.2 AS a, (c_custkey % 11) / 10.0 AS t FROM customer)
 SELECT id, round(cos(a * t / 2), 6) AS w, round(sin(a * t / 2), 6) + 0.0 AS y, round(cos(a), 6) AS turned FROM a""")
 def quaternion_slerp(spark, sf):
     """From no rotation part of the way to one about the vertical; and the whole way as the product of two halves."""
     k, zero = F.col("c_custkey"), F.lit(0.0)
-    a, t = k % 90 / 40.0, k % 11 / 10.0
+    a, t = k % 90 / 40.0 + 0.2, k % 11 / 10.0
     turn = lambda x: g.quaternion(zero, F.sin(x / 2), zero, F.cos(x / 2))
     q = read(spark, sf, "customer", "c_custkey").select(k.alias("id"), g.slerp(turn(zero), turn(a), t).alias("s"), g.matrix_of(g.quaternion_product(turn(a / 2), turn(a / 2))).alias("m"))
     return q.select("id", F.round("s.w", 6).alias("w"), (F.round("s.y", 6) + 0.0).alias("y"), F.round(F.col("m")[0], 6).alias("turned"))

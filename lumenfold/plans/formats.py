@@ -266,12 +266,13 @@ def bracket_reader(spark, sf):
 
 
 @query("""WITH s AS (SELECT l_suppkey AS sphere, l_orderkey % 40 AS strip, max(l_extendedprice) AS top, sum(l_extendedprice) AS total, count(*) AS n FROM lineitem GROUP BY 1, 2)
-SELECT sphere, strip, round(max(top) OVER w, 4) AS top, round(sum(total) OVER w / sum(n) OVER w, 4) AS mean, CAST(sum(n) OVER w AS BIGINT) AS pixels FROM s WINDOW w AS (PARTITION BY sphere ORDER BY strip)""")
+SELECT sphere, strip, round(max(top) OVER w, 4) AS top, round(sum(total) OVER w, 2) AS total, CAST(sum(n) OVER w AS BIGINT) AS pixels FROM s WINDOW w AS (PARTITION BY sphere ORDER BY strip)""")
 def strip_statistics(spark, sf):
     """Statistics that run along while a sphere is written strip by strip: partial sums first, then running ones."""
     li = read(spark, sf, "lineitem", "l_suppkey", "l_orderkey", "l_extendedprice")
     strips = li.select(F.col("l_suppkey").alias("sphere"), (F.col("l_orderkey") % 40).alias("strip"), F.col("l_extendedprice").alias("v"))
-    return rounded(store.running_statistics(strips, ["sphere"], "strip", "v"), top=4, mean=4)
+    s = store.running_statistics(strips, ["sphere"], "strip", "v").withColumn("total", F.col("mean") * F.col("pixels"))
+    return rounded(s.drop("mean"), top=4, total=2)
 
 
 @query("""WITH b AS (SELECT l_suppkey AS sphere, l_partkey // 2 % 40 AS y, l_orderkey // 2 % 20 AS x, avg(l_extendedprice) AS v, sum(l_quantity) AS c FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT sphere, max(c) AS most FROM b GROUP BY 1)
