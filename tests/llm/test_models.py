@@ -34,6 +34,19 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(b"".join(runs), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_in_stretches(monkeypatch):
+    """Texts beyond a stretch are split where a word begins; the ids are those of the whole text."""
+    monkeypatch.setattr(op1_packing, "STRETCH", 64)
+    e = op1_packing.Encoder(op1_packing.default_tokenizer())
+    texts = ["".join(R.choice([" ", " ", "\n", "a", "B", "'s", "1", ".", "\t", "\xa0", "é", "ω", "word", " the"], int(n))) for n in R.integers(1, 900, 150)]
+    for t, runs in zip(texts, e.each(texts), strict=True):
+        assert np.frombuffer(b"".join(runs), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_padding():
+    assert [op1_packing.padded(n) for n in (1, 3, 1024, 1500, 2047, 2048)] == [1, 2048, 1024, 2048, 2048, 2048]
+
+
 def test_packing(spark):
     docs = docs_of(spark, ODD)
     got = op1_packing.pack(docs, op1_packing.default_tokenizer()).toPandas()
@@ -82,6 +95,18 @@ def test_targets_by_hand(spark):
     assert got == pytest.approx({"a": 30.0, "b": 2 * level, "c": level, None: min(900, 5 * level)} if 5 * level <= 900 else {"a": 30.0, None: 900.0, "b": (1810 - 930) / 3 * 2, "c": (1810 - 930) / 3})
 
 
+def test_rows_alike_share_their_copies(spark, monkeypatch):
+    monkeypatch.setattr(op3_mixing, "ALIKE", 7)
+    rows = [(1, "w " * 10, "s0")] * 40 + [(None, "w " * 10, "s0")] * 33 + [(k, "w " * 9, f"s{k % 3}") for k in range(2, 300)]
+    docs = docs_of(spark, rows)
+    got = op3_mixing.mix(docs.withColumn("size", op3_mixing.words_in(__import__("pyspark").sql.functions.col("text")))).toPandas()
+    assert got.columns.tolist() == ["doc_id", "source", "size", "source_size", "target", "taken", "copies"] and len(got) == len(rows)
+    for alike in (got[got["doc_id"] == 1], got[got["doc_id"].isna()]):
+        assert alike["copies"].max() - alike["copies"].min() <= 1
+    applied = op3_mixing.apply(docs)
+    assert applied.where("doc_id = 1").count() == got[got["doc_id"] == 1]["copies"].sum() and applied.where("doc_id is null").count() == got[got["doc_id"].isna()]["copies"].sum()
+
+
 def test_pivotal_keeps_the_mean():
     size, part = R.integers(1, 50, 9).astype(float), R.uniform(0, 1, 9)
     drawn = np.mean([op3_mixing.pivotal(size, part, np.random.default_rng(k), False) for k in range(4000)], axis=0)
@@ -99,6 +124,44 @@ def test_toxicity(spark):
     assert op4_toxicity.score(docs_of(spark, []), labels).count() == 0
 
 
+def test_ftrl_equals_a_plain_one():
+    """The update rule of FTRL-proximal, coordinate by coordinate, in dictionaries."""
+    rows = [(np.unique(R.integers(0, 60, 12)), int(R.random() < 0.4)) for _ in range(400)]
+    model = op4_toxicity.Ftrl(6)
+    z, n = {}, {}
+    a, b, l1, l2 = op4_toxicity.ALPHA, op4_toxicity.BETA, op4_toxicity.L1, op4_toxicity.L2
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - np.sign(zi) * l1) / ((b + ni**0.5) / a + l2)
+
+    for at, label in rows:
+        model.learn(at, label)
+        every = [*at.tolist(), 64]
+        w = {i: weight(i) for i in every}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in every:
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / a
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    assert np.allclose(model.weights(np.arange(65)), [weight(i) for i in range(65)])
+
+
+def test_features_are_words_pairs_and_skips():
+    f = op4_toxicity.Features()
+    words = [f"w{k}" for k in range(40)]
+    assert len(f.of(" ".join(words))) == 40 + 39 + 38
+    assert set(f.of("w1 w2")) < set(f.of("w0 w1 w2 w3")) and set(f.of("w1 w3")) & set(f.of("w1 w2 w3")) == set(f.of("w1")) | set(f.of("w3"))
+
+
+def test_one_text_per_label_is_learnt_from(spark, monkeypatch):
+    """A labelled id that very many rows share sends one text to the training task."""
+    seen = {}
+    monkeypatch.setattr(op4_toxicity, "train", lambda rows: seen.setdefault("n", rows.count()) and {} or {})
+    docs = docs_of(spark, [(k % 2, f"text {k}", "a") for k in range(300)])
+    op4_toxicity.score(docs, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")).count()
+    assert seen["n"] == 2
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = op4_toxicity.op4_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
