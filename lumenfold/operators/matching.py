@@ -12,15 +12,26 @@ from ..functions.geometry import angle, rotate, unproject, visible
 
 
 def overlap_pairs(frames: DataFrame, n: int, reach: float, margin: float) -> DataFrame:
-    """frames: frame, direction (null if unknown) -> a, b, pair for pairs a < b whose axes lie within reach.
+    """frames: frame, direction (a unit vector, null if unknown) -> a, b, pair for pairs a < b whose axes lie within reach.
 
-    An unknown axis may overlap with anything. `pair` numbers all pairs of n frames by rows of the triangle.
+    Axes within an angle lie within its chord, so an equi-join on cubes of that side, each frame in twenty-seven, finds
+    them. An unknown axis may overlap with anything: those frames meet all others, which is what they are asked
+    for. `pair` numbers all pairs of n frames by rows of the triangle.
     """
-    a = frames.select(F.col("frame").alias("a"), F.col("direction").alias("da"))
-    b = frames.select(F.col("frame").alias("b"), F.col("direction").alias("db"))
-    near = F.col("da").isNull() | F.col("db").isNull() | (angle(F.col("da"), F.col("db")) <= reach + margin)
+    most = reach + margin
+    chord = max(1e-9, 2 * math.sin(min(most, math.pi) / 2))
+    known = frames.where(F.col("direction").isNotNull())
+    cube = lambda d: [F.floor(F.col(f"{d}.{k}") / chord) for k in "xyz"]
+    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("xyz", (i, j, k_), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k_ in (-1, 0, 1)])
+    a = known.select(F.col("frame").alias("a"), F.col("direction").alias("da"), F.explode(steps).alias("o"))
+    a = a.select("a", "da", *[(c + F.col(f"o.{k}")).alias(f"c{k}") for c, k in zip(cube("da"), "xyz", strict=True)])
+    b = known.select(F.col("frame").alias("b"), F.col("direction").alias("db"))
+    b = b.select("b", "db", *[c.alias(f"c{k}") for c, k in zip(cube("db"), "xyz", strict=True)])
+    near = a.join(b, ["cx", "cy", "cz"]).where((F.col("a") < F.col("b")) & (angle(F.col("da"), F.col("db")) <= most)).select("a", "b")
+    unknown = frames.where(F.col("direction").isNull()).select(F.col("frame").alias("u"))
+    free = unknown.join(frames.select(F.col("frame").alias("w")), F.col("u") != F.col("w")).select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
     pair = F.floor(F.col("a") * (F.lit(2 * n - 1) - F.col("a")) / 2) + F.col("b") - F.col("a") - 1
-    return a.join(b, (F.col("a") < F.col("b")) & near).select("a", "b", pair.cast("long").alias("pair"))
+    return near.unionByName(free).select("a", "b", pair.cast("long").alias("pair"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -28,13 +39,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def nearest_two(pairs: DataFrame, by: list[str], candidate: str, distance: str) -> DataFrame:
-    """Best and runner-up of each key; the lower candidate first among equals. One partial aggregate, no sort."""
-    rank = F.struct(F.col(distance).alias("d"), F.col(candidate).alias("c"))
-    two = pairs.groupBy(*by).agg(F.min(rank).alias("best"), F.sort_array(F.collect_set(rank)).alias("all"))
-    return two.select(*by, F.col("best.c").alias(candidate), F.col("best.d").alias("distance"), F.get("all", F.lit(1))["d"].alias("second"))
-
-
 def knn_ratio(left: DataFrame, right: DataFrame, by: list[str], cfg: Matching = Matching(), cross_check: bool = False) -> DataFrame:
     """Descriptor matches of two feature tables that share `by` (a frame pair): kp, desc each.
 
