@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 from ..config import Lens, Seam
 from ..functions import geometry as g
 from ..functions.radiometry import feather
+from .bounds import small
 
 
 BAND = 16  #: rows of the canvas that are pruned together
 
 
-BROADCAST_FRAMES = 10_000  #: frames of about 200 bytes that are broadcast at most
-
-
 def cones(frames: DataFrame, lens: Lens) -> DataFrame:
     """frames: frame, rotation and others -> also axis, cos_limit, lat_min and lat_max of each frame's view cone."""
     reach = g.max_angle(lens) + 1e-3
@@ -42,10 +40,10 @@ def contributions(pixels: DataFrame, frames: DataFrame, width: int, height: int,
 
     Every frame that sees a pixel's centre, with where it falls there and its feather weight. Pixels meet only the
     frames whose cone touches their band of rows, then those whose cone holds them. The frames of one sphere are tens;
-    beyond BROADCAST_FRAMES they are joined by shuffle.
+    thousands are joined by shuffle.
     """
     near = touched_bands(cones(frames, lens), height).select("band", "frame", "rotation", "gain", "axis", "cos_limit")
-    near = F.broadcast(near) if frames.limit(BROADCAST_FRAMES + 1).count() <= BROADCAST_FRAMES else near
+    near = small(near)
     d = g.direction(F.col("x"), F.col("y"), width, height)
     met = pixels.withColumns({"d_": d, "band": F.floor(F.col("y") / BAND).cast("int")}).join(near, "band").where(g.dot(F.col("d_"), F.col("axis")) >= F.col("cos_limit"))
     seen = met.withColumn("p_", g.project(g.rotate(F.col("rotation"), F.col("d_"), transposed=True), lens))

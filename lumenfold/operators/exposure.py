@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..functions import radiometry as r
 from . import matching, raster
+from .bounds import gathered
 from .statistics import exact_percentiles
 
 
@@ -125,7 +126,7 @@ def runs(scenes: DataFrame, rungs: DataFrame, b: c.Bracket = c.Bracket()) -> Dat
     dark = F.lit(b.saturation_target) / F.col("high_radiance")
     bright = F.lit(b.shadow_target) / F.col("low_radiance")
     size = F.col("size_")
-    steps = rungs.agg(F.array_sort(F.collect_list(F.struct("rung", "rel"))).alias("steps_"), F.count("*").cast("int").alias("size_"))
+    steps = gathered(rungs, F.struct("rung", "rel"), "steps_").select(F.array_sort("steps_").alias("steps_"), F.size("steps_").alias("size_"))
     s = scenes.join(F.broadcast(steps))
     fit = F.filter("steps_", lambda x: x["rel"] <= dark * (1 + 1e-9))
     start = F.coalesce(F.array_max(F.transform(fit, lambda x: x["rung"])), F.lit(0))
@@ -142,7 +143,7 @@ def runs(scenes: DataFrame, rungs: DataFrame, b: c.Bracket = c.Bracket()) -> Dat
 
 def nearest_rung(wanted: DataFrame, rungs: DataFrame, key: str, rel: str) -> DataFrame:
     """The rung nearest in log exposure, the darker one of equals; the ladder is broadcast, a few rows."""
-    steps = rungs.agg(F.collect_list(F.struct("rung", "rel")).alias("steps_"))
+    steps = gathered(rungs, F.struct("rung", "rel"), "steps_")
     best = F.array_min(F.transform("steps_", lambda s: F.struct(F.round(F.abs(F.ln(s["rel"] / F.col(rel))), 12).alias("d"), s["rung"].alias("rung"))))
     return wanted.join(F.broadcast(steps)).select(key, rel, best["rung"].alias("rung"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Lens, Matching
 from ..functions.geometry import angle, rotate, unproject, visible
+from .bounds import gathered, small
 
 
 def overlap_pairs(frames: DataFrame, n: int, reach: float, margin: float) -> DataFrame:
@@ -105,7 +106,7 @@ def nearest_target(poses: DataFrame, targets: DataFrame, within: float | None =
 
     The nearest target of each pose, the lower id among equals; with `within`, strictly nearer than that or none.
     """
-    plan = targets.agg(F.collect_list(F.struct("target", "direction")).alias("plan"))
+    plan = gathered(targets, F.struct("target", "direction"), "plan")
     met = poses.join(F.broadcast(plan))
     best = F.array_min(F.transform("plan", lambda t: F.struct(F.round(angle(F.col("direction"), t["direction"]), 12).alias("d"), t["target"].alias("target"))))
     out = met.select("pose", best.alias("n")).select("pose", F.col("n.target").alias("target"), F.col("n.d").alias("angle"))
@@ -114,14 +115,14 @@ def nearest_target(poses: DataFrame, targets: DataFrame, within: float | None =
 
 def coverage(directions: DataFrame, targets: DataFrame, cone: float) -> DataFrame:
     """How many targets of a broadcast plan see each direction (id, direction) within a cone."""
-    plan = targets.agg(F.collect_list("direction").alias("plan"))
+    plan = gathered(targets, "direction", "plan")
     n = F.size(F.filter("plan", lambda t: angle(F.col("direction"), t) <= cone))
     return directions.join(F.broadcast(plan)).select("id", n.alias("n"))
 
 
 def frame_count(directions: DataFrame, targets: DataFrame, lens: Lens) -> DataFrame:
     """How many targets (target, rotation) of a broadcast plan have each direction (id, direction) in their frame."""
-    plan = targets.agg(F.collect_list("rotation").alias("plan"))
+    plan = gathered(targets, "rotation", "plan")
     n = F.size(F.filter("plan", lambda r: visible(rotate(r, F.col("direction"), transposed=True), lens)))
     return directions.join(F.broadcast(plan)).select("id", n.alias("n"))
 
@@ -133,7 +134,7 @@ def frame_neighbours(targets: DataFrame, lens: Lens, least: float = 0.05, grid:
     at = F.flatten(F.transform(steps, lambda j: F.transform(steps, lambda i: F.struct(k(lens.width, i).alias("u"), k(lens.height, j).alias("v")))))
     samples = targets.select("target", F.col("rotation").alias("ra"), F.explode(at).alias("s"))
     samples = samples.select("target", rotate(F.col("ra"), unproject(F.col("s.u"), F.col("s.v"), lens)).alias("d"))
-    other = F.broadcast(targets.select(F.col("target").alias("other"), F.col("rotation").alias("rb")))
+    other = small(targets.select(F.col("target").alias("other"), F.col("rotation").alias("rb")))
     seen = samples.join(other, F.col("target") != F.col("other")).where(visible(rotate(F.col("rb"), F.col("d"), transposed=True), lens))
     near = seen.groupBy("target", "other").count().where(F.col("count") >= least * grid * grid)
     return targets.select("target").join(near, "target", "left").groupBy("target").agg(F.count("other").alias("n"))

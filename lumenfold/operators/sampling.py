@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Lens, Matching
 from ..functions import geometry as g
 from ..functions.lcg import JavaRandom
+from .bounds import small
 from .matching import knn_ratio
 
 
@@ -37,8 +38,8 @@ def shared_positions(pairs: DataFrame, positions: DataFrame, rotations: DataFram
 
     Each position of the first frame that the second sees, with where it falls there: a, b, sample, x, y, u, v.
     """
-    r = lambda side: F.broadcast(rotations.select(F.col("frame").alias(side), F.col("rotation").alias(f"r{side}")))
-    met = pairs.join(r("a"), "a").join(r("b"), "b").join(F.broadcast(positions))
+    r = lambda side: small(rotations.select(F.col("frame").alias(side), F.col("rotation").alias(f"r{side}")))
+    met = pairs.join(r("a"), "a").join(r("b"), "b").join(small(positions))
     world = g.rotate(F.col("ra"), g.unproject(F.col("x"), F.col("y"), lens))
     seen = met.withColumn("d_", g.rotate(F.col("rb"), world, transposed=True))
     return seen.where(g.visible(F.col("d_"), lens)).withColumn("p_", g.project(F.col("d_"), lens)).select("a", "b", "sample", "x", "y", F.col("p_.u").alias("u"), F.col("p_.v").alias("v"))
@@ -67,11 +68,15 @@ def photometric_samples(shared: DataFrame, pixels: DataFrame, least: float = 1e-
     return both.where((F.col("va") > least) & (F.col("vb") > least)).select("a", "b", "va", "vb", F.lit(1.0).alias("w"))
 
 
-def tracked(features: DataFrame, order: str = "frame", cfg: Matching = Matching()) -> DataFrame:
-    """features: frame, kp, desc -> frame, ka, kb, distance: matches of every frame with the one before it."""
-    frames = features.select(order).distinct().withColumn("before", F.lag(order).over(Window.orderBy(order)))  # a row per frame
-    now = features.join(F.broadcast(frames.where("before is not null")), order)
-    old = features.join(F.broadcast(frames.where("before is not null").select(F.col(order).alias("now"), F.col("before").alias(order))), order)
-    return knn_ratio(old.select(F.col("now").alias(order), "kp", "desc"), now.select(order, "kp", "desc"), [order], cfg, cross_check=True)
+def tracked(features: DataFrame, order: str = "frame", cfg: Matching = Matching(), keys: tuple[str, ...] = ()) -> DataFrame:
+    """features: keys, frame, kp, desc -> keys, frame, ka, kb, distance: matches of every frame with the one before it.
+
+    Frames follow one another within a capture, the keys; without keys the table is one capture.
+    """
+    before = F.lag(order).over(Window.partitionBy(*keys).orderBy(order))
+    frames = features.select(*keys, order).distinct().withColumn("before", before).where("before is not null")
+    now = features.join(frames.select(*keys, order), [*keys, order], "left_semi")
+    old = features.join(frames.select(*keys, F.col(order).alias("now"), F.col("before").alias(order)), [*keys, order])
+    return knn_ratio(old.select(*keys, F.col("now").alias(order), "kp", "desc"), now.select(*keys, order, "kp", "desc"), [*keys, order], cfg, cross_check=True)
 
 
