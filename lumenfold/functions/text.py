@@ -23,9 +23,15 @@ def captured_at(directory: Column, modified: Column) -> Column:
     return F.coalesce(F.timestamp_millis(ms), modified)
 
 
+def json_document(document: Column) -> Column:
+    """A JSON document as a variant; null if it is none, or anything follows it: it must be all of a list of one."""
+    alone = F.json_array_length(F.concat(F.lit("["), document, F.lit("]"))) == 1
+    return F.when(alone, F.try_parse_json(document))
+
+
 def json_number(document: Column, path: str) -> Column:
     """A number of a JSON document; null if there is none, or the document is none."""
-    return F.try_variant_get(F.try_parse_json(document), path, "double")
+    return F.try_variant_get(json_document(document), path, "double")
 
 
 def finish_message(stored: Column, abandoned: Column, total: Column) -> Column:
@@ -43,3 +49,8 @@ def lens_line(front: Column, hfov: Column, directions: Column, tier: Column, phy
     worth = F.when(tier == "LINEAR_RAW", "RAW").when(tier == "MANUAL_YUV", "no RAW, relative values").otherwise("camera picks the exposure")
     caveat = F.when(physical, ", untested on this phone").otherwise("")
     return F.concat(F.format_string("%s, %.0f degrees, %d directions, %s", width, hfov, directions, worth), caveat)
+
+
+def json_text(document: Column, path: str) -> Column:
+    """A string of a JSON document, escapes undone; null if there is none, or anything follows the document."""
+    return F.try_variant_get(json_document(document), path, "string")

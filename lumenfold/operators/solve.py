@@ -426,3 +426,20 @@ def vignettes(observations: DataFrame, keys: list[str], rounds: int = 25) -> Dat
             break
         state = state.drop("step")
     return state.select(*keys, "a2", "a4")
+
+
+def flat_fields(values: DataFrame, keys: list[str]) -> DataFrame:
+    """values: keys, r2 (squared radius, 1 at the corner), v of an evenly lit frame -> keys, level, a2, a4.
+
+    v = level * (1 + a2 r^2 + a4 r^4) is linear in level and its multiples: five moments of the radius and three with
+    the value, combined before the shuffle, then a 3 x 3 system in closed form; null where radii don't tell them apart.
+    """
+    r2, v = F.col("r2"), F.col("v")
+    power = lambda k: r2 * power(k - 1) if k else F.lit(1.0)
+    s = values.groupBy(*keys).agg(*[F.sum(power(k)).alias(f"m{k}") for k in range(5)], *[F.sum(power(k) * v).alias(f"b{k}") for k in range(3)])
+    m = [[F.col(f"m{i + j}") for j in range(3)] for i in range(3)]
+    b = [F.col(f"b{k}") for k in range(3)]
+    det = lambda a: a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
+    solved = [F.try_divide(det([[b[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]), det(m)) for k in range(3)]
+    out = s.select(*keys, *[x.alias(f"x{k}") for k, x in enumerate(solved)])
+    return out.select(*keys, F.col("x0").alias("level"), F.try_divide("x1", "x0").alias("a2"), F.try_divide("x2", "x0").alias("a4"))

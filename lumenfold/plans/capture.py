@@ -586,3 +586,25 @@ def grown_bracket(spark, sf):
     p = read(spark, sf, "part", "p_partkey", "p_size").select(k.alias("id"), F.pow(F.lit(2.0), -(F.col("p_size") % 14)).alias("wanted"), F.get(F.array(F.lit(2), F.lit(1), F.lit(0)), (k % 3).cast("int")).alias("first"), F.get(F.array(F.lit(4), F.lit(3), F.lit(2)), (k % 3).cast("int")).alias("last"))
     ladder = F.array(*[F.lit(2.0 ** (i - 8)) for i in range(6)])
     return exposure.extended(p, ladder, 2.0**-11, 3.0, 9).select("id", "added", "new_first", "new_last")
+
+
+@query("SELECT p_partkey // 40 AS scene, CAST(5 + p_partkey // 40 % 7 AS DOUBLE) AS level, -0.42 AS a2, 0.09 AS a4 FROM part GROUP BY 1, 2")
+def flat_field(spark, sf):
+    """Falloff and level of evenly lit frames; here they follow one falloff exactly."""
+    k = F.col("p_partkey")
+    scene, r2 = F.floor(k / 40), F.pow(k * 7 % 40 / 39.0, F.lit(2.0))
+    v = (scene % 7 + 5) * (r2 * -0.42 + r2 * r2 * 0.09 + 1)
+    out = solve.flat_fields(read(spark, sf, "part", "p_partkey").select(scene.alias("scene"), r2.alias("r2"), v.alias("v")), ["scene"])
+    return rounded(out, level=5, a2=5, a4=5)
+
+
+@query("SELECT CAST(range AS INT) AS level, CASE WHEN range = 255 THEN 1.0 ELSE round(exp(ln(2.0) / 16), 4) END AS step FROM range(256)")
+def response_curve(spark, sf):
+    """A camera's response from brackets of samples, as the factor from each level to the next, and the last one's value;
+    here levels rise with the logarithm of exposure, a line that smoothing keeps."""
+    p = read(spark, sf, "part", "p_partkey", "p_size").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    s = p.select(F.col("p_partkey").alias("sample"), ((F.col("p_size") * 4 + F.col("j") * 16) / 255.0).alias("encoded"), F.pow(F.lit(2.0), F.col("j")).alias("rel")).where("encoded < 1")
+    table = F.array(*[F.lit(v) for v in solve.response_curve(s)])
+    i = F.col("id").cast("int")
+    own, onward = F.get(table, i), F.get(table, i + 1)
+    return spark.range(256).select(i.alias("level"), F.round(F.coalesce(onward / own, own), 4).alias("step"))

@@ -283,3 +283,13 @@ def preview_images(spark, sf):
     li = read(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_extendedprice", "l_quantity")
     cell = li.groupBy(F.col("l_suppkey").alias("sphere"), (F.floor(F.col("l_partkey") / 2) % 40).alias("y"), (F.floor(F.col("l_orderkey") / 2) % 20).alias("x")).agg(F.avg("l_extendedprice").alias("v"), F.sum("l_quantity").alias("coverage"))
     return store.preview_bytes(cell, ["sphere"], F.lit(2e-5))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'Ünïc "' || p_size || '"' END AS name, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size / 4.0 END AS second, p_partkey % 5 <> 0 AS parsed FROM part""")
+def json_documents(spark, sf):
+    """Strings with escapes, nested arrays and numbers of documents; anything after one rejects it."""
+    size = F.col("p_size").cast("string")
+    doc = F.concat(F.lit('{"a": {"name": "\\u00dcn\\u00efc \\"'), size, F.lit('\\"", "v": [1e2, '), (F.col("p_size") / 4.0).cast("string"), F.lit(", null, true]}}"), F.when(F.col("p_partkey") % 5 == 0, " x").otherwise(""))
+    d = read(spark, sf, "part", "p_partkey", "p_size").select("p_partkey", doc.alias("doc"))
+    name, second = text.json_text(F.col("doc"), "$.a.name"), text.json_number(F.col("doc"), "$.a.v[1]")
+    return d.select("p_partkey", F.coalesce(name, F.lit("")).alias("name"), F.coalesce(second, F.lit(-1.0)).alias("second"), text.json_document(F.col("doc")).isNotNull().alias("parsed"))
