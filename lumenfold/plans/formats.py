@@ -40,19 +40,18 @@ def round_trip(spark: SparkSession, sf: str, kind: str, *values) -> DataFrame:
 
 
 ORDERED = "px AS (SELECT l_suppkey AS frame, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS x, l_quantity AS q, l_discount AS d, l_partkey AS p FROM lineitem)"
-QUANTITY = F.col("l_quantity")
 
 
 @query(f"WITH {ORDERED} SELECT frame, CAST(x AS INT) AS x, 0 AS c, round(q / 64, 6) AS v FROM px")
 def plane_round_trip(spark, sf):
     """Working planes of half floats, written and read; the values have exact halves."""
-    return round_trip(spark, sf, "plane", QUANTITY / 64)
+    return round_trip(spark, sf, "plane", F.col("l_quantity") / 64)
 
 
 @query(f"WITH {ORDERED} SELECT frame, CAST(x AS INT) AS x, c, round(CASE c WHEN 0 THEN q / 64 WHEN 1 THEN p % 256 ELSE 0.5 END, 6) AS v FROM px, (SELECT CAST(range AS INT) AS c FROM range(3))")
 def exr_round_trip(spark, sf):
     """Scanline files of half channels, each line packed where that makes it smaller."""
-    return round_trip(spark, sf, "exr", QUANTITY / 64, F.col("l_partkey") % 256, F.lit(0.5))
+    return round_trip(spark, sf, "exr", F.col("l_quantity") / 64, F.col("l_partkey") % 256, F.lit(0.5))
 
 
 @query(f"""WITH {ORDERED}, t AS (SELECT *, floor(ln(greatest(q, 1 + p % 100)) / ln(2.0) + 1e-12) + 1 AS e FROM px),
@@ -60,7 +59,7 @@ v AS (SELECT frame, x, e, [q, 1.0 + p % 100, 0.25] AS v FROM t)
 SELECT frame, CAST(x AS INT) AS x, c, round((floor(v[c + 1] * 256 / power(2.0, e)) + 0.5) * power(2.0, e) / 256, 6) AS v FROM v, (SELECT CAST(range AS INT) AS c FROM range(3))""")
 def rgbe_round_trip(spark, sf):
     """Shared-exponent files with run lengths; a mantissa reads as the middle of its step."""
-    return round_trip(spark, sf, "rgbe", QUANTITY, F.lit(1.0) + F.col("l_partkey") % 100, F.lit(0.25))
+    return round_trip(spark, sf, "rgbe", F.col("l_quantity"), F.lit(1.0) + F.col("l_partkey") % 100, F.lit(0.25))
 
 
 @query(f"WITH {ORDERED} SELECT frame, CAST(x AS INT) AS x, 0 AS c, CAST(p * 7 % 65536 AS DOUBLE) AS v FROM px")
