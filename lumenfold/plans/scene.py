@@ -320,7 +320,7 @@ def gain_solve(spark, sf):
     log = lambda k: (k * 5 % 12 - 5.5) / 20
     p = photometric(spark, sf)
     seen = p.withColumn("vb", F.col("va") * F.exp(log(F.col("a")) - log(F.col("b"))))
-    gains = solve.gains(seen, 12, ridge=1e-9, rounds=4)
+    gains = solve.gains(seen, 12, rounds=4)
     table = F.array(*[F.lit(v) for v in gains])
     return spark.range(12).select(F.col("id").cast("int").alias("frame"), F.round(F.element_at(table, F.col("id").cast("int") + 1), 6).alias("gain"))
 
