@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each works on all that the one before it kept."""
+"""A corpus pipeline of five stages; each works on all that the one before it kept.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and empty tables, and other columns
+whatever they are called; all but the last return the columns of their input. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +27,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one of least doc_id; of repeated rows one.
+
+    Null, empty and blank texts are no duplicates and all stay; rows with a null doc_id take part, and where a
+    group has such rows one of these stays.
+    """
     return op5_neardup.deduplicate(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, its secrets replaced; n_chars is counted anew where that changed the text."""
+    """Every document stays, its secrets replaced; n_chars is counted anew where that changed the text.
+
+    Null texts stay null; of overlapping secrets one mark stands for all; repeated rows are scanned once and all stay.
+    """
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("others")  # whatever they are called
     paths, _ = op8_secrets.scan(docs.select("text", others))
     clean = paths.select("others", (F.size("findings") > 0).alias("hit"), op8_secrets.redact(F.col("text"), F.col("findings")).alias("text"))
@@ -38,12 +49,19 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight has it, at most three times, some not at all."""
+    """Each document as often as its source's target weight has it, at most three times, some not at all.
+
+    Null source is a source of its own; null and empty texts have no words and go; repeated rows share their copies
+    evenly; reruns agree.
+    """
     return op3_mixing.apply(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and empty texts are the end id alone; repeated rows, as the mix makes them, are packed once each.
+    """
     return op1_packing.pack(docs, op1_packing.default_tokenizer())
 
 
