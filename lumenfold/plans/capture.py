@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +9,9 @@ from .. import config as c
 from ..functions import geometry as g
 from ..functions import radiometry as r
 from ..functions import text
-from ..operators import capture, catalogue, composite, exposure, features, matching, planning, raster, sampling, solve
+from ..operators import capture, catalogue, composite, exposure, features, matching, raster, sampling, solve
 from .common import read, rounded
-from .scene import ANGLE, DIR, capture_plan_rings, poses, targets  # noqa: F401
+from .scene import ANGLE, DIR
 
 QUERIES, SQL = {}, {}
 
@@ -102,7 +100,7 @@ PX = "px AS (SELECT f.range AS frame, y.range AS y, x.range AS x, greatest(0, (f
 
 
 @query(f"""WITH {PX}, s AS (SELECT DISTINCT l_suppkey % 12 AS a, l_partkey % 12 AS b, l_orderkey % 8 AS x, l_linenumber AS y, CAST(l_quantity AS INT) % 8 AS xb, (l_orderkey + l_linenumber) % 8 AS yb FROM lineitem)
-SELECT s.a, s.b, x, y, xb, yb, p.v AS va, q.v AS vb FROM s JOIN px p ON p.frame = a AND p.y = s.y AND p.x = s.x JOIN px q ON q.frame = b AND q.y = yb AND q.x = xb WHERE p.v > 1e-6 AND q.v > 1e-6""".replace("SELECT s.a, s.b, x, y,", "SELECT s.a, s.b, s.x, s.y,"))
+SELECT s.a, s.b, s.x, s.y, xb, yb, p.v AS va, q.v AS vb FROM s JOIN px p ON p.frame = a AND p.y = s.y AND p.x = s.x JOIN px q ON q.frame = b AND q.y = yb AND q.x = xb WHERE p.v > 1e-6 AND q.v > 1e-6""")
 def photometric_pairs(spark, sf):
     """Values that two frames have of one place; where either is dark, the pair drops out."""
     li = read(spark, sf, "lineitem", "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
@@ -527,8 +525,8 @@ def vignette_fit(spark, sf):
     return rounded(solve.vignettes(o, ["scene"]), a2=5, a4=5)
 
 
-@query("""WITH y AS (SELECT s_suppkey, (s_suppkey * 37 % 100) / 100.0 AS yaw FROM supplier), o AS (SELECT min(s_suppkey) AS root FROM supplier)
-SELECT s_suppkey AS frame, round(cos(y.yaw - z.yaw), 6) AS m00, round(sin(y.yaw - z.yaw), 6) + 0.0 AS m02 FROM y, o JOIN y z ON z.s_suppkey = root""".replace("y.yaw - z.yaw", "y.yaw - z.yaw").replace("FROM y, o JOIN y z ON z.s_suppkey = root", "FROM y CROSS JOIN (SELECT yaw FROM y JOIN o ON s_suppkey = root) z").replace("SELECT s_suppkey AS frame", "SELECT y.s_suppkey AS frame"))
+@query("""WITH y AS (SELECT s_suppkey, (s_suppkey * 37 % 100) / 100.0 AS yaw FROM supplier), z AS (SELECT arg_min(yaw, s_suppkey) AS yaw FROM y)
+SELECT s_suppkey AS frame, round(cos(y.yaw - z.yaw), 6) AS m00, round(sin(y.yaw - z.yaw), 6) + 0.0 AS m02 FROM y, z""")
 def spanning_rotations(spark, sf):
     """Rotations grown over the strongest pairs, from frame to frame; the root is the first frame of the strongest pair."""
     s = read(spark, sf, "supplier", "s_suppkey")
