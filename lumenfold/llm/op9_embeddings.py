@@ -28,7 +28,7 @@ from .graph import components
 COSINE = 0.9
 TILE = 4096  #: vectors of a tile
 GROUP_TILES = 12  #: tiles of a group at most; a task holds two groups, and the driver a box for each
-SPLIT_SAMPLE, SPLIT_AXES, CELL_SAMPLE = 1 << 16, 8, 16  #: vectors that place the cells' walls, axes they stand on, vectors of a cell
+SPLIT_SAMPLE, SPLIT_AXES, CELL_SAMPLE = 1 << 14, 8, 16  #: vectors that place the cells' walls, axes they stand on, vectors of a cell
 BLOCK = 1024  #: vectors of a side that are multiplied at once
 STAGES = (16, 32)  #: coordinates accumulated before each bound
 DENSE = 0.05  #: share of pairs that survive a bound above which a block is multiplied out whole
