@@ -111,6 +111,8 @@ def ransac(p: np.ndarray, q: np.ndarray, limit: float, rounds: int, seed: int, r
 def pair_rotations(matches: DataFrame, keys: list[str], limit_deg: float = 0.4, rounds: int = 1000, seed: int = 12345) -> DataFrame:
     """matches: keys and px, py, pz, qx, qy, qz -> keys, matches, inliers, error_deg, rotation of each frame pair.
 
+    With a column `pair`, the pair's number from 0, each pair draws from a seed of its own.
+
     Pairs are solved side by side; a pair's matches, some hundreds, are one task's.
     """
     kinds = {f.name: f.dataType.simpleString() for f in matches.schema}
@@ -122,7 +124,8 @@ def _pair_solver(keys: list[str], limit_deg: float, rounds: int, seed: int) -> C
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, q = pdf[["px", "py", "pz"]].to_numpy(float), pdf[["qx", "qy", "qz"]].to_numpy(float)
         order = np.lexsort(np.hstack([p, q]).T)
-        r, inside, error = ransac(p[order], q[order], math.radians(limit_deg), rounds, seed)
+        own = seed + 31 * (int(pdf["pair"].iloc[0]) + 1) if "pair" in pdf else seed
+        r, inside, error = ransac(p[order], q[order], math.radians(limit_deg), rounds, own)
         row = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame(row | {"matches": [len(p)], "inliers": [int(inside.sum())], "error_deg": [math.degrees(error)], "rotation": [None if r is None else r.ravel().tolist()]})
 

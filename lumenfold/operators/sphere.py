@@ -20,7 +20,8 @@ def aligned(matches: DataFrame, priors: list[np.ndarray | None], huber_deg: floa
     """
     matches = settle(matches, "matches")  # read again in every round of the adjustment
     # A pair's rotation takes bearings of its first camera to its second; growing wants the other way.
-    pairs = solve.pair_rotations(matches.select("a", "b", *[f"{v}{x}" for v in "pq" for x in "xyz"]), ["a", "b"])
+    number = F.floor(F.col("a") * (F.lit(2 * len(priors) - 1) - F.col("a")) / 2) + F.col("b") - F.col("a") - 1
+    pairs = solve.pair_rotations(matches.select("a", "b", number.cast("long").alias("pair"), *[f"{v}{x}" for v in "pq" for x in "xyz"]), ["a", "b"])
     found = pairs.where((F.col("inliers") >= least) & F.col("rotation").isNotNull()).orderBy("a", "b").collect()
     edges = [(r["a"], r["b"], r["inliers"], np.array(r["rotation"]).reshape(3, 3).T) for r in found]
     rotations, placed, _ = solve.initial_rotations(edges, priors)
