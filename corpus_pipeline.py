@@ -62,7 +62,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the end id alone; repeated rows, as the mix makes them, are packed once each.
     """
-    return op1_packing.pack(docs, op1_packing.default_tokenizer())
+    return op1_packing.pack(docs, op1_packing.default_tokenizer(), cache=250_000)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]

@@ -30,7 +30,7 @@ WINDOW = 2048
 PIECE = 512  #: most ids of a piece of a rest
 END_ID = 1
 DOCS_PER_BLOCK = 512
-CACHE_ENTRIES = 250_000  #: parts of about 200 bytes that a worker keeps
+CACHE_ENTRIES = 600_000  #: parts of about 200 bytes that a worker keeps
 STRETCH = 1 << 20  #: characters that are split at once
 
 #: What the tokenizer's splitting takes for white space, and Latin letters.
@@ -50,7 +50,8 @@ _HAS_WS = re.compile(f"[{_WS}]")
 class Encoder:
     """Ids of a byte-level BPE, part by part, from a cache of parts; the same ids as of the whole text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
+        self.entries = entries
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -65,7 +66,7 @@ class Encoder:
     def _learn(self, parts: Iterable[str]) -> None:
         """New parts go by the thousand in one text, a line each: a line break between them is one id of its own."""
         known = self.known
-        if len(known) > CACHE_ENTRIES:
+        if len(known) > self.entries:
             known = self.known = {}
         new = [w for w in set(parts) if w not in known]
         odd = [w for w in new if w == " " or _HAS_WS.search(w, w[0] == " ")]
@@ -178,9 +179,9 @@ def windows_for(lengths: np.ndarray, capacity: int) -> np.ndarray:
         k += 1 + k // 400
 
 
-def _tokenize(path: str, end_id: int, window: int, piece: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _tokenize(path: str, end_id: int, window: int, piece: int, cache: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, cache)
         end = np.array([end_id], dtype="<u4").tobytes()
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -195,13 +196,13 @@ def _tokenize(path: str, end_id: int, window: int, piece: int) -> Callable[[Iter
     return run
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def _encoder(path: str, cache: int) -> Encoder:
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
 def _packing(window: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -218,7 +219,7 @@ def _packing(window: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return pack_block
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = PIECE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = PIECE, end_id: int = END_ID, cache: int = CACHE_ENTRIES) -> DataFrame:
     """docs: doc_id, text -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null or empty text is the end id alone; repeated rows are packed once each; doc_id may be null; an empty
@@ -230,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, piece: int = PIE
     blocks = max(1, math.ceil(docs.count() / DOCS_PER_BLOCK))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, row long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = texts.mapInPandas(_tokenize(tokenizer, end_id, window, piece), kind)
+    pieces = texts.mapInPandas(_tokenize(tokenizer, end_id, window, piece, cache), kind)
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("part", "row", F.when(F.col("length") == window, F.col("start"))), F.lit(blocks)))
     return dealt.groupBy("block").applyInPandas(_packing(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
