@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +20,7 @@ def oracle(sf: str, sql: str):
 
 
 def _plain(x):
-    if x is None or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return "NULL"
     if isinstance(x, (bool, np.bool_)):
         return str(bool(x))
