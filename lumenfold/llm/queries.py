@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op5_neardup, op6_urls, op7_quality, op8_secrets, op9_embeddings, op10_pii
+from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op5_neardup, op6_urls, op7_quality, op8_secrets, op9_embeddings, op10_pii, op11_trie, op12_negatives
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_secret_scans": op8_secrets.op8_secret_scans,
     "op9_embedding_near_duplicates": op9_embeddings.op9_embedding_near_duplicates,
     "op10_pii": op10_pii.op10_pii,
+    "op11_conversation_trie": op11_trie.op11_conversation_trie,
+    "op12_hard_negatives": op12_negatives.op12_hard_negatives,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op7_quality_rules": op7_quality.SQL,
     "op8_secret_scans": op8_secrets.SQL,
     "op9_embedding_near_duplicates": op9_embeddings.SQL,
+    "op11_conversation_trie": op11_trie.SQL,
+    "op12_hard_negatives": op12_negatives.SQL,
 }
