@@ -218,7 +218,7 @@ def mine(vectors: DataFrame) -> DataFrame:
     anchors = indexed(rows.where(F.col("vec_id") % EVERY == 0), F.col("dim"), F.col("label"), F.col("row")).withColumn("block", F.floor(F.col("index") / BLOCK).cast("long"))
     anchors = cut(anchors.withColumn("windows", whole).drop("index"), "anchors")
     positives = cut(_best(anchors, trees, True).where("score >= 0").select("row", F.col("rank").alias("place"), F.col("found").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
-    low = F.expr(f"(positive_score * {LOW_SHARE} + 99) div 100")
+    low = F.expr(f"positive_score - cast(floor(cast(positive_score as decimal(20, 0)) * {100 - LOW_SHARE} / 100) as bigint)")
     windows = positives.groupBy("row").agg(F.collect_list(F.struct("place", low.alias("low"), F.col("positive_score").alias("high"))).alias("windows"))
     negatives = _best(anchors.drop("windows").join(windows, "row"), trees, False)
     out = negatives.join(positives, ["row", "place"]).join(anchors.select("row", F.col("vec_id").alias("anchor_id")), "row")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op5_neardup, op6_urls, op7_quality, op8_secrets, op9_embeddings, op10_pii, op11_trie, op12_negatives
+from . import op1_packing, op2_chat, op3_mixing, op4_toxicity, op5_neardup, op6_urls, op7_quality, op8_secrets, op9_embeddings, op10_pii, op11_trie, op12_negatives, op13_fingerprints
 
 QUERIES = {
     "op1_packing": op1_packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": op10_pii.op10_pii,
     "op11_conversation_trie": op11_trie.op11_conversation_trie,
     "op12_hard_negatives": op12_negatives.op12_hard_negatives,
+    "op13_fingerprints": op13_fingerprints.op13_fingerprints,
 }
 
 SQL = {
