@@ -75,7 +75,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """(paths, entries): findings of every version, and the new ledger entries to append.
 
     versions: path, text and whatever else; one row out per row in, with blob and findings added, or replaced
-    where columns of these names were there. ledger: blob, rule_version, findings, as `read_ledger` has it.
+    where columns of these names were there. ledger: blob, rule_version, findings, as `read_ledger` has it; a blob that
+    runs side by side have entered twice counts once.
     Null text counts as empty; repeated rows and copies share a blob and stay; texts of any length are scanned
     whole. An empty table gives none. The text of each unseen blob moves once, for the path elected to stand for
     it. Only blobs with findings are joined back: by broadcast up to BROADCAST_SPANS counted spans, so that no text
@@ -84,7 +85,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """
     addressed = versions.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     unseen = addressed.groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    seen = None if ledger is None else ledger.where(F.col("rule_version") == rule_version)
+    seen = None if ledger is None else ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
     if seen is not None:
         unseen = addressed.join(seen.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
     entries = cut(unseen.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("text"), rules).alias("findings")), "ledger")
@@ -96,8 +97,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """All entries that runs have appended at this path, in a folder that driver and executors share."""
-    return spark.read.schema(f"blob binary, rule_version string, findings {FINDING}").parquet(path)
+    """An entry for each blob and rule version that runs have appended at this path, in a folder that driver and executors share."""
+    return spark.read.schema(f"blob binary, rule_version string, findings {FINDING}").parquet(path).dropDuplicates(["blob", "rule_version"])
 
 
 def scan_into(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
