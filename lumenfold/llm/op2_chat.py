@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table, let, table
+from .common import SCAN_BLOCK, as_table, let, table
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
+CUT = 1024  #: code points of a block that stretches of a text are read from
 
 
 def escape(text: Column) -> Column:
@@ -95,16 +96,29 @@ def format_chat(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def masked(formatted: Column, runs: Column) -> Column:
-    """The stretches of a formatted text under the loss mask, in order, as they stand there."""
-    state = "struct<at:int,out:array<string>>"
-    return F.aggregate(
-        runs,
-        F.expr(f"cast(named_struct('at', 0, 'out', array()) as {state})"),
-        lambda acc, r: F.struct(
+    """The stretches of a formatted text under the loss mask, in order, as they stand there.
+
+    The text is cut in blocks, of which a stretch reads those it lies in, and stretches are gathered in blocks as well:
+    a conversation of twice the turns takes twice the time.
+    """
+    state = "struct<at:int,done:array<array<string>>,now:array<string>>"
+
+    def stretch(blocks: Column, at: Column, length: Column) -> Column:
+        first, last = F.floor(at / CUT).cast("int"), F.floor((at + length) / CUT).cast("int")
+        return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), at % CUT + 1, length)
+
+    def push(blocks: Column, acc: Column, r: Column) -> Column:
+        new, full = F.array(stretch(blocks, acc["at"], r["length"])), F.size(acc["now"]) >= SCAN_BLOCK
+        return F.struct(
             (acc["at"] + r["length"]).alias("at"),
-            F.when(r["loss"], F.concat(acc["out"], F.array(F.substr(formatted, acc["at"] + 1, r["length"])))).otherwise(acc["out"]).alias("out"),
-        ).cast(state),
-        lambda acc: acc["out"],
+            F.when(r["loss"] & full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
+            F.when(~r["loss"], acc["now"]).when(full, new).otherwise(F.concat(acc["now"], new)).alias("now"),
+        ).cast(state)
+
+    zero = F.expr(f"cast(named_struct('at', 0, 'done', array(), 'now', array()) as {state})")
+    return let(
+        F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0)),
+        lambda blocks: F.aggregate(runs, zero, lambda acc, r: push(blocks, acc, r), lambda acc: F.concat(F.flatten(acc["done"]), acc["now"])),
     )
 
 
