@@ -59,13 +59,27 @@ def templates(shapes: DataFrame) -> DataFrame:
     """shapes: host, shape, n, labelled, bad and others -> these and `template`, the tree node in which a shape ends.
 
     A node is named by its host and, for each level, the kind of its branch (like, worse or better than the node
-    above), the branch, and how many more are merged with it.
+    above), the branch, and how many more are merged with it. Where all shapes of a node go on alike, nothing can part
+    them: it is followed at once to where they differ or end, by its least and its greatest shape. So there is
+    a round for each time that a path branches, however deep it is; a lone path takes one.
     """
-    shapes = cut(shapes.withColumn("template", F.col("host")), "shapes")
-    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
+    shapes = cut(shapes.withColumns({"template": F.col("host"), "level": F.lit(0)}), "shapes")
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    for level in range(deepest):
-        here = shapes.where(F.size("shape") > level).withColumn("segment", F.col("shape")[level])
+    while True:
+        live = shapes.where(F.size("shape") > F.col("level"))
+        rest = F.slice("shape", F.col("level") + 1, F.size("shape"))
+        heads = live.groupBy("template").agg(F.min(rest).alias("least"), F.max(rest).alias("greatest"))
+        parted = F.array_position(F.zip_with("least", "greatest", lambda a, b: a.eqNullSafe(b)), F.lit(False)).cast("int")
+        heads = heads.select("template", F.slice("least", 1, F.when(parted == 0, F.size("least")).otherwise(parted - 1)).alias("same"))
+        followed = shapes.where(F.size("shape") <= F.col("level")).unionByName(
+            live.join(heads, "template")
+            .withColumns({"template": F.concat_ws("/", "template", F.transform("same", lambda s: F.concat(F.lit("like:"), s))), "level": F.col("level") + F.size("same")})
+            .drop("same")
+        )
+        shapes = cut(followed, "shapes")
+        here = shapes.where(F.size("shape") > F.col("level")).withColumn("segment", F.get("shape", F.col("level")))
+        if not here.limit(1).count():
+            return shapes.drop("level")
         child = here.groupBy("template", "segment").agg(*sums)
         node = child.groupBy("template").agg(F.count("*").alias("children"), F.sum("labelled").alias("node_labelled"), F.sum("bad").alias("node_bad"))
         wild = (F.col("children") > MAX_CHILDREN) & (F.col("n") < MIN_SUPPORT)
@@ -79,13 +93,12 @@ def templates(shapes: DataFrame) -> DataFrame:
         step = child.select("template", "segment", "branch").join(merged, ["template", "branch"]).join(named, ["template", "group"])
         step = step.select("template", "segment", F.concat_ws("/", "template", "name").alias("next"))
         shapes = cut(
-            shapes.withColumn("segment", F.get("shape", F.lit(level)))
+            shapes.withColumn("segment", F.get("shape", F.col("level")))
             .join(step, ["template", "segment"], "left")
-            .withColumn("template", F.coalesce("next", "template"))
+            .withColumns({"template": F.coalesce("next", "template"), "level": F.when(F.col("next").isNotNull(), F.col("level") + 1).otherwise(F.col("level"))})
             .drop("segment", "next"),
             "shapes",
         )
-    return shapes
 
 
 def chosen_lift(purity: DataFrame, overall: float) -> float | None:
