@@ -145,7 +145,7 @@ def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     """The documents, all columns, each as often as the mix copies it; 0 times leaves it out.
 
     Columns may have any names. Rows, nulls and empty texts as in `allot`; rows that are alike in doc_id, source
-    and size share their copies as evenly as whole numbers can be. The plan has a row per document, so it's never
+    and size share their copies as evenly as whole numbers can be, in the order of a hash of all they hold. The plan has a row per document, so it's never
     broadcast: texts move once, to where a table of the plan's rows is held, at every size. An empty table gives none.
     """
     of = {name: free_name(docs, f"mix_{name}") for name in ("id", "source", "words", "rows", "total", "size", "copies", "copy")}
@@ -157,7 +157,7 @@ def apply(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
     met = sized.join(plan.hint("shuffle_hash"), same)
     alike = F.lit(1)
     if plan.where(F.col(of["rows"]) > 1).limit(1).count():
-        alike = F.row_number().over(Window.partitionBy("doc_id", "source", of["size"]).orderBy("text"))
+        alike = F.row_number().over(Window.partitionBy("doc_id", "source", of["size"]).orderBy(F.xxhash64(*docs.columns), "text"))
     copied = met.withColumn(of["copies"], _share(alike, of["rows"], of["total"])).where(F.col(of["copies"]) > 0)
     return copied.withColumn(of["copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(of["copies"])))).select(docs.columns)
 
