@@ -316,3 +316,41 @@ def test_a_deep_bad_template_is_rejected(spark):
     pages = spark.createDataFrame([(i, f"http://h.org/a/b/c/d/e/f/g/{'ads' if i % 4 == 0 else 'news'}/{i}") for i in range(400)], "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400)], "page_number long, bad int")
     assert op6_urls.judge(pages, labels).where("(path like '%/ads/%') <> (verdict = 'block')").count() == 0
+
+
+def test_a_lone_deep_url_takes_one_round(spark, monkeypatch):
+    rounds = []
+    real = op6_urls.cut
+    monkeypatch.setattr(op6_urls, "cut", lambda df, name: rounds.append(name) or real(df, name))
+    deep = "/".join(f"s{k}x" for k in range(300))
+    pages = spark.createDataFrame([(0, f"http://a.org/{deep}"), (1, f"http://a.org/{deep}/end"), (2, f"http://b.org/{deep}"), (3, "http://a.org/")], "page_id long, url string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "page_number long, bad int")
+    got = {r["page_id"]: r["template"] for r in op6_urls.judge(pages, labels).select("page_id", "template").collect()}
+    assert got[1] == got[0] + "/like:end" and got[0].count("like:") == 300 and got[3] == "a.org"
+    assert rounds.count("shapes") <= 5
+
+
+def test_chat_of_many_turns(spark):
+    """Stretches across blocks, more of them than a list holds; ten times the turns take far less than a hundred times as long."""
+    import time
+
+    took = []
+    for n in (700, 7000):
+        chat = [(1, t, "assistant" if t % 2 else "user", f"é\U0001f600 {t} " * (1 + t % 40)) for t in range(n)]
+        df = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").coalesce(1)
+        began = time.perf_counter()
+        (r,) = op2_chat.digest(op2_chat.format_chat(df)).collect()
+        took.append(time.perf_counter() - began)
+        loss = "".join(x[3] for x in chat if x[2] == "assistant")
+        assert r["round_trip"] and r["n_turns"] == n and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert took[1] < 30 * max(took[0], 0.3)
+
+
+def test_a_doubled_ledger_doubles_nothing(spark, tmp_path):
+    versions = odd(spark).select("doc_id", "text")
+    paths, entries = op8_secrets.scan(versions)
+    twice = entries.unionByName(entries)
+    again, new = op8_secrets.scan(versions, twice)
+    assert new.count() == 0 and rows(op8_secrets.digest(again, "doc_id").toPandas()) == rows(op8_secrets.digest(paths, "doc_id").toPandas())
+    twice.write.mode("append").parquet(f"{tmp_path}/ledger")
+    assert op8_secrets.read_ledger(spark, f"{tmp_path}/ledger").count() == entries.count()
