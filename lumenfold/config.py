@@ -101,3 +101,17 @@ class Lens:
     k1: float = 0.0
     k2: float = 0.0
     k3: float = 0.0
+
+
+@dataclass(frozen=True)
+class Distortion:
+    """When a radial coefficient is fitted, and when it is believed."""
+
+    limit: float = 0.4
+    warm_deg: float = 12.0
+    huber_deg: float = 0.5
+    least_gain: float = 0.01
+    least_signal_deg: float = 0.05
+    rounds: int = 60
+    attempts: int = 12
+    least_step: float = 1e-10

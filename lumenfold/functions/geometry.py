@@ -89,16 +89,30 @@ def wrapped(du: Column, width: int) -> Column:
     return F.when(d > width / 2, d - width).when(d < -width / 2, d + width).otherwise(d)
 
 
+def _series(r2: Column, a: Column | float, b: float, c: float) -> Column:
+    """1 + a r^2 + b r^4 + c r^6."""
+    return 1.0 + a * r2 + b * r2 * r2 + c * r2 * r2 * r2
+
+
+def stretch(r2: Column, k: Lens, k1: Column | None = None) -> Column:
+    """How far distortion moves a point outwards, as a factor of its undistorted radius."""
+    return _series(r2, k.k1 if k1 is None else k1, k.k2, k.k3)
+
+
+def stretch_slope(r2: Column, k: Lens, k1: Column | None = None) -> Column:
+    """Derivative of the distorted radius by the undistorted one."""
+    return _series(r2, 3 * (k.k1 if k1 is None else k1), 5 * k.k2, 7 * k.k3)
+
+
 def project(d: Column, k: Lens = Lens()) -> Column:
     """struct<u, v>, or null behind the camera or past the fold of the distortion."""
 
     def at(p: Column, r2: Column) -> Column:
-        f = r2 * (r2 * (r2 * k.k3 + k.k2) + k.k1) + 1.0
-        slope = r2 * (r2 * (r2 * (7 * k.k3) + 5 * k.k2) + 3 * k.k1) + 1.0
+        f = stretch(r2, k)
         seen = p["z"] > 1e-12
         if (k.k1, k.k2, k.k3) != (0.0, 0.0, 0.0):
-            seen = seen & (slope > 0)
-        return F.when(seen, F.struct((p["x"] * f * k.fx + k.cx).alias("u"), (p["y"] * f * k.fy + k.cy).alias("v")))
+            seen = seen & (stretch_slope(r2, k) > 0)
+        return F.when(seen, F.struct((k.cx + k.fx * p["x"] * f).alias("u"), (k.cy + k.fy * p["y"] * f).alias("v")))
 
     plane = bind(d, lambda v: vec(F.try_divide(v["x"], v["z"]), F.try_divide(v["y"], v["z"]), v["z"]))
     return bind(plane, lambda p: bind(p["x"] * p["x"] + p["y"] * p["y"], lambda r2: at(p, r2)))
@@ -109,18 +123,16 @@ def visible(d: Column, k: Lens = Lens()) -> Column:
     return F.coalesce(bind(project(d, k), inside), F.lit(False))
 
 
-def unproject(u: Column, v: Column, k: Lens = Lens(), steps: int = 20) -> Column:
-    """Unit direction of a pixel; the undistorted radius by Newton steps where there is distortion."""
+def unproject(u: Column, v: Column, k: Lens = Lens(), steps: int = 20, k1: Column | None = None) -> Column:
+    """Unit direction of a pixel; the undistorted radius by Newton steps where there is distortion. k1 may be a column."""
     x, y = (u - k.cx) / k.fx, (v - k.cy) / k.fy
     rd = F.hypot(x, y)
-    if (k.k1, k.k2, k.k3) == (0.0, 0.0, 0.0):
+    if k1 is None and (k.k1, k.k2, k.k3) == (0.0, 0.0, 0.0):
         return normalised(vec(x, y, F.lit(1.0)))
 
     def newton(r: Column, _: Column) -> Column:
-        r2 = r * r
-        f = r2 * (r2 * (r2 * k.k3 + k.k2) + k.k1) + 1.0
-        slope = r2 * (r2 * (r2 * (7 * k.k3) + 5 * k.k2) + 3 * k.k1) + 1.0
-        return F.when(F.abs(slope) < 1e-12, r).otherwise(r - (r * f - rd) / slope)
+        slope = stretch_slope(r * r, k, k1)
+        return F.when(F.abs(slope) < 1e-12, r).otherwise(r - (r * stretch(r * r, k, k1) - rd) / slope)
 
     ru = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), rd, newton)
     s = F.when(rd < 1e-15, 1.0).otherwise(ru / rd)

@@ -32,11 +32,11 @@ def log2(x: Column) -> Column:
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:
-    return r * c.LUMA[0] + g * c.LUMA[1] + b * c.LUMA[2]
+    return c.LUMA[0] * r + c.LUMA[1] * g + c.LUMA[2] * b
 
 
 def noise_variance(v: Column, gain: Column, cfg: c.Merge = c.Merge()) -> Column:
-    return F.greatest(F.lit(0.0), v) * gain * cfg.shot + gain * gain * cfg.read
+    return cfg.shot * gain * F.greatest(F.lit(0.0), v) + cfg.read * gain * gain
 
 
 def rolloff(v: Column, cfg: c.Merge = c.Merge()) -> Column:
@@ -53,7 +53,7 @@ def sample_weight(v: Column, exposure: Column, gain: Column, noise_at: Column |
 
 def filmic(x: Column) -> Column:
     """The usual rational fit of a film curve; 0 for what isn't positive."""
-    y = (x * (x * 2.51 + 0.03)) / (x * (x * 2.43 + 0.59) + 0.14)
+    y = (x * (2.51 * x + 0.03)) / (x * (2.43 * x + 0.59) + 0.14)
     return F.when(positive(x), clamp(y, 0.0, 1.0)).otherwise(0.0)
 
 
@@ -65,9 +65,9 @@ def to_byte(x: Column) -> Column:
     return half_up(clamp(x, 0.0, 1.0) * 255.0).cast("int")
 
 
-def falloff(r2: Column, a2: float, a4: float) -> Column:
+def falloff(r2: Column, a2: Column | float, a4: Column | float) -> Column:
     """Vignetting at a squared radius, 1 at the corner."""
-    return F.greatest(F.lit(1e-3), r2 * a2 + r2 * r2 * a4 + 1.0)
+    return F.greatest(F.lit(1e-3), 1.0 + a2 * r2 + a4 * r2 * r2)
 
 
 def corner_radius2(x: Column, y: Column, width: int, height: int) -> Column:
@@ -99,7 +99,7 @@ def invert_encoding(n: int, encode, steps: int = 60) -> list[float]:
 
 def colour(r: Column, g: Column, b: Column, matrix: Sequence[float]) -> list[Column]:
     """A 3x3 matrix; what turns negative is 0."""
-    return [F.greatest(F.lit(0.0), r * matrix[3 * k] + g * matrix[3 * k + 1] + b * matrix[3 * k + 2]) for k in range(3)]
+    return [F.greatest(F.lit(0.0), matrix[3 * k] * r + matrix[3 * k + 1] * g + matrix[3 * k + 2] * b) for k in range(3)]
 
 
 def balanced(matrix: Sequence[float], gains: Sequence[float]) -> list[float]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.radiometry import hat_weight, level
+from ..functions.radiometry import falloff, hat_weight, level
 from .statistics import upper_median
 
 
@@ -389,8 +389,7 @@ def vignette(observations: DataFrame, rounds: int = 25) -> tuple[float, float]:
     """observations: r1, r2, ratio of the values at two radii -> (a2, a4) of 1 + a2 r^2 + a4 r^4, by damped steps."""
     a2, a4, damping, last = 0.0, 0.0, 1e-6, math.inf
     for _ in range(rounds):
-        f = lambda r: F.greatest(F.lit(1e-3), 1 + F.pow(r, F.lit(2.0)) * a2 + F.pow(r, F.lit(4.0)) * a4)  # noqa: E731, B023
-        f1, f2 = f(F.col("r1")), f(F.col("r2"))
+        f1, f2 = (falloff(F.col(r) * F.col(r), a2, a4) for r in ("r1", "r2"))
         miss = F.ln(f1) - F.ln(f2) - F.ln("ratio")
         j = [F.pow("r1", F.lit(p)) / f1 - F.pow("r2", F.lit(p)) / f2 for p in (2.0, 4.0)]
         s = observations.agg(*[F.sum(x) for x in (j[0] * j[0], j[0] * j[1], j[1] * j[1], j[0] * miss, j[1] * miss, miss * miss)]).first()
@@ -415,8 +414,8 @@ def vignettes(observations: DataFrame, keys: list[str], rounds: int = 25) -> Dat
     col = F.col
     state = settle(observations.select(*keys).distinct().withColumns({"a2": F.lit(0.0), "a4": F.lit(0.0)}), "vignette")
     for _ in range(rounds):
-        f = lambda r: F.greatest(F.lit(1e-3), F.pow(r, F.lit(2.0)) * col("a2") + F.pow(r, F.lit(4.0)) * col("a4") + 1.0)
-        seen = observations.join(state, keys).withColumns({"f1": f(col("r1")), "f2": f(col("r2"))})
+        f = lambda r: falloff(col(r) * col(r), col("a2"), col("a4"))
+        seen = observations.join(state, keys).withColumns({"f1": f("r1"), "f2": f("r2")})
         miss = F.ln("f1") - F.ln("f2") - F.ln("ratio")
         j2, j4 = (F.pow("r1", F.lit(p)) / col("f1") - F.pow("r2", F.lit(p)) / col("f2") for p in (2.0, 4.0))
         s = seen.groupBy(*keys, "a2", "a4").agg(*[F.sum(x).alias(n) for n, x in (("h22", j2 * j2), ("h24", j2 * j4), ("h44", j4 * j4), ("g2", j2 * miss), ("g4", j4 * miss))])

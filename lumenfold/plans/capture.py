@@ -294,7 +294,7 @@ def white_balance(spark, sf):
     """Gains relative to green composed into a colour matrix."""
     m = F.array(*[F.lit(v) for v in (1.6, -0.5, -0.1, -0.2, 1.5, -0.3, 0.0, -0.6, 1.6)])
     k = F.col("p_partkey")
-    out = read(spark, sf, "part", "p_partkey", "p_size").select("p_partkey", r.balance(m, F.col("p_size") / 10.0 + 1, k % 3 / 10.0 + 1, k % 5 / 4.0 + 1).alias("m"))
+    out = read(spark, sf, "part", "p_partkey", "p_size").select("p_partkey", r.balance(m, 1 + F.col("p_size") / 10.0, 1 + k % 3 / 10.0, 1 + k % 5 / 4.0).alias("m"))
     return out.select("p_partkey", F.round(F.col("m")[0], 9).alias("m0"), F.col("m")[1].alias("m1"), F.round(F.col("m")[2], 9).alias("m2"), F.round(F.col("m")[8], 9).alias("m8"))
 
 
@@ -519,7 +519,7 @@ def fields_and_arrays(spark, sf):
 def vignette_fit(spark, sf):
     """Falloff fitted to ratios of values at two radii, scene by scene; here they follow one falloff exactly."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    f = lambda x: x * x * -0.42 + x * x * x * x * 0.09 + 1
+    f = lambda x: 1 - 0.42 * x * x + 0.09 * x * x * x * x
     r1, r2 = s / 50.0, (k * 7 % 40) / 45.0
     o = read(spark, sf, "part", "p_partkey", "p_size").select(F.floor(k / 40).alias("scene"), r1.alias("r1"), r2.alias("r2"), (f(r1) / f(r2)).alias("ratio"))
     return rounded(solve.vignettes(o, ["scene"]), a2=5, a4=5)
@@ -591,7 +591,7 @@ def flat_field(spark, sf):
     """Falloff and level of evenly lit frames; here they follow one falloff exactly."""
     k = F.col("p_partkey")
     scene, r2 = F.floor(k / 40), F.pow(k * 7 % 40 / 39.0, F.lit(2.0))
-    v = (scene % 7 + 5) * (r2 * -0.42 + r2 * r2 * 0.09 + 1)
+    v = (5 + scene % 7) * (1 - 0.42 * r2 + 0.09 * r2 * r2)
     out = solve.flat_fields(read(spark, sf, "part", "p_partkey").select(scene.alias("scene"), r2.alias("r2"), v.alias("v")), ["scene"])
     return rounded(out, level=5, a2=5, a4=5)
 

@@ -97,3 +97,22 @@ def test_queries_use_the_production_rounds(spark, sf, monkeypatch):
     assert scene.gain_solve(spark, sf).count() == 12
     scene.pair_rotation(spark, sf)
     assert seen == [{"rounds": 4}, 1000]
+
+
+def test_bordered_step_is_that_of_the_whole_system():
+    from lumenfold.operators import distortion
+
+    r = np.random.default_rng(3)
+    j = r.normal(size=(40, 7))
+    whole, rhs = j.T @ j, r.normal(size=7)
+    turn, shift = distortion.bordered_step(whole[:6, :6], rhs[:6], whole[:6, 6], whole[6, 6], rhs[6], 1e-9, (-9.0, 9.0))
+    assert np.allclose([*turn, shift], np.linalg.solve(whole + 1e-9 * np.eye(7), -rhs), atol=1e-9)
+    turn, shift = distortion.bordered_step(whole[:6, :6], rhs[:6], whole[:6, 6], whole[6, 6], rhs[6], 0.0, (0.0, 0.0))
+    assert shift == 0.0 and np.allclose(turn, np.linalg.solve(whole[:6, :6], -rhs[:6]))
+
+
+def test_distortion_needs_pixels(spark):
+    from lumenfold.operators import distortion
+
+    with pytest.raises(ValueError, match="pixels"):
+        distortion.adjusted(spark.createDataFrame([("c", 0, 1, 0.0, 0.0)], "capture string, a int, b int, px double, py double"), {"c": [np.eye(3)] * 2})
