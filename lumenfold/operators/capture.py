@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle
@@ -61,10 +61,11 @@ def scan_ready(directions: DataFrame, share: float = 0.85, keys: list[str] | tup
     return directions.groupBy(*keys).agg(metered.alias("coverage"), ((metered >= share) & ~clipped).alias("ready"), ((metered >= share) & clipped).alias("waits_for_highlights"))
 
 
-def resolution_options(spark: SparkSession, widths: tuple[int, ...] = (8192, 4096, 2048)) -> DataFrame:
+def resolution_options(devices: DataFrame, widest: Column, widths: tuple[int, ...] = (8192, 4096, 2048)) -> DataFrame:
+    """Each device with the output sizes that it can hold: width, height, label."""
     w = F.col("width")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in widths])).alias("width"))
-    return rows.select("width", F.floor(w / 2).cast("int").alias("height"), F.concat(F.floor(w / 1024).cast("string"), F.lit("K")).alias("label"))
+    rows = devices.withColumn("width", F.explode(F.filter(F.array(*[F.lit(x) for x in widths]), lambda x: x <= widest)))
+    return rows.withColumns({"height": F.floor(w / 2).cast("int"), "label": F.concat(F.floor(w / 1024).cast("string"), F.lit("K"))})
 
 
 def frame_duration(exposure_ns: Column, least_ns: Column) -> Column:

@@ -36,7 +36,7 @@ def touched_bands(coned: DataFrame, height: int, rows: int = BAND) -> DataFrame:
 
 
 def contributions(pixels: DataFrame, frames: DataFrame, width: int, height: int, lens: Lens, feather_pixels: float) -> DataFrame:
-    """pixels: y, x; frames: frame, rotation (camera to world), gain.
+    """pixels: y, x and others, which stay; frames: frame, rotation (camera to world), gain.
 
     Every frame that sees a pixel's centre, with where it falls there and its feather weight. Pixels meet only the
     frames whose cone touches their band of rows, then those whose cone holds them. The frames of one sphere are tens;
@@ -49,7 +49,7 @@ def contributions(pixels: DataFrame, frames: DataFrame, width: int, height: int,
     seen = met.withColumn("p_", g.project(g.rotate(F.col("rotation"), F.col("d_"), transposed=True), lens))
     inside = F.col("p_.u").between(-0.5, lens.width - 0.5) & F.col("p_.v").between(-0.5, lens.height - 0.5)
     w = feather(F.col("p_.u"), F.col("p_.v"), lens.width, lens.height, feather_pixels)
-    return seen.where(inside).select("y", "x", "frame", "gain", F.col("p_.u").alias("u"), F.col("p_.v").alias("v"), w.alias("w"))
+    return seen.where(inside).select(*pixels.columns, "frame", "gain", F.col("p_.u").alias("u"), F.col("p_.v").alias("v"), w.alias("w"))
 
 
 def composite(samples: DataFrame, keys: list[str], value: str, weight: str, gain: str | None = None) -> DataFrame:

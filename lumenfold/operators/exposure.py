@@ -118,6 +118,20 @@ def ladder(spark: SparkSession, low: float, high: float, d: c.Limits = c.Limits(
     return kept.select((F.row_number().over(Window.orderBy("id")) - 1).alias("rung"), "seconds", "iso", "rel")
 
 
+def ladders(scenes: DataFrame, keys: list[str], d: c.Limits = c.Limits(), ev_step: float = 3.0, most: int = 24) -> DataFrame:
+    """scenes: keys, low, high -> keys, rung, seconds, iso, rel: the ladder of each scene, as `ladder` has it for two rungs at least."""
+    base, reach = d.min_time * d.min_iso / d.base_iso, min(d.handheld, d.max_time) * d.max_iso / d.base_iso
+    lo = F.greatest(F.least("low", "high"), F.lit(base))
+    hi = F.greatest(lo, F.least(F.greatest("low", "high"), F.lit(reach)))
+    count = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.log2(F.col("hi_") / F.col("lo_")) / ev_step - 1e-9)) + 1).cast("int")
+    spread = scenes.select(*keys, lo.alias("lo_"), hi.alias("hi_")).withColumn("n_", count).withColumn("i_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)))
+    wanted = F.col("lo_") * F.pow(F.col("hi_") / F.col("lo_"), F.col("i_") / F.greatest(F.lit(1), F.col("n_") - 1))
+    rungs = spread.select(*keys, "i_", r.realise(wanted, d).alias("s")).select(*keys, "i_", "s.*", (F.col("s.seconds") * F.col("s.iso") / d.base_iso).alias("rel"))
+    before = F.max("rel").over(Window.partitionBy(*keys).orderBy("i_").rowsBetween(Window.unboundedPreceding, -1))
+    kept = rungs.withColumn("b_", before).where(F.col("b_").isNull() | (F.col("rel") > F.col("b_") * (1 + 1e-9)))
+    return kept.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("i_")) - 1).alias("rung"), "seconds", "iso", "rel")
+
+
 def runs(scenes: DataFrame, rungs: DataFrame, b: c.Bracket = c.Bracket()) -> DataFrame:
     """For each scene (low_radiance, high_radiance): the run of ladder rungs that spans it, first to last.
 

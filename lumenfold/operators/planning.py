@@ -4,13 +4,28 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Lens
 from ..functions.geometry import fov_deg
 
 
+def capture_plans(devices: DataFrame, keys: list[str], hfov: Column, vfov: Column, overlap: float = 0.35) -> DataFrame:
+    """devices: keys and fields of view in degrees -> keys, target, yaw, pitch: the plan of each device, as `capture_plan` has it."""
+    keep = max(0.05, 1 - overlap)
+    top = F.greatest(F.lit(0.0), 90 - vfov / 2)
+    steps = F.when(top < 1e-9, 0).otherwise(F.greatest(F.lit(1), F.ceil(2 * top / (vfov * keep) - 1e-9))).cast("int")
+    d = devices.select(*keys, (hfov * keep).alias("h_"), top.alias("top_"), steps.alias("steps_"))
+    rings = d.withColumn("ring_", F.explode(F.sequence(F.lit(0), F.col("steps_")))).withColumn("pitch", F.when(F.col("steps_") > 0, -F.col("top_") + 2 * F.col("top_") * F.col("ring_") / F.col("steps_")).otherwise(0.0))
+    count = F.greatest(F.lit(1), F.ceil(360 / (F.col("h_") / F.greatest(F.lit(0.15), F.cos(F.radians("pitch")))) - 1e-9)).cast("int")
+    spots = rings.withColumn("n_", count).withColumn("j_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)))
+    seq = F.when(F.col("ring_") % 2 == 1, F.col("n_") - 1 - F.col("j_")).otherwise(F.col("j_"))
+    plan = spots.select(*keys, "ring_", seq.alias("seq_"), (-180 + 360.0 * F.col("j_") / F.col("n_")).alias("yaw"), "pitch")
+    ends = d.select(*keys, F.explode(F.array(*[F.struct(ring.cast("int").alias("ring_"), F.lit(0).alias("seq_"), F.lit(0.0).alias("yaw"), F.lit(p).alias("pitch")) for ring, p in ((F.lit(-1), -90.0), (F.col("steps_") + 1, 90.0))])).alias("e")).select(*keys, "e.*")
+    return plan.unionByName(ends).select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("ring_", "seq_")) - 1).alias("target"), "yaw", "pitch")
+
+
 def capture_plan(spark: SparkSession, lens: Lens, overlap: float = 0.35, poles: bool = True, roll_deg: float = 0.0) -> DataFrame:
     """target, yaw, pitch: rings from the lower to the upper end, every other one backwards, poles first and last."""
     fov = [fov_deg(lens.width, lens.fx), fov_deg(lens.height, lens.fy)]

@@ -9,14 +9,15 @@ from ..config import Work
 from ..functions.radiometry import half_up, positive
 
 
-def stage_offsets(stages: DataFrame) -> DataFrame:
-    """stages: seq, stage, weight -> begin and width of each stage in 0..1; weights not positive have none."""
+def stage_offsets(stages: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """stages: keys, seq, stage, weight -> begin and width of each stage in 0..1; weights not positive have none. Each key
+    is a job of its own; its stages are few."""
     w = F.greatest(F.lit(0.0), F.col("weight"))
-    order, whole = Window.orderBy("seq"), Window.partitionBy()
+    order, whole = Window.partitionBy(*keys).orderBy("seq"), Window.partitionBy(*keys)
     total = F.sum(w).over(whole)
     width = F.when(total > 0, w / total).otherwise(0.0)
     s = stages.withColumn("width", width)
-    return s.select("seq", "stage", (F.sum("width").over(order) - F.col("width")).alias("begin"), "width")
+    return s.select(*keys, "seq", "stage", (F.sum("width").over(order) - F.col("width")).alias("begin"), "width")
 
 
 def overall_progress(reports: DataFrame, stages: DataFrame, key: list[str], order: list[str]) -> DataFrame:

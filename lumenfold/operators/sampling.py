@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,18 @@ def grid_samples(spark: SparkSession, width: int, height: int, most: int, seed:
     return spark.range(1).select(F.posexplode(at).alias("sample", "p")).select("sample", "p.*")
 
 
+def drawn_grids(frames: DataFrame, key: str, seed: str, width: int, height: int, most: int) -> DataFrame:
+    """frames: key and a seed of its own -> key, sample, x, y: such positions for each, drawn where the frame's row is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, s in zip(batch[key], batch[seed], strict=True):
+                at = jittered_grid(width, height, most, int(s))
+                yield pd.DataFrame({key: [k] * len(at), "sample": range(len(at)), "x": [x for x, _ in at], "y": [y for _, y in at]})
+
+    return frames.select(key, seed).mapInPandas(run, f"{key} {frames.schema[key].dataType.simpleString()}, sample int, x int, y int")
+
+
 def shared_positions(pairs: DataFrame, positions: DataFrame, rotations: DataFrame, lens: Lens) -> DataFrame:
     """pairs: a, b; positions: sample, x, y; rotations: frame, rotation; tens of frames, broadcast.
 

@@ -281,9 +281,10 @@ def frame_duration(spark, sf):
     return out.select("p_partkey", capture.frame_duration((F.col("p_size") * 1000).cast("long"), F.col("p_partkey") % 50 * 900).alias("ns"))
 
 
-@query("SELECT * FROM (VALUES (8192, 4096, '8K'), (4096, 2048, '4K'), (2048, 1024, '2K')) v(width, height, label)")
+@query("SELECT p_partkey, width, height, label FROM part JOIN (VALUES (8192, 4096, '8K'), (4096, 2048, '4K'), (2048, 1024, '2K')) v(width, height, label) ON width <= p_size * 200")
 def resolution_options(spark, sf):
-    return capture.resolution_options(spark)
+    """Output sizes that each device can hold."""
+    return capture.resolution_options(read(spark, sf, "part", "p_partkey", "p_size"), F.col("p_size") * 200).drop("p_size")
 
 
 # --- projections of rasters -----------------------------------------------------------------------------
@@ -431,13 +432,14 @@ def pair_order(spark, sf):
     return solve.strongest_first(p, ["scene"]).select("scene", "pair", "place")
 
 
-@query("""WITH RECURSIVE z AS (SELECT CAST(0 AS BIGINT) AS n, CAST(xor(7, 25214903917) AS HUGEINT) AS s UNION ALL SELECT n + 1, (s * 25214903917 + 11) % 281474976710656 FROM z WHERE n < 4 * 48),
-d AS (SELECT (n - 1) // 2 AS draw, max(CASE WHEN n % 2 = 1 THEN s // 4194304 END) AS hi, max(CASE WHEN n % 2 = 0 THEN s // 2097152 END) AS lo FROM z WHERE n > 0 GROUP BY 1),
-u AS (SELECT draw // 2 AS cell, max(CASE WHEN draw % 2 = 0 THEN (hi * 134217728 + lo) / 9007199254740992.0 END) AS a, max(CASE WHEN draw % 2 = 1 THEN (hi * 134217728 + lo) / 9007199254740992.0 END) AS b FROM d GROUP BY 1)
-SELECT CAST(cell AS INT) AS sample, CAST(least(79, floor((cell % 8 + a) * 10)) AS INT) AS x, CAST(least(59, floor((cell // 8 + b) * 10)) AS INT) AS y FROM u""")
+@query("""WITH RECURSIVE z AS (SELECT s_suppkey AS frame, CAST(0 AS BIGINT) AS n, CAST(xor(s_suppkey, 25214903917) AS HUGEINT) AS s FROM supplier UNION ALL SELECT frame, n + 1, (s * 25214903917 + 11) % 281474976710656 FROM z WHERE n < 4 * 48),
+d AS (SELECT frame, (n - 1) // 2 AS draw, max(CASE WHEN n % 2 = 1 THEN s // 4194304 END) AS hi, max(CASE WHEN n % 2 = 0 THEN s // 2097152 END) AS lo FROM z WHERE n > 0 GROUP BY 1, 2),
+u AS (SELECT frame, draw // 2 AS cell, max(CASE WHEN draw % 2 = 0 THEN (hi * 134217728 + lo) / 9007199254740992.0 END) AS a, max(CASE WHEN draw % 2 = 1 THEN (hi * 134217728 + lo) / 9007199254740992.0 END) AS b FROM d GROUP BY 1, 2)
+SELECT frame, CAST(cell AS INT) AS sample, CAST(least(79, floor((cell % 8 + a) * 10)) AS INT) AS x, CAST(least(59, floor((cell // 8 + b) * 10)) AS INT) AS y FROM u""")
 def jittered_grid(spark, sf):
-    """One drawn pixel in each cell of a grid over a frame; the draws are those of the documented generator."""
-    return sampling.grid_samples(spark, 80, 60, 48, 7)
+    """One drawn pixel in each cell of a grid over each frame; the draws are those of the documented generator, seeded by frame."""
+    s = read(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("frame"), F.col("s_suppkey").alias("seed"))
+    return sampling.drawn_grids(s, "frame", "seed", 80, 60, 48)
 
 
 # --- devices --------------------------------------------------------------------------------------------

@@ -88,11 +88,11 @@ def radiance_range(spark, sf):
 
 @query("")
 def frame_features(spark, sf):
-    """Corners and descriptors of four frames drawn in closed form."""
+    """Corners and descriptors of a frame drawn for each nation."""
     i = F.col("i")
     y, x = F.floor(i / 160), i % 160
     blocks = ((F.floor(x / 20) * 7 + F.floor(y / 20) * 13 + F.col("id") * 5) % 11) / 10.0 + 0.05
-    cells = spark.range(4).select("id", F.explode(F.sequence(F.lit(0), F.lit(160 * 120 - 1))).alias("i")).select("id", "i", blocks.cast("float").alias("v"))
+    cells = read(spark, sf, "nation", "n_nationkey").select(F.col("n_nationkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(160 * 120 - 1))).alias("i")).select("id", "i", blocks.cast("float").alias("v"))
     frames = cells.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("data"))
     frames = frames.select(F.col("id").alias("frame_id"), F.lit(160).alias("width"), F.lit(120).alias("height"), F.lit(1).alias("channels"), "data")
     return features.features(frames)

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .. import config as c
 from ..functions import radiometry as r
 from ..operators import exposure, raster, statistics
-from .common import grid, read, rounded
+from .common import FRAME_H as H
+from .common import FRAME_W as W
+from .common import FRAMES as GRID
+from .common import frames, read, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -305,11 +308,15 @@ def exposure_realize(spark, sf):
 LADDER_LOW, LADDER_HIGH = 2e-4, 0.4
 
 
-@query("""WITH n AS (SELECT range AS i, 2e-4 * power(0.4 / 2e-4, range / 4.0) AS x FROM range(5)),
-s AS (SELECT i, CASE WHEN x <= 1 / 15.0 THEN x ELSE 1 / 15.0 END AS seconds, CAST(CASE WHEN x <= 1 / 15.0 THEN 100 ELSE floor(100 * x * 15 + 0.5) END AS INT) AS iso FROM n)
-SELECT CAST(i AS INT) AS rung, round(seconds, 12) AS seconds, iso, round(seconds * iso / 100, 12) AS rel FROM s""")
+@query("""WITH k AS (SELECT s_suppkey AS scene, 2e-4 * (1 + s_suppkey % 7) AS lo, 0.4 / (1 + s_suppkey % 3) AS hi FROM supplier),
+m AS (SELECT *, CAST(greatest(1, ceil(log2(hi / lo) / 3 - 1e-9)) + 1 AS INT) AS n FROM k), n AS (SELECT scene, range AS i, lo * power(hi / lo, range / greatest(1.0, n - 1)) AS x FROM m, range(24) WHERE range < n),
+s AS (SELECT scene, i, CASE WHEN x <= 1 / 15.0 THEN x ELSE 1 / 15.0 END AS seconds, CAST(CASE WHEN x <= 1 / 15.0 THEN 100 ELSE floor(100 * x * 15 + 0.5) END AS INT) AS iso FROM n)
+SELECT scene, CAST(i AS INT) AS rung, round(seconds, 12) AS seconds, iso, round(seconds * iso / 100, 12) AS rel FROM s""")
 def exposure_ladder(spark, sf):
-    return rounded(exposure.ladder(spark, LADDER_LOW, LADDER_HIGH, D), seconds=12, rel=12).withColumn("rung", F.col("rung").cast("int"))
+    """The rungs between the darkest and the brightest exposure that each scene asks for."""
+    k = F.col("s_suppkey")
+    scenes = read(spark, sf, "supplier", "s_suppkey").select(k.alias("scene"), (2e-4 * (1 + k % 7)).alias("low"), (0.4 / (1 + k % 3)).alias("high"))
+    return rounded(exposure.ladders(scenes, ["scene"], D), seconds=12, rel=12).withColumn("rung", F.col("rung").cast("int"))
 
 
 RUNGS = """, n AS (SELECT CAST(range AS INT) AS i, 2e-4 * power(0.4 / 2e-4, range / 4.0) AS x FROM range(5)),
@@ -336,43 +343,39 @@ def nearest_rung(spark, sf):
 
 # --- rasters --------------------------------------------------------------------------------------------
 
-W, H = 48, 32
-GRID = f"WITH g AS (SELECT CAST(range // {W} AS INT) AS y, CAST(range % {W} AS INT) AS x, ((range % {W}) * 7 + (range // {W}) * 13 + (range * range) % 11) % 64 / 63.0 AS v FROM range({W * H})) "
-
-
-@query(GRID + """SELECT y, x, round(greatest(0.0, least(1.0, (v * 1023 - b) / greatest(1.0, 1023 - b))), 9) AS v
+@query(GRID + """ SELECT frame, y, x, round(greatest(0.0, least(1.0, (v * 1023 - b) / greatest(1.0, 1023 - b))), 9) AS v
 FROM (SELECT *, [64.0, 60.0, 62.0, 66.0][(y % 2) * 2 + x % 2 + 1] AS b FROM g)""")
 def raw_normalise(spark, sf):
     v = raster.normalise_raw(F.col("v") * 1023, F.col("x"), F.col("y"), [64, 60, 62, 66], 1023)
-    return grid(spark, W, H).select("y", "x", F.round(v, 9).alias("v"))
+    return frames(spark, sf).select("frame", "y", "x", F.round(v, 9).alias("v"))
 
 
 SHADE = [[1.8, 1.2, 1.7], [1.1, 1.0, 1.15]]
 
 
 @query(GRID + f""", k AS (SELECT *, x / {W - 1}.0 * 2 AS gx, y / {H - 1}.0 AS gy FROM g), i AS (SELECT *, CAST(least(1, floor(gx)) AS INT) AS i, CAST(least(0, floor(gy)) AS INT) AS j FROM k),
-t AS (SELECT y, x, gx - i AS fx, gy - j AS fy, {SHADE}[j + 1][i + 1] AS a, {SHADE}[j + 1][i + 2] AS b, {SHADE}[j + 2][i + 1] AS c, {SHADE}[j + 2][i + 2] AS d FROM i)
-SELECT y, x, round((a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy, 9) AS gain FROM t""")
+t AS (SELECT frame, y, x, gx - i AS fx, gy - j AS fy, {SHADE}[j + 1][i + 1] AS a, {SHADE}[j + 1][i + 2] AS b, {SHADE}[j + 2][i + 1] AS c, {SHADE}[j + 2][i + 2] AS d FROM i)
+SELECT frame, y, x, round((a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy, 9) AS gain FROM t""")
 def shading_bilinear(spark, sf):
-    return grid(spark, W, H).select("y", "x", F.round(raster.shading_gain(F.col("x"), F.col("y"), W, H, SHADE), 9).alias("gain"))
+    return frames(spark, sf).select("frame", "y", "x", F.round(raster.shading_gain(F.col("x"), F.col("y"), W, H, SHADE), 9).alias("gain"))
 
 
-@query(GRID + """SELECT y // 2 AS y, x // 2 AS x, round(avg(v) FILTER (y % 2 = 0 AND x % 2 = 0), 9) AS r, round(avg(v) FILTER (y % 2 <> x % 2), 9) AS g,
-  round(avg(v) FILTER (y % 2 = 1 AND x % 2 = 1), 9) AS b FROM g GROUP BY 1, 2""")
+@query(GRID + """ SELECT frame, y // 2 AS y, x // 2 AS x, round(avg(v) FILTER (y % 2 = 0 AND x % 2 = 0), 9) AS r, round(avg(v) FILTER (y % 2 <> x % 2), 9) AS g,
+  round(avg(v) FILTER (y % 2 = 1 AND x % 2 = 1), 9) AS b FROM g GROUP BY 1, 2, 3""")
 def half_res_demosaic(spark, sf):
-    return rounded(raster.half_resolution(grid(spark, W, H), []), r=9, g=9, b=9).withColumns({k: F.col(k).cast("int") for k in "yx"})
+    return rounded(raster.half_resolution(frames(spark, sf), ["frame"]), r=9, g=9, b=9).withColumns({k: F.col(k).cast("int") for k in "yx"})
 
 
-@query(GRID + "SELECT y // 2 AS y, x // 2 AS x, round(avg(v), 9) AS v FROM g GROUP BY 1, 2")
+@query(GRID + " SELECT frame, y // 2 AS y, x // 2 AS x, round(avg(v), 9) AS v FROM g GROUP BY 1, 2, 3")
 def box_downsample(spark, sf):
-    return rounded(raster.box_reduce(grid(spark, W, H), [], W, H), v=9).withColumns({k: F.col(k).cast("int") for k in "yx"})
+    return rounded(raster.box_reduce(frames(spark, sf), ["frame"], W, H), v=9).withColumns({k: F.col(k).cast("int") for k in "yx"})
 
 
 @query(GRID + f""", t AS (SELECT range - 4 AS k, exp(-(range - 4) * (range - 4) / (2 * 1.2 * 1.2)) AS w FROM range(9)), n AS (SELECT k, w / (SELECT sum(w) FROM t) AS w FROM t),
-h AS (SELECT g.y, g.x, sum(w * s.v) AS v FROM g, n JOIN g s ON s.y = g.y AND s.x = greatest(0, least({W - 1}, g.x + k)) GROUP BY 1, 2)
-SELECT h.y, h.x, round(sum(w * s.v), 9) AS v FROM h, n JOIN h s ON s.x = h.x AND s.y = greatest(0, least({H - 1}, h.y + k)) GROUP BY 1, 2""")
+h AS (SELECT g.frame, g.y, g.x, sum(w * s.v) AS v FROM g, n JOIN g s ON s.frame = g.frame AND s.y = g.y AND s.x = greatest(0, least({W - 1}, g.x + k)) GROUP BY 1, 2, 3)
+SELECT h.frame, h.y, h.x, round(sum(w * s.v), 9) AS v FROM h, n JOIN h s ON s.frame = h.frame AND s.x = h.x AND s.y = greatest(0, least({H - 1}, h.y + k)) GROUP BY 1, 2, 3""")
 def gaussian_blur(spark, sf):
-    return rounded(raster.gaussian_blur(grid(spark, W, H), [], W, H, 1.2), v=9).withColumns({k: F.col(k).cast("int") for k in "yx"})
+    return rounded(raster.gaussian_blur(frames(spark, sf), ["frame"], W, H, 1.2), v=9).withColumns({k: F.col(k).cast("int") for k in "yx"})
 
 
 def _taps(name: str, filt: tuple) -> str:
@@ -383,20 +386,20 @@ _MIRROR = lambda n: f"CASE WHEN {{k}} < 0 THEN -({{k}}) WHEN {{k}} >= {n} THEN {
 _READS = sorted({(dy, dx) for f in (raster.GREEN_AT_COLOUR, raster.SAME_ROW, raster.SAME_COLUMN, raster.OPPOSITE) for dy, dx, _ in f})
 
 
-@query(GRID + ", n AS (SELECT g.y, g.x, " + ", ".join(
-    f"(SELECT v FROM g s WHERE s.y = {_MIRROR(H).format(k=f'g.y + {dy}')} AND s.x = {_MIRROR(W).format(k=f'g.x + {dx}')}) AS n{dy + 2}{dx + 2}" for dy, dx in _READS) +
-    " FROM g) SELECT y, x, round(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN n22 WHEN y % 2 = 1 AND x % 2 = 1 THEN " + _taps("n", raster.OPPOSITE) + " WHEN y % 2 = 0 THEN " + _taps("n", raster.SAME_ROW) + " ELSE " + _taps("n", raster.SAME_COLUMN) +
+@query(GRID + ", n AS (SELECT g.frame, g.y, g.x, " + ", ".join(
+    f"(SELECT v FROM g s WHERE s.frame = g.frame AND s.y = {_MIRROR(H).format(k=f'g.y + {dy}')} AND s.x = {_MIRROR(W).format(k=f'g.x + {dx}')}) AS n{dy + 2}{dx + 2}" for dy, dx in _READS) +
+    " FROM g) SELECT frame, y, x, round(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN n22 WHEN y % 2 = 1 AND x % 2 = 1 THEN " + _taps("n", raster.OPPOSITE) + " WHEN y % 2 = 0 THEN " + _taps("n", raster.SAME_ROW) + " ELSE " + _taps("n", raster.SAME_COLUMN) +
     " END, 9) AS r, round(CASE WHEN y % 2 <> x % 2 THEN n22 ELSE " + _taps("n", raster.GREEN_AT_COLOUR) + " END, 9) AS g, round(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN n22 WHEN y % 2 = 0 AND x % 2 = 0 THEN " + _taps("n", raster.OPPOSITE) +
     " WHEN y % 2 = 1 THEN " + _taps("n", raster.SAME_ROW) + " ELSE " + _taps("n", raster.SAME_COLUMN) + " END, 9) AS b FROM n")
 def malvar_demosaic(spark, sf):
-    return rounded(raster.demosaic(grid(spark, W, H), [], W, H), r=9, g=9, b=9)
+    return rounded(raster.demosaic(frames(spark, sf), ["frame"], W, H), r=9, g=9, b=9)
 
 
-@query(GRID + """SELECT a.y, a.x, a.v AS score FROM g a WHERE NOT EXISTS (
-  SELECT 1 FROM g b WHERE b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (b.v > a.v OR b.v = a.v AND (b.y < a.y OR b.y = a.y AND b.x < a.x)))""")
+@query(GRID + """ SELECT a.frame, a.y, a.x, a.v AS score FROM g a WHERE NOT EXISTS (
+  SELECT 1 FROM g b WHERE b.frame = a.frame AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (b.v > a.v OR b.v = a.v AND (b.y < a.y OR b.y = a.y AND b.x < a.x)))""")
 def corner_maxima(spark, sf):
     """Non-maximum suppression over a score raster."""
-    return raster.local_maxima(grid(spark, W, H).withColumnRenamed("v", "score"), []).withColumns({k: F.col(k).cast("int") for k in "yx"})
+    return raster.local_maxima(frames(spark, sf).withColumnRenamed("v", "score"), ["frame"]).withColumns({k: F.col(k).cast("int") for k in "yx"})
 
 
 @query("""SELECT l_suppkey, l_orderkey, l_linenumber, CAST(rank AS INT) AS rank FROM (

@@ -30,25 +30,29 @@ def query(sql: str):
 # --- geometry -------------------------------------------------------------------------------------------
 
 WIDTH, HEIGHT = 128, 64
-EQUIRECT = f"""WITH p AS (SELECT CAST(range // {WIDTH} AS INT) AS y, CAST(range % {WIDTH} AS INT) AS x FROM range({WIDTH * HEIGHT})),
-a AS (SELECT y, x, (x + 0.5) / {WIDTH} * 2 * pi() - pi() AS lon, pi() / 2 - (y + 0.5) / {HEIGHT} * pi() AS lat FROM p),
-d AS (SELECT y, x, -sin(lon) * cos(lat) AS dx, sin(lat) AS dy, cos(lon) * cos(lat) AS dz FROM a) """
+EQUIRECT = f"""WITH p AS (SELECT c_custkey AS k, CAST(c_custkey * 53 % {HEIGHT} AS INT) AS y, CAST(c_custkey * 37 % {WIDTH} AS INT) AS x FROM customer),
+a AS (SELECT k, y, x, (x + 0.5) / {WIDTH} * 2 * pi() - pi() AS lon, pi() / 2 - (y + 0.5) / {HEIGHT} * pi() AS lat FROM p),
+d AS (SELECT k, y, x, -sin(lon) * cos(lat) AS dx, sin(lat) AS dy, cos(lon) * cos(lat) AS dz FROM a) """
 
 
-def sphere(spark: SparkSession) -> DataFrame:
-    return grid(spark, WIDTH, HEIGHT).select("y", "x", g.direction(F.col("x"), F.col("y"), WIDTH, HEIGHT).alias("d"))
+def sphere(spark: SparkSession, sf: str) -> DataFrame:
+    """A pixel of the sphere for each customer."""
+    k = F.col("c_custkey")
+    p = read(spark, sf, "customer", "c_custkey").select(k.alias("k"), (k * 53 % HEIGHT).cast("int").alias("y"), (k * 37 % WIDTH).cast("int").alias("x"))
+    return p.select("k", "y", "x", g.direction(F.col("x"), F.col("y"), WIDTH, HEIGHT).alias("d"))
 
 
-@query(EQUIRECT + "SELECT y, x, round(dx, 9) AS dx, round(dy, 9) AS dy, round(dz, 9) AS dz, CAST(x AS DOUBLE) AS u, CAST(y AS DOUBLE) AS v FROM d")
+@query(EQUIRECT + "SELECT k, y, x, round(dx, 9) AS dx, round(dy, 9) AS dy, round(dz, 9) AS dz, CAST(x AS DOUBLE) AS u, CAST(y AS DOUBLE) AS v FROM d")
 def equirect_grid(spark, sf):
-    """Directions of all pixels, and the pixels that these lead back to."""
-    s = sphere(spark).withColumn("p", g.pixel(F.col("d"), WIDTH, HEIGHT))
-    return s.select("y", "x", *[F.round(f"d.{k}", 9).alias(f"d{k}") for k in "xyz"], F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
+    """Directions of pixels, and the pixels that these lead back to."""
+    s = sphere(spark, sf).withColumn("p", g.pixel(F.col("d"), WIDTH, HEIGHT))
+    return s.select("k", "y", "x", *[F.round(f"d.{k}", 9).alias(f"d{k}") for k in "xyz"], F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
 
 
-@query(f"""SELECT CAST(range AS INT) AS y, round(2 * pi() / {WIDTH} * (sin(pi() / 2 - range / {HEIGHT} * pi()) - sin(pi() / 2 - (range + 1) / {HEIGHT} * pi())), 12) AS sr FROM range({HEIGHT})""")
+@query(EQUIRECT + f"""SELECT k, y, round(2 * pi() / {WIDTH} * (sin(pi() / 2 - y / {HEIGHT} * pi()) - sin(pi() / 2 - (y + 1) / {HEIGHT} * pi())), 12) AS sr FROM p""")
 def solid_angle(spark, sf):
-    return spark.range(HEIGHT).select(F.col("id").cast("int").alias("y"), F.round(g.row_solid_angle(F.col("id"), WIDTH, HEIGHT), 12).alias("sr"))
+    """How much of the sphere each customer's pixel covers."""
+    return sphere(spark, sf).select("k", "y", F.round(g.row_solid_angle(F.col("y"), WIDTH, HEIGHT), 12).alias("sr"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN d > 64 THEN d - 128 WHEN d < -64 THEN d + 128 ELSE d END AS du
@@ -61,22 +65,22 @@ def wrap_delta(spark, sf):
 LENS = c.Lens(k1=-0.09, k2=0.01)
 
 
-@query(EQUIRECT + f""", n AS (SELECT y, x, dx / dz AS a, dy / dz AS b, (dx * dx + dy * dy) / (dz * dz) AS r2, dz FROM d WHERE dz > 1e-12),
+@query(EQUIRECT + f""", n AS (SELECT k, y, x, dx / dz AS a, dy / dz AS b, (dx * dx + dy * dy) / (dz * dz) AS r2, dz FROM d WHERE dz > 1e-12),
 f AS (SELECT *, 1 + r2 * ({LENS.k1} + r2 * {LENS.k2}) AS f, 1 + r2 * (3 * {LENS.k1} + r2 * 5 * {LENS.k2}) AS slope FROM n)
-SELECT y, x, round({LENS.fx} * a * f + {LENS.cx}, 6) AS u, round({LENS.fy} * b * f + {LENS.cy}, 6) AS v FROM f
+SELECT k, y, x, round({LENS.fx} * a * f + {LENS.cx}, 6) AS u, round({LENS.fy} * b * f + {LENS.cy}, 6) AS v FROM f
 WHERE slope > 0 AND {LENS.fx} * a * f + {LENS.cx} BETWEEN -0.5 - 1e-9 AND {LENS.width} - 0.5 + 1e-9 AND {LENS.fy} * b * f + {LENS.cy} BETWEEN -0.5 - 1e-9 AND {LENS.height} - 0.5 + 1e-9""")
 def project_visible(spark, sf):
     """Sphere pixels that a camera with radial distortion sees, and where."""
-    s = sphere(spark).where(g.visible(F.col("d"), LENS)).withColumn("p", g.project(F.col("d"), LENS))
-    return s.select("y", "x", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
+    s = sphere(spark, sf).where(g.visible(F.col("d"), LENS)).withColumn("p", g.project(F.col("d"), LENS))
+    return s.select("k", "y", "x", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
 
 
-@query("SELECT CAST(range AS INT) AS i, CAST((range * 37) % 800 AS DOUBLE) AS u, CAST((range * 53) % 600 AS DOUBLE) AS v FROM range(2000)")
+@query("SELECT p_partkey, CAST((p_partkey * 37) % 800 AS DOUBLE) AS u, CAST((p_partkey * 53) % 600 AS DOUBLE) AS v FROM part")
 def unproject_round_trip(spark, sf):
     """Pixels unprojected by Newton steps and projected again."""
-    i = F.col("id")
-    p = spark.range(2000).select(i.cast("int").alias("i"), g.unproject((i * 37) % 800, (i * 53) % 600, LENS).alias("d"))
-    return p.withColumn("p", g.project(F.col("d"), LENS)).select("i", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
+    i = F.col("p_partkey")
+    p = read(spark, sf, "part", "p_partkey").select(i, g.unproject((i * 37) % 800, (i * 53) % 600, LENS).alias("d"))
+    return p.withColumn("p", g.project(F.col("d"), LENS)).select("p_partkey", F.round("p.u", 6).alias("u"), F.round("p.v", 6).alias("v"))
 
 
 PLACES = """(SELECT n_nationkey AS id, (n_nationkey * 37) % 360 - 180.0 AS yaw, (n_nationkey * 23) % 160 - 80.0 AS pitch FROM nation)"""
@@ -162,18 +166,28 @@ def device_orientation(spark, sf):
 FOV_H, FOV_V = g.fov_deg(LENS.width, LENS.fx), g.fov_deg(LENS.height, LENS.fy)
 
 
-@query(f"""WITH s AS (SELECT {FOV_H!r} AS hf, {FOV_V!r} AS vf), m AS (SELECT hf * 0.65 AS hs, vf * 0.65 AS vs, 90 - vf / 2 AS top FROM s),
+PLAN_SQL = f"""WITH s AS (SELECT {FOV_H!r} AS hf, {FOV_V!r} AS vf), m AS (SELECT hf * 0.65 AS hs, vf * 0.65 AS vs, 90 - vf / 2 AS top FROM s),
 k AS (SELECT *, greatest(1, ceil(2 * top / vs - 1e-9)) AS steps FROM m),
 r AS (SELECT CAST(i AS INT) AS ring, -top + 2 * top * i / steps AS pitch, hs FROM (SELECT *, unnest(range(0, CAST(steps AS INT) + 1)) AS i FROM k)),
 n AS (SELECT *, CAST(greatest(1, ceil(360 / (hs / greatest(0.15, cos(radians(pitch)))) - 1e-9)) AS INT) AS count FROM r),
 t AS (SELECT ring, pitch, count, unnest(range(0, count)) AS j FROM n),
 a AS (SELECT ring, CASE WHEN ring % 2 = 1 THEN count - 1 - j ELSE j END AS seq, -180 + 360.0 * j / count AS yaw, pitch FROM t
   UNION ALL SELECT -1, 0, 0.0, -90.0 UNION ALL SELECT 1000, 0, 0.0, 90.0)
-SELECT CAST(row_number() OVER (ORDER BY ring, seq) - 1 AS INT) AS target, round(yaw, 9) AS yaw, round(pitch, 9) AS pitch FROM a""")
+SELECT CAST(row_number() OVER (ORDER BY ring, seq) - 1 AS INT) AS target, round(yaw, 9) AS yaw, round(pitch, 9) AS pitch FROM a"""
+
+
+@query("""WITH s AS (SELECT s_suppkey, 40.0 + s_suppkey % 40 AS hf, 30.0 + s_suppkey * 7 % 30 AS vf FROM supplier), m AS (SELECT s_suppkey, hf * 0.65 AS hs, vf * 0.65 AS vs, 90 - vf / 2 AS top FROM s),
+k AS (SELECT *, CAST(greatest(1, ceil(2 * top / vs - 1e-9)) AS INT) AS steps FROM m), r AS (SELECT s_suppkey, hs, CAST(range AS INT) AS ring, -top + 2 * top * range / steps AS pitch FROM k, range(60) WHERE range <= steps),
+n AS (SELECT *, CAST(greatest(1, ceil(360 / (hs / greatest(0.15, cos(radians(pitch)))) - 1e-9)) AS INT) AS count FROM r),
+t AS (SELECT s_suppkey, ring, pitch, count, range AS j FROM n, range(200) WHERE range < count),
+a AS (SELECT s_suppkey, ring, CASE WHEN ring % 2 = 1 THEN count - 1 - j ELSE j END AS seq, -180 + 360.0 * j / count AS yaw, pitch FROM t UNION ALL SELECT s_suppkey, -1, 0, 0.0, -90.0 FROM s UNION ALL SELECT s_suppkey, 1000, 0, 0.0, 90.0 FROM s)
+SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY ring, seq) - 1 AS INT) AS target, round(yaw, 9) AS yaw, round(pitch, 9) AS pitch FROM a""")
 def capture_plan_rings(spark, sf):
-    from ..operators.planning import capture_plan
+    """Where each device shoots, by its fields of view."""
+    from ..operators.planning import capture_plans
 
-    return rounded(capture_plan(spark, LENS), yaw=9, pitch=9)
+    k = F.col("s_suppkey")
+    return rounded(capture_plans(read(spark, sf, "supplier", "s_suppkey"), ["s_suppkey"], 40.0 + k % 40, 30.0 + k * 7 % 30), yaw=9, pitch=9)
 
 
 # --- matching -------------------------------------------------------------------------------------------
@@ -374,42 +388,46 @@ def covered_fraction(spark, sf):
     return rounded(composite.covered_fraction(read(spark, sf, "part", "p_partkey"), done, ["p_partkey"]), covered=9)
 
 
-@query("""SELECT y, x, round(u * u * (3 - 2 * u), 9) AS w FROM (SELECT y, x, greatest(0.0, least(1.0, least(x + 0.5, 47.5 - x, y + 0.5, 31.5 - y) / 10)) AS u
-FROM (SELECT CAST(range // 48 AS INT) AS y, CAST(range % 48 AS INT) AS x FROM range(1536)))""")
+@query("""SELECT l_orderkey, l_linenumber, round(u * u * (3 - 2 * u), 9) AS w FROM (SELECT *, greatest(0.0, least(1.0, least(x + 0.5, 47.5 - x, y + 0.5, 31.5 - y) / 10)) AS u
+FROM (SELECT l_orderkey, l_linenumber, l_suppkey % 32 AS y, l_partkey % 48 AS x FROM lineitem))""")
 def feather_weight(spark, sf):
-    return grid(spark, 48, 32).select("y", "x", F.round(r.feather(F.col("x"), F.col("y"), 48, 32, 10.0), 9).alias("w"))
+    """How much of a frame's pixel is blended, by its distance to the frame's edge."""
+    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").withColumns({"y": F.col("l_suppkey") % 32, "x": F.col("l_partkey") % 48})
+    return li.select("l_orderkey", "l_linenumber", F.round(r.feather(F.col("x"), F.col("y"), 48, 32, 10.0), 9).alias("w"))
 
 
-def sphere_sql(k: c.Lens, width: int, height: int, feather: float, select: str) -> str:
-    """SQL of a whole capture plan seen from every sphere pixel; w has y, x, u, v and the smooth weight g."""
-    return f"""WITH plan AS ({SQL["capture_plan_rings"]}),
+def sphere_sql(k: c.Lens, width: int, height: int, feather: float, select: str, pixels: str) -> str:
+    """SQL of a whole capture plan seen from every sphere pixel; pixels has n, y, x; w has these, target, u, v and the smooth weight g."""
+    return f"""WITH plan AS ({PLAN_SQL}),
 f AS (SELECT target, -sin(radians(yaw)) * cos(radians(pitch)) AS fx, sin(radians(pitch)) AS fy, cos(radians(yaw)) * cos(radians(pitch)) AS fz FROM plan),
 u AS (SELECT *, CASE WHEN abs(fy) > 0.999 THEN fx * fz ELSE fx * fy END AS ax, CASE WHEN abs(fy) > 0.999 THEN fy * fz ELSE fy * fy - 1 END AS ay, CASE WHEN abs(fy) > 0.999 THEN fz * fz - 1 ELSE fz * fy END AS az FROM f),
 n AS (SELECT target, fx, fy, fz, ax / m AS dx, ay / m AS dy, az / m AS dz FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS m FROM u)),
 t AS (SELECT *, dy * fz - dz * fy AS rx, dz * fx - dx * fz AS ry, dx * fy - dy * fx AS rz FROM n),
-p AS (SELECT CAST(range // {width} AS INT) AS y, CAST(range % {width} AS INT) AS x, (range % {width} + 0.5) / {width} * 2 * pi() - pi() AS lon, pi() / 2 - (range // {width} + 0.5) / {height} * pi() AS lat FROM range({width * height})),
-d AS (SELECT y, x, -sin(lon) * cos(lat) AS a, sin(lat) AS b, cos(lon) * cos(lat) AS c FROM p),
-s AS (SELECT y, x, a * rx + b * ry + c * rz AS cx, a * dx + b * dy + c * dz AS cy, a * fx + b * fy + c * fz AS cz FROM d, t),
-i AS (SELECT y, x, {k.fx} * cx / cz + {k.cx} AS u, {k.fy} * cy / cz + {k.cy} AS v FROM s WHERE cz > 1e-12),
+p AS (SELECT n, y, x, (x + 0.5) / {width} * 2 * pi() - pi() AS lon, pi() / 2 - (y + 0.5) / {height} * pi() AS lat FROM ({pixels})),
+d AS (SELECT n, y, x, -sin(lon) * cos(lat) AS a, sin(lat) AS b, cos(lon) * cos(lat) AS c FROM p),
+s AS (SELECT n, y, x, target, a * rx + b * ry + c * rz AS cx, a * dx + b * dy + c * dz AS cy, a * fx + b * fy + c * fz AS cz FROM d, t),
+i AS (SELECT n, y, x, target, {k.fx} * cx / cz + {k.cx} AS u, {k.fy} * cy / cz + {k.cy} AS v FROM s WHERE cz > 1e-12),
 e AS (SELECT *, greatest(0.0, least(1.0, least(u + 0.5, {k.width} - 0.5 - u, v + 0.5, {k.height} - 0.5 - v) / {feather})) AS k FROM i WHERE u BETWEEN -0.5 AND {k.width} - 0.5 AND v BETWEEN -0.5 AND {k.height} - 0.5),
 w AS (SELECT *, k * k * (3 - 2 * k) AS g FROM e) {select}"""
 
 
-@query(sphere_sql(c.Lens(), WIDTH, HEIGHT, 60, "SELECT y, x, round(sum(g * (u + v) / 1400) / sum(g), 6) AS value, round(sum(g), 6) AS coverage, count(*) AS contributors FROM w WHERE g > 0 GROUP BY 1, 2"))
+@query(sphere_sql(c.Lens(), WIDTH, HEIGHT, 60, "SELECT n, y, x, round(sum(g * (1 + (target * 7 + n) % 5 / 10.0) * (u + v) / 1400) / sum(g), 6) AS value, round(sum(g), 6) AS coverage, count(*) AS contributors FROM w WHERE g > 0 GROUP BY 1, 2, 3",
+  f"SELECT DISTINCT c_nationkey AS n, CAST(c_custkey * 53 % {HEIGHT} AS INT) AS y, CAST(c_custkey * 37 % {WIDTH} AS INT) AS x FROM customer"))
 def composite_sphere(spark, sf):
-    """Frames of a whole capture plan blended onto the sphere by inverse mapping."""
+    """Frames of a whole capture plan blended onto spheres by inverse mapping: for each nation, the pixels of its customers."""
     from ..operators.planning import capture_plan
 
     plan = capture_plan(spark, c.Lens()).select(F.col("target").alias("frame"), g.looking_at(F.col("yaw"), F.col("pitch")).alias("rotation"), F.lit(1.0).alias("gain"))
-    pixels = grid(spark, WIDTH, HEIGHT).select("y", "x")
-    s = composite.contributions(pixels, plan, WIDTH, HEIGHT, c.Lens(), 60.0).withColumn("v", (F.col("u") + F.col("v")) / 1400)
-    return rounded(composite.composite(s, ["y", "x"], "v", "w", "gain"), value=6, coverage=6)
+    k = F.col("c_custkey")
+    pixels = read(spark, sf, "customer", "c_custkey", "c_nationkey").select(F.col("c_nationkey").alias("n"), (k * 53 % HEIGHT).cast("int").alias("y"), (k * 37 % WIDTH).cast("int").alias("x")).distinct()
+    s = composite.contributions(pixels, plan, WIDTH, HEIGHT, c.Lens(), 60.0).withColumn("v", (1 + (F.col("frame") * 7 + F.col("n")) % 5 / 10.0) * (F.col("u") + F.col("v")) / 1400)
+    return rounded(composite.composite(s, ["n", "y", "x"], "v", "w", "gain"), value=6, coverage=6)
 
 
 SMALL = c.Lens(40, 30, 30.0, 30.0, 19.5, 14.5)
 
 
-@query(sphere_sql(SMALL, 64, 32, 4, "SELECT y, x, 0.4 AS value FROM w WHERE g > 0 GROUP BY 1, 2"))
+@query(sphere_sql(SMALL, 64, 32, 4, "SELECT y, x, 0.4 AS value FROM w WHERE g > 0 GROUP BY 1, 2", "SELECT 0 AS n, CAST(range // 64 AS INT) AS y, CAST(range % 64 AS INT) AS x FROM range(2048)"))
 def sphere_pipeline(spark, sf):
     """A whole capture in one call: brackets of a plan's frames, each frame dimmer or brighter than it should be and its
     prior turned a little off, to an even sphere."""
@@ -484,9 +502,12 @@ def stages(spark: SparkSession) -> DataFrame:
     return progress.stage_offsets(spark.sql("SELECT * FROM VALUES (0, 'view', 3.0D), (1, 'click', 1.0D), (2, 'signup', 0.0D), (3, 'purchase', 4.0D) AS v(seq, stage, weight)"))
 
 
-@query(f"WITH {STAGE_SQL} SELECT seq, stage, CAST(begin AS DOUBLE) AS begin, CAST(width AS DOUBLE) AS width FROM so")
+@query("""WITH s AS (SELECT user_id, event_type AS stage, greatest(0, count(*) - 3) AS w FROM events GROUP BY 1, 2)
+SELECT user_id, stage, round(coalesce((sum(w) OVER o - w) / nullif(sum(w) OVER k, 0), 0), 9) AS begin, round(coalesce(w / nullif(sum(w) OVER k, 0), 0), 9) AS width FROM s WINDOW k AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY stage)""")
 def prefix_offsets(spark, sf):
-    return stages(spark)
+    """Where each stage of a user's job begins, by what the stages weigh; few events weigh nothing."""
+    s = read(spark, sf, "events", "user_id", "event_type").groupBy("user_id", F.col("event_type").alias("stage")).agg((F.count("*") - 3.0).alias("weight"))
+    return rounded(progress.stage_offsets(s.withColumn("seq", F.col("stage")), ["user_id"]).drop("seq"), begin=9, width=9)
 
 
 @query(f"""WITH {STAGE_SQL} SELECT user_id, event_id, event_type AS stage, round(coalesce(max(begin + width * greatest(0.0, least(1.0, value / 100))) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0), 9) AS overall
