@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,24 @@ def exr_line_table(spark, sf):
     return sizes.withColumn("before", F.coalesce(before, F.lit(0)))
 
 
+@query("""SELECT s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS y, x.range AS x, CAST((s_suppkey * 7 + x.range * 3) % 64 AS DOUBLE) / 64 AS r, CAST((s_suppkey * 7 + x.range * 5) % 64 AS DOUBLE) / 64 AS g, CAST((s_suppkey * 7 + x.range * 11) % 64 AS DOUBLE) / 64 AS b
+FROM supplier, range(24) x""")
+def exr_file(spark, sf):
+    """One EXR of a row for each supplier, its lines written by tasks, read back whole."""
+    from ..operators.graph import shared_folder
+    from ..sources import exr_sink
+
+    s = read(spark, sf, "supplier", "s_suppkey")
+    low, rows = s.agg(F.min("s_suppkey"), F.count("*")).first()
+    px = s.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    px = px.select((F.col("s_suppkey") - low).cast("int").alias("y"), "x", *[((F.col("s_suppkey") * 7 + F.col("x") * k) % 64 / 64.0).alias(c) for k, c in ((3, "r"), (5, "g"), (11, "b"))])
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.exr"
+    exr_sink.write_exr(px, 24, rows, path)
+    back = files.exploded(files.rasters(spark, path, "exr"))
+    at = back.groupBy("y", "x").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(n) for k, n in enumerate("rgb")])
+    return at.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *[F.col(n).cast("double").alias(n) for n in "rgb"])
+
+
 # --- camera planes --------------------------------------------------------------------------------------
 
 @query("""SELECT p_partkey, round(CASE WHEN x <= 0.04045 THEN x / 12.92 ELSE power((x + 0.055) / 1.055, 2.4) END, 7) AS linear FROM (SELECT p_partkey, (p_partkey * 7 % 256) / 255.0 AS x FROM part)""")

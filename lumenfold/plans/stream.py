@@ -92,3 +92,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS last
 def swept_capture(spark, sf):
     """Captures from sweep to last burst: previews find their direction, burnt out directions extend the ladder."""
     return rounded(session.fold(capture_events(spark, sf), PLAN).drop("message"), low=9, high=9, exposure=9, darkest=9)
+
+
+def logged(spark: SparkSession, records: DataFrame, kind: str) -> DataFrame:
+    """Records pushed to a log in the shared folder, read back by the data source."""
+    import uuid
+
+    from ..operators.graph import shared_folder
+    from ..sources import devices
+
+    devices.register(spark)
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    devices.push(records, path)
+    return spark.read.format("capture_log").option("path", path).option("kind", kind).option("block", 1 << 16).load()
+
+
+LOGGED = SWEPT[: SWEPT.index("e AS (SELECT user_id, n, kind")].replace("WITH RECURSIVE", "WITH").rstrip().rstrip(",")
+
+
+@query(LOGGED + """ SELECT CAST(user_id AS VARCHAR) AS capture, event_id AS seq, CASE kind WHEN 'none' THEN 'preview' ELSE kind END AS kind, CAST((n * 200 + cycle * 13000) * 1000000 AS BIGINT) AS now_ns, cycle + 1 AS burst_id,
+  event_id % 9 > 0 AS stable, CASE WHEN kind IN ('preview', 'none') THEN event_id % 7 / 20.0 WHEN value < 5 THEN 0.3 WHEN value < 12 THEN 0.02 ELSE 0.0 END AS clipped, round(sin(radians(yaw)), 9) + 0.0 AS x FROM y""")
+def camera_log(spark, sf):
+    """What a camera pushed, as its source reads it."""
+    out = logged(spark, capture_events(spark, sf), "camera")
+    return out.select("capture", "seq", "kind", "now_ns", "burst_id", "stable", "clipped", (F.round("x", 9) + 0.0).alias("x"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, radians(event_id * 37 % 360) AS yaw FROM events),
+d AS (SELECT *, yaw - lag(yaw) OVER (PARTITION BY user_id ORDER BY n) AS turn FROM p)
+SELECT CAST(user_id AS VARCHAR) AS capture, event_id AS seq, round(sin(yaw), 6) + 0.0 AS x, round(cos(yaw), 6) + 0.0 AS z, turn IS NOT NULL AND degrees(acos(greatest(-1.0, least(1.0, cos(turn))))) / 20 < 3 AS stable FROM d""")
+def pose_log(spark, sf):
+    """A sensor's poses, every two seconds, as its source reads them, turned to orientation events."""
+    from ..sources import devices
+
+    e = read(spark, sf, "events", "user_id", "event_id")
+    n, half = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")), F.radians(F.col("event_id") * 37 % 360) / 2
+    poses = e.select(F.col("user_id").cast("string").alias("capture"), F.col("event_id").alias("seq"), (n.cast("long") * 2_000_000_000).alias("now_ns"), F.lit(0.0).alias("x"), F.sin(half).alias("y"), F.lit(0.0).alias("z"), F.cos(half).alias("w"))
+    seen = devices.orientations(logged(spark, poses, "pose"))
+    return seen.select("capture", "seq", *[(F.round(a, 6) + 0.0).alias(a) for a in "xz"], "stable")

@@ -171,18 +171,3 @@ def _lines(width: int, compression: int) -> Callable[[Iterator[pd.DataFrame]], I
             yield pd.DataFrame({"y": batch["y"], "line": [codecs.exr_line(int(y), np.asarray(rgb, np.float32).reshape(width, 3), compression) for y, rgb in zip(batch["y"], batch["rgb"], strict=True)]})
 
     return run
-
-
-def write_exr(pixels: DataFrame, width: int, height: int, path: str, compression: int = codecs.EXR_ZIPS) -> None:
-    """One EXR file of a sphere: lines are encoded in parallel and stream through the driver in order."""
-    lines = exr_lines(pixels, width, compression).repartitionByRange("y").sortWithinPartitions("y")
-    header, sizes = codecs.exr_header(width, height, compression), [0] * height
-    with open(path, "wb") as out:
-        out.write(header + b"\0" * 8 * height)
-        for row in lines.toLocalIterator():
-            sizes[row["y"]] = len(row["line"])
-            out.write(row["line"])
-        if 0 in sizes:
-            raise ValueError("rows are missing")
-        out.seek(len(header))
-        out.write((len(header) + 8 * height + np.concatenate([[0], np.cumsum(sizes)[:-1]])).astype("<i8").tobytes())

@@ -26,7 +26,5 @@ def test_small_operators(spark):
     assert capture.distortion_leverage(spark.createDataFrame([(1.0, 0.0), (0.0, 0.0)], "ra double, rb double")).first()[0] == 0.5
     scan = spark.createDataFrame([(True, False)] * 9 + [(False, None)], "metered boolean, highlights_clipped boolean")
     assert tuple(capture.scan_ready(scan).first()) == (0.9, True, False)
-    from pyspark.sql import functions as F
-
     held = capture.resolution_options(spark.createDataFrame([(1, 9000), (2, 4096), (3, 100)], "device int, widest int"), F.col("widest"))
     assert [(r["device"], r["width"], r["height"], r["label"]) for r in held.orderBy("device", "width").collect()] == [(1, 2048, 1024, "2K"), (1, 4096, 2048, "4K"), (1, 8192, 4096, "8K"), (2, 2048, 1024, "2K"), (2, 4096, 2048, "4K")]

@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from lumenfold.sources import codecs, files
+from lumenfold.sources import codecs, exr_sink, files
 
 R = np.random.default_rng(7)
 IMAGE = (10 ** R.uniform(-3, 4, (43, 67, 3))).astype(np.float32)
@@ -54,7 +54,7 @@ def test_exr_sink(spark, tmp_path):
     from lumenfold.plans.common import grid
 
     px = grid(spark, 16, 8).selectExpr("y", "x", "v r", "v * 2 g", "v * 3 b")
-    files.write_exr(px, 16, 8, f"{tmp_path}/o.exr")
+    exr_sink.write_exr(px, 16, 8, f"{tmp_path}/o.exr")
     got = codecs.read_exr((tmp_path / "o.exr").read_bytes())
     want = px.orderBy("y", "x").toPandas()[["r", "g", "b"]].to_numpy().reshape(8, 16, 3)
     assert np.allclose(got, want, rtol=1e-3, atol=1e-6)
