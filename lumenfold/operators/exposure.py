@@ -49,11 +49,8 @@ def flags(merged: DataFrame, pixel: list[str]) -> DataFrame:
 def meter(values: DataFrame, keys: list[str], value: str, exposure: Column, m: c.Meter = c.Meter()) -> DataFrame:
     """Scene statistics of each key from one frame's values. Percentiles are exact, interpolated."""
     v = F.col(value)
-    s = values.groupBy(*keys).agg(
-        F.avg(F.when(v >= m.saturation, 1.0).otherwise(0.0)).alias("clipped_fraction"),
-        F.avg(F.when(v <= m.noise_floor, 1.0).otherwise(0.0)).alias("black_fraction"),
-    )
-    s = s.join(exact_percentiles(values, keys, value, [m.low_percentile, 0.5, m.high_percentile]), keys)
+    share = lambda hit: F.avg(F.when(hit, 1.0).otherwise(0.0))
+    s = exact_percentiles(values, keys, value, [m.low_percentile, 0.5, m.high_percentile], clipped_fraction=share(v >= m.saturation), black_fraction=share(v <= m.noise_floor))
     high, low, med = F.col("p")[2], F.col("p")[0], F.col("p")[1]
     clipped = (F.col("clipped_fraction") > m.clip_tolerance) & (high >= m.saturation)
     crushed = F.col("black_fraction") > m.black_tolerance

@@ -27,10 +27,13 @@ def damped(a: np.ndarray, b: np.ndarray, damping: float, tries: int = 40) -> np.
 
 # --- gains ----------------------------------------------------------------------------------------------
 
+def usable(samples: DataFrame) -> DataFrame:
+    return samples.where((F.col("a") != F.col("b")) & (F.col("w") > 0) & (F.col("va") > 0) & (F.col("vb") > 0)).select("a", "b", "va", "vb", "w")
+
+
 def gain_equations(samples: DataFrame) -> DataFrame:
     """samples: a, b, va, vb, w -> a, b, w, wr: per pair, weights and weighted log ratios; one shuffle."""
-    use = samples.where((F.col("a") != F.col("b")) & (F.col("w") > 0) & (F.col("va") > 0) & (F.col("vb") > 0))
-    return use.groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * (F.ln("vb") - F.ln("va"))).alias("wr"))
+    return usable(samples).groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * (F.ln("vb") - F.ln("va"))).alias("wr"))
 
 
 def _gains(n: int, equations: list, ridge: float) -> np.ndarray:
@@ -50,14 +53,20 @@ def _gains(n: int, equations: list, ridge: float) -> np.ndarray:
 def gains(samples: DataFrame, frames: int, ridge: float = 1e-6, rounds: int = 0) -> list[float]:
     """A gain for each frame, 0 to frames - 1, whose logs sum to 0. With rounds, samples far off are weighed down."""
     collect = lambda df: [tuple(r) for r in gain_equations(df).select("a", "b", "w", "wr").collect()]
+    if rounds:
+        from .graph import settle
+
+        samples = settle(usable(samples), "samples")  # read three times a round
     x = _gains(frames, collect(samples), ridge)
     for _ in range(rounds):
-        table = F.array(*[F.lit(float(v)) for v in x])
+        last, table = x, F.array(*[F.lit(float(v)) for v in x])
         miss = F.abs(F.element_at(table, F.col("a").cast("int") + 1) - F.element_at(table, F.col("b").cast("int") + 1) - (F.ln("vb") - F.ln("va")))
         seen = samples.withColumn("miss", miss)
         scale = 1.4826 * (upper_median(seen, [], "miss").first() or [0.0])[0]
         delta = max(1e-3, 2.0 * scale)
         x = _gains(frames, collect(seen.withColumn("w", F.col("w") * F.when(F.col("miss") <= delta, 1.0).otherwise(F.lit(delta) / F.col("miss")))), ridge)
+        if np.abs(x - last).max(initial=0.0) < 1e-13:
+            break  # another round would find the same
     return [math.exp(v) for v in x]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,65 +12,86 @@ from pyspark.sql import functions as F
 from ..functions.radiometry import log2, positive
 
 
-SLICES = 256  #: slices of the value range that a pass tells apart
+ACCURACY, WIDEN = 1000, 0.004  #: of the sketch that brackets a rank; how far a bracket reaches to both sides, as a share of all values
+FEW = 1000  #: values of a key that need no bracket
+HELD = 1 << 20  #: values of a whole table's bracket that are put in order by one task
 
 
-def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], list[Column]]) -> DataFrame:
-    """keys, at: for each key the values at these ranks, from 0, of its sorted values; ranks follow from their count.
+def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], list[Column]], shares: list[float], **sums: Column) -> DataFrame:
+    """keys, n, at: for each key the values at these ranks, from 0, of its sorted values; a rank lies near one of these shares.
 
-    Two passes and no sort of a key's values: counts by slice of the key's range say in which slices the ranks lie
-    (partial sums, at most SLICES a key), then only the values of these slices are gathered, by distinct value with its
-    count. A key with a third of all rows is as many slices as any other. Null and NaN don't count.
+    One pass sketches all keys (rank error below 1/ACCURACY, partial before the shuffle) and brackets each share; a
+    second counts what lies below, between and above the brackets, and distinct values within. Values are sorted
+    only there: WIDEN to both sides. A rank outside its bracket would be an error. Null and NaN don't count. `sums` are
+    aggregates of all of a key's values that the first pass brings along, for tables with keys.
     """
     v = F.col(value).cast("double")
     if not keys:
-        return _whole_statistics(values.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("o_v")), ranks)
-    named = by = [f"o_{k}" for k in range(len(keys))]
-    use = values.where(v.isNotNull() & ~F.isnan(v)).select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], v.alias("o_v"))
-    ends = use.groupBy(*by).agg(F.min("o_v").alias("o_low"), F.max("o_v").alias("o_high"), F.count("*").alias("o_n"))
-    met = _same(use, ends, by)
-    width = (F.col("o_high") - F.col("o_low")) / SLICES
-    cell = F.when(width > 0, F.least(F.lit(SLICES - 1), F.floor((F.col("o_v") - F.col("o_low")) / width))).otherwise(F.lit(0)).cast("int")
-    counts = met.groupBy(*by, "o_n", cell.alias("o_cell")).agg(F.count("*").alias("o_c"))
-    upto = F.sum("o_c").over(Window.partitionBy(*by).orderBy("o_cell"))
-    wanted = counts.withColumn("o_upto", upto).withColumn("o_rank", F.explode(F.array_distinct(F.array(*[r.cast("long") for r in ranks(F.col("o_n"))]))))
-    wanted = wanted.where((F.col("o_rank") >= F.col("o_upto") - F.col("o_c")) & (F.col("o_rank") < F.col("o_upto")))
-    wanted = wanted.select(*by, "o_n", "o_cell", "o_rank", (F.col("o_upto") - F.col("o_c")).alias("o_before"))
-    inside = _same(met.withColumn("o_cell", cell), wanted.select(*by, "o_cell").distinct(), [*by, "o_cell"])
-    exact = inside.groupBy(*by, "o_cell", "o_v").agg(F.count("*").alias("o_c"))
-    exact = exact.withColumn("o_upto", F.sum("o_c").over(Window.partitionBy(*by, "o_cell").orderBy("o_v")))
-    at = _same(exact, wanted, [*by, "o_cell"]).withColumn("o_local", F.col("o_rank") - F.col("o_before"))
-    at = at.where((F.col("o_local") >= F.col("o_upto") - F.col("o_c")) & (F.col("o_local") < F.col("o_upto")))
-    out = at.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("o_rank", "o_v"))).alias("at"), F.first("o_n").alias("n"))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], "n", "at")
-
-
-def _whole_statistics(values: DataFrame, ranks: Callable[[Column], list[Column]]) -> DataFrame:
-    """n, at of a whole table: the range of each rank narrows SLICES times a pass, until it holds one value.
-
-    A pass sums the counts of SLICES slices, which reach the driver; no task sees more than its share.
-    """
+        return _whole_statistics(values.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("o_v")), ranks, shares)
+    by = [f"o_{k}" for k in range(len(keys))]
+    valued = F.when(v.isNotNull() & ~F.isnan(v), v)
+    named = values.withColumns({n: F.col(k) for k, n in zip(keys, by, strict=True)})
+    near = named.groupBy(*by).agg(F.percentile_approx(valued, _around(shares), ACCURACY).alias("o_q"), F.count(valued).alias("o_n"), *[x.alias(n) for n, x in sums.items()])
+    near = near.where("o_n > 0")
+    use = named.where(valued.isNotNull()).select(*by, v.alias("o_v"))
+    few = F.col("o_n") <= FEW
+    brackets = [(F.when(few, float("-inf")).otherwise(F.col("o_q")[2 * k]), F.when(few, float("inf")).otherwise(F.col("o_q")[2 * k + 1])) for k in range(len(shares))]
+    counts = _bucketed(_same(use, near, by), [*by, "o_n", *sums], brackets)
+    upto = F.sum("o_c").over(Window.partitionBy(*by).orderBy("o_top"))
+    out = _at_ranks(counts.withColumn("o_upto", upto).groupBy(*by, "o_n", *sums), ranks(F.col("o_n")), F.lit(0))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, by, strict=True)], F.col("o_n").alias("n"), "at", *sums)
+
+
+def _around(shares: list[float]) -> list[float]:
+    return [x for s in shares for x in (max(0.0, s - WIDEN), min(1.0, s + WIDEN))]
+
+
+def _bucketed(values: DataFrame, by: list[str], brackets: list[tuple[Column, Column]]) -> DataFrame:
+    """Counts of each distinct value within a bracket, and of all values between two of them; o_top puts them in order."""
+    v = F.col("o_v")
+    within = functools.reduce(lambda a, b: a | b, [(v >= low) & (v <= high) for low, high in brackets])
+    gap = sum(((v > high).cast("int") for _, high in brackets), F.lit(0))
+    return values.groupBy(*by, gap.alias("o_gap"), F.when(within, v).alias("o_in")).agg(F.count("*").alias("o_c"), F.max("o_v").alias("o_top"))
+
+
+def _at_ranks(grouped, ranks: list[Column], before: Column) -> DataFrame:
+    """n's map of values by rank, of counts in order with their running sums."""
+    found = []
+    for k, rank in enumerate(ranks):
+        inside = rank.cast("long") - before
+        hit = (inside >= F.col("o_upto") - F.col("o_c")) & (inside < F.col("o_upto"))
+        found.append(F.max(F.when(hit, F.struct(rank.cast("long").alias("rank"), "o_in"))).alias(f"o_f{k}"))
+    out = grouped.agg(*found)
+    known = F.array_distinct(F.array(*[F.col(f"o_f{k}") for k in range(len(ranks))]))
+    sound = F.when(F.forall(known, lambda f: f["o_in"].isNotNull()), known).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")))
+    return out.withColumn("at", F.map_from_entries(sound))
+
+
+def _whole_statistics(values: DataFrame, ranks: Callable[[Column], list[Column]], shares: list[float]) -> DataFrame:
+    """n, at of a whole table. A share whose bracket holds more than a task should sort is bracketed again within it."""
     spark = values.sparkSession
-    low, high, n = values.agg(F.min("o_v"), F.max("o_v"), F.count("*")).first()
+    quantiles = F.percentile_approx("o_v", _around(shares), ACCURACY)
+    first = values.agg(quantiles.alias("q"), F.count("*").alias("n")).first()
+    n = first["n"]
     if not n:
         return values.select(F.lit(0).cast("long").alias("n"), F.lit(None).cast("map<bigint,double>").alias("at")).limit(0)
-    found = {}
-    wanted = spark.range(1).select(*[r.cast("long").alias(f"r{k}") for k, r in enumerate(ranks(F.lit(n)))]).first()
-    for rank in sorted(set(wanted)):
-        a, b, before = low, high, 0
-        while a < b:
-            width = (b - a) / SLICES
-            inside = values.where((F.col("o_v") >= a) & (F.col("o_v") <= b))
-            cell = F.least(F.lit(SLICES - 1), F.floor((F.col("o_v") - a) / width)).cast("int") if width > 0 and a + width > a else (F.col("o_v") > a).cast("int")
-            sums = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("o_v").alias("a"), F.max("o_v").alias("b")).orderBy("c").collect()
-            for s in sums:
-                if rank < before + s["n"]:
-                    a, b = s["a"], s["b"]
-                    break
-                before += s["n"]
-        found[rank] = a
-    at = F.create_map(*[F.lit(x) for k, x in found.items() for x in (int(k), float(x))])
-    return spark.range(1).select(F.lit(n).cast("long").alias("n"), at.cast("map<bigint,double>").alias("at"))
+    whole = n <= FEW
+    brackets = [(-math.inf, math.inf) if whole else (first["q"][2 * k], first["q"][2 * k + 1]) for k in range(len(shares))]
+    for k, s in enumerate(shares):
+        while 5 * WIDEN * n > HELD:  # else its bracket holds less for certain
+            low, high = brackets[k]
+            v = F.col("o_v")
+            seen = values.agg(F.count_if(v < low), F.count_if(v.between(low, high))).first()
+            if seen[1] <= HELD or low == high:
+                break
+            local = min(1.0, max(0.0, (s * n - seen[0]) / seen[1]))
+            a, b = values.where(v.between(low, high)).agg(F.percentile_approx("o_v", _around([local]), ACCURACY)).first()[0]
+            if (a, b) == (low, high):
+                break
+            brackets[k] = (a, b)
+    counts = _bucketed(values, [], [(F.lit(low), F.lit(high)) for low, high in brackets])
+    upto = F.sum("o_c").over(Window.orderBy("o_top"))
+    return _at_ranks(counts.withColumn("o_upto", upto).groupBy(), ranks(F.lit(n)), F.lit(0)).select(F.lit(n).cast("long").alias("n"), "at")
 
 
 def _same(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -78,22 +101,22 @@ def _same(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(other, on).drop(*[f"{k}_r" for k in by])
 
 
-def exact_percentiles(values: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """keys, p: exact percentiles, interpolated linearly at share * (n - 1)."""
+def exact_percentiles(values: DataFrame, keys: list[str], value: str, shares: list[float], **sums: Column) -> DataFrame:
+    """keys, p and sums: exact percentiles, interpolated linearly at share * (n - 1)."""
     ends = lambda n: [f(F.lit(s) * (n - 1)) for s in shares for f in (F.floor, F.ceil)]
-    got = order_statistics(values, keys, value, ends)
+    got = order_statistics(values, keys, value, ends, shares, **sums)
 
     def between(s: float) -> Column:
         at = F.lit(s) * (F.col("n") - 1)
         low, high = (F.element_at("at", f(at).cast("long")) for f in (F.floor, F.ceil))
         return low + (high - low) * (at - F.floor(at))
 
-    return got.select(*keys, F.array(*[between(s) for s in shares]).alias("p"))
+    return got.select(*keys, F.array(*[between(s) for s in shares]).alias("p"), *sums)
 
 
 def upper_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The element n div 2 of each key's sorted values, from 0, without interpolation."""
-    got = order_statistics(values, keys, value, lambda n: [F.floor(n / 2)])
+    got = order_statistics(values, keys, value, lambda n: [F.floor(n / 2)], [0.5])
     return got.select(*keys, F.element_at("at", F.floor(F.col("n") / 2).cast("long")).alias("median"))
 
 
