@@ -70,6 +70,29 @@ def dng_round_trip(spark, sf):
     return round_trip(spark, sf, "dng", F.col("l_partkey") * 7 % 65536)
 
 
+@query(f"""WITH {ORDERED}, e AS (SELECT frame, x, c, CASE c WHEN 0 THEN p * 7 % 256 WHEN 1 THEN p % 256 ELSE 200 END / 255.0 AS e FROM px, (SELECT CAST(range AS INT) AS c FROM range(3)))
+SELECT frame, CAST(x AS INT) AS x, c, round(CASE WHEN e <= 0.04045 THEN e / 12.92 ELSE power((e + 0.055) / 1.055, 2.4) END, 5) AS v FROM e""")
+def image_linear(spark, sf):
+    """8-bit images decoded to linear values."""
+    return rounded(round_trip(spark, sf, "image", F.col("l_partkey") * 7 % 256, F.col("l_partkey") % 256, F.lit(200)), v=5)
+
+
+@query("""SELECT CAST(s_suppkey AS INT) AS frame, CAST(y.range AS INT) AS y, CAST(sum((s_suppkey * 7 + y.range * 3 + x.range) % 64) AS DOUBLE) AS total, CAST(sum((x.range + y.range) % 4 / 4.0) AS DOUBLE) AS sure
+FROM supplier, range(4) y, range(6) x WHERE s_suppkey IN (1, 3, 7) GROUP BY 1, 2""")
+def parked_frames(spark, sf):
+    """Merged frames parked for a run, of which the reader opens three and reads them by strips."""
+    from ..operators.graph import settle, shared_folder
+    from ..sources.spool import Spool
+
+    s = read(spark, sf, "supplier", "s_suppkey").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    x = F.sequence(F.lit(0), F.lit(5))
+    rows = s.select(F.col("s_suppkey").alias("frame"), "y", F.transform(x, lambda k: (F.col("s_suppkey") * 7 + F.col("y") * 3 + k) % 64).alias("radiance"), F.transform(x, lambda k: (k + F.col("y")) % 4 / 4.0).alias("confidence"))
+    with Spool(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}") as spool:
+        spool.put(rows, 6, 4, 1, True, read(spark, sf, "supplier", "s_suppkey").count())
+        total = lambda c: F.aggregate(F.transform(c, lambda v: v.cast("double")), F.lit(0.0), lambda a, b: a + b)
+        return settle(spool.read().where(F.col("frame").isin(1, 3, 7)).select("frame", "y", total("radiance").alias("total"), total("confidence").alias("sure")), "parked")
+
+
 @query("""SELECT l_suppkey AS y, CAST(8 + 6 * 16 AS INT) AS bytes, CAST(coalesce(sum(8 + 6 * 16) OVER (ORDER BY l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
 FROM (SELECT DISTINCT l_suppkey FROM lineitem)""")
 def exr_line_table(spark, sf):

@@ -262,3 +262,65 @@ def yuv_to_rgb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     l, cb, cr = y.astype(float), up(u), up(v)
     rgb = np.stack([l + 1.402 * cr, l - 0.344136 * cb - 0.714136 * cr, l + 1.772 * cb], axis=-1)
     return (np.clip(rgb, 0, 255) / 255).astype(np.float32)
+
+
+# --- 8-bit images ---------------------------------------------------------------------------------------
+
+PNG_MAGIC, PNG_CHANNELS = b"\x89PNG\r\n\x1a\n", {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """height x width x 3 bytes as a PNG."""
+    h, w, _ = rgb.shape
+    chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+    lines = b"".join(b"\0" + rgb[y].astype(np.uint8).tobytes() for y in range(h))
+    return PNG_MAGIC + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """A PNG line from its differences: to the left, above, their mean, or the nearest of three."""
+    if kind == 0:
+        return row
+    if kind == 2:
+        return row + above
+    if kind == 1:
+        return np.add.accumulate(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+    out = [0] * len(row)
+    for i, (d, up) in enumerate(zip(row.tolist(), above.tolist(), strict=True)):
+        left = out[i - step] if i >= step else 0
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            corner = int(above[i - step]) if i >= step else 0
+            guess = min((left, up, corner), key=lambda v: abs(left + up - corner - v))
+        out[i] = (d + guess) % 256
+    return np.array(out, np.uint8)
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """height x width x channels bytes of an 8-bit PNG without interlacing; alpha is dropped."""
+    if data[:8] != PNG_MAGIC:
+        raise ValueError("not a PNG")
+    at, body, head = 8, [], None
+    while at + 8 <= len(data):
+        size, tag = struct.unpack(">I4s", data[at : at + 8])
+        if tag == b"IHDR":
+            head = struct.unpack(">2I5B", data[at + 8 : at + 21])
+        elif tag == b"IDAT":
+            body.append(data[at + 8 : at + 8 + size])
+        at += 12 + size
+    if head is None or head[2] != 8 or head[3] not in PNG_CHANNELS or head[6]:
+        raise ValueError("only 8-bit PNGs of grey or RGB, not interlaced")
+    w, h, channels = head[0], head[1], PNG_CHANNELS[head[3]]
+    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + w * channels)
+    lines, above = [], np.zeros(w * channels, np.uint8)
+    for line in raw:
+        above = _unfiltered(int(line[0]), line[1:], above, channels)
+        lines.append(above)
+    image = np.stack(lines).reshape(h, w, channels) if lines else np.zeros((0, w, channels), np.uint8)
+    return image[..., : channels - 1] if head[3] in (4, 6) else image
+
+
+def linear_image(data: bytes) -> np.ndarray:
+    """An 8-bit image as linear values, by the table of its 256 levels."""
+    return srgb_table()[read_png(data)]

@@ -23,6 +23,7 @@ DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {
     "plane": lambda b: codecs.read_plane(b)[0],
     "exr": codecs.read_exr,
     "rgbe": codecs.read_rgbe,
+    "image": codecs.linear_image,
     "dng": lambda b: codecs.read_dng(b)[..., None].astype(np.float32),
 }
 
@@ -30,6 +31,7 @@ ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {
     "plane": codecs.write_plane,
     "exr": codecs.write_exr,
     "rgbe": codecs.write_rgbe,
+    "image": lambda x: codecs.png(np.clip(x, 0, 255)),
     "dng": lambda x: codecs.write_dng(x[..., 0]),
 }
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.radiometry import display, to_byte
 from ..operators.matching import latest
+from .codecs import png  # noqa: F401  previews are written by the store's callers
 
 
 def create(session: DataFrame, path: str) -> None:
@@ -18,11 +18,20 @@ def create(session: DataFrame, path: str) -> None:
     session.write.mode("errorifexists").json(f"{path}/session")
 
 
-def store_batch(path: str):
-    """A foreachBatch sink: frames (target, bracket, ...) of a batch, under its number, so a repeat replaces itself."""
+def store_batch(path: str, free_bytes: Callable[[], int] = lambda: 0):
+    """A foreachBatch sink: frames (target, bracket, ...) of a batch, under its number, so a repeat replaces itself.
+
+    Frames have `bytes` where their size is known; a batch that doesn't fit what `free_bytes` says is refused whole,
+    and the stream stops before it: 0 is unknown, which is no obstacle.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         """Rows keep their place in the batch, so that of two records of one key the later counts."""
+        free = free_bytes()
+        if free and "bytes" in batch.columns:
+            wanted = F.coalesce(F.sum("bytes"), F.lit(0))
+            if not batch.agg(has_room(F.lit(free), wanted)).first()[0]:
+                raise OSError(f"batch {number} doesn't fit {free} free bytes")
         placed = batch if "pos" in batch.columns else batch.withColumn("pos", F.monotonically_increasing_id())
         placed.write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
 
@@ -93,10 +102,3 @@ def report(statistics: DataFrame, poses: DataFrame) -> DataFrame:
     placed = poses.agg(F.array_sort(F.collect_list(F.struct("frame", *[c for c in poses.columns if c != "frame"]))).alias("poses"))
     return statistics.join(F.broadcast(placed)).select(F.to_json(F.struct(F.lit(2).alias("version"), *statistics.columns, "poses")).alias("report"))
 
-
-def png(rgb: np.ndarray) -> bytes:
-    """height x width x 3 bytes as a PNG."""
-    h, w, _ = rgb.shape
-    chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
-    lines = b"".join(b"\0" + rgb[y].astype(np.uint8).tobytes() for y in range(h))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
