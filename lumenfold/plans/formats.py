@@ -71,10 +71,10 @@ def dng_round_trip(spark, sf):
 
 
 @query(f"""WITH {ORDERED}, e AS (SELECT frame, x, c, CASE c WHEN 0 THEN p * 7 % 256 WHEN 1 THEN p % 256 ELSE 200 END / 255.0 AS e FROM px, (SELECT CAST(range AS INT) AS c FROM range(3)))
-SELECT frame, CAST(x AS INT) AS x, c, round(CASE WHEN e <= 0.04045 THEN e / 12.92 ELSE power((e + 0.055) / 1.055, 2.4) END, 5) AS v FROM e""")
+SELECT frame, CAST(x AS INT) AS x, c, round(CAST(CAST(CASE WHEN e <= 0.04045 THEN e / 12.92 ELSE power((e + 0.055) / 1.055, 2.4) END AS FLOAT) AS DOUBLE), 6) AS v FROM e""")
 def image_linear(spark, sf):
     """8-bit images decoded to linear values."""
-    return rounded(round_trip(spark, sf, "image", F.col("l_partkey") * 7 % 256, F.col("l_partkey") % 256, F.lit(200)), v=5)
+    return round_trip(spark, sf, "image", F.col("l_partkey") * 7 % 256, F.col("l_partkey") % 256, F.lit(200))
 
 
 @query("""SELECT CAST(s_suppkey AS INT) AS frame, CAST(y.range AS INT) AS y, CAST(sum((s_suppkey * 7 + y.range * 3 + x.range) % 64) AS DOUBLE) AS total, CAST(sum((x.range + y.range) % 4 / 4.0) AS DOUBLE) AS sure

@@ -256,15 +256,30 @@ def latest_record(spark, sf):
     return matching.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
-@query("""WITH e AS (SELECT *, epoch_us(ts) // 60000000 AS stamp FROM events),
-i AS (SELECT stamp, max(event_id) AS image FROM e WHERE event_type IN ('view', 'click') GROUP BY 1), m AS (SELECT stamp, max(event_id) AS meta FROM e WHERE event_type = 'purchase' GROUP BY 1)
-SELECT stamp, image, meta FROM i JOIN m USING (stamp)""")
+@query("""WITH RECURSIVE a AS (SELECT CAST(user_id % 10 AS VARCHAR) AS camera, event_id, event_id // 40 AS stamp, event_type IN ('view', 'click') AS image FROM events WHERE event_type <> 'error'),
+e AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY event_id) AS n FROM a),
+r AS (
+  SELECT DISTINCT camera, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(s BIGINT, v BIGINT)[]) AS images, CAST([] AS STRUCT(s BIGINT, v BIGINT)[]) AS metas, CAST(NULL AS BIGINT) AS stamp, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS m FROM e
+  UNION ALL
+  SELECT camera, n, CASE WHEN image AND half IS NULL THEN kept WHEN NOT image AND half IS NOT NULL THEN rest ELSE images END, CASE WHEN NOT image AND half IS NULL THEN kept WHEN image AND half IS NOT NULL THEN rest ELSE metas END,
+    CASE WHEN half IS NOT NULL THEN tick END, CASE WHEN half IS NULL THEN NULL WHEN image THEN event_id ELSE half END, CASE WHEN half IS NULL THEN NULL WHEN image THEN half ELSE event_id END
+  FROM (
+    SELECT *, list_filter(other, lambda x: x.s = tick)[1].v AS half, list_filter(other, lambda x: x.s <> tick) AS rest, list_append(list_filter(own, lambda x: x.s <> tick), struct_pack(s := tick, v := event_id)) AS grown,
+      CASE WHEN len(grown) > 3 THEN list_filter(grown, lambda x: x.s <> list_min(list_transform(grown, lambda y: y.s))) ELSE grown END AS kept
+    FROM (SELECT e.camera, e.n, e.event_id, e.image, e.stamp AS tick, r.images, r.metas, CASE WHEN e.image THEN r.images ELSE r.metas END AS own, CASE WHEN e.image THEN r.metas ELSE r.images END AS other FROM r JOIN e ON e.camera = r.camera AND e.n = r.n + 1))
+)
+SELECT camera, stamp, i AS image, m AS meta FROM r WHERE stamp IS NOT NULL""")
 def pair_by_timestamp(spark, sf):
+    """Images and results of each camera, paired as they arrive; three of a side may wait."""
     from ..streaming.pairing import pair
 
-    e = read(spark, sf, "events", "event_id", "ts", "event_type").withColumn("stamp", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60000000).cast("long"))
-    images, metas = e.where("event_type in ('view', 'click')"), e.where("event_type = 'purchase'")
-    return pair(images.select("stamp", F.col("event_id").alias("image")), metas.select("stamp", F.col("event_id").alias("meta")))
+    return pair(arrivals(spark, sf), 3)
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events", "event_id", "user_id", "event_type").where("event_type <> 'error'")
+    side = F.when(F.col("event_type").isin("view", "click"), "image").otherwise("meta")
+    return e.select((F.col("user_id") % 10).cast("string").alias("camera"), F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 40).cast("long").alias("stamp"), side.alias("side"), F.col("event_id").alias("value"))
 
 
 LENSES = "SELECT p_partkey // 40 AS device, p_partkey AS id, p_size % 2 = 0 AS front, p_size // 10 AS sensor, (p_partkey * 7) % 40 / 100.0 AS focal, p_partkey % 3 = 0 AS physical FROM part"

@@ -1,24 +1,72 @@
-"""Images and their metadata, joined by timestamp."""
+"""Images and their metadata, paired by timestamp as they arrive.
+
+What arrives waits for its other half; a second arrival of the same half takes the place of the first, and beyond a bound
+the oldest of a side is forgotten: a camera that loses results must not fill the memory.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+MOST = 32  #: images, and results, that wait at a camera
+ARRIVALS = "camera string, seq long, stamp long, side string, value long"  #: side: image or meta
+PAIRS = "camera string, stamp long, image long, meta long"
+
+
+def step(waiting: dict[str, dict[int, int]], e: dict, most: int = MOST) -> tuple[int, int, int] | None:
+    """One arrival; the pair (stamp, image, meta) that it completes, if it does."""
+    side, stamp = e["side"], e["stamp"]
+    own, other = waiting[side], waiting["meta" if side == "image" else "image"]
+    if stamp in other:
+        half = other.pop(stamp)
+        return (stamp, e["value"], half) if side == "image" else (stamp, half, e["value"])
+    own[stamp] = e["value"]
+    if len(own) > most:
+        del own[min(own)]
+    return None
+
+
+def _pairs(camera: str, waiting: dict, rows: pd.DataFrame, most: int) -> pd.DataFrame:
+    found = [step(waiting, e, most) for e in rows.sort_values("seq").to_dict("records")]
+    return pd.DataFrame([(camera, *p) for p in found if p], columns=["camera", "stamp", "image", "meta"])
+
+
+def pair(arrivals: DataFrame, most: int = MOST) -> DataFrame:
+    """ARRIVALS of finished captures -> PAIRS, camera by camera in the order of arrival; a camera's arrivals are one task's."""
+    return arrivals.groupBy("camera").applyInPandas(lambda key, pdf: _pairs(key[0], {"image": {}, "meta": {}}, pdf, most), PAIRS)
+
+
+class Pairing(StatefulProcessor):
+    """What waits at a camera, by side and stamp: at most twice the bound."""
 
+    def __init__(self, most: int):
+        self.most = most
 
-def pair(images: DataFrame, metas: DataFrame, key: str = "stamp") -> DataFrame:
-    """One pair for each timestamp on both sides; of several images or metadata, the last row, by its columns in order, counts."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getMapState("waiting", "side string, stamp long", "value long")
 
-    def last(df: DataFrame) -> DataFrame:
-        rest = [c for c in df.columns if c != key]
-        return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("last_")).select(key, "last_.*")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = {tuple(k): v[0] for k, v in self.waiting.iterator()}
+        waiting: dict[str, dict[int, int]] = {"image": {}, "meta": {}}
+        for (side, stamp), value in before.items():
+            waiting[side][stamp] = value
+        out = _pairs(key[0], waiting, pd.concat(list(rows)), self.most)
+        after = {(side, stamp): value for side, held in waiting.items() for stamp, value in held.items()}
+        for k in before.keys() - after.keys():
+            self.waiting.removeKey(k)
+        for k, value in after.items():
+            if before.get(k) != value:
+                self.waiting.updateValue(k, (int(value),))
+        yield out
 
-    return last(images).join(last(metas), key)
+    def close(self) -> None:
+        pass
 
 
-def pair_streams(images: DataFrame, metas: DataFrame, time: str = "ts", late: str = "10 seconds", key: str = "stamp") -> DataFrame:
-    """The same on two streams: unmatched rows wait as long as the watermarks allow and are then forgotten."""
-    left = images.withWatermark(time, late).dropDuplicatesWithinWatermark([key]).alias("i")
-    right = metas.withWatermark(time, late).dropDuplicatesWithinWatermark([key]).alias("m")
-    near = F.expr(f"i.{key} = m.{key} AND i.{time} BETWEEN m.{time} - INTERVAL {late} AND m.{time} + INTERVAL {late}")
-    return left.join(right, near).select(f"i.{key}", F.col("i.image").alias("image"), F.col("m.meta").alias("meta"))
+def run(arrivals: DataFrame, most: int = MOST) -> DataFrame:
+    """The same on a stream: pairs as they are completed. The session needs the RocksDB state store."""
+    return arrivals.groupBy("camera").transformWithStateInPandas(Pairing(most), PAIRS, "Append", "None")

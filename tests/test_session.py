@@ -111,3 +111,30 @@ def test_a_timer_ends_a_silent_burst(spark, tmp_path):
     run_on([event("scan", 120_000)], "third")
     last = [r for r in got if r["capture"] == "silent"]
     assert last[0]["bursts"] == 2 and len(last) > 1 and last[-1]["shot"] == 1 and last[-1]["state"] == "CAPTURING"
+
+
+def test_pairs_of_a_stream_are_those_of_the_batch(spark, sf, tmp_path):
+    from lumenfold.plans.scene import arrivals
+    from lumenfold.streaming import pairing
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    log = arrivals(spark, sf).cache()
+    want = sorted(map(tuple, pairing.pair(log, 3).collect()))
+    got: list = []
+    for part in ("seq < 400", "seq >= 400"):
+        log.where(part).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        q = pairing.run(spark.readStream.schema(pairing.ARRIVALS).json(f"{tmp_path}/in"), 3).writeStream.outputMode("append").foreachBatch(lambda df, _: got.extend(map(tuple, df.collect())))
+        q = q.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination(200)
+        assert q.exception() is None
+    assert sorted(got) == want and len(want) > 50
+
+
+def test_the_last_of_a_side_waits_and_the_oldest_goes():
+    from lumenfold.streaming import pairing
+
+    waiting = {"image": {}, "meta": {}}
+    arrive = lambda side, stamp, value: pairing.step(waiting, {"side": side, "stamp": stamp, "value": value}, 2)
+    assert [arrive("image", 5, 1), arrive("image", 5, 2), arrive("meta", 5, 9)] == [None, None, (5, 2, 9)]
+    assert [arrive("meta", s, s) for s in (7, 3, 8)] == [None] * 3 and sorted(waiting["meta"]) == [7, 8]
+    assert arrive("image", 3, 4) is None and arrive("image", 7, 6) == (7, 6, 7)
