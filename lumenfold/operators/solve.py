@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import bind, multiply, transpose
 from ..functions.radiometry import falloff, hat_weight, level
 from .statistics import upper_median
 
@@ -196,15 +197,51 @@ def initial_rotations(pairs: list[tuple[int, int, int, np.ndarray]], priors: lis
     return out, placed, prior_only
 
 
+def _times(a: Column, b: Column) -> Column:
+    """The product of two matrices, each worked out once."""
+    return bind(a, lambda x: bind(b, lambda y: multiply(x, y)))
+
+
 def grown(pairs: DataFrame) -> DataFrame:
     """pairs: a, b, inliers, rotation from b to a -> frame, rotation of what grows from the strongest pair.
 
-    Pairs of one sphere, tens to thousands; their growth is sequential and happens on the driver.
+    Growth by strongest edges is the maximum spanning tree, of equals the first pair. Components choose their strongest
+    edge out and merge (half of them or fewer are left each round); a frame keeps its rotation to its component's first
+    frame, and those of merged components are composed by pointers that double. Nothing is gathered but the root.
     """
-    order = strongest_first(pairs.withColumn("pair", F.struct("a", "b")), []).orderBy("place").select("a", "b", "inliers", "rotation").collect()
-    placed = spanning_rotations([(r["a"], r["b"], r["inliers"], np.array(r["rotation"]).reshape(3, 3)) for r in order], 0)
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("frame"), F.array(*[F.lit(float(v)) for v in m.ravel()]).alias("rotation")) for k, m in placed.items()])
-    return pairs.sparkSession.range(1).select(F.inline(rows))
+    from .graph import settle
+
+    eye = F.array(*[F.lit(float(v)) for v in np.eye(3).ravel()])
+    key = F.struct((-F.col("inliers")).alias("weakness"), "a", "b")
+    pairs = settle(pairs.where("a <> b").select("a", "b", key.alias("key"), "rotation"), "pairs")
+    nodes = pairs.select(F.col("a").alias("frame")).union(pairs.select("b")).distinct()
+    nodes = settle(nodes.select("frame", F.col("frame").alias("part"), eye.alias("turn")), "nodes")
+    side = lambda end: nodes.select(F.col("frame").alias(end), F.col("part").alias(f"{end}_part"), F.col("turn").alias(f"{end}_turn"))
+    while True:
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where("a_part <> b_part")
+        met = met.select("key", "a_part", "b_part", _times(_times(F.col("a_turn"), F.col("rotation")), transpose(F.col("b_turn"))).alias("to_a"))
+        out = met.select(F.col("b_part").alias("part"), F.col("a_part").alias("up"), "key", F.col("to_a").alias("turn"))
+        out = out.unionByName(met.select(F.col("a_part").alias("part"), F.col("b_part").alias("up"), "key", transpose(F.col("to_a")).alias("turn")))
+        best = settle(out.groupBy("part").agg(F.min("key").alias("key"), F.min_by(F.struct("up", "turn"), "key").alias("h")).select("part", "key", "h.*"), "best")
+        if not best.limit(1).count():
+            break
+        chosen = best.select(F.col("part").alias("up"), F.col("key").alias("up_key"))
+        first = (F.col("key") == F.col("up_key")) & (F.col("part") < F.col("up"))  # of two that chose each other
+        ups = best.join(chosen, "up").select("part", F.when(first, F.col("part")).otherwise(F.col("up")).alias("up"), F.when(first, eye).otherwise(F.col("turn")).alias("turn"))
+        while True:
+            ups = settle(ups, "ups")
+            onward = ups.select(F.col("part").alias("up"), F.col("up").alias("far"), F.col("turn").alias("far_turn"))
+            further = ups.join(onward, "up")
+            if not further.where("far <> up").limit(1).count():
+                break
+            ups = further.select("part", F.col("far").alias("up"), _times(F.col("far_turn"), F.col("turn")).alias("turn"))
+        moved = ups.select("part", "up", F.col("turn").alias("up_turn"))
+        nodes = settle(nodes.join(moved, "part", "left").select("frame", F.coalesce("up", "part").alias("part"), F.when(F.col("up").isNull(), F.col("turn")).otherwise(_times(F.col("up_turn"), F.col("turn"))).alias("turn")), "nodes")
+    root = pairs.orderBy("key").select("a").limit(1).join(nodes, F.col("a") == F.col("frame")).select("part", "turn").first()
+    if root is None:
+        return nodes.select(F.col("frame").cast("long").alias("frame"), F.col("turn").alias("rotation"))
+    back = F.array(*[F.lit(float(v)) for v in np.array(root["turn"]).reshape(3, 3).T.ravel()])
+    return nodes.where(F.col("part") == F.lit(root["part"])).select(F.col("frame").cast("long").alias("frame"), _times(back, F.col("turn")).alias("rotation"))
 
 
 def strongest_first(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,3 +116,15 @@ def test_distortion_needs_pixels(spark):
 
     with pytest.raises(ValueError, match="pixels"):
         distortion.adjusted(spark.createDataFrame([("c", 0, 1, 0.0, 0.0)], "capture string, a int, b int, px double, py double"), {"c": [np.eye(3)] * 2})
+
+
+def test_growth_over_the_cluster_is_that_of_strongest_edges(spark):
+    r = np.random.default_rng(8)
+    truth = [solve.exp_so3(r.normal(size=3)) for _ in range(24)]
+    edges = [(int(a), int(b), int(r.integers(1, 6))) for a in range(24) for b in range(a + 1, 24) if r.random() < 0.12 and (a < 20) == (b < 20)]  # two parts, many equal counts
+    noisy = [(a, b, n, truth[a].T @ truth[b] @ solve.exp_so3(0.05 * r.normal(size=3))) for a, b, n in edges]
+    want = solve.spanning_rotations(noisy, 24)
+    rows = [(a, b, n, [float(x) for x in m.ravel()]) for a, b, n, m in noisy]
+    got = {x["frame"]: np.array(x["rotation"]).reshape(3, 3) for x in solve.grown(spark.createDataFrame(rows, "a long, b long, inliers int, rotation array<double>")).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert solve.grown(spark.createDataFrame([], "a long, b long, inliers int, rotation array<double>")).count() == 0
