@@ -442,10 +442,15 @@ def composite_sphere(spark, sf):
 SMALL = c.Lens(40, 30, 30.0, 30.0, 19.5, 14.5)
 
 
-@query(sphere_sql(SMALL, 64, 32, 4, "SELECT y, x, 0.4 AS value FROM w WHERE g > 0 GROUP BY 1, 2", "SELECT 0 AS n, CAST(range // 64 AS INT) AS y, CAST(range % 64 AS INT) AS x FROM range(2048)"))
+LIGHT = "l AS (SELECT avg(l_discount) AS p, avg(l_tax) AS q, avg(l_quantity) / 500 AS r FROM lineitem)"
+
+
+@query(sphere_sql(SMALL, 64, 32, 4, f", {LIGHT} SELECT d.y, d.x, round(0.4 + p * a + q * b + r * c, 6) AS scene, true AS near FROM d SEMI JOIN (SELECT y, x FROM w WHERE g > 0) w USING (y, x), l",
+  "SELECT 0 AS n, CAST(range // 64 AS INT) AS y, CAST(range % 64 AS INT) AS x FROM range(2048)"))
 def sphere_pipeline(spark, sf):
-    """A whole capture in one call: brackets of a plan's frames, each frame dimmer or brighter than it should be and its
-    prior turned a little off, to an even sphere."""
+    """A whole capture in one call: brackets of a plan's frames, each dimmer or brighter than it should be and its prior
+    turned a little off, aligned from what they see together, balanced, cut along seams and blended, to the light
+    that the table says; `near` where a pixel comes within a hundredth of it."""
     import numpy as np
 
     from ..operators import sphere
@@ -454,12 +459,15 @@ def sphere_pipeline(spark, sf):
     plan = capture_plan(spark, SMALL).select("target", g.looking_at(F.col("yaw"), F.col("pitch")).alias("r")).orderBy("target").collect()  # tens of frames
     truth = [np.array(p["r"]).reshape(3, 3) for p in plan]
     n, i = len(truth), F.col("id")
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in r.ravel()]) for r in truth])
+    light = read(spark, sf, "lineitem", "l_discount", "l_tax", "l_quantity").agg(F.avg("l_discount"), F.avg("l_tax"), F.avg("l_quantity") / 500).first()
+    scene = lambda d: g.bind(d, lambda v: 0.4 + light[0] * v["x"] + light[1] * v["y"] + light[2] * v["z"])
     frame = F.floor(i / 1200).cast("int")
-    log_gain = (frame * 5 % n - (n - 1) / 2.0) / 100.0
-    px = spark.range(n * 1200).select(frame.alias("frame"), (F.floor(i / 40) % 30).cast("int").alias("y"), (i % 40).cast("int").alias("x"), (F.exp(-log_gain) * 0.4).alias("radiance"))
+    log_gain = (F.col("frame") * 5 % n - (n - 1) / 2.0) / 100.0
+    px = spark.range(n * 1200).select(frame.alias("frame"), (F.floor(i / 40) % 30).cast("int").alias("y"), (i % 40).cast("int").alias("x"))
+    px = px.withColumn("radiance", F.exp(-log_gain) * scene(g.rotate(F.element_at(table, F.col("frame") + 1), g.unproject(F.col("x"), F.col("y"), SMALL))))
     rungs = F.explode(F.array(*[F.lit(v) for v in (0.25, 1.0, 4.0)])).alias("rel")
     samples = px.select("frame", "y", "x", "radiance", rungs).select("frame", "y", "x", F.least(F.lit(1.0), F.col("radiance") * F.col("rel")).alias("v"), "rel", F.lit(1.0).alias("gain"))
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in r.ravel()]) for r in truth])
     world = spark.range(600).select(g.from_angles((i * 41) % 360 - 180.0, F.degrees(F.asin((i * 29 % 599) / 299.5 - 1.0))).alias("d"))
     seen = world.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("p", g.rotate(F.element_at(table, F.col("frame") + 1), F.col("d"), transposed=True)).where(g.visible(F.col("p"), SMALL))
     both = seen.select("d", F.col("frame").alias("a"), "p").join(seen.select("d", F.col("frame").alias("b"), F.col("p").alias("q")), "d").where("a < b")
@@ -467,8 +475,9 @@ def sphere_pipeline(spark, sf):
     priors = [solve.exp_so3(np.array([0.01 * (k % 3 - 1), 0.01 * (k % 5 - 2), 0.0])) @ r for k, r in enumerate(truth)]
     rotations, _, _ = sphere.aligned(matches, priors)
     level = truth[0] @ rotations[0].T  # the priors' consensus is off by what they are; the sphere is put level again
-    out = sphere.process(samples, [level @ r for r in rotations], SMALL, 64, 32, 4.0)
-    return out.select("y", "x", F.round("value", 4).alias("value"))
+    out = sphere.process(samples, [level @ r for r in rotations], SMALL, 64, 32, 4.0, seam_width=16)
+    light_at = scene(g.direction(F.col("x"), F.col("y"), 64, 32))
+    return out.select("y", "x", F.round(light_at, 6).alias("scene"), (F.abs(F.col("value") - light_at) < 0.01).alias("near"))
 
 
 SEAM_SQL = "s AS (SELECT l_partkey % 1536 AS pixel, l_suppkey % 4 AS label, round(avg(l_extendedprice) / 10000, 6) AS log_value, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2)"
