@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def shared_positions(pairs: DataFrame, positions: DataFrame, rotations: DataFram
     return seen.where(g.visible(F.col("d_"), lens)).withColumn("p_", g.project(F.col("d_"), lens)).select("a", "b", "sample", "x", "y", F.col("p_.u").alias("u"), F.col("p_.v").alias("v"))
 
 
+DRAWN_WITHIN, SEEN_WITHIN, TRIES = 0.2, 0.15, 40  #: margins of the first frame's draws and the second's places; draws a wanted point
+
+
+def drawn_positions(pairs: DataFrame, lens: Lens, most: int, seed: int) -> DataFrame:
+    """pairs: a, b, pair, ra, rb (rotations) -> a, b, pair, sample, u, v, ub, vb: drawn places that both frames see well inside.
+
+    Each pair draws from a stream of its own, so that pairs are drawn side by side and alike however they are dealt, and
+    draws anew where the other frame doesn't see a place: narrow overlaps get their number too, up to TRIES a point.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                found, rng = [], JavaRandom(seed + int(r.pair))
+                turn = np.array(r.rb, float).reshape(3, 3).T @ np.array(r.ra, float).reshape(3, 3)
+                for _ in range(most * TRIES):
+                    if len(found) == most:
+                        break
+                    u, v = (size * (DRAWN_WITHIN + (1 - 2 * DRAWN_WITHIN) * rng.next_double()) for size in (lens.width, lens.height))
+                    x, y, z = turn @ np.array([(u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy, 1.0])
+                    if z <= 1e-12:
+                        continue
+                    ub, vb = lens.fx * x / z + lens.cx, lens.fy * y / z + lens.cy
+                    if all(SEEN_WITHIN * size <= at <= (1 - SEEN_WITHIN) * size for at, size in ((ub, lens.width), (vb, lens.height))):
+                        found.append((r.a, r.b, r.pair, len(found), u, v, ub, vb))
+                yield pd.DataFrame(found, columns=["a", "b", "pair", "sample", "u", "v", "ub", "vb"])
+
+    if (lens.k1, lens.k2, lens.k3) != (0.0, 0.0, 0.0):
+        raise ValueError("places are drawn in straightened frames")
+    return pairs.select("a", "b", "pair", "ra", "rb").mapInPandas(run, "a long, b long, pair long, sample int, u double, v double, ub double, vb double")
+
+
 def valued_pairs(positions: DataFrame, pixels: DataFrame, least: float = 1e-6) -> DataFrame:
     """positions: a, x, y, b, xb, yb and others; pixels: frame, y, x, v -> also va and vb, where both are above `least`."""
     value = lambda side, x, y, n: pixels.select(F.col("frame").alias(side), F.col("x").alias(x), F.col("y").alias(y), F.col("v").alias(n))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import geometry as g
-from ..operators import distortion, solve
-from .common import read
+from ..functions import geometry as g
+from ..operators import distortion, sampling, solve
+from .common import read, rounded
 
 QUERIES, SQL = {}, {}
 
@@ -67,3 +68,19 @@ def lens_distortion(spark, sf):
     radius3 = lambda u, v: F.pow(F.hypot((F.col(u) - PLAIN.cx) / PLAIN.fx, (F.col(v) - PLAIN.cy) / PLAIN.fy), F.lit(3.0))
     seen = matches.groupBy("capture").agg(F.count("*").alias("matches"), F.round(F.avg(F.abs(radius3("ua", "va") - radius3("ub", "vb"))), 6).alias("leverage"))
     return fitted.join(seen, "capture").select("capture", "k1", "refused", "matches", "leverage", "pose_error_deg")
+
+
+@query("""WITH RECURSIVE p AS (SELECT s_suppkey AS pair, radians(5 + s_suppkey % 40) AS t FROM supplier),
+z AS (SELECT pair, CAST(0 AS BIGINT) AS n, CAST(xor(11 + pair, 25214903917) AS HUGEINT) AS s FROM p UNION ALL SELECT pair, n + 1, (s * 25214903917 + 11) % 281474976710656 FROM z WHERE n < 4 * 240),
+d AS (SELECT pair, (n - 1) // 4 AS try, max(CASE WHEN n % 4 = 1 THEN s // 4194304 END) AS a, max(CASE WHEN n % 4 = 2 THEN s // 2097152 END) AS b, max(CASE WHEN n % 4 = 3 THEN s // 4194304 END) AS c, max(CASE WHEN n % 4 = 0 THEN s // 2097152 END) AS d FROM z WHERE n > 0 GROUP BY 1, 2),
+w AS (SELECT pair, try, 800 * (0.2 + 0.6 * ((a * 134217728 + b) / 9007199254740992.0)) AS u, 600 * (0.2 + 0.6 * ((c * 134217728 + d) / 9007199254740992.0)) AS v FROM d),
+q AS (SELECT w.*, 600 * (cos(t) * ((u - 399.5) / 600) - sin(t)) / (sin(t) * ((u - 399.5) / 600) + cos(t)) + 399.5 AS ub, 600 * ((v - 299.5) / 600) / (sin(t) * ((u - 399.5) / 600) + cos(t)) + 299.5 AS vb FROM w JOIN p USING (pair)),
+k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY try) AS n FROM q WHERE ub BETWEEN 120 AND 680 AND vb BETWEEN 90 AND 510)
+SELECT pair, CAST(n - 1 AS INT) AS sample, round(u, 6) AS u, round(v, 6) AS v, round(ub, 6) AS ub, round(vb, 6) AS vb FROM k WHERE n <= 6""")
+def photometric_draws(spark, sf):
+    """Places that two frames of each pair see, drawn until there are six; pairs overlap more or less."""
+    k = F.col("s_suppkey")
+    zero = F.lit(0.0)
+    turned = lambda t: g.exp_so3(g.vec(zero, t, zero))
+    pairs = read(spark, sf, "supplier", "s_suppkey").select(k.alias("pair"), k.alias("a"), (k + 1).alias("b"), turned(zero).alias("ra"), turned(F.radians(5 + k % 40)).alias("rb"))
+    return rounded(sampling.drawn_positions(pairs, c.Lens(), 6, 11).drop("a", "b"), u=6, v=6, ub=6, vb=6)
