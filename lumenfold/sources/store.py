@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,8 +15,60 @@ from .codecs import png  # noqa: F401  previews are written by the store's calle
 
 
 def create(session: DataFrame, path: str) -> None:
-    """A new session's header; an existing one refuses."""
-    session.write.mode("errorifexists").json(f"{path}/session")
+    """A new session's header, its first version; an existing one refuses."""
+    if version(session.sparkSession, path) is not None:
+        raise FileExistsError(f"a session exists at {path}")
+    session.write.mode("errorifexists").json(f"{path}/session/version=0")
+    _point(session.sparkSession, path, 0)
+
+
+def revise(session: DataFrame, path: str) -> int:
+    """The header after a change of plan, as the next version; the number of it.
+
+    A version is written aside and becomes the session's by one rename, which a reader sees before or after, never in
+    part. Of two revisions of one version the second finds its folder taken and fails.
+    """
+    now = version(session.sparkSession, path)
+    if now is None:
+        raise FileNotFoundError(f"{path} holds no session")
+    session.write.mode("errorifexists").json(f"{path}/session/version={now + 1}")
+    _point(session.sparkSession, path, now + 1)
+    return now + 1
+
+
+def version(spark: SparkSession, path: str) -> int | None:
+    """The session's version, or null without one."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/session/_current")
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        return None
+    source = store.open(where)
+    try:
+        return int(bytes(source.readAllBytes()).decode())
+    finally:
+        source.close()
+
+
+def header(spark: SparkSession, path: str, schema: str, at: int | None = None) -> DataFrame:
+    """The header of a version, the present one if none is given; later revisions don't change what this reads."""
+    now = version(spark, path) if at is None else at
+    if now is None:
+        raise FileNotFoundError(f"{path} holds no session")
+    return spark.read.schema(schema).json(f"{path}/session/version={now}")
+
+
+def _point(spark: SparkSession, path: str, number: int) -> None:
+    """The pointer's new content is written beside it and takes its place by one rename of the file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/session/_current")
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}/session/_current.{uuid.uuid4().hex}")
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+    out = target.getFileSystem(conf).create(aside, False)
+    out.write(f"{number}\n".encode())
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(aside, target, overwrite)
 
 
 def store_batch(path: str, free_bytes: Callable[[], int] = lambda: 0):

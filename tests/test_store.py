@@ -52,3 +52,29 @@ def test_tracking_follows_the_frame_before(spark):
     f = spark.createDataFrame([(0, 1, 5), (0, 2, -9), (3, 7, 5), (3, 8, -9), (9, 4, 5), (9, 5, -9)], "frame int, kp int, desc long")
     got = {(r["frame"], r["ka"], r["kb"]) for r in sampling.tracked(f).collect()}
     assert got == {(3, 1, 7), (3, 2, 8), (9, 7, 4), (9, 8, 5)}
+
+
+def test_a_reader_sees_one_plan_during_a_revision(spark, tmp_path):
+    path, kind = f"{tmp_path}/capture", "format string, rungs int"
+    plan = lambda n: spark.createDataFrame([("x", n)], kind)
+    with pytest.raises(FileNotFoundError):
+        store.revise(plan(1), path)
+    store.create(plan(3), path)
+    with pytest.raises(FileExistsError):
+        store.create(plan(3), path)
+    pinned = store.header(spark, path, kind)
+    assert store.revise(plan(4), path) == 1 and store.version(spark, path) == 1
+    assert pinned.first()["rungs"] == 3 and store.header(spark, path, kind).first()["rungs"] == 4 and store.header(spark, path, kind, 0).first()["rungs"] == 3
+    plan(9).write.json(f"{path}/session/version=2")  # another revision of version 1 is under way
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        store.revise(plan(5), path)
+    assert store.header(spark, path, kind).first()["rungs"] == 4
+
+
+def test_a_batch_that_does_not_fit_is_refused(spark, tmp_path):
+    frames = spark.createDataFrame([(0, 0, 60), (0, 1, 60)], "target int, bracket int, bytes long")
+    with pytest.raises(OSError, match="doesn't fit"):
+        store.store_batch(f"{tmp_path}/s", lambda: 100)(frames, 0)
+    store.store_batch(f"{tmp_path}/s", lambda: 120)(frames, 0)
+    store.store_batch(f"{tmp_path}/s")(frames, 1)
+    assert store.stored(spark, f"{tmp_path}/s").count() == 2
