@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-MAGIC, HEADER = 0x484D5246, 20
+MAGIC, HEADER = 0x484D5246, 20  #: fixed values of the format
 STRIP_BYTES = 4 << 20  #: of radiance that a task reads at once
 ROWS = "frame int, y int, radiance array<float>, confidence array<float>"  #: a row of a frame; radiance is width x channels
 
@@ -124,7 +124,7 @@ class SpoolReader(DataSourceReader):
         with open(_file(self.folder, frame), "rb") as f:
             head = f.read(HEADER)
         if len(head) < HEADER or struct.unpack_from("<i", head)[0] != MAGIC:
-            raise ValueError(f"not a parked frame: {_file(self.folder, frame)}")
+            raise ValueError(f"{_file(self.folder, frame)} has another format")
         return struct.unpack("<5i", head)[1:]
 
     def partitions(self) -> list[Strip]:
@@ -152,7 +152,7 @@ class SpoolReader(DataSourceReader):
         f.seek(begin + 4 * wide * strip.first)
         data = f.read(4 * wide * strip.rows)
         if len(data) < 4 * wide * strip.rows:
-            raise ValueError(f"frame {strip.frame} is truncated")
+            raise ValueError(f"the file of frame {strip.frame} ends early")
         return pa.ListArray.from_arrays(pa.array(np.arange(0, wide * strip.rows + 1, wide), pa.int32()) if wide else pa.array([0] * (strip.rows + 1), pa.int32()), pa.array(np.frombuffer(data, "<f4")))
 
 
