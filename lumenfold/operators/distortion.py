@@ -21,6 +21,7 @@ from .graph import settle
 from .solve import damped, exp_so3
 
 MOST_FITS = 2000  #: captures of one call; their rotations are known to the driver
+ROUNDING = 1e-12  #: radians that sums of squares leave of a perfect fit; no gain is read off less
 
 
 @dataclass
@@ -205,7 +206,7 @@ def adjusted(matches: DataFrame, rotations: dict, lens: Lens = Lens(), cfg: Dist
     lever, out = leverage(pixels, lens), {}
     for c in rotations:
         straight, free, own = fits[c, "straight"], fits[c, "free"], rules[c]
-        if straight.rms - free.rms <= straight.rms * own.least_gain:
+        if straight.rms - free.rms <= max(straight.rms * own.least_gain, ROUNDING):
             refused = "gain"
         elif abs(free.k1) * lever.get(c, 0.0) < math.radians(own.least_signal_deg):
             refused = "signal"
