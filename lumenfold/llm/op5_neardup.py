@@ -5,11 +5,11 @@ Each of BANDS hash functions samples the SAMPLE least of them and keeps these in
 a sample with the probability that all of it lies in both and in the same order. Texts of at most SHORT shingles
 are also found by their rarest shingles: two sets of the least similarity must share one of these, as many as one may
 lack of the other and one more. Texts that share a sample or such a shingle are compared with one of their bucket; where
-that leaves a bucket in several groups, all texts outside the largest meet all others, block by block: exact shingle
-counts in common rule most pairs out, joined groups the rest, and a task returns only the links that join groups.
+that leaves a bucket in several groups, all texts outside the largest meet all others, block by block: exact counts of
+words in common rule most pairs out, joined groups the rest, and a task returns only the links that join groups.
 Similarity: words on the best common alignment over all words of both. It's never below that of aligned shingles,
-and stays at 0.8 where scattered edits break many shingles; pairs must still share a FLOOR of these, below which
-samples meet too seldom. An alignment of the least similarity cannot leave a diagonal band, and only the band is searched.
+and stays at 0.8 where scattered edits break many shingles. What is linked is decided by the alignment alone; shingles
+only say which texts meet. An alignment of the least similarity cannot leave a diagonal band, and only the band is searched.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ from .graph import components
 
 WORDS = 5
 SIMILARITY = 0.8
-FLOOR = 0.4  #: least share of shingles in common of texts that link
-BANDS, SAMPLE = 40, 4  #: (1 - x**4)**40 of pairs with x of their shingles in common share no sample: 19 % at 0.45, 8 % at 0.5, 0.4 % at 0.6
+BANDS, SAMPLE = 64, 3  #: (1 - x**3)**64 of pairs with x of their shingles in common share no sample: 0.2 % at 0.45, 2 % at 0.38, 6 % at 0.35
 SHORT = 64  #: pairs of which one has at most so many shingles are found for certain if these are 0.8 alike
-TINY = 20  #: so are pairs of which one has at most so many, whatever it shares above the floor
+TINY = 20  #: so are pairs of which one has at most so many, if these share one
 LONGEST = int(SHORT / SIMILARITY + 1e-6)  #: what a short text can link with has no more
+TINY_MEETS = int((TINY + WORDS - 1) / SIMILARITY + 1e-6) - WORDS + 1  #: nor has what a tiny one can link with
 BROADCAST_ROWS = 1_000_000  #: ids of 24 bytes that are broadcast at most; more are joined by shuffle
 CACHE_ENTRIES = 200_000
 ROWS_OUT = 2000  #: rows that a task hands on at once
@@ -144,20 +144,17 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return lead + tail + len(a) - row.bit_count()
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, shared: int | None = None) -> float:
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, words: int | None = None) -> float:
     """Aligned words over all words of both, as far as it is `least` or more; else a lower figure.
 
-    a, b: hashed words. shared: shingles in common, if counted before. 0 for texts that share less than FLOOR of these.
+    a, b: hashed words. words: those in common, in any order, if counted before.
     """
     na, nb = len(a), len(b)
     if not na or not nb or min(na, nb) < least * max(na, nb):
         return 0.0
-    if shared is None:
-        shared = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
-    if shared * (1 + FLOOR) < FLOOR * (max(1, na - WORDS + 1) + max(1, nb - WORDS + 1)) - 1e-9:
-        return 0.0
-    words = len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))  # which aligned ones can't exceed
-    if words * (1 + least) < least * (na + nb) - 1e-9:
+    if words is None:
+        words = len(np.intersect1d(labelled(a), labelled(b), assume_unique=True))
+    if words * (1 + least) < least * (na + nb) - 1e-9:  # aligned ones can't exceed these
         return 0.0
     m = aligned(a, b, int((na + nb) * (1 - least) / (1 + least)) + 1)
     return m / (na + nb - m)
@@ -232,19 +229,18 @@ def common(seqs: list[np.ndarray]) -> np.ndarray:
     return out + out.T
 
 
-def _linked(seqs: list[np.ndarray], parts: list[np.ndarray], group: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links between texts of different groups that join these; groups that were joined before need no more."""
-    n = np.array([len(x) for x in parts])
-    both = common(parts)
+def _linked(seqs: list[np.ndarray], own: list[np.ndarray], group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between texts of different groups that join these; groups that were joined before need no more.
+
+    own: the labelled words of each. Those in common, which aligned ones can't exceed, are counted for all pairs at once.
+    """
+    n = np.array([len(x) for x in seqs])
+    both = common(own)
     apart = group[:, None] != group[None, :]
-    i, j = np.nonzero(np.triu(apart, 1) & (both * (1 + FLOOR) >= FLOOR * (n[:, None] + n[None, :]) - 1e-3))
-    if len(i) > len(seqs):  # then all words in common, which aligned ones can't exceed, are counted at once
-        own, m = common([labelled(x) for x in seqs]), np.array([len(x) for x in seqs])
-        enough = own[i, j] * (1 + SIMILARITY) >= SIMILARITY * (m[i] + m[j]) - 1e-3
-        i, j = i[enough], j[enough]
+    i, j = np.nonzero(np.triu(apart, 1) & (both * (1 + SIMILARITY) >= SIMILARITY * (n[:, None] + n[None, :]) - 1e-3))
     nearest = np.argsort(-both[i, j] / (n[i] + n[j]), kind="stable")  # likely links first: they join groups
     for a, b in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
-        if group[a] != group[b] and similarity(seqs[a], seqs[b], shared=int(both[a, b])) >= SIMILARITY:
+        if group[a] != group[b] and similarity(seqs[a], seqs[b], words=int(both[a, b])) >= SIMILARITY:
             group[group == group[b]] = group[a]
             yield a, b
 
@@ -253,7 +249,7 @@ def _join_groups(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("fp", ignore_index=True)
     seqs = [_words(x) for x in pdf["seq"]]
     group = np.unique(pdf["root"], return_inverse=True)[1]
-    out = [(pdf["fp"][a], pdf["fp"][b]) for a, b in _linked(seqs, [shingles(x) for x in seqs], group)]
+    out = [(pdf["fp"][a], pdf["fp"][b]) for a, b in _linked(seqs, [labelled(x) for x in seqs], group)]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -261,7 +257,7 @@ def _join_small(pdf: pd.DataFrame) -> pd.DataFrame:
     """Many small buckets; a text comes once, with the keys of all that hold it."""
     pdf = pdf.sort_values("fp", ignore_index=True)
     seqs = [_words(x) for x in pdf["seq"]]
-    parts = [shingles(x) for x in seqs]
+    words = [labelled(x) for x in seqs]
     group = np.unique(pdf["root"], return_inverse=True)[1]
     sizes = [len(k) for k in pdf["keys"]]
     key, row = np.concatenate(list(pdf["keys"])), np.repeat(np.arange(len(pdf)), sizes)
@@ -272,7 +268,7 @@ def _join_small(pdf: pd.DataFrame) -> pd.DataFrame:
     for members in np.split(row, cuts):
         own = group[members]
         if len(members) > 1 and (own != own[0]).any():
-            for a, b in _linked([seqs[k] for k in members], [parts[k] for k in members], own):
+            for a, b in _linked([seqs[k] for k in members], [words[k] for k in members], own):
                 x, y = members[a], members[b]
                 out.append((pdf["fp"][x], pdf["fp"][y]))
                 group[group == group[y]] = group[x]
@@ -297,13 +293,13 @@ def _rarest(classes: DataFrame) -> DataFrame:
     """fp, n, key of short texts: a bucket for each of a text's rarest shingles.
 
     A text of n shingles lacks at most n / 5 of those of another at 0.8, so of any n / 5 + 1 one is in both; in
-    one order for all texts the first so many of both share one. What a tiny text can link with is met at the floor. Shingles of one text alone come first and make
-    no bucket, so that only their number counts.
+    one order for all texts the first so many of both share one. A tiny text, and what it can link with, has a bucket for
+    each. Shingles of one text alone come first and make no bucket, so that only their number counts.
     """
     each = classes.where(F.size("every") > 0).select("fp", "n", F.explode("every").alias("s"))
     shared = each.groupBy("s").count().where("count > 1")
     rare = each.join(shared, "s").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("rare"))
-    lacks = F.when(F.col("n") <= int(TINY / FLOOR), F.col("n") * (1 - FLOOR)).otherwise(F.col("n") * (1 - SIMILARITY))
+    lacks = F.when(F.col("n") <= TINY_MEETS, F.col("n") - 1).otherwise(F.col("n") * (1 - SIMILARITY))
     first = F.floor(lacks + 1e-6).cast("int") + 1
     room = F.greatest(first - F.col("n") + F.size("rare"), F.lit(0))
     return rare.select("fp", "n", F.explode(F.slice("rare", F.lit(1), room)).alias("r")).select("fp", "n", F.xxhash64(F.lit(-1), "r.s").alias("key"))
