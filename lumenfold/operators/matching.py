@@ -40,25 +40,57 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def knn_ratio(left: DataFrame, right: DataFrame, by: list[str], cfg: Matching = Matching(), cross_check: bool = False) -> DataFrame:
+def _both_ways(met: DataFrame, by: list[str], a: str, b: str, *values: str) -> DataFrame:
+    """Each pair as a row of its left point (side 0) and as one of its right point (side 1): by, side, id, other, values."""
+    ways = F.array(*[F.struct(F.lit(k).alias("side"), F.col(x).alias("id"), F.col(y).alias("other")) for k, (x, y) in enumerate(((a, b), (b, a)))])
+    return met.select(*by, *values, F.inline(ways))
+
+
+def _two_least(met: DataFrame, keys: list[str], other: str) -> DataFrame:
+    """met: keys, other, d (a count of bits) -> keys, other, d, second: the least distance and the runner-up's, which may equal it.
+
+    Distances are whole and few, so candidates are counted by distance where they arise; what is shuffled is at most a
+    row for each distance a key has, never the candidates, and nothing is sorted but these.
+    """
+    each = met.groupBy(*keys, "d").agg(F.min(other).alias(other), F.count(F.lit(1)).alias("n"))
+    rows = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("d", other, "n"))).alias("at"))
+    first = F.col("at")[0]
+    second = F.when(first["n"] > 1, first["d"]).otherwise(F.get("at", F.lit(1))["d"])
+    return rows.select(*keys, first[other].alias(other), first["d"].alias("d"), second.alias("second"))
+
+
+def _mutual(best: DataFrame, by: list[str], a: str, b: str, *values: str) -> DataFrame:
+    """best: by, side, id, other, values, a row for each point -> by, a, b, values of pairs that chose each other."""
+    left = F.col("side") == 0
+    pairs = best.select(*by, "side", F.when(left, F.col("id")).otherwise(F.col("other")).alias(a), F.when(left, F.col("other")).otherwise(F.col("id")).alias(b), *values)
+    met = pairs.groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("sides"), *[F.max(F.when(left, F.col(v))).alias(v) for v in values])
+    return met.where("sides = 2").drop("sides")
+
+
+def knn_ratio(left: DataFrame, right: DataFrame, by: list[str], cfg: Matching = Matching(), cross_check: bool = False, splits: int = 1) -> DataFrame:
     """Descriptor matches of two feature tables that share `by` (a frame pair): kp, desc each.
 
     kept: within the most distance, and below ratio times the runner-up, which may equal the best; with the
-    cross check also best from the other side. Features meet only within their frame pair.
+    cross check also best from the other side. Features meet only within their frame pair; those without a descriptor
+    meet none. `splits` deals each pair's right features among so many tasks, which a pair of very many features needs.
     """
     a = left.select(*by, F.col("kp").alias("ka"), F.col("desc").alias("da"))
     b = right.select(*by, F.col("kp").alias("kb"), F.col("desc").alias("db"))
-    met = a.join(b, by).select(*by, "ka", "kb", hamming(F.col("da"), F.col("db")).alias("d"))
-    first = Window.partitionBy(*by, "ka").orderBy("d", "kb")
-    ranked = met.withColumns({"rank": F.row_number().over(first), "second": F.lead("d").over(first)})
-    if cross_check:
-        ranked = ranked.withColumn("back", F.row_number().over(Window.partitionBy(*by, "kb").orderBy("d", "ka")))
-    best = ranked.where("rank = 1")
-    good = (F.col("d") <= cfg.max_distance) & (F.col("second").isNull() | (F.col("d") < F.col("second") * cfg.ratio) | ((F.col("d") == 0) & (F.col("second") == 0)))
-    best = best.where(good)
+    on = by
+    a = a.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "ka")  # features are few, what they meet is not
+    if splits > 1:
+        a = a.withColumn("split_", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+        b = b.withColumn("split_", F.pmod(F.xxhash64("kb"), F.lit(splits)).cast("int"))
+        on = [*by, "split_"]
+    met = a.join(b, on).select(*by, "ka", "kb", hamming(F.col("da"), F.col("db")).alias("d")).where("d is not null")
     if cross_check:
-        best = best.where("back = 1")
-    return best.select(*by, "ka", "kb", F.col("d").alias("distance"))
+        best = _two_least(_both_ways(met, by, "ka", "kb", "d"), [*by, "side", "id"], "other")
+        best = _mutual(best, by, "ka", "kb", "d", "second")
+    else:
+        best = _two_least(met, [*by, "ka"], "kb")
+    d, second = F.col("d"), F.col("second")
+    good = (d <= cfg.max_distance) & (second.isNull() | (d < second * cfg.ratio) | ((d == 0) & (second == 0)))
+    return best.where(good).select(*by, "ka", "kb", d.alias("distance"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -87,11 +119,10 @@ def match_near(left: DataFrame, right: DataFrame, by: tuple[str, ...], radius: f
     point = F.struct("kp", "desc").alias("id")
     met = near_pairs(left.select(*by, point, "x", "y"), right.select(*by, point, "x", "y"), radius, by)
     met = met.select(*by, F.col("a.kp").alias("ka"), F.col("b.kp").alias("kb"), apart(F.col("a.desc"), F.col("b.desc")).alias("d"))
-    first = Window.partitionBy(*by, "ka").orderBy("d", "kb")
-    best = met.withColumns({"rank": F.row_number().over(first), "second": F.lead("d").over(first)}).where("rank = 1")
-    best = best.where((F.col("d") <= cfg.max_distance) & (F.col("second").isNull() | (F.col("d") <= F.col("second") * cfg.ratio)))
-    back = F.row_number().over(Window.partitionBy(*by, "kb").orderBy("d", "ka"))
-    return best.withColumn("back", back).where("back = 1").select(*by, "ka", "kb", F.col("d").alias("distance"))
+    d, second = F.col("d"), F.col("second")
+    best = _two_least(met.where("d is not null"), [*by, "ka"], "kb").where((d <= cfg.max_distance) & (second.isNull() | (d <= second * cfg.ratio)))
+    closest = best.groupBy(*by, "kb").agg(F.min(F.struct("d", "ka")).alias("n"))
+    return closest.select(*by, "n.ka", "kb", F.col("n.d").alias("distance"))
 
 
 def one_to_one(pairs: DataFrame) -> DataFrame:

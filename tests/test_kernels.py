@@ -147,3 +147,32 @@ def test_order_statistics_equal_a_sort(spark, keys):
         mine = np.sort([v for k, v in rows if v is not None and v == v and (not keys or k == key)])
         assert np.allclose(got[key], np.quantile(mine, shares)) and half[key] == mine[len(mine) // 2]
     assert statistics.exact_percentiles(df.limit(0), keys, "v", shares).count() == 0
+
+
+@pytest.mark.parametrize("splits", [1, 3])
+def test_matches_equal_plain_loops(spark, splits):
+    """Ties, repeated descriptors, a lone candidate, missing descriptors; one pair of frames holds most features."""
+    from lumenfold.operators import matching
+
+    r = np.random.default_rng(3)
+    frame = lambda: int(r.choice([1, 1, 1, 2, 3]))
+    left = [(frame(), k, int(r.integers(0, 64))) for k in range(60)] + [(4, 0, 5), (1, 60, None)]
+    right = [(frame(), k, int(r.integers(0, 64))) for k in range(60)] + [(4, 0, 7), (5, 0, 7), (1, 60, None)]
+    cfg = matching.Matching(max_distance=2, ratio=0.9)
+
+    def nearest(own, others):
+        out = {}
+        for pair, k, desc in own:
+            met = sorted(((desc ^ e).bit_count(), j) for p, j, e in others if p == pair and e is not None) if desc is not None else []
+            if met:
+                out[pair, k] = (*met[0], met[1][0] if len(met) > 1 else None)
+        return out
+
+    there, back = nearest(left, right), nearest(right, left)
+    want = {(p, k, j, d) for (p, k), (d, j, second) in there.items() if d <= 2 and (second is None or d < 0.9 * second or d == second == 0)}
+    tables = [spark.createDataFrame(x, "pair int, kp int, desc long") for x in (left, right)]
+    got = [tuple(x) for x in matching.knn_ratio(*tables, ["pair"], cfg, splits=splits).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    got = matching.knn_ratio(*tables, ["pair"], cfg, cross_check=True, splits=splits)
+    assert {tuple(x) for x in got.collect()} == {(p, k, j, d) for p, k, j, d in want if back[p, j][1] == k}
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
