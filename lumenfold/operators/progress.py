@@ -66,13 +66,28 @@ def work_estimate(directions: Column, rungs: Column, frame_pixels: Column, width
     return F.struct(merge.alias("merge"), align.alias("align"), render.alias("render"), write.alias("write"), (merge + align + render + write).alias("seconds"))
 
 
+def tenths(x: Column) -> Column:
+    """Whole tenths nearest to what a positive double holds exactly, of two equally near the even one, as C prints it.
+
+    format_string rounds the shortest decimal instead, so 1.45, which is held a little below, becomes 1.5. Twenty times the
+    value against an odd number decides; sixteen and four times are exact, and so is what their sum leaves out.
+    """
+    total = x * 16.0 + x * 4.0
+    left_out = x * 4.0 - (total - x * 16.0)
+    low = F.floor(total / 2)
+    over = (total - (low * 2 + 1)) + left_out
+    return low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+
+
 def duration_text(seconds: Column) -> Column:
-    s = half_up(seconds)
+    s, hours = half_up(seconds), seconds / 3600.0
+    n = tenths(hours)
     return (
         F.when(s < 45, F.format_string("about %d seconds", s))
         .when(s < 90, F.lit("about a minute"))
         .when(s < 3600, F.format_string("about %d minutes", half_up(seconds / 60.0)))
-        .otherwise(F.format_string("about %.1f hours", seconds / 3600.0))
+        .when(hours < 2.0**45, F.format_string("about %d.%d hours", F.floor(n / 10), n % 10))
+        .otherwise(F.format_string("about %.1f hours", hours))
     )
 
 
