@@ -9,14 +9,15 @@ equations - three unknowns a frame, tens of frames - bordered by k1, and elimina
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Distortion, Lens
-from ..functions import geometry as g
 from .graph import settle
 from .solve import damped, exp_so3
 
@@ -89,43 +90,90 @@ def bordered_step(h: np.ndarray, grad: np.ndarray, border: np.ndarray, corner: f
     return -by_grad - by_border * shift, shift
 
 
-def _bearing(u: Column, v: Column, lens: Lens) -> Column:
-    return g.unproject(u, v, lens, k1=F.col("k1"))
-
-
-def _by_k1(p: Column, lens: Lens) -> list[Column]:
-    """Derivative of a bearing by k1, its pixel held: the undistorted radius gives way by r^3 over the slope there."""
-    r2 = (p["x"] * p["x"] + p["y"] * p["y"]) / (p["z"] * p["z"])
-    turn = -r2 / (g.stretch_slope(r2, lens, F.col("k1")) * (1 + r2))
-    return [turn * p["x"], turn * p["y"], -turn * r2 * p["z"]]
-
-
-def _turned(frame: str, v: list[Column]) -> list[Column]:
-    m = F.element_at("rotations", F.col(frame).cast("int") + 1)
-    return [m[3 * i] * v[0] + m[3 * i + 1] * v[1] + m[3 * i + 2] * v[2] for i in range(3)]
-
-
-def pair_sums(matches: DataFrame, states: DataFrame, lens: Lens) -> DataFrame:
-    """matches: capture, a, b, ua, va, ub, vb, w; states: capture, fit, k1, huber, rotations -> sums by capture, fit, a, b."""
-    col = F.col
-    seen = matches.join(F.broadcast(states), "capture").withColumns({"p": _bearing(col("ua"), col("va"), lens), "q": _bearing(col("ub"), col("vb"), lens)})
-    parts = {}
-    for frame, point, world, moved in (("a", "p", "u", "du"), ("b", "q", "v", "dv")):
-        parts |= {f"{world}{k}": x for k, x in enumerate(_turned(frame, [col(point)[c] for c in "xyz"]))}
-        parts |= {f"{moved}{k}": x for k, x in enumerate(_turned(frame, _by_k1(col(point), lens)))}
-    seen = seen.select("capture", "fit", "a", "b", "w", "huber", *[x.alias(n) for n, x in parts.items()])
-    u, v, e = ([col(f"{n}{k}") for k in range(3)] for n in "uve")
-    seen = seen.withColumns({f"e{k}": col(f"dv{k}") - col(f"du{k}") for k in range(3)} | {f"r{k}": v[k] - u[k] for k in range(3)})
-    r = [col(f"r{k}") for k in range(3)]
-    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    seen = seen.withColumn("miss", F.sqrt(dot(r, r)))
-    seen = seen.withColumn("k", col("w") * F.when(col("miss") <= col("huber"), 1.0).otherwise(col("huber") / col("miss")))
-    cost = col("w") * F.when(col("miss") <= col("huber"), col("miss") * col("miss")).otherwise(col("huber") * (2 * col("miss") - col("huber")))
-    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    terms = {f"{m}{n}{i}{j}": x[i] * y[j] for m, x, n, y in (("u", u, "u", u), ("v", v, "v", v), ("u", u, "v", v)) for i in range(3) for j in range(3)}
-    terms |= {f"ue{i}": x for i, x in enumerate(cross(u, e))} | {f"ve{i}": x for i, x in enumerate(cross(v, e))} | {"ee": dot(e, e), "er": dot(e, r)}
-    angle = 2 * F.asin(F.least(F.lit(1.0), col("miss") / 2))
-    return seen.groupBy("capture", "fit", "a", "b").agg(F.sum(cost).alias("cost"), F.sum(angle * angle).alias("squares"), F.count("*").alias("n"), *[F.sum(col("k") * x).alias(name) for name, x in terms.items()])
+def _bearings(u: np.ndarray, v: np.ndarray, k1: np.ndarray, lens: Lens, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Unit directions of pixels, and their derivatives by k1, the pixel held: the undistorted radius gives way by r^3 over the slope there."""
+    x, y = (u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy
+    seen = np.hypot(x, y)
+    slope = lambda r2: 1 + r2 * (3 * k1 + r2 * (5 * lens.k2 + r2 * 7 * lens.k3))
+    r = seen.copy()
+    for _ in range(steps):
+        r2 = r * r
+        at = slope(r2)
+        flat = np.abs(at) < 1e-12
+        r = np.where(flat, r, r - (r * (1 + r2 * (k1 + r2 * (lens.k2 + r2 * lens.k3))) - seen) / np.where(flat, 1.0, at))
+    s = np.where(seen < 1e-15, 1.0, r / np.where(seen < 1e-15, 1.0, seen))
+    p = np.stack([x * s, y * s, np.ones_like(x)], axis=1)
+    p /= np.sqrt((p * p).sum(axis=1, keepdims=True))
+    r2 = (p[:, 0] ** 2 + p[:, 1] ** 2) / p[:, 2] ** 2
+    turn = -r2 / (slope(r2) * (1 + r2))
+    return p, np.stack([turn * p[:, 0], turn * p[:, 1], -turn * r2 * p[:, 2]], axis=1)
+
+
+TERMS = [f"{m}{i}{j}" for m in ("uu", "vv", "uv") for i in range(3) for j in range(3)] + [f"{m}{i}" for m in ("ue", "ve") for i in range(3)] + ["ee", "er"]
+SUMS = ["cost", "squares", *TERMS]
+
+
+def _terms(u: np.ndarray, v: np.ndarray, e: np.ndarray, w: np.ndarray, huber: np.ndarray) -> np.ndarray:
+    """A row of SUMS for each match: bearings in the world, how they part by k1, weights, kernels."""
+    r = v - u
+    miss = np.sqrt((r * r).sum(axis=1))
+    near = miss <= huber
+    far = np.where(near, 1.0, miss)
+    k = w * np.where(near, 1.0, huber / far)
+    cost = w * np.where(near, miss * miss, huber * (2 * miss - huber))
+    angle = 2 * np.arcsin(np.minimum(1.0, miss / 2))
+    outer = lambda a, b: (a[:, :, None] * b[:, None, :]).reshape(-1, 9)
+    dot = lambda a, b: (a * b).sum(axis=1, keepdims=True)
+    terms = np.hstack([outer(u, u), outer(v, v), outer(u, v), np.cross(u, e), np.cross(v, e), dot(e, e), dot(e, r)])
+    return np.column_stack([cost, angle * angle, terms * k[:, None]])
+
+
+def pair_sums(matches: DataFrame, states: list[tuple], lens: Lens) -> DataFrame:
+    """matches: capture, a, b, ua, va, ub, vb, w; states: capture, fit, k1, huber, rotations -> sums by capture, fit, a, b.
+
+    Batches of matches are measured as arrays where they lie; what moves is a row for each frame pair of a batch.
+    """
+    names = sorted({s[1] for s in states})
+    kind = matches.schema["capture"].dataType.simpleString()
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = []
+        for name in names:
+            own = [s for s in states if s[1] == name]
+            most = max(len(s[4]) for s in own)
+            turns = np.zeros((len(own), most, 3, 3))
+            for n, s in enumerate(own):
+                turns[n, : len(s[4])] = np.reshape(s[4], (-1, 3, 3))
+            tables.append((name, pd.Index([s[0] for s in own]), np.array([s[2] for s in own]), np.array([s[3] for s in own]), turns))
+        for batch in batches:
+            for name, captures, k1, huber, turns in tables:
+                at = captures.get_indexer(batch["capture"])
+                part, at = batch[at >= 0], at[at >= 0]
+                if part.empty:
+                    continue
+                a, b = part["a"].to_numpy("int64"), part["b"].to_numpy("int64")
+                world = {}
+                for f, frame in (("a", a), ("b", b)):
+                    p, moved = _bearings(part[f"u{f}"].to_numpy("float64"), part[f"v{f}"].to_numpy("float64"), k1[at], lens)
+                    m = turns[at, frame]
+                    world[f] = (np.einsum("nij,nj->ni", m, p), np.einsum("nij,nj->ni", m, moved))
+                (u, du), (v, dv) = world["a"], world["b"]
+                values = _terms(u, v, dv - du, part["w"].to_numpy("float64"), huber[at])
+                pairs, of = np.unique(np.column_stack([at, a, b]), axis=0, return_inverse=True)
+                of = of.ravel()
+                order = np.argsort(of, kind="stable")
+                sums = np.add.reduceat(values[order], np.searchsorted(of[order], np.arange(len(pairs))), axis=0)
+                out = pd.DataFrame(sums, columns=SUMS)
+                out.insert(0, "capture", captures[pairs[:, 0]])
+                out.insert(1, "fit", name)
+                out.insert(2, "a", pairs[:, 1])
+                out.insert(3, "b", pairs[:, 2])
+                out.insert(4, "n", np.bincount(of))
+                yield out
+
+    schema = f"capture {kind}, fit string, a long, b long, n long, " + ", ".join(f"{c} double" for c in SUMS)
+    parts = matches.select("capture", "a", "b", "ua", "va", "ub", "vb", F.col("w").cast("double").alias("w")).mapInPandas(measured, schema)
+    return parts.groupBy("capture", "fit", "a", "b").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in SUMS])
 
 
 def _equations(rows: list, n: int) -> tuple[tuple, float, float, int]:
@@ -150,11 +198,9 @@ def _equations(rows: list, n: int) -> tuple[tuple, float, float, int]:
 
 def _settle_all(matches: DataFrame, fits: dict[tuple, Fit], lens: Lens) -> None:
     """All fits go on until each has settled; a job measures whatever they try."""
-    spark, kind = matches.sparkSession, matches.schema["capture"].dataType.simpleString()
     while live := {k: f for k, f in fits.items() if not f.done}:
         tried = {k: f.trial or (f.rotations, f.k1) for k, f in live.items()}
-        rows = [(capture, name, float(k1), live[capture, name].huber, [[float(x) for x in r.ravel()] for r in rotations]) for (capture, name), (rotations, k1) in tried.items()]
-        states = spark.createDataFrame(rows, f"capture {kind}, fit string, k1 double, huber double, rotations array<array<double>>")
+        states = [(capture, name, float(k1), live[capture, name].huber, np.array(rotations)) for (capture, name), (rotations, k1) in tried.items()]
         sums = {}
         for s in pair_sums(matches, states, lens).collect():
             sums.setdefault((s["capture"], s["fit"]), []).append(s)
@@ -197,7 +243,8 @@ def adjusted(matches: DataFrame, rotations: dict, lens: Lens = Lens(), cfg: Dist
         raise ValueError(f"distortion is solved from pixels; missing: {sorted(missing)}")
     if len(rotations) > MOST_FITS:
         raise ValueError(f"at most {MOST_FITS} captures a call")
-    pixels = settle(matches.where(F.col("w") > 0).dropna(subset=["ua", "va", "ub", "vb"]), "matches")
+    pixels = matches.where(F.col("w") > 0).dropna(subset=["ua", "va", "ub", "vb"])
+    pixels = settle(pixels.repartition(matches.sparkSession.sparkContext.defaultParallelism), "matches")  # every round reads it anew
     rules = cfg if isinstance(cfg, dict) else dict.fromkeys(rotations, cfg)
     fits = {(c, name): Fit([m.copy() for m in r], 0.0, math.radians(rules[c].warm_deg), name == "free", rules[c]) for c, r in rotations.items() for name in ("straight", "free")}
     _settle_all(pixels, fits, lens)

@@ -128,3 +128,39 @@ def test_growth_over_the_cluster_is_that_of_strongest_edges(spark):
     got = {x["frame"]: np.array(x["rotation"]).reshape(3, 3) for x in solve.grown(spark.createDataFrame(rows, "a long, b long, inliers int, rotation array<double>")).collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
     assert solve.grown(spark.createDataFrame([], "a long, b long, inliers int, rotation array<double>")).count() == 0
+
+
+def test_pair_sums_are_those_of_single_matches(spark):
+    """Sums by arrays, over several batches and tasks, against one match at a time; a fit's rotations are its own."""
+    from lumenfold.config import Lens
+    from lumenfold.operators import distortion
+
+    rng, lens = np.random.default_rng(3), Lens(800, 600, 571.26, 571.26, 399.5, 299.5)
+    states = [(c, fit, k1, 0.02, np.array([solve.exp_so3(rng.normal(0, 0.1, 3)) for _ in range(n)])) for c, n in (("p", 3), ("q", 2)) for fit, k1 in (("straight", 0.0), ("free", -0.08))]
+    rows = [(c, a, a + 1, *[float(x) for x in rng.uniform(50, 550, 4)], float(rng.uniform(0.5, 2))) for c, most in (("p", 2), ("q", 1), ("none", 1)) for a in rng.integers(0, most, 40).tolist()]
+    matches = spark.createDataFrame(rows, "capture string, a int, b int, ua double, va double, ub double, vb double, w double").repartition(3)
+    got = {(r["capture"], r["fit"], r["a"], r["b"]): r for r in distortion.pair_sums(matches, states, lens).collect()}
+    assert {k[0] for k in got} == {"p", "q"}
+
+    def bearing(u, v, k1):
+        x, y = (u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy
+        low, high, seen = 0.0, 2.0, math.hypot(x, y)
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if mid * (1 + k1 * mid * mid) < seen else (low, mid)
+        p = np.array([x * low / seen, y * low / seen, 1.0])
+        return p / np.linalg.norm(p)
+
+    for c, fit, k1, huber, turns in states:
+        want = {}
+        for cap, a, b, ua, va, ub, vb, w in rows:
+            if cap == c:
+                at = lambda k: turns[b] @ bearing(ub, vb, k) - turns[a] @ bearing(ua, va, k)  # noqa: B023, E731
+                u, r = turns[a] @ bearing(ua, va, k1), at(k1)
+                e, miss = (at(k1 + 1e-5) - at(k1 - 1e-5)) / 2e-5, float(np.linalg.norm(r))
+                k = w * min(1.0, huber / miss)
+                cost = w * (miss**2 if miss <= huber else huber * (2 * miss - huber))
+                want[a, b] = want.get((a, b), 0) + np.array([1, cost, k * u[0] * u[1], k * np.cross(u, e)[2], k * (e @ e), k * (e @ r)])
+        for (a, b), sums in want.items():
+            r = got[c, fit, a, b]
+            assert np.allclose([r["n"], r["cost"], r["uu01"], r["ue2"], r["ee"], r["er"]], sums, rtol=1e-5, atol=1e-8)
