@@ -13,6 +13,7 @@ import re
 import shutil
 import struct
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 MAGIC, HEADER = 0x484D5246, 20  #: fixed values of the format
+OPEN_FILES = 64  #: of a task that writes
 STRIP_BYTES = 4 << 20  #: of radiance that a task reads at once
 ROWS = "frame int, y int, radiance array<float>, confidence array<float>"  #: a row of a frame; radiance is width x channels
 
@@ -63,11 +65,21 @@ class SpoolWriter(DataSourceWriter):
         return f"{_file(self.folder, frame)}.{self.run}.part"
 
     def write(self, rows: Iterator) -> Parked:
-        files, seen, wide = {}, {}, self.width * self.channels
+        files, seen, wide = OrderedDict(), {}, self.width * self.channels
+
+        def close(file: int) -> None:
+            try:
+                os.fsync(file)
+            finally:
+                os.close(file)
+
         try:
             for frame, y, radiance, confidence in rows:
                 if frame not in files:
+                    if len(files) >= OPEN_FILES:  # a task may hold rows of more frames than it may have files open
+                        close(files.popitem(last=False)[1])
                     files[frame] = os.open(self._part(frame), os.O_CREAT | os.O_WRONLY, 0o644)
+                files.move_to_end(frame)
                 values = np.asarray(radiance, "<f4")
                 if len(values) != wide or not 0 <= y < self.height:
                     raise ValueError(f"row {y} of frame {frame} has {len(values)} values")
@@ -76,9 +88,8 @@ class SpoolWriter(DataSourceWriter):
                     os.pwrite(files[frame], np.asarray(confidence, "<f4").tobytes(), HEADER + 4 * (wide * self.height + self.width * y))
                 seen.setdefault(frame, []).append(y)
         finally:
-            for f in files.values():
-                os.fsync(f)
-                os.close(f)
+            while files:
+                close(files.popitem()[1])
         return Parked({k: np.array(v, "<i4").tobytes() for k, v in seen.items()})
 
     def commit(self, messages: list[Parked | None]) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import struct
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -66,3 +68,18 @@ def test_png_filters():
     assert np.allclose(codecs.linear_image(plain), ((image / 255 + 0.055) / 1.055) ** 2.4, atol=3e-3)
     with pytest.raises(ValueError, match="not a PNG"):
         codecs.read_png(b"x")
+
+
+def test_a_task_parks_more_frames_than_it_may_open(spark, tmp_path):
+    """Rows of many frames in one task, line by line over all frames: few files are open at a time."""
+    frames = 300
+    code = f"""
+import resource, sys
+from lumenfold.sources import spool
+resource.setrlimit(resource.RLIMIT_NOFILE, (128, resource.getrlimit(resource.RLIMIT_NOFILE)[1]))
+w = spool.SpoolWriter({{"path": {str(tmp_path / "run")!r}, "width": "2", "height": "3", "channels": "1", "confidence": "0"}})
+w.commit([w.write((f, y, [f, y], None) for y in range(3) for f in range({frames}))])
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    back = spool.Spool(spark, str(tmp_path / "run")).read()
+    assert back.count() == 3 * frames and back.where("radiance[0] = frame and radiance[1] = y").count() == 3 * frames
