@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -314,24 +315,32 @@ def rising(levels: DataFrame, keys: list[str], level: str, value: str) -> DataFr
 
 
 def min_cuts(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """nodes: key, node, source, sink; edges: key, a, b, capacity both ways -> key, flow, sides of each network.
+    """nodes: key, node, source, sink; edges: key, a, b, capacity both ways -> key, flow of each network.
 
-    A network fits a task; networks are solved side by side.
+    A network is a row, its nodes and edges are arrays. A task solves the networks of a batch one after the other, so many
+    small ones don't each cost a call.
     """
+    lists = lambda df, *names: df.groupBy(key).agg(F.collect_list(F.struct(*[F.coalesce(F.col(n).cast(t), F.lit(0).cast(t)).alias(n) for n, t in names])).alias("s_")).select(key, *[F.col(f"s_.{n}").alias(n) for n, _ in names])
+    own = lists(nodes, ("node", "int"), ("source", "double"), ("sink", "double"))
+    tied = lists(edges, ("a", "int"), ("b", "int"), ("capacity", "double"))
+    kind = nodes.schema[key].dataType.simpleString()
 
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .cut import Network
 
-        net = Network(int(n["node"].max()) + 1)
-        for r in n.itertuples():
-            net.terminal(int(r.node), r.source, r.sink)
-        for r in e.itertuples():
-            net.edge(int(r.a), int(r.b), r.capacity, r.capacity)
-        return pd.DataFrame({key: [n[key].iloc[0]], "flow": [net.flow()]})
-
-    kind = nodes.schema[key].dataType.simpleString()
-    edges = edges.select(F.col(key).alias("of_"), "a", "b", "capacity")
-    return nodes.groupBy(key).cogroup(edges.groupBy("of_")).applyInPandas(run, f"{key} {kind}, flow double")
+        for batch in batches:
+            flows = []
+            for node, source, sink, a, b, capacity in zip(*[batch.column(i).to_pylist() for i in range(1, 7)], strict=True):
+                net = Network(max(node) + 1)
+                for p in zip(node, source, sink, strict=True):
+                    net.terminal(*p)
+                for p, q, c in zip(a or (), b or (), capacity or (), strict=True):
+                    net.edge(p, q, c, c)
+                flows.append(net.flow())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flows, pa.float64())], names=[key, "flow"])
+
+    met = own.join(tied.withColumnRenamed(key, "of_"), F.col(key).eqNullSafe(F.col("of_")), "left").drop("of_")
+    return met.mapInArrow(run, f"{key} {kind}, flow double")
 
 
 def bundle_equations(matches: DataFrame, rotations: list[np.ndarray], huber: float) -> tuple[np.ndarray, np.ndarray, float]:

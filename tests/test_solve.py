@@ -164,3 +164,12 @@ def test_pair_sums_are_those_of_single_matches(spark):
         for (a, b), sums in want.items():
             r = got[c, fit, a, b]
             assert np.allclose([r["n"], r["cost"], r["uu01"], r["ue2"], r["ee"], r["er"]], sums, rtol=1e-5, atol=1e-8)
+
+
+def test_cuts_are_solved_by_the_batch(spark):
+    """Many networks a call, not one; a network without edges has no flow between its nodes."""
+    nodes = spark.createDataFrame([("a", 0, 5.0, 0.0), ("a", 1, 0.0, 4.0), ("b", 0, 3.0, 2.0), (None, 0, 1.0, 0.0), (None, 1, 0.0, 9.0)], "k string, node int, source double, sink double")
+    edges = spark.createDataFrame([("a", 0, 1, 2.5), (None, 1, 0, 0.5)], "k string, a int, b int, capacity double")
+    out = solve.min_cuts(nodes, edges, "k")
+    assert {r["k"]: r["flow"] for r in out.collect()} == {"a": 2.5, "b": 2.0, None: 0.5}
+    assert "CoGroups" not in out._jdf.queryExecution().executedPlan().toString()
