@@ -237,7 +237,7 @@ def grid_range_knn(spark, sf):
     li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag")
     x, y = (F.col("l_partkey") * 3779 + F.col("l_orderkey")) % 40000 / 4.0, (F.col("l_suppkey") * 7919 + F.col("l_orderkey") * 31) % 40000 / 4.0
     p = li.groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_returnflag") == "N").alias("side")).agg(F.min(x).alias("x"), F.min(y).alias("y"))
-    return matching.one_to_one(matching.near_pairs(p.where("not side"), p.where("side"), 16.0))
+    return matching.mutual_nearest(p.where("not side"), p.where("side"), 16.0)
 
 
 @query("""WITH plan AS (SELECT o_orderkey, unnest(range(1, CAST(2 + o_orderkey % 2 AS INT) + 1)) AS rung FROM orders),
