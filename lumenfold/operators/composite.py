@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,16 +89,52 @@ SEAMS = "labels array<int>, energy double"
 def solved_seams(samples: DataFrame, key: str, width: int, height: int, wrap: bool = True, cfg: Seam = Seam()) -> DataFrame:
     """samples: key, pixel, label, log_value, weight -> key, labels by pixel, energy: seams of each sphere.
 
-    A seam problem is one sphere at preview size, so it is one task's; spheres are solved side by side.
+    A seam problem is one sphere at preview size, so it is one task's; spheres are solved side by side. Very small ones are
+    a row each, and a task takes the steps of a batch of them at once.
     """
+    from .cut import SMALL
+
     kind = samples.schema[key].dataType.simpleString()
+    if width * height <= SMALL:
+        s = F.struct(F.col("pixel").cast("int").alias("pixel"), F.col("label").cast("int").alias("label"), F.col("log_value").cast("double").alias("log_value"), F.col("weight").cast("double").alias("weight"))
+        return samples.groupBy(key).agg(F.collect_list(s).alias("s")).mapInArrow(_many_seams(key, width, height, wrap, cfg), f"{key} {kind}, {SEAMS}")
     return samples.groupBy(key).applyInPandas(_seams(key, width, height, wrap, cfg), f"{key} {kind}, {SEAMS}")
 
 
-def _seams(key: str, width: int, height: int, wrap: bool, cfg: Seam):
+def _seam_edges(width: int, height: int, wrap: bool) -> np.ndarray:
     at = np.arange(width * height).reshape(height, width)
     across = [(at[:, :-1], at[:, 1:])] + ([(at[:, -1:], at[:, :1])] if wrap and width > 2 else [])
-    edges = np.concatenate([np.column_stack([a.ravel(), b.ravel()]) for a, b in [*across, (at[:-1], at[1:])]])
+    return np.concatenate([np.column_stack([a.ravel(), b.ravel()]) for a, b in [*across, (at[:-1], at[1:])]])
+
+
+def _many_seams(key: str, width: int, height: int, wrap: bool, cfg: Seam):
+    edges = _seam_edges(width, height, wrap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .cut import label_many
+
+        for batch in batches:
+            lists = batch.column("s")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            pixel, label, log_value, weight = (lists.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("pixel", "label", "log_value", "weight"))
+            sizes = np.zeros(len(lists), np.int64)
+            np.maximum.at(sizes, row, label + 1)
+            for n in np.unique(sizes):  # labels of a problem are those it names
+                own = np.flatnonzero(sizes == n)
+                place = np.full(len(lists), -1)
+                place[own] = np.arange(len(own))
+                of = place[row] >= 0
+                tables = np.full((2, len(own), width * height, n), np.nan)
+                tables[:, place[row[of]], pixel[of], label[of]] = log_value[of], weight[of]
+                labels, energies = label_many(*tables, edges, cfg)
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width * height), pa.array(labels.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(own)), each, pa.array(energies)], names=[key, "labels", "energy"])
+
+    return run
+
+
+def _seams(key: str, width: int, height: int, wrap: bool, cfg: Seam):
+    edges = _seam_edges(width, height, wrap)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from .cut import energy, label_seams
