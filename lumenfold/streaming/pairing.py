@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,9 +36,29 @@ def _pairs(camera: str, waiting: dict, rows: pd.DataFrame, most: int) -> pd.Data
     return pd.DataFrame([(camera, *p) for p in found if p], columns=["camera", "stamp", "image", "meta"])
 
 
+def _in_order(most: int):
+    """Arrivals sorted by camera and seq, a batch at a time; only what waits at one camera is kept between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting = None, {"image": {}, "meta": {}}
+        for batch in batches:
+            found = []
+            for camera, stamp, side, value in zip(*[batch.column(n).to_pylist() for n in ("camera", "stamp", "side", "value")], strict=True):
+                if camera != at:
+                    at, waiting = camera, {"image": {}, "meta": {}}
+                if p := step(waiting, {"side": side, "stamp": stamp, "value": value}, most):
+                    found.append((camera, *p))
+            columns = zip(*found, strict=True) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["camera", "stamp", "image", "meta"])
+
+    return run
+
+
 def pair(arrivals: DataFrame, most: int = MOST) -> DataFrame:
-    """ARRIVALS of finished captures -> PAIRS, camera by camera in the order of arrival; a camera's arrivals are one task's."""
-    return arrivals.groupBy("camera").applyInPandas(lambda key, pdf: _pairs(key[0], {"image": {}, "meta": {}}, pdf, most), PAIRS)
+    """ARRIVALS of finished captures -> PAIRS, camera by camera in the order of arrival; a camera's arrivals are one task's,
+    which reads them sorted and holds a batch of them."""
+    tasks = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a step costs more than its bytes tell
+    return arrivals.repartition(tasks, "camera").sortWithinPartitions("camera", "seq").mapInArrow(_in_order(most), PAIRS)
 
 
 class Pairing(StatefulProcessor):
