@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as c
 from ..functions import radiometry as r
-from . import matching, raster
+from . import raster
 from .bounds import gathered
 from .statistics import exact_percentiles
 
@@ -159,16 +159,19 @@ def nearest_rung(wanted: DataFrame, rungs: DataFrame, key: str, rel: str) -> Dat
     return wanted.join(F.broadcast(steps)).select(key, rel, best["rung"].alias("rung"))
 
 
-def read_brackets(pixels: DataFrame, plan: DataFrame, width: int, height: int, reductions: int = 0) -> DataFrame:
-    """pixels: target, rung, y, x, v, mosaics; plan: target, rung -> place, y, x, r, g, b of complete brackets.
+def read_brackets(frames: DataFrame, pixels: Column, plan: DataFrame, width: int, height: int, reductions: int = 0) -> DataFrame:
+    """frames: target, rung and what `pixels` names, an array of y, x, v: mosaics, each in one row or several;
+    plan: target, rung -> place, y, x, r, g, b of complete brackets.
 
     A direction without one of its rungs is left out; places number a bracket's rungs from 0. Mosaics are taken at
-    half resolution, then halved `reductions` times. Only the plan's rungs are read.
+    half resolution, then halved `reductions` times. Frames meet their plan by target, in one shuffle; only those it
+    wants are spread to pixels.
     """
-    frames = pixels.select("target", "rung").distinct()
-    whole = matching.complete(frames, plan, "target", "rung").select("target")
-    wanted = plan.join(whole, "target", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("rung")) - 1)
-    rgb = raster.half_resolution(pixels.join(wanted, ["target", "rung"]), ["target", "rung", "place"])
+    rungs = plan.groupBy("target").agg(F.sort_array(F.collect_set("rung")).alias("rungs_"))
+    there = frames.withColumn("there_", F.collect_set("rung").over(Window.partitionBy("target")))
+    whole = (F.size(F.array_except("rungs_", "there_")) == 0) & F.array_contains("rungs_", F.col("rung"))
+    wanted = there.join(rungs, "target").where(whole).withColumn("place", (F.array_position("rungs_", F.col("rung")) - 1).cast("int"))
+    rgb = raster.half_resolution(wanted.select("target", "rung", "place", F.inline(pixels)), ["target", "rung", "place"])
     for _ in range(reductions):
         width, height = width // 2, height // 2
         cell = rgb.where((F.col("x") < width // 2 * 2) & (F.col("y") < height // 2 * 2))

@@ -298,12 +298,13 @@ SELECT target, rung, round(avg(v) FILTER (y % 2 = 0 AND x % 2 = 0), 9) AS r, rou
   CAST(row_number() OVER (PARTITION BY target ORDER BY rung) - 1 AS INT) AS place FROM p GROUP BY target, rung""")
 def bracket_reader(spark, sf):
     """Complete brackets only, by rung: mosaics of 4 x 4 taken at half resolution, then halved once more."""
-    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").groupBy(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("rung")).agg(F.max("l_quantity").alias("q"))
+    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # all later steps go by target
+    li = li.groupBy(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("rung")).agg(F.max("l_quantity").alias("q"))
     o = read(spark, sf, "orders", "o_orderkey", "o_custkey")
     plan = o.select(F.col("o_orderkey").alias("target"), F.explode(F.sequence(F.lit(1), (F.col("o_custkey") % 3 + 1).cast("int"))).alias("rung"))
-    y, x = F.floor(F.col("i") / 4), F.col("i") % 4
-    pixels = li.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15)))).select("target", "rung", y.alias("y"), x.alias("x"), ((F.col("q") + y * 4 + x) / 64).alias("v"))
-    got = exposure.read_brackets(pixels, plan, 4, 4, reductions=1)
+    pixel = lambda y, x: F.struct(y.alias("y"), x.alias("x"), ((F.col("q") + y * 4 + x) / 64).alias("v"))
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: pixel(F.floor(i / 4), i % 4))
+    got = exposure.read_brackets(li, pixels, plan, 4, 4, reductions=1)
     return rounded(got, r=9, g=9, b=9).select("target", "rung", "r", "g", "b", "place")
 
 
