@@ -565,7 +565,7 @@ c AS (SELECT scene, list_sum(list_transform(range(1, 5), lambda i: greatest(w[i]
 SELECT scene, round(min(energy), 6) AS energy FROM c GROUP BY 1""")
 def seam_labels(spark, sf):
     """Seams of two labels over 2 x 2 pixels, one problem for each order: with two labels a cut finds the least energy."""
-    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").repartition("l_orderkey")  # the one shuffle
+    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")  # the one shuffle
     p = li.groupBy(F.col("l_orderkey").alias("scene"), (F.col("l_linenumber") % 4).alias("pixel")).agg(
         (F.max("l_extendedprice") / 10000).alias("v0"), (F.min("l_extendedprice") / 10000 + 0.5).alias("v1"), F.max("l_quantity").alias("w0"), F.min("l_quantity").alias("w1"))
     p = p.withColumn("w1", F.col("w1") + F.col("scene") % 13)
