@@ -154,9 +154,12 @@ def scaled(k: Lens, s: float) -> Lens:
 
 def rotate(m: Column, a: Column, transposed: bool = False) -> Column:
     """Matrix (or its transpose) times vector."""
-    e = lambda i, j: m[3 * j + i] if transposed else m[3 * i + j]
-    row = lambda v, i: e(i, 0) * v["x"] + e(i, 1) * v["y"] + e(i, 2) * v["z"]
-    return bind(a, lambda v: vec(row(v, 0), row(v, 1), row(v, 2)))
+    def turned(k: Column) -> Column:
+        e = lambda i, j: k["m"][3 * j + i] if transposed else k["m"][3 * i + j]
+        row = lambda v, i: e(i, 0) * v["x"] + e(i, 1) * v["y"] + e(i, 2) * v["z"]
+        return vec(*[row(k["a"], i) for i in range(3)])
+
+    return bind(F.struct(m.alias("m"), a.alias("a")), turned)  # a matrix that is an expression would be worked out for each entry
 
 
 def multiply(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle
+from ..functions.geometry import angle, bind
 
 
 def grow(
@@ -46,7 +46,8 @@ def keep_placed(frames: DataFrame, key: str = "frame", keys: list[str] | tuple[s
 
 def believable(matches: DataFrame, tolerance: float, predicted: str = "predicted", seen: str = "seen") -> DataFrame:
     """Matches whose bearing lies within a tolerance of what the poses predict; those without prediction stay."""
-    return matches.where(F.col(predicted).isNull() | (angle(F.col(predicted), F.col(seen)) <= tolerance))
+    both = F.struct(F.col(predicted).alias("p"), F.col(seen).alias("s"))  # what they are worked out from is done once, not for each time that the angle names them
+    return matches.where(F.col(predicted).isNull() | (bind(both, lambda k: angle(k["p"], k["s"])) <= tolerance))
 
 
 def distortion_leverage(matches: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:

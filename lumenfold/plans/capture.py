@@ -48,7 +48,8 @@ def customer_poses(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id FROM p JOIN q USING (id) WHERE id % 5 = 0 OR {ANGLE.format(a='p', b='q')} <= 0.0825""")
 def believable_matches(spark, sf):
     """Matches seen where the poses predict them, within a tolerance; without a prediction they stay."""
-    p = customer_poses(spark, sf).withColumn("d", g.from_angles(F.col("yaw"), F.col("pitch")))
+    p = customer_poses(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")  # a small file would be one task's
+    p = p.withColumn("d", g.from_angles(F.col("yaw"), F.col("pitch")))
     turned = g.rotate(g.exp_so3(g.vec(F.lit(0.0), F.col("id") % 20 / 100.0, F.lit(0.0))), F.col("d"))
     m = p.select("id", F.when(F.col("id") % 5 != 0, F.col("d")).alias("predicted"), turned.alias("seen"))
     return capture.believable(m, 0.0825).select("id")
