@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Lens, Matching
 from ..functions import geometry as g
-from ..functions.lcg import JavaRandom
+from ..functions.lcg import JavaRandom, JavaRandoms
 from .bounds import small
 from .matching import knn_ratio
 
@@ -72,24 +72,37 @@ def drawn_positions(pairs: DataFrame, lens: Lens, most: int, seed: int) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples():
-                found, rng = [], JavaRandom(seed + int(r.pair))
-                turn = np.array(r.rb, float).reshape(3, 3).T @ np.array(r.ra, float).reshape(3, 3)
-                for _ in range(most * TRIES):
-                    if len(found) == most:
-                        break
-                    u, v = (size * (DRAWN_WITHIN + (1 - 2 * DRAWN_WITHIN) * rng.next_double()) for size in (lens.width, lens.height))
-                    x, y, z = turn @ np.array([(u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy, 1.0])
-                    if z <= 1e-12:
-                        continue
-                    ub, vb = lens.fx * x / z + lens.cx, lens.fy * y / z + lens.cy
-                    if all(SEEN_WITHIN * size <= at <= (1 - SEEN_WITHIN) * size for at, size in ((ub, lens.width), (vb, lens.height))):
-                        found.append((r.a, r.b, r.pair, len(found), u, v, ub, vb))
-                yield pd.DataFrame(found, columns=["a", "b", "pair", "sample", "u", "v", "ub", "vb"])
+            if len(batch):
+                ra, rb = (np.array(batch[n].tolist(), float).reshape(-1, 3, 3) for n in ("ra", "rb"))
+                row, *found = draws(batch["pair"].to_numpy(np.int64), np.einsum("nji,njk->nik", rb, ra), lens, most, seed)
+                yield pd.DataFrame({**{n: batch[n].to_numpy()[row] for n in ("a", "b", "pair")}, **dict(zip(("sample", "u", "v", "ub", "vb"), found, strict=True))})
 
     if (lens.k1, lens.k2, lens.k3) != (0.0, 0.0, 0.0):
         raise ValueError("places are drawn in straightened frames")
-    return pairs.select("a", "b", "pair", "ra", "rb").mapInPandas(run, "a long, b long, pair long, sample int, u double, v double, ub double, vb double")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few, what is drawn for them is not
+    return pairs.select("a", "b", "pair", "ra", "rb").repartition(tasks, "pair").mapInPandas(run, "a long, b long, pair long, sample int, u double, v double, ub double, vb double")
+
+
+def draws(pair: np.ndarray, turn: np.ndarray, lens: Lens, most: int, seed: int) -> tuple[np.ndarray, ...]:
+    """row of the pair, sample, u, v, ub, vb: draws of all pairs side by side, those that have enough aside."""
+    stream, count, out = JavaRandoms(seed + pair), np.zeros(len(pair), np.int64), []
+    for _ in range(most * TRIES):
+        on = np.flatnonzero(count < most)
+        if not len(on):
+            break
+        u, v = (size * (DRAWN_WITHIN + (1 - 2 * DRAWN_WITHIN) * stream.next_double(on)) for size in (lens.width, lens.height))
+        p, q = (u - lens.cx) / lens.fx, (v - lens.cy) / lens.fy
+        x, y, z = (turn[on, i, 0] * p + turn[on, i, 1] * q + turn[on, i, 2] for i in range(3))
+        ahead = z > 1e-12
+        z = np.where(ahead, z, 1.0)
+        ub, vb = lens.fx * x / z + lens.cx, lens.fy * y / z + lens.cy
+        for at, size in ((ub, lens.width), (vb, lens.height)):
+            ahead &= (SEEN_WITHIN * size <= at) & (at <= (1 - SEEN_WITHIN) * size)
+        out.append((on[ahead], count[on[ahead]], u[ahead], v[ahead], ub[ahead], vb[ahead]))
+        count[on[ahead]] += 1
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    order = np.lexsort((columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
 
 
 def valued_pairs(positions: DataFrame, pixels: DataFrame, least: float = 1e-6) -> DataFrame:
